@@ -87,7 +87,7 @@ def uno_c(test: DataFrame, score: Column | str, train: DataFrame | None = None,
     bad = t.filter(e & (F.col("G") <= 0) & (F.lit(True) if tau is None else F.col("time") < tau))
     if not bad.isEmpty():
         raise ValueError("censoring survival function is zero at one or more time points")
-    w = F.lit(1.0) / (F.col("G") * F.col("G"))
+    w = F.try_divide(F.lit(1.0), F.col("G") * F.col("G"))
     if tau is not None:
         w = F.when(F.col("time") < tau, w).otherwise(0.0)
     return _concordance(t, "time", "event", "_s", w, **kw)
@@ -95,10 +95,14 @@ def uno_c(test: DataFrame, score: Column | str, train: DataFrame | None = None,
 
 def time_grid(df: DataFrame, time: str = "time", lo: float = 5.0, hi: float = 95.0,
               num: int = 99) -> list:
-    """Unique percentiles of the times at ``linspace(lo, hi, num)``."""
+    """Unique percentiles of the times at ``linspace(lo, hi, num)``.
+
+    Grid times at or beyond the largest follow-up time have no controls and
+    are left out (the reference's metric rejects such grids outright)."""
     qs = [float(q) / 100.0 for q in np.linspace(lo, hi, num)]
-    vals = df.agg(F.percentile(F.col(time), F.array(*[F.lit(q) for q in qs])).alias("p")).first()["p"]
-    return sorted(set(float(v) for v in vals))
+    row = df.agg(F.percentile(F.col(time), F.array(*[F.lit(q) for q in qs])).alias("p"),
+                 F.max(time).alias("mx")).first()
+    return sorted(set(float(v) for v in row["p"] if v < row["mx"]))
 
 
 def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFrame | None = None,
@@ -121,7 +125,7 @@ def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFr
     pos = F.size(F.filter(taus, lambda x: x < F.col("time")))  # grid times before this row's time
     ex = t.select("s", "e", "G", pos.alias("pos"),
                   F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("k"))
-    case_w = F.when(F.col("e") & (F.col("k") >= F.col("pos")), F.lit(1.0) / F.col("G")).otherwise(0.0)
+    case_w = F.when(F.col("e") & (F.col("k") >= F.col("pos")), F.try_divide(F.lit(1.0), F.col("G"))).otherwise(0.0)
     ctrl = F.when(F.col("k") < F.col("pos"), 1.0).otherwise(0.0)
     red = ex.groupBy("k", "s").agg(F.sum(case_w).alias("W"), F.sum(ctrl).alias("C"))
     red = red.filter((F.col("W") > 0) | (F.col("C") > 0))
@@ -130,7 +134,7 @@ def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFr
         F.sum(F.col("W") * (F.col("Cless") + 0.5 * F.col("C"))).alias("num"),
         F.sum("W").alias("W"), F.sum("C").alias("C"))
     auc = per.select("k", F.element_at(taus, F.col("k") + 1).alias("time"),
-                     (F.col("num") / (F.col("W") * F.col("C"))).alias("auc"))
+                     F.try_divide(F.col("num"), F.col("W") * F.col("C")).alias("auc"))
     # mean over the grid, weighted by drops of the test-set KM at grid times
     km = kaplan_meier(test, time, event, **kw).select("time", "survival")
     grid = auc.select("time")

@@ -16,7 +16,7 @@ from .kernels import cumulative
 
 
 def _log_step(d: Column, r: Column) -> Column:
-    return F.when(d < r, F.log(F.lit(1.0) - d / r))
+    return F.when(d < r, F.log(F.lit(1.0) - F.try_divide(d, r)))
 
 
 def kaplan_meier(df: DataFrame, time: str = "time", event: str = "event",
@@ -47,7 +47,7 @@ def kaplan_meier(df: DataFrame, time: str = "time", event: str = "event",
 def nelson_aalen(df: DataFrame, time: str = "time", event: str = "event", **kw) -> DataFrame:
     """Cumulative hazard ``H(t) = sum_{s<=t} d_s / n_s``."""
     km = kaplan_meier(df, time, event, **kw)
-    km = km.withColumn("_h", F.col("n_event") / F.col("n_at_risk"))
+    km = km.withColumn("_h", F.try_divide(F.col("n_event"), F.col("n_at_risk")))
     return cumulative(km, ["time"], {"cum_hazard": "_h"}, **kw).drop("_h")
 
 
