@@ -287,6 +287,21 @@ def score_test(data: DataFrame, xcols: list[str], ties: str = "breslow", time: s
     return {"U": U, "information": I, "chi2": chi2, "df": p, "p": chi2_sf(chi2, p), "loglik0": ll}
 
 
+def one_step(data: DataFrame, xcols: list[str], model_col: str, ties: str = "breslow",
+             time: str = "time", event: str = "event") -> dict:
+    """One Newton step from beta = 0 for every model key in one pass:
+    ``beta_1 = I(0)^-1 U(0)`` (the score-test estimate)."""
+    f = CoxFitter(ties=ties)
+    p = len(xcols)
+    d = data.select(F.col(model_col).alias("model"), F.col(time).cast("double").alias("time"),
+                    F.col(event).cast("int").alias("event"),
+                    *[F.col(x).cast("double").alias(f"x{k}") for k, x in enumerate(xcols)]).dropna()
+    models = [r[0] for r in d.select("model").distinct().collect()]  # model keys: bounded by the grid
+    bt = pd.DataFrame([[m, *([0.0] * p)] for m in models], columns=["model", *[f"_b{k}" for k in range(p)]])
+    res = f._pass(d, [f"x{k}" for k in range(p)], bt, {m: 0.0 for m in models})
+    return {m: np.linalg.solve(res[m][2], res[m][1]) for m in models}
+
+
 def univariate_cox(df: DataFrame, features: list[str], time: str = "time", event: str = "event",
                    ties: str = "efron", with_cindex: bool = True, **kw) -> pd.DataFrame:
     """Row 46: one Cox model per feature, fitted together.
