@@ -113,6 +113,7 @@ class CoxFitter:
         self.max_iter = max_iter
         self.tol = tol
         self.small_rows = SMALL_ROWS if small_rows is None else small_rows
+        self._groups: dict = {}
 
     # -- one pass ---------------------------------------------------------
     def _pass(self, data: DataFrame, xcols: list[str], betas: pd.DataFrame, shift: dict,
@@ -134,8 +135,13 @@ class CoxFitter:
         aggs += [F.sum(F.when(ev, F.col(x)).otherwise(0.0)).alias(f"X{k + 1}") for k, x in enumerate(xcols)]
         per = j.groupBy("model", "time").agg(*aggs)
         sums = {"S0": "w0", **{f"S{k + 1}": f"w{k + 1}" for k in range(p)}}
+        # the number of (model, time) groups does not change between passes
+        key = id(data)
+        if self._groups.get(key) is None:
+            self._groups[key] = data.select("model", "time").distinct().count()
+        n_t = self._groups[key]
         per = cumulative(per, ["time"], sums, segment=["model"], descending=True,
-                         small_rows=self.small_rows)
+                         small_rows=self.small_rows, n_rows=n_t)
         per = per.persist()
         evt = tie_series(per.filter("d > 0"), self.ties)
         if self.ties == "breslow":
@@ -158,7 +164,6 @@ class CoxFitter:
             # B(t) = q2 at the row's own time.
             allt = per.select("model", "time").join(
                 evt.select("model", "time", "q1", "q2"), ["model", "time"], "left").fillna(0.0)
-            n_t = allt.count()
             allt = cumulative(allt, ["time"], {"Acar": "q1"}, segment=["model"],
                               small_rows=self.small_rows, n_rows=n_t)
             allt = allt.select("model", "time", "Acar", F.col("q2").alias("B"))
