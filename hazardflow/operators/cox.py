@@ -196,8 +196,12 @@ class CoxFitter:
 
     # -- fit --------------------------------------------------------------
     def fit(self, data: DataFrame, xcols: list[str], model_col: str | None = None,
-            time: str = "time", event: str = "event") -> CoxResult:
-        """Fit one Cox model per distinct ``model_col`` value (or one model)."""
+            time: str = "time", event: str = "event", masks: dict | None = None,
+            beta0: dict | None = None) -> CoxResult:
+        """Fit one Cox model per distinct ``model_col`` value (or one model).
+
+        ``masks`` (model -> bool array) restricts a model to a feature
+        subset (other coefficients stay 0); ``beta0`` warm-starts models."""
         mc = F.col(model_col) if model_col else F.lit(0)
         d = data.select(mc.alias("model"), F.col(time).cast("double").alias("time"),
                         F.col(event).cast("int").alias("event"),
@@ -212,6 +216,14 @@ class CoxFitter:
         models = list(bounds.index)
         alphas = self.alpha if isinstance(self.alpha, dict) else {m: float(self.alpha) for m in models}
         beta = {m: np.zeros(p) for m in models}
+        if beta0:
+            for m, b in beta0.items():
+                if m in beta:
+                    beta[m] = np.asarray(b, dtype=float).copy()
+        act = {m: (np.asarray(masks[m], dtype=bool) if masks and m in masks else np.ones(p, dtype=bool))
+               for m in models}
+        for m in models:
+            beta[m][~act[m]] = 0.0
 
         def shift_of(m, b):
             lo = bounds.loc[m, [f"lo{k}" for k in range(p)]].to_numpy(dtype=float)
@@ -251,10 +263,13 @@ class CoxFitter:
                 Up = U - pen * beta[m]
                 Ip = I + pen * np.eye(p)
                 state[m] = (ll, llp, Ip)
-                try:
-                    delta = np.linalg.solve(Ip, Up)
-                except np.linalg.LinAlgError:
-                    delta = np.linalg.lstsq(Ip, Up, rcond=None)[0]
+                ix = np.flatnonzero(act[m])
+                delta = np.zeros(p)
+                if len(ix):
+                    try:
+                        delta[ix] = np.linalg.solve(Ip[np.ix_(ix, ix)], Up[ix])
+                    except np.linalg.LinAlgError:
+                        delta[ix] = np.linalg.lstsq(Ip[np.ix_(ix, ix)], Up[ix], rcond=None)[0]
                 prev_ll[m] = llp
                 if not np.all(np.isfinite(delta)):
                     continue

@@ -364,3 +364,38 @@ def pair_sums(df: DataFrame, tk: str, q: str, v: str, a_cols: list[str], b_cols:
     lev.unpersist()
     pos.unpersist()
     return out
+
+
+def dominance_grouped(df: DataFrame, group: str, rank: str, score: str, a: str, b: str, *,
+                      max_rows: int, cap: int | None = None, **kw) -> DataFrame:
+    """``dominance`` for many independent groups at once (e.g. one C-index
+    per (fold, candidate)).  ``rank`` is the 0-based rank within the group;
+    ``max_rows`` the largest group size.  Returns (group, l, e)."""
+    cap = DOMINANCE_CAP if cap is None else cap
+    lcap = max(1, int(math.floor(math.log2(cap))))
+    top = int(math.ceil(math.log2(max(max_rows, 2))))
+    base = df.select(F.col(group).alias("g"), F.col(rank).cast("long").alias("r"),
+                     F.col(score).cast("double").alias("s"),
+                     F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    parts = []
+    for k in range(lcap, top):
+        lv = base.select("g", F.shiftright("r", k + 1).alias("blk"), "s",
+                         F.when((F.shiftright("r", k) % 2) == 0, F.col("a")).otherwise(0.0).alias("A"),
+                         F.when((F.shiftright("r", k) % 2) == 1, F.col("b")).otherwise(0.0).alias("B"))
+        agg = lv.groupBy("g", "blk", "s").agg(F.sum("A").alias("A"), F.sum("B").alias("B"))
+        cum = cumulative(agg, ["s"], {"Bless": "B"}, segment=["g", "blk"], exclusive=True, **kw)
+        parts.append(cum.groupBy("g").agg(F.sum(F.col("A") * F.col("Bless")).alias("l"),
+                                          F.sum(F.col("A") * F.col("B")).alias("e")))
+
+    def inblock(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, eqv = _inblock_dominance(pdf["r"].to_numpy(), pdf["s"].to_numpy(),
+                                     pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "l": [lo], "e": [eqv]})
+
+    gtype = base.schema["g"].dataType.simpleString()
+    ib = base.withColumn("blk", F.shiftright("r", lcap)).groupBy("g", "blk") \
+        .applyInPandas(inblock, f"g {gtype}, l double, e double")
+    out = ib
+    for p_ in parts:
+        out = out.unionByName(p_)
+    return out.groupBy("g").agg(F.sum("l").alias("l"), F.sum("e").alias("e"))

@@ -148,3 +148,39 @@ def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFr
                   / (F.lit(1.0) - F.min_by("survival", F.col("k") * -1))).alias("mean_auc")) \
         if K > 1 else j.select(F.col("auc").alias("mean_auc"))
     return auc, mean
+
+
+def harrell_c_by_group(df: DataFrame, group: str, score: Column | str, time: str = "time",
+                       event: str = "event", **kw):
+    """Harrell's C for every value of ``group`` in one set of passes
+    (the batched scorer of grid search / RFECV / SFS).  Returns pandas
+    (group, cindex, comparable)."""
+    from .kernels import dominance_grouped
+    s = F.col(score) if isinstance(score, str) else score
+    e = F.col(event) > 0
+    base = df.select(F.col(group).alias("g"), F.col(time).cast("double").alias("t"), e.alias("e"),
+                     s.cast("double").alias("s"), F.when(e, 1.0).otherwise(0.0).alias("a"),
+                     F.lit(1.0).alias("b")).persist()
+    sizes = base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).persist()
+    max_rows = int(sizes.agg(F.max("n")).first()[0] or 0)
+    tmp = base.withColumn("_o1", F.when(F.col("e"), 0).otherwise(1)).withColumn("_o2", F.col("s") * -1.0)
+    ranked = cumulative(tmp, ["t", "_o1", "_o2"], {"r": F.lit(1.0)}, segment=["g"], exclusive=True, **kw) \
+        .withColumn("r", F.col("r").cast("long")).persist()
+    dom = dominance_grouped(ranked, "g", "r", "s", "a", "b", max_rows=max_rows,
+                            **{k: v for k, v in kw.items() if k == "cap"})
+    tot = ranked.join(sizes, "g").groupBy("g").agg(
+        F.sum(F.col("a") * (F.col("n") - 1 - F.col("r"))).alias("pairs"))
+    ts = ranked.filter("e").groupBy("g", "t", "s").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    per_t = ts.groupBy("g", "t").agg(F.sum("m").alias("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("eqp"))
+    ex = per_t.groupBy("g").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2 - F.col("eqp")).alias("xl"),
+                                F.sum("eqp").alias("xe"))
+    res = tot.join(dom, "g", "left").join(ex, "g", "left").fillna(0.0).toPandas()
+    ranked.unpersist()
+    sizes.unpersist()
+    base.unpersist()
+    conc = res["l"] - res["xl"]
+    tied = res["e"] - res["xe"]
+    comp = res["pairs"] - (res["xl"] + res["xe"])
+    res["cindex"] = (conc + 0.5 * tied) / comp.where(comp > 0)
+    res["comparable"] = comp
+    return res.rename(columns={"g": group})[[group, "cindex", "comparable"]]

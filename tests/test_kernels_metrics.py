@@ -89,3 +89,19 @@ def test_km_matches_brute(sdf):
     exp = brute.km(t, e, reverse=True)
     assert np.allclose(got.survival.to_numpy(), [v for _, v in exp], atol=1e-12)
     assert (np.diff(got.survival.to_numpy()) <= 1e-15).all()
+
+
+@pytest.mark.parametrize("cap", [None, 16])
+def test_harrell_by_group_matches_brute(spark, cap):
+    rng = np.random.default_rng(11)
+    frames = []
+    exp = {}
+    for g in range(3):
+        t, e, s = _data(n=80 + 20 * g, seed=g)
+        frames.append(pd.DataFrame({"g": g, "time": t, "event": e.astype(int), "score": s}))
+        exp[g] = brute.harrell(t, e, s)
+    df = spark.createDataFrame(pd.concat(frames))
+    kw = {} if cap is None else {"cap": cap, "small_rows": 0, "rows_per_part": 50}
+    got = metrics.harrell_c_by_group(df, "g", "score", **kw).set_index("g")["cindex"]
+    for g, v in exp.items():
+        assert got[g] == pytest.approx(v, abs=1e-12)
