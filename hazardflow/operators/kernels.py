@@ -295,8 +295,35 @@ def _inblock_pair_sums(tk: np.ndarray, q: np.ndarray, v: np.ndarray, A: np.ndarr
     return out
 
 
+class PairPlan:
+    """Block structure of ``pair_sums`` for a fixed position column: which
+    levels have blocks over the row cap (processed by Spark) and the
+    in-task level of every position.  Depends only on the positions, so an
+    iterative fit computes it once."""
+
+    def __init__(self, df: DataFrame, tk: str, cap: int | None = None):
+        self.cap = DOMINANCE_CAP if cap is None else cap
+        pos = df.groupBy(F.col(tk).cast("long").alias("tk")).agg(F.count(F.lit(1)).alias("c")).persist()
+        top = pos.agg(F.max("tk")).first()[0]
+        self.levels = (int(math.ceil(math.log2(top + 1))) if top and top > 0 else 0) if top is not None else -1
+        lev = pos.select("tk", F.lit(-1).alias("lvl"))
+        self.big_blocks = {}
+        for k in range(0, self.levels + 1):
+            bc = pos.groupBy(F.shiftright("tk", k).alias("b")).agg(F.sum("c").alias("bc"))
+            big = bc.filter(F.col("bc") > self.cap).select("b")
+            # blocks above the cap: at most n / cap of them
+            ids = [r[0] for r in big.collect()]
+            if ids:
+                self.big_blocks[k] = ids
+            small = bc.filter(F.col("bc") <= self.cap).select(F.col("b").alias("_b"))
+            lev = lev.join(small, F.shiftright("tk", k) == F.col("_b"), "left") \
+                .select("tk", F.when(F.col("_b").isNotNull(), F.lit(k)).otherwise(F.col("lvl")).alias("lvl"))
+        self.lev = lev.checkpoint(eager=True) if self.levels > 12 else lev.persist()
+        pos.unpersist()
+
+
 def pair_sums(df: DataFrame, tk: str, q: str, v: str, a_cols: list[str], b_cols: list[str], *,
-              cap: int | None = None, small_rows: int | None = None) -> np.ndarray:
+              cap: int | None = None, small_rows: int | None = None, plan: PairPlan | None = None) -> np.ndarray:
     """Exact ``sum_{tk_i < tk_j, v_j < q_i} outer(A_i, B_j)`` (ka x kb).
 
     ``tk`` is a dense position (e.g. rank of distinct times); rows sharing a
@@ -306,34 +333,24 @@ def pair_sums(df: DataFrame, tk: str, q: str, v: str, a_cols: list[str], b_cols:
     maximal blocks of at most ``cap`` rows are counted in one task each.
     A hot position (one time holding many rows) is never sent to one task.
     """
-    cap = DOMINANCE_CAP if cap is None else cap
     ka, kb = len(a_cols), len(b_cols)
     base = df.select(F.col(tk).cast("long").alias("tk"), F.col(q).cast("double").alias("q"),
                      F.col(v).cast("double").alias("v"),
                      *[F.col(c).cast("double").alias(f"a{i}") for i, c in enumerate(a_cols)],
                      *[F.col(c).cast("double").alias(f"b{j}") for j, c in enumerate(b_cols)])
-    pos = base.groupBy("tk").agg(F.count(F.lit(1)).alias("c")).persist()
-    top = pos.agg(F.max("tk")).first()[0]
-    if top is None:
-        pos.unpersist()
+    plan = PairPlan(df, tk, cap) if plan is None else plan
+    if plan.levels < 0:
         return np.zeros((ka, kb))
-    levels = int(math.ceil(math.log2(top + 1))) if top > 0 else 0
-    # in-task level per position: largest k whose block (tk >> k) holds <= cap rows
-    lev = pos.select("tk", F.lit(-1).alias("lvl"))
-    big_at = {}
-    for k in range(0, levels + 1):
-        bc = pos.groupBy(F.shiftright("tk", k).alias("b")).agg(F.sum("c").alias("bc"))
-        big_at[k] = bc.filter(F.col("bc") > cap).select("b")
-        small = bc.filter(F.col("bc") <= cap).select(F.col("b").alias("_b"))
-        lev = lev.join(small, F.shiftright("tk", k) == F.col("_b"), "left") \
-            .select("tk", F.when(F.col("_b").isNotNull(), F.lit(k)).otherwise(F.col("lvl")).alias("lvl"))
-    lev = lev.persist()
+    levels = plan.levels
+    lev = plan.lev
     out = np.zeros((ka, kb))
     # distributed levels: pairs across halves of big blocks at level k+1
+    spark = df.sparkSession
     for k in range(levels - 1, -1, -1):
-        big = big_at[k + 1]
-        if big.isEmpty():
+        ids = plan.big_blocks.get(k + 1)
+        if not ids:
             continue
+        big = spark.createDataFrame([(int(b),) for b in ids], "b long")
         rows = base.join(F.broadcast(big), F.shiftright("tk", k + 1) == F.col("b"), "left_semi")
         left = F.shiftright("tk", k) % 2 == 0
         blk = F.shiftright("tk", k + 1)
@@ -361,8 +378,6 @@ def pair_sums(df: DataFrame, tk: str, q: str, v: str, a_cols: list[str], b_cols:
     tot = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     for r in tot:
         out.flat[int(r["i"])] += r["x"]
-    lev.unpersist()
-    pos.unpersist()
     return out
 
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SMALL_ROWS, cumulative, pair_sums
+from .kernels import SMALL_ROWS, PairPlan, cumulative, pair_sums
 
 
 def time_positions(df: DataFrame, time: str = "time") -> DataFrame:
@@ -73,6 +73,7 @@ class PairStats:
         self.data = data
         self.p = p
         self.cap = cap
+        self.plan = PairPlan(data, "_tk", cap)  # positions are fixed across iterations
 
     def __call__(self, w: np.ndarray, shift: float = 0.0):
         p = self.p
@@ -87,7 +88,7 @@ class PairStats:
                      *[e.alias(f"_a{i}") for i, e in enumerate(a)], *[e.alias(f"_b{j}") for j, e in enumerate(b)])
         d = d.persist()
         M = pair_sums(d, "_tk", "_q", "_v", [f"_a{i}" for i in range(ka)], [f"_b{j}" for j in range(kb)],
-                      cap=self.cap)
+                      cap=self.cap, plan=self.plan)
         M += _same_time_sums(d, ka, kb)
         d.unpersist()
         return self._decode(M)
@@ -118,6 +119,7 @@ class PairStats:
                 H[i, j] = 2 * (M[off_a + idx[(i, j)], B1] - M[Ax + i, Bx + j] - M[Ax + j, Bx + i]
                                + M[A1, off_a + idx[(i, j)]])
         npairs = M[A1, B1]
+        self.last_M = M
         return loss, grad, H, npairs
 
 
@@ -145,44 +147,46 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
     w = np.zeros(p)
     it = 0
     if penalty == "l2" and loss == "squared_hinge":
-        obj = None
+        cur = stats(w)
         for it in range(1, max_iter + 1):
-            L, g, H, npairs = stats(w)
+            L, g, H, npairs = cur
             obj = 0.5 * w @ w + 0.5 * alpha * L
             grad = w + 0.5 * alpha * g
             step = np.linalg.solve(np.eye(p) + 0.5 * alpha * H, grad)
-            # backtracking on the objective
+            # backtracking on the objective; the accepted evaluation is reused
             t = 1.0
-            while t > 1e-4:
+            while True:
                 w_new = w - t * step
-                L2, _, _, _ = stats(w_new)
-                if 0.5 * w_new @ w_new + 0.5 * alpha * L2 <= obj + 1e-12 * max(1.0, abs(obj)):
+                new = stats(w_new)
+                if 0.5 * w_new @ w_new + 0.5 * alpha * new[0] <= obj + 1e-12 * max(1.0, abs(obj)) or t < 1e-4:
                     break
                 t *= 0.5
-            w = w_new
+            w, cur = w_new, new
             if np.max(np.abs(t * step)) < tol:
                 break
-        L, _, _, npairs = stats(w)
+        L, _, _, npairs = cur
         d.unpersist()
         return SVMResult(w, 0.5 * w @ w + 0.5 * alpha * L, it, npairs)
     if penalty == "l2" and loss == "hinge":
-        # smoothed hinge h_delta, continuation on delta
+        # smoothed hinge h_delta, continuation on delta; evaluations reused
         obj = None
-        for delta in (1.0, 0.3, 0.1, 0.03, 0.01):
+        npairs = 0.0
+        for delta in (1.0, 0.1, 0.01):
+            cur = _smoothed_hinge(stats, w, delta)
             for it in range(1, max_iter + 1):
-                f, g, H, npairs = _smoothed_hinge(stats, w, delta)
+                f, g, H, npairs = cur
                 obj = 0.5 * w @ w + alpha * f
                 grad = w + alpha * g
                 step = np.linalg.solve(np.eye(p) + alpha * H + 1e-9 * np.eye(p), grad)
                 t = 1.0
-                while t > 1e-4:
+                while True:
                     w_new = w - t * step
-                    f2 = _smoothed_hinge(stats, w_new, delta, value_only=True)
-                    if 0.5 * w_new @ w_new + alpha * f2 <= obj + 1e-12 * max(1.0, abs(obj)):
+                    new = _smoothed_hinge(stats, w_new, delta)
+                    if 0.5 * w_new @ w_new + alpha * new[0] <= obj + 1e-12 * max(1.0, abs(obj)) or t < 1e-4:
                         break
                     t *= 0.5
-                w = w_new
-                if np.max(np.abs(t * step)) < tol:
+                w, cur = w_new, new
+                if np.max(np.abs(t * step)) < max(tol, 1e-6):
                     break
         d.unpersist()
         return SVMResult(w, obj, it, npairs)
@@ -203,47 +207,24 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
     raise ValueError(f"unsupported penalty/loss: {penalty}/{loss}")
 
 
-def _smoothed_hinge(stats: PairStats, w, delta, value_only=False):
-    """Huber-smoothed hinge: z = s_i - s_j; 0 for z >= 1, (1-z)^2/(2 delta)
-    for 1-delta < z < 1, 1 - z - delta/2 for z <= 1-delta."""
-    L1, g1, H1, n1 = stats(w, 0.0)            # pairs with z < 1: sum (1-z)^2
-    L2, g2, H2, n2 = stats(w, delta)          # pairs with z < 1-delta: sum (1-z)^2
-    # linear region sums need sum (1 - z) over z < 1-delta: from the squared
-    # sums shifted: (1-z) = ((1-z)^2 - ((1-z)-1)^2 + 1) / 2  -> use derivative form
-    # simpler: value = quad part + linear part, computed from moments
-    lin_sum, lin_grad = _linear_moments(stats, w, delta)
+def _smoothed_hinge(stats: PairStats, w, delta):
+    """Huber-smoothed hinge over the comparable pairs, z = s_i - s_j:
+    0 for z >= 1, (1-z)^2/(2 delta) for 1-delta < z < 1, 1 - z - delta/2
+    for z <= 1-delta.  Two pair passes: squared sums over z < 1 and over
+    z < 1 - delta; the linear-region moments come from the second pass."""
+    p = stats.p
+    L1, g1, H1, n1 = stats(w, 0.0)
+    L2, g2, H2, n2 = stats(w, delta)
+    M = stats.last_M
+    # sum over z < 1-delta of (1 - z) = sum (c_i + s_j), and its gradient sum (x_j - x_i)
+    lin_sum = M[1, 0] + M[0, 1]
+    lin_grad = np.array([M[0, 3 + k] - M[3 + k, 0] for k in range(p)])
     f = (L1 - L2) / (2 * delta) + (lin_sum - n2 * delta / 2)
-    if value_only:
-        return f
     g = (g1 - g2) / (2 * delta) + lin_grad
     H = (H1 - H2) / (2 * delta)
     return f, g, H, n1
 
 
-def _linear_moments(stats: PairStats, w, delta):
-    """sum over pairs with z < 1 - delta of (1 - z) and its gradient."""
-    # (1 - z) = c_i + s_j with c = 1 - s; reuse the same pair sums: M[c,1] + M[1,s]
-    p = stats.p
-    s = None
-    for k in range(p):
-        t = F.col(f"_x{k}") * F.lit(float(w[k]))
-        s = t if s is None else s + t
-    d = stats.data.withColumn("_s", s)
-    x = [F.col(f"_x{k}") for k in range(p)]
-    e = (F.col("_e") > 0).cast("double")
-    a = [e, e * (F.lit(1.0) - F.col("_s"))] + [e * xi for xi in x]
-    b = [F.lit(1.0), F.col("_s")] + x
-    ka, kb = len(a), len(b)
-    d = d.select("_tk", "_e", (F.lit(1.0 - delta) - F.col("_s")).alias("_q"), (-F.col("_s")).alias("_v"),
-                 *[v.alias(f"_a{i}") for i, v in enumerate(a)], *[v.alias(f"_b{j}") for j, v in enumerate(b)])
-    M = pair_sums(d, "_tk", "_q", "_v", [f"_a{i}" for i in range(ka)], [f"_b{j}" for j in range(kb)],
-                  cap=stats.cap)
-    M += _same_time_sums(d, ka, kb)
-    val = M[1, 0] + M[0, 1]
-    grad = np.array([M[0, 2 + k] - M[2 + k, 0] for k in range(p)])
-    return val, grad
-
-
 def _l1_quadratic_cd(H, g, w0, lam, iters=1000, tol=1e-12):
     """min_w g'(w - w0) + 1/2 (w - w0)' H (w - w0) + lam ||w||_1."""
     w = w0.copy()

@@ -56,3 +56,27 @@ def test_rank_svm_stationary(data):
     r = svm.fit_rank_svm(df, ["a", "b", "c"], alpha=0.5)
     _, g, _ = _brute(X, t, e, r.coef)
     assert np.allclose(r.coef + 0.25 * g, 0, atol=1e-6)
+
+
+def _smoothed(X, t, e, w, delta):
+    s = X @ w
+    f = 0.0
+    for i, j in _pairs(t, e):
+        z = s[i] - s[j]
+        if z >= 1:
+            continue
+        f += (1 - z) ** 2 / (2 * delta) if z > 1 - delta else 1 - z - delta / 2
+    return f
+
+
+def test_smoothed_hinge_value_and_gradient(data):
+    df, X, t, e = data
+    d = svm._prepare(df, ["a", "b", "c"], "time", "event")
+    st = svm.PairStats(d, 3)
+    w = np.array([0.3, -0.2, 0.5])
+    f, g, _, _ = svm._smoothed_hinge(st, w, 0.3)
+    assert f == pytest.approx(_smoothed(X, t, e, w, 0.3), rel=1e-10)
+    h = 1e-6
+    num = np.array([(_smoothed(X, t, e, w + h * v, 0.3) - _smoothed(X, t, e, w - h * v, 0.3)) / (2 * h)
+                    for v in np.eye(3)])
+    assert np.allclose(g, num, atol=1e-4)
