@@ -17,7 +17,8 @@ def coef_summary(coefs: DataFrame, folds: DataFrame | None = None) -> DataFrame:
     exp(coef_mean).  The scaffold is features x folds, both small."""
     feats = coefs.select("feature").distinct()
     folds = coefs.select("fold").distinct() if folds is None else folds
-    scaffold = feats.crossJoin(F.broadcast(folds))  # p x folds cells, both bounded by the model
+    fold_ids = [r[0] for r in folds.collect()]  # bounded by the CV design
+    scaffold = feats.select("feature", F.explode(F.array(*[F.lit(f) for f in fold_ids])).alias("fold"))
     full = scaffold.join(coefs, ["feature", "fold"], "left").fillna(0.0, subset=["coef"]) \
         .withColumn("exp_coef", F.exp("coef"))
     agg = full.groupBy("feature").agg(
@@ -78,3 +79,20 @@ def coef_box(coefs: DataFrame, groups: DataFrame) -> DataFrame:
 def pivot_display(long: DataFrame, index: str, column: str, value: str) -> DataFrame:
     """Row 96: wide view on demand (folds as columns)."""
     return long.groupBy(index).pivot(column).agg(F.first(value))
+
+
+def roc_table(df: DataFrame, score: str, label: str, **kw) -> DataFrame:
+    """Row 100: classification ROC over the distinct score thresholds
+    (descending): cumulative true/false positives, tpr, fpr, accuracy.
+    Rows collapse to distinct scores first; the running sums use the
+    distributed ordered sum."""
+    from .kernels import cumulative
+    pos = (F.col(label) > 0).cast("double")
+    per = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(pos).alias("p"),
+                                                          F.sum(1.0 - pos).alias("q"))
+    tot = per.agg(F.sum("p").alias("P"), F.sum("q").alias("N")).first()
+    P, N = float(tot["P"] or 0), float(tot["N"] or 0)
+    cum = cumulative(per, ["threshold"], {"tp": "p", "fp": "q"}, descending=True, **kw)
+    return cum.select("threshold", "tp", "fp", (F.col("tp") / F.lit(P)).alias("tpr"),
+                      (F.col("fp") / F.lit(N)).alias("fpr"),
+                      ((F.col("tp") + F.lit(N) - F.col("fp")) / F.lit(P + N)).alias("accuracy"))

@@ -76,6 +76,13 @@ class PairStats:
         self.plan = PairPlan(data, "_tk", cap)  # positions are fixed across iterations
 
     def __call__(self, w: np.ndarray, shift: float = 0.0):
+        return self.multi(w, [shift])[0][:4]
+
+    def multi(self, w: np.ndarray, shifts: list[float]):
+        """Statistics for several margins in one pair pass: each row is
+        repeated once per extra margin with that margin's query key and
+        its own block of left weights; the copies carry no right weights,
+        and copies share a time position so they never pair."""
         p = self.p
         s = None
         for k in range(p):
@@ -84,14 +91,27 @@ class PairStats:
         d = self.data.withColumn("_s", s)
         a, b, _ = _features(p)
         ka, kb = len(a), len(b)
-        d = d.select("_tk", "_e", (F.lit(1.0 - shift) - F.col("_s")).alias("_q"), (-F.col("_s")).alias("_v"),
-                     *[e.alias(f"_a{i}") for i, e in enumerate(a)], *[e.alias(f"_b{j}") for j, e in enumerate(b)])
-        d = d.persist()
-        M = pair_sums(d, "_tk", "_q", "_v", [f"_a{i}" for i in range(ka)], [f"_b{j}" for j in range(kb)],
-                      cap=self.cap, plan=self.plan)
-        M += _same_time_sums(d, ka, kb)
+        m = len(shifts)
+        copies = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_copy")
+        d = d.select("*", copies)
+        shift_arr = F.array(*[F.lit(float(x)) for x in shifts])
+        q = F.lit(1.0) - F.element_at(shift_arr, F.col("_copy") + 1) - F.col("_s")
+        cols = [F.col("_tk"), F.col("_e"), q.alias("_q"), (-F.col("_s")).alias("_v")]
+        for c in range(m):
+            cols += [F.when(F.col("_copy") == c, e).otherwise(0.0).alias(f"_a{c * ka + i}") for i, e in enumerate(a)]
+        cols += [F.when(F.col("_copy") == 0, e).otherwise(0.0).alias(f"_b{j}") for j, e in enumerate(b)]
+        d = d.select(*cols).persist()
+        A = [f"_a{i}" for i in range(m * ka)]
+        B = [f"_b{j}" for j in range(kb)]
+        M = pair_sums(d, "_tk", "_q", "_v", A, B, cap=self.cap, plan=self.plan)
+        M += _same_time_sums(d, m * ka, kb)
         d.unpersist()
-        return self._decode(M)
+        out = []
+        for c in range(m):
+            Mc = M[c * ka:(c + 1) * ka]
+            out.append(self._decode(Mc))
+            out[-1] = out[-1] + (Mc,)
+        return out
 
     def _decode(self, M):
         p = self.p
@@ -119,7 +139,6 @@ class PairStats:
                 H[i, j] = 2 * (M[off_a + idx[(i, j)], B1] - M[Ax + i, Bx + j] - M[Ax + j, Bx + i]
                                + M[A1, off_a + idx[(i, j)]])
         npairs = M[A1, B1]
-        self.last_M = M
         return loss, grad, H, npairs
 
 
@@ -173,7 +192,7 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
         npairs = 0.0
         for delta in (1.0, 0.1, 0.01):
             cur = _smoothed_hinge(stats, w, delta)
-            for it in range(1, max_iter + 1):
+            for it in range(1, min(max_iter, 4) + 1):
                 f, g, H, npairs = cur
                 obj = 0.5 * w @ w + alpha * f
                 grad = w + alpha * g
@@ -182,11 +201,11 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
                 while True:
                     w_new = w - t * step
                     new = _smoothed_hinge(stats, w_new, delta)
-                    if 0.5 * w_new @ w_new + alpha * new[0] <= obj + 1e-12 * max(1.0, abs(obj)) or t < 1e-4:
+                    if 0.5 * w_new @ w_new + alpha * new[0] <= obj + 1e-12 * max(1.0, abs(obj)) or t < 0.1:
                         break
                     t *= 0.5
                 w, cur = w_new, new
-                if np.max(np.abs(t * step)) < max(tol, 1e-6):
+                if np.max(np.abs(t * step)) < max(tol, 1e-5):
                     break
         d.unpersist()
         return SVMResult(w, obj, it, npairs)
@@ -213,9 +232,7 @@ def _smoothed_hinge(stats: PairStats, w, delta):
     for z <= 1-delta.  Two pair passes: squared sums over z < 1 and over
     z < 1 - delta; the linear-region moments come from the second pass."""
     p = stats.p
-    L1, g1, H1, n1 = stats(w, 0.0)
-    L2, g2, H2, n2 = stats(w, delta)
-    M = stats.last_M
+    (L1, g1, H1, n1, _), (L2, g2, H2, n2, M) = stats.multi(w, [0.0, delta])
     # sum over z < 1-delta of (1 - z) = sum (c_i + s_j), and its gradient sum (x_j - x_i)
     lin_sum = M[1, 0] + M[0, 1]
     lin_grad = np.array([M[0, 3 + k] - M[3 + k, 0] for k in range(p)])

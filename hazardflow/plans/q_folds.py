@@ -240,3 +240,62 @@ def coef_box(spark, sf):
 def linear_predictor(spark, sf):
     lp = aggregate.linear_predictor({"value": 0.01, "k": -0.005, "is_click": 0.2, "hour": 0.003})
     return V.surv_events(spark, sf).select("event_id", r6(lp, "lp"), r6(F.exp(lp), "hazard_ratio"))
+
+
+ROC_SQL = """
+WITH s AS (SELECT value * 0.01 + k * -0.005 + is_click * 0.2 + hour * 0.003 AS sc, event FROM surv_events),
+per AS (SELECT sc AS threshold, CAST(sum(event) AS DOUBLE) AS p, CAST(sum(1 - event) AS DOUBLE) AS q FROM s GROUP BY sc),
+c AS (SELECT threshold, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM per
+      WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT sum(p) AS P, sum(q) AS N FROM per)
+SELECT round(threshold, 6) AS threshold, tp, fp, round(tp / P, 6) AS tpr, round(fp / N, 6) AS fpr,
+       round((tp + N - fp) / (P + N), 6) AS accuracy FROM c, t
+"""
+
+
+@query("roc_table", V.with_views(ROC_SQL, "surv_events"))
+def roc_table(spark, sf):
+    lp = aggregate.linear_predictor({"value": 0.01, "k": -0.005, "is_click": 0.2, "hour": 0.003})
+    r = aggregate.roc_table(V.surv_events(spark, sf).select(lp.alias("sc"), "event"), "sc", "event")
+    return r.select(r6("threshold", "threshold"), "tp", "fp", r6("tpr", "tpr"), r6("fpr", "fpr"),
+                    r6("accuracy", "accuracy"))
+
+
+AUC_CURVE_SQL = FOLD_CORE + """
+, det AS (SELECT a.test_fold AS fold, a.event, a.time,
+                 a.value * w.b_value + a.k * w.b_k + a.hour * w.b_hour AS risk
+          FROM a JOIN (SELECT fold, max(CASE WHEN feature = 'value' THEN coef END) AS b_value,
+                              max(CASE WHEN feature = 'k' THEN coef END) AS b_k,
+                              max(CASE WHEN feature = 'hour' THEN coef END) AS b_hour FROM co GROUP BY fold) w
+          ON a.test_fold = w.fold),
+grid AS (SELECT * FROM (VALUES (12.0), (24.0), (48.0)) g(gt)),
+x AS (SELECT d.fold, g.gt, d.risk,
+             CASE WHEN d.event = 1 AND d.time <= g.gt THEN 1.0 ELSE 0.0 END AS W,
+             CASE WHEN d.time > g.gt THEN 1.0 ELSE 0.0 END AS C FROM det d, grid g),
+red AS (SELECT fold, gt, risk, sum(W) AS W, sum(C) AS C FROM x GROUP BY ALL),
+cum AS (SELECT *, coalesce(sum(C) OVER (PARTITION BY fold, gt ORDER BY risk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS Cl FROM red),
+auc AS (SELECT fold, gt AS time, sum(W * (Cl + 0.5 * C)) / (sum(W) * sum(C)) AS auc FROM cum GROUP BY ALL)
+SELECT time, count(*) AS n, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.5), 6) AS median,
+       round(stddev_samp(auc), 6) AS sd, round(1.96 * stddev_samp(auc) / sqrt(count(*)), 6) AS ci95
+FROM auc GROUP BY time
+"""
+
+
+@query("auc_curve", V.with_views(AUC_CURVE_SQL, "surv_events"))
+def auc_curve(spark, sf):
+    """Rows 96-97: per-fold AUC(t) (unweighted cases, i.e. G = 1) of the
+    fold models on their test rows at t = 12, 24, 48 h, then mean / median /
+    sd / 1.96 sem over folds."""
+    coefs, ev, asg = fold_coefficients(spark, sf)
+    det = fold_risk_detail(coefs, ev, asg)
+    grid = F.array(*[F.lit(g) for g in (12.0, 24.0, 48.0)])
+    x = det.select("fold", "risk_score", "time", "event", F.explode(grid).alias("gt"))
+    W = F.when((F.col("event") == 1) & (F.col("time") <= F.col("gt")), 1.0).otherwise(0.0)
+    C = F.when(F.col("time") > F.col("gt"), 1.0).otherwise(0.0)
+    red = x.groupBy("fold", "gt", "risk_score").agg(F.sum(W).alias("W"), F.sum(C).alias("C"))
+    from ..operators.kernels import cumulative
+    cum = cumulative(red, ["risk_score"], {"Cl": "C"}, segment=["fold", "gt"], exclusive=True)
+    auc = cum.groupBy("fold", F.col("gt").alias("time")).agg(
+        (F.sum(F.col("W") * (F.col("Cl") + 0.5 * F.col("C"))) / (F.sum("W") * F.sum("C"))).alias("auc"))
+    s = aggregate.auc_curve_summary(auc)
+    return s.select("time", "n", *[r6(c, c) for c in ["mean", "median", "sd", "ci95"]])
