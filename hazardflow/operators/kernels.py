@@ -363,9 +363,7 @@ def pair_sums(df: DataFrame, tk: str, q: str, v: str, a_cols: list[str], b_cols:
         u = qs.unionByName(vs)
         cum = cumulative(u, ["key", "nq"], {f"cb{j}": f"b{j}" for j in range(kb)}, segment=["blk"],
                          small_rows=small_rows)
-        row = cum.filter("nq = -1").agg(*[F.sum(F.col(f"a{i}") * F.col(f"cb{j}")).alias(f"s{i}_{j}")
-                                          for i in range(ka) for j in range(kb)]).first()
-        out += np.array([[row[f"s{i}_{j}"] or 0.0 for j in range(kb)] for i in range(ka)])
+        out += outer_sum(cum.filter("nq = -1"), [f"a{i}" for i in range(ka)], [f"cb{j}" for j in range(kb)])
 
     def inblock(pdf: pd.DataFrame) -> pd.DataFrame:
         res = _inblock_pair_sums(pdf["tk"].to_numpy(np.int64), pdf["q"].to_numpy(), pdf["v"].to_numpy(),
@@ -414,3 +412,24 @@ def dominance_grouped(df: DataFrame, group: str, rank: str, score: str, a: str,
     for p_ in parts:
         out = out.unionByName(p_)
     return out.groupBy("g").agg(F.sum("l").alias("l"), F.sum("e").alias("e"))
+
+
+def outer_sum(df: DataFrame, a_cols: list[str], b_cols: list[str]) -> np.ndarray:
+    """``sum_rows outer(A_row, B_row)`` (ka x kb): one numpy partial per
+    partition (Arrow batches), then a sum over the partials.  Replaces a
+    ka*kb-column aggregation, whose generated code grows with ka*kb."""
+    ka, kb = len(a_cols), len(b_cols)
+
+    def part(it):
+        acc = np.zeros((ka, kb))
+        for pdf in it:
+            if len(pdf):
+                acc += pdf[a_cols].to_numpy(dtype=float).T @ pdf[b_cols].to_numpy(dtype=float)
+        yield pd.DataFrame({"s": [acc.ravel().tolist()]})
+
+    parts = df.select(*a_cols, *b_cols).mapInPandas(part, "s array<double>")
+    tot = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(ka * kb)
+    for r in tot:
+        out[int(r["i"])] = r["x"]
+    return out.reshape(ka, kb)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SMALL_ROWS, PairPlan, cumulative, pair_sums
+from .kernels import SMALL_ROWS, PairPlan, cumulative, outer_sum, pair_sums
 
 
 def time_positions(df: DataFrame, time: str = "time") -> DataFrame:
@@ -60,9 +60,7 @@ def _same_time_sums(df: DataFrame, ka: int, kb: int) -> np.ndarray:
                                    *[F.lit(0.0).alias(f"_a{i}") for i in range(ka)],
                                    *[F.col(f"_b{j}") for j in range(kb)])
     cum = cumulative(qs.unionByName(vs), ["key", "nq"], {f"cb{j}": f"_b{j}" for j in range(kb)}, segment=["blk"])
-    row = cum.filter("nq = -1").agg(*[F.sum(F.col(f"_a{i}") * F.col(f"cb{j}")).alias(f"s{i}_{j}")
-                                      for i in range(ka) for j in range(kb)]).first()
-    return np.array([[row[f"s{i}_{j}"] or 0.0 for j in range(kb)] for i in range(ka)])
+    return outer_sum(cum.filter("nq = -1"), [f"_a{i}" for i in range(ka)], [f"cb{j}" for j in range(kb)])
 
 
 class PairStats:
