@@ -138,10 +138,12 @@ class CoxFitter:
         # the number of (model, time) groups does not change between passes
         key = id(data)
         if self._groups.get(key) is None:
-            self._groups[key] = data.select("model", "time").distinct().count()
-        n_t = self._groups[key]
+            g = data.select("model", "time").distinct().groupBy("model").count() \
+                .agg(F.sum("count").alias("n"), F.max("count").alias("m")).first()
+            self._groups[key] = (int(g["n"] or 0), int(g["m"] or 0))
+        n_t, max_t = self._groups[key]
         per = cumulative(per, ["time"], sums, segment=["model"], descending=True,
-                         small_rows=self.small_rows, n_rows=n_t)
+                         small_rows=self.small_rows, n_rows=n_t, max_segment_rows=max_t)
         per = per.persist()
         evt = tie_series(per.filter("d > 0"), self.ties)
         if self.ties == "breslow":
@@ -165,7 +167,7 @@ class CoxFitter:
             allt = per.select("model", "time").join(
                 evt.select("model", "time", "q1", "q2"), ["model", "time"], "left").fillna(0.0)
             allt = cumulative(allt, ["time"], {"Acar": "q1"}, segment=["model"],
-                              small_rows=self.small_rows, n_rows=n_t)
+                              small_rows=self.small_rows, n_rows=n_t, max_segment_rows=max_t)
             allt = allt.select("model", "time", "Acar", F.col("q2").alias("B"))
             jt = j.join(F.broadcast(allt) if n_t <= self.small_rows else allt, ["model", "time"])
             wt = F.col("_w") * (F.col("Acar") - F.when(ev, F.col("B")).otherwise(0.0))

@@ -46,9 +46,13 @@ def _count(df: DataFrame) -> int:
 def cumulative(df: DataFrame, order_by: list, sums: dict, *, segment: list | None = None,
                descending: bool = False, exclusive: bool = False,
                small_rows: int | None = None, rows_per_part: int | None = None,
-               n_rows: int | None = None, **_ignored) -> DataFrame:
+               n_rows: int | None = None, max_segment_rows: int | None = None, **_ignored) -> DataFrame:
     """Add running sums ``name -> expression`` ordered by ``order_by``.
 
+    ``max_segment_rows`` (optional, with ``segment``): a checked bound on
+    the largest segment; when under the limit the window partitioned by
+    the segment is used even for a large total.
+
     ``descending`` runs the sums from the largest key down (suffix sums).
     ``exclusive`` leaves out the current row.  Rows with equal keys are
     summed in an arbitrary but fixed order, so callers aggregate ties first
@@ -62,7 +66,9 @@ def cumulative(df: DataFrame, order_by: list, sums: dict, *, segment: list | Non
                             .cast("double").alias(f"__v_{n}") for n, c in sums.items()])
     n = _count(base) if n_rows is None else n_rows
     okeys = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
-    if n <= small_rows:
+    # With a segment the window is partitioned by it, so what must be bounded
+    # is the largest segment (checked by the caller), not the total.
+    if n <= small_rows or (segment and max_segment_rows is not None and max_segment_rows <= small_rows):
         w = Window.orderBy(*okeys) if not segment else Window.partitionBy(*segment).orderBy(*okeys)
         w = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
         out = base

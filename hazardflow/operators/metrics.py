@@ -11,6 +11,7 @@ Score ties are exact equality (no tolerance).
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,18 +124,48 @@ def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFr
     taus = F.array(*[F.lit(float(x)) for x in times])
     K = len(times)
     pos = F.size(F.filter(taus, lambda x: x < F.col("time")))  # grid times before this row's time
-    ex = t.select("s", "e", "G", pos.alias("pos"),
-                  F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("k"))
-    case_w = F.when(F.col("e") & (F.col("k") >= F.col("pos")), F.try_divide(F.lit(1.0), F.col("G"))).otherwise(0.0)
-    ctrl = F.when(F.col("k") < F.col("pos"), 1.0).otherwise(0.0)
-    red = ex.groupBy("k", "s").agg(F.sum(case_w).alias("W"), F.sum(ctrl).alias("C"))
-    red = red.filter((F.col("W") > 0) | (F.col("C") > 0))
-    cum = cumulative(red, ["s"], {"Cless": "C"}, segment=["k"], exclusive=True, **kw)
-    per = cum.groupBy("k").agg(
-        F.sum(F.col("W") * (F.col("Cless") + 0.5 * F.col("C"))).alias("num"),
-        F.sum("W").alias("W"), F.sum("C").alias("C"))
-    auc = per.select("k", F.element_at(taus, F.col("k") + 1).alias("time"),
-                     F.try_divide(F.col("num"), F.col("W") * F.col("C")).alias("auc"))
+    # Row with bucket b = pos: a case for every k >= b (if an event), a
+    # control for every k < b.  Collapse rows to distinct scores with
+    # per-bucket case weights W_b and control counts C_b, then one ordered
+    # sum over the score gives H_b = controls with a smaller score.
+    wv = F.when(F.col("e"), F.try_divide(F.lit(1.0), F.col("G"))).otherwise(0.0)
+    red = t.select("s", wv.alias("w"), pos.alias("b")).groupBy("s").agg(
+        *[F.sum(F.when(F.col("b") == i, F.col("w")).otherwise(0.0)).alias(f"W{i}") for i in range(K + 1)],
+        *[F.sum(F.when(F.col("b") == i, 1.0).otherwise(0.0)).alias(f"C{i}") for i in range(K + 1)])
+    cum = cumulative(red, ["s"], {f"H{i}": f"C{i}" for i in range(K + 1)}, exclusive=True, **kw)
+    wc = [f"W{i}" for i in range(K + 1)]
+    cc = [f"C{i}" for i in range(K + 1)]
+    hc = [f"H{i}" for i in range(K + 1)]
+
+    def fold(it):
+        num = np.zeros(K)
+        wt = np.zeros(K)
+        ct = np.zeros(K)
+        for pdf in it:
+            if not len(pdf):
+                continue
+            W = pdf[wc].to_numpy(float)
+            C = pdf[cc].to_numpy(float)
+            H = pdf[hc].to_numpy(float)
+            wcum = np.cumsum(W, axis=1)[:, :K]                 # cases at k: buckets <= k
+            hsuf = np.cumsum(H[:, ::-1], axis=1)[:, ::-1][:, 1:]  # controls at k: buckets > k
+            csuf = np.cumsum(C[:, ::-1], axis=1)[:, ::-1][:, 1:]
+            num += np.sum(wcum * (hsuf + 0.5 * csuf), axis=0)
+            wt += wcum.sum(axis=0)
+            ct += csuf.sum(axis=0)
+        yield pd.DataFrame({"v": [np.concatenate([num, wt, ct]).tolist()]})
+
+    parts = cum.select(*wc, *cc, *hc).mapInPandas(fold, "v array<double>")
+    tot = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    vec = np.zeros(3 * K)
+    for r in tot:
+        vec[int(r["i"])] = r["x"]
+    num, wt, ct = vec[:K], vec[K:2 * K], vec[2 * K:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        aucv = np.where(wt * ct > 0, num / (wt * ct), np.nan)
+    spark = test.sparkSession
+    auc = spark.createDataFrame([(k, float(times[k]), None if np.isnan(aucv[k]) else float(aucv[k]))
+                                 for k in range(K)], "k int, time double, auc double")  # K grid rows
     # mean over the grid, weighted by drops of the test-set KM at grid times
     km = kaplan_meier(test, time, event, **kw).select("time", "survival")
     grid = auc.select("time")

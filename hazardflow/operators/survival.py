@@ -127,7 +127,9 @@ def cutpoint_scan(df: DataFrame, x: str, time: str = "time", event: str = "event
         .groupBy("k", "time").agg(F.sum("d").alias("d1"), F.sum("m").alias("m1"))
     ks = tot.select("time", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))).alias("k"), "d", "m")
     per = ks.join(g1, ["k", "time"], "left").fillna(0.0, subset=["d1", "m1"])
-    per = cumulative(per, ["time"], {"n": "m", "n1": "m1"}, segment=["k"], descending=True, **kw)
+    n_times = tot.count()  # each cut's segment holds one row per distinct time
+    per = cumulative(per, ["time"], {"n": "m", "n1": "m1"}, segment=["k"], descending=True,
+                     n_rows=n_times * len(cuts), max_segment_rows=n_times, **kw)
     res = _logrank_sums(per, ["k"])
     stat = F.pow(F.col("observed") - F.col("expected"), 2) / F.col("variance")
     return res.select(F.col("k").cast("int").alias("k"), F.element_at(arr, F.col("k") + 1).alias("cut"),
