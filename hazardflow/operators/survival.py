@@ -110,30 +110,59 @@ def cutpoint_scan(df: DataFrame, x: str, time: str = "time", event: str = "event
                   cuts: list | None = None, **kw) -> DataFrame:
     """Row 56: log-rank of ``x >= c`` vs ``x < c`` for every cut point ``c``.
 
-    Rows are first reduced to (time, bucket) counts, where bucket = number
-    of cut points <= x; the per-cut tables are expanded from that reduced
-    table, not from the rows.
+    Bucket b = number of cut points <= x; group 1 of cut k = buckets > k.
+    Rows collapse to one row per distinct time with per-bucket event and
+    row counts; one ordered suffix sum over time gives the per-bucket
+    numbers at risk; the per-cut observed / expected / variance vectors
+    are then folded per partition with numpy.  Only distinct-time rows are
+    shuffled, never rows x cuts.
     """
+    import pandas as pd
+
     cuts = cut_points(df, x) if cuts is None else cuts
+    K = len(cuts)
     arr = F.array(*[F.lit(float(c)) for c in cuts])
     ev = (F.col(event) > 0).cast("double")
     b = F.size(F.filter(arr, lambda c: c <= F.col(x)))
-    red = df.filter(F.col(x).isNotNull()).groupBy(F.col(time).alias("time"), b.alias("b")).agg(
-        F.sum(ev).alias("d"), F.count(F.lit(1)).cast("double").alias("m"))
-    tot = red.groupBy("time").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
-    # group 1 for cut k (0-based) = rows with b >= k + 1
-    g1 = red.filter("b > 0").select("time", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"),
-                                    "d", "m") \
-        .groupBy("k", "time").agg(F.sum("d").alias("d1"), F.sum("m").alias("m1"))
-    ks = tot.select("time", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))).alias("k"), "d", "m")
-    per = ks.join(g1, ["k", "time"], "left").fillna(0.0, subset=["d1", "m1"])
-    n_times = tot.count()  # each cut's segment holds one row per distinct time
-    per = cumulative(per, ["time"], {"n": "m", "n1": "m1"}, segment=["k"], descending=True,
-                     n_rows=n_times * len(cuts), max_segment_rows=n_times, **kw)
-    res = _logrank_sums(per, ["k"])
-    stat = F.pow(F.col("observed") - F.col("expected"), 2) / F.col("variance")
-    return res.select(F.col("k").cast("int").alias("k"), F.element_at(arr, F.col("k") + 1).alias("cut"),
-                      "observed", "expected", "variance", stat.alias("statistic"))
+    rows = df.filter(F.col(x).isNotNull()).select(F.col(time).alias("time"), ev.alias("e"), b.alias("b"))
+    per = rows.groupBy("time").agg(
+        *[F.sum(F.when(F.col("b") == i, F.col("e")).otherwise(0.0)).alias(f"d{i}") for i in range(K + 1)],
+        *[F.sum(F.when(F.col("b") == i, 1.0).otherwise(0.0)).alias(f"m{i}") for i in range(K + 1)])
+    per = cumulative(per, ["time"], {f"r{i}": f"m{i}" for i in range(K + 1)}, descending=True, **kw)
+    dc = [f"d{i}" for i in range(K + 1)]
+    rc = [f"r{i}" for i in range(K + 1)]
+
+    def fold(it):
+        o = np.zeros(K)
+        e = np.zeros(K)
+        v = np.zeros(K)
+        for pdf in it:
+            if not len(pdf):
+                continue
+            D = pdf[dc].to_numpy(float)
+            R = pdf[rc].to_numpy(float)
+            d = D.sum(axis=1)[:, None]
+            n = R.sum(axis=1)[:, None]
+            d1 = np.cumsum(D[:, ::-1], axis=1)[:, ::-1][:, 1:]   # buckets > k
+            n1 = np.cumsum(R[:, ::-1], axis=1)[:, ::-1][:, 1:]
+            o += d1.sum(axis=0)
+            e += (d * n1 / n).sum(axis=0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                vv = np.where(n > 1, n1 * (n - n1) * d * (n - d) / (n * n * (n - 1)), 0.0)
+            v += vv.sum(axis=0)
+        yield pd.DataFrame({"v": [np.concatenate([o, e, v]).tolist()]})
+
+    parts = per.select(*dc, *rc).mapInPandas(fold, "v array<double>")
+    tot = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    vec = np.zeros(3 * K)
+    for r in tot:
+        vec[int(r["i"])] = r["x"]
+    o, e, v = vec[:K], vec[K:2 * K], vec[2 * K:]
+    spark = df.sparkSession
+    out = [(k, float(cuts[k]), float(o[k]), float(e[k]), float(v[k]),
+            float((o[k] - e[k]) ** 2 / v[k]) if v[k] > 0 else None) for k in range(K)]
+    return spark.createDataFrame(out, "k int, cut double, observed double, expected double, "
+                                      "variance double, statistic double")  # one row per cut point
 
 
 def baseline_hazard(df: DataFrame, lp: Column, time: str = "time", event: str = "event",

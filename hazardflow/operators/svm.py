@@ -196,12 +196,16 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
                 grad = w + alpha * g
                 step = np.linalg.solve(np.eye(p) + alpha * H + 1e-9 * np.eye(p), grad)
                 t = 1.0
-                while True:
+                accepted = False
+                while t >= 0.05:
                     w_new = w - t * step
                     new = _smoothed_hinge(stats, w_new, delta)
-                    if 0.5 * w_new @ w_new + alpha * new[0] <= obj + 1e-12 * max(1.0, abs(obj)) or t < 0.1:
+                    if 0.5 * w_new @ w_new + alpha * new[0] <= obj + 1e-12 * max(1.0, abs(obj)):
+                        accepted = True
                         break
                     t *= 0.5
+                if not accepted:
+                    break  # no decrease along the Newton direction: next smoothing level
                 w, cur = w_new, new
                 if np.max(np.abs(t * step)) < max(tol, 1e-5):
                     break

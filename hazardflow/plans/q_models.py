@@ -35,7 +35,7 @@ def _coef_frame(spark, features, beta, se=None, extra=None):
     rows = []
     for j, f in enumerate(features):
         b = float(beta[j])
-        r = {"feature": f, "coef": b, "exp_coef": math.exp(b)}
+        r = {"feature": f, "coef": b, "exp_coef": float(np.exp(np.clip(b, -700, 700)))}
         if se is not None:
             s = float(se[j])
             r.update({"se_coef": s, "z": b / s if s > 0 else float("nan"),
