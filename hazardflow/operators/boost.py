@@ -8,7 +8,7 @@
     the reference (its gradient is always 0).
 ``trees``  (GBS): regression trees (Spark ML) fitted to the residuals
     r_i = e_i - exp(F_i) * A(t_i) each step; F is carried as a column and
-    the lineage is cut with ``checkpoint()`` every few steps.
+    the plan and lineage are cut with ``checkpoint()`` every step.
 Staged prediction (row 70) is the score after each step.
 """
 
@@ -73,22 +73,26 @@ def staged_scores(df: DataFrame, path: pd.DataFrame, steps: list[int], keys: lis
     return df.select(*keys, F.explode(F.array(*structs)).alias("_s")).select(*keys, "_s.step", "_s.score")
 
 
-def _residuals(d: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """r_i = e_i - exp(F_i) * A(t_i), A(t) = sum over event times <= t of d/S0."""
+def _residuals(d: DataFrame, n_t: int, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """r_i = e_i - exp(F_i) * A(t_i), A(t) = sum over event times <= t of d/S0
+    (``n_t`` = number of distinct times, fixed across steps)."""
     w = F.exp(F.col("F"))
     per = d.groupBy("time").agg(F.sum((F.col("event") > 0).cast("double")).alias("dd"), F.sum(w).alias("w"))
-    per = cumulative(per, ["time"], {"S0": "w"}, descending=True, small_rows=small_rows)
+    per = cumulative(per, ["time"], {"S0": "w"}, descending=True, small_rows=small_rows, n_rows=n_t)
     per = per.withColumn("h", F.col("dd") / F.col("S0"))
-    per = cumulative(per, ["time"], {"A": "h"}, small_rows=small_rows).select("time", "A")
-    n_t = per.count()
+    per = cumulative(per, ["time"], {"A": "h"}, small_rows=small_rows, n_rows=n_t).select("time", "A")
     j = d.join(F.broadcast(per) if n_t <= small_rows else per, "time")
     return j.withColumn("r", (F.col("event") > 0).cast("double") - w * F.col("A")).drop("A")
 
 
 def trees(df: DataFrame, features: list[str], n_estimators: int = 100, learning_rate: float = 0.1,
           max_depth: int = 3, min_instances: int = 1, max_bins: int = 32, id_col: str = "id",
-          checkpoint_every: int = 10, time: str = "time", event: str = "event"):
-    """Row 68: returns (final frame with F, list of fitted tree models)."""
+          time: str = "time", event: str = "event"):
+    """Row 68: returns (final frame with F, list of fitted tree models).
+
+    Each step's residuals use the frame twice (risk-set aggregate joined
+    back), so the logical plan would double every step; the score frame is
+    therefore cut with a reliable ``checkpoint()`` after every step."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
@@ -99,17 +103,20 @@ def trees(df: DataFrame, features: list[str], n_estimators: int = 100, learning_
                   *[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(features)])
     d = va.transform(d).select("id", "time", "event", "features").withColumn("F", F.lit(0.0))
     d = d.checkpoint(eager=True)
+    n_t = d.select("time").distinct().count()
     models = []
     for step in range(1, n_estimators + 1):
-        r = _residuals(d)
+        r = _residuals(d, n_t).persist()
         dt = DecisionTreeRegressor(maxDepth=max_depth, minInstancesPerNode=min_instances, maxBins=max_bins,
                                    labelCol="r", featuresCol="features", predictionCol="_pred")
         m = dt.fit(r)
         models.append(m)
-        d = m.transform(r).select("id", "time", "event", "features",
-                                  (F.col("F") + F.lit(learning_rate) * F.col("_pred")).alias("F"))
-        if step % checkpoint_every == 0:
-            d = d.checkpoint(eager=True)   # reliable checkpoint: survives executor loss
+        nd = m.transform(r).select("id", "time", "event", "features",
+                                   (F.col("F") + F.lit(learning_rate) * F.col("_pred")).alias("F"))
+        nd = nd.checkpoint(eager=True)   # reliable checkpoint: cuts plan and lineage
+        r.unpersist()
+        d.unpersist()
+        d = nd
     return d, models
 
 
