@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cox import CoxFitter
-from .kernels import SMALL_ROWS, cumulative
+from .kernels import BROADCAST_ROWS, SMALL_ROWS, cumulative
 
 
 def componentwise(df: DataFrame, features: list[str], n_estimators: int = 100, learning_rate: float = 0.1,
@@ -81,7 +81,7 @@ def _residuals(d: DataFrame, n_t: int, small_rows: int = SMALL_ROWS) -> DataFram
     per = cumulative(per, ["time"], {"S0": "w"}, descending=True, small_rows=small_rows, n_rows=n_t)
     per = per.withColumn("h", F.col("dd") / F.col("S0"))
     per = cumulative(per, ["time"], {"A": "h"}, small_rows=small_rows, n_rows=n_t).select("time", "A")
-    j = d.join(F.broadcast(per) if n_t <= small_rows else per, "time")
+    j = d.join(F.broadcast(per) if n_t <= BROADCAST_ROWS else per, "time")
     return j.withColumn("r", (F.col("event") > 0).cast("double") - w * F.col("A")).drop("A")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf, norm_two_sided
-from .kernels import SMALL_ROWS, cumulative
+from .kernels import BROADCAST_ROWS, SMALL_ROWS, cumulative
 
 TIE_CHUNK = 4096
 
@@ -169,7 +169,8 @@ class CoxFitter:
             allt = cumulative(allt, ["time"], {"Acar": "q1"}, segment=["model"],
                               small_rows=self.small_rows, n_rows=n_t, max_segment_rows=max_t)
             allt = allt.select("model", "time", "Acar", F.col("q2").alias("B"))
-            jt = j.join(F.broadcast(allt) if n_t <= self.small_rows else allt, ["model", "time"])
+            # (model, time, A, B): narrow table, broadcast under a checked row bound
+            jt = j.join(F.broadcast(allt) if n_t <= BROADCAST_ROWS else allt, ["model", "time"])
             wt = F.col("_w") * (F.col("Acar") - F.when(ev, F.col("B")).otherwise(0.0))
             gaggs2 = []
             for a in range(p):

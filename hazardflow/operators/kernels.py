@@ -36,6 +36,9 @@ from pyspark.sql import types as T
 # partition; above it the distributed path runs.
 SMALL_ROWS = 200_000
 ROWS_PER_PART = 1_000_000
+# Broadcast bound for narrow lookup tables (a key and a few doubles, about
+# 32 bytes a row): 2M rows stay under ~64 MB.
+BROADCAST_ROWS = 2_000_000
 DOMINANCE_CAP = 1 << 20
 
 
