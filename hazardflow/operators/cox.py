@@ -338,18 +338,21 @@ def univariate_cox(df: DataFrame, features: list[str], time: str = "time", event
         .unpivot(["time", "event"], features, "feature", "x")
     res = CoxFitter(ties=ties, **kw).fit(long, ["x"], model_col="feature")
     se = res.se()[:, 0]
+    cidx = {}
+    if with_cindex:
+        # one batched C-index over all features: score = sign(beta_f) * x
+        from .metrics import harrell_c_by_group
+        sign = F.create_map(*[v for i, f in enumerate(res.models)
+                              for v in (F.lit(f), F.lit(1.0 if res.beta[i, 0] >= 0 else -1.0))])
+        scored = long.filter(F.col("x").isNotNull()).withColumn("_score", F.col("x") * sign[F.col("feature")])
+        cidx = harrell_c_by_group(scored, "feature", "_score", "time", "event").set_index("feature")["cindex"].to_dict()
     rows = []
-    from .metrics import harrell_c
     for i, feat in enumerate(res.models):
         b = float(res.beta[i, 0])
         s = float(se[i])
         z = b / s if s > 0 else float("nan")
         p = norm_two_sided(z)
-        ci = float("nan")
-        if with_cindex:
-            c = harrell_c(df.filter(F.col(f"`{feat}`").isNotNull()), F.col(f"`{feat}`") * (1.0 if b >= 0 else -1.0),
-                          time=time, event=event)["cindex"]
-            ci = c
+        ci = float(cidx.get(feat, float("nan")))
         rows.append({"feature": feat, "coef": b, "exp_coef": math.exp(b), "se_coef": s,
                      "coef_lower_95": b - 1.959963984540054 * s, "coef_upper_95": b + 1.959963984540054 * s,
                      "exp_coef_lower_95": math.exp(b - 1.959963984540054 * s),
