@@ -46,7 +46,7 @@ def componentwise(df: DataFrame, features: list[str], n_estimators: int = 100, l
     for step in range(1, n_estimators + 1):
         data = base
         if subsample < 1.0 and id_col:
-            h = (F.col("_id").cast("long") * 7919 + step * 1000 + seed) % 1000003
+            h = ((F.col("_id").cast("long") + 1) * (7919 + step * 1000 + seed)) % 1000003
             data = base.filter(h < int(subsample * 1000003))
         bt = pd.DataFrame([[0, *beta]], columns=["model", *[f"_b{k}" for k in range(p)]])
         _, U, _ = fitter._pass(data, xc, bt, {0: float(np.sum(np.maximum(beta * lo, beta * hi)))},

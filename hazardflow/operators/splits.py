@@ -3,7 +3,9 @@
 All splits are long tables ``(split, <id>, is_test)`` or ``(repeat, fold,
 <id>)``.  Shuffles use an arithmetic hash of the integer id so the same
 assignment can be reproduced by any engine:
-``h = (id * 7919 + seed) % 1000003`` (ties broken by id).  Ranks within a
+``h = ((id + 1) * (7919 + seed)) % 1000003`` (ties broken by id).  The seed
+sits in the multiplier: an additive seed would only rotate one cyclic
+order, giving nearly the same test sets for every split.  Ranks within a
 stratum come from ``kernels.cumulative`` (distributed ordered count), not a
 window over the whole stratum.
 """
@@ -23,7 +25,7 @@ HASH_MOD = 1000003
 
 def shuffle_key(id_col: str, seed: Column | int) -> Column:
     s = seed if isinstance(seed, Column) else F.lit(int(seed))
-    return (F.col(id_col).cast("long") * HASH_MUL + s.cast("long")) % HASH_MOD
+    return ((F.col(id_col).cast("long") + 1) * (F.lit(HASH_MUL) + s.cast("long"))) % HASH_MOD
 
 
 def _ranked(df: DataFrame, order: list[str], segment: list[str]) -> DataFrame:

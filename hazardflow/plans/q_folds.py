@@ -12,7 +12,7 @@ from .registry import query, r6
 
 
 def _h(seed_expr: str) -> str:
-    return f"(event_id * {splits.HASH_MUL} + ({seed_expr})) % {splits.HASH_MOD}"
+    return f"((event_id + 1) * ({splits.HASH_MUL} + ({seed_expr}))) % {splits.HASH_MOD}"
 
 
 SSS_SQL = f"""
