@@ -22,6 +22,16 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_document_fingerprints")
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.fingerprints import as_string, edited_pairs
+
+    made = edited_pairs(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                       as_string(F.col("kept")).alias("fingerprint"),
+                       as_string(F.col("edited_kept")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @register("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hazardflow.llm.simhash import near_duplicates
