@@ -38,3 +38,25 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_NEAREST_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_inner_product(q.x, r.x) AS score
+  FROM v q JOIN v r ON len(q.x) = len(r.x) AND q.vec_id <> r.vec_id
+  WHERE q.vec_id % 20 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM n WHERE k <= 20
+"""
+
+
+@register("op7_nearest_neighbours", _NEAREST_SQL)
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
