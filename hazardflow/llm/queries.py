@@ -60,3 +60,13 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hazardflow.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.toxicity import THRESHOLD, held_out, score, train_split
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train_split(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
