@@ -70,3 +70,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(docs, train_split(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op6_url_filter")
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.url_filter import Rule, judge
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+             Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    return judge(table(spark, sf_dir, "pages"), rules)
