@@ -79,3 +79,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
              Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
     return judge(table(spark, sf_dir, "pages"), rules)
+
+
+def _word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), _word_tokenizer(), end_id=1)
