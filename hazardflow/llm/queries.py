@@ -92,3 +92,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hazardflow.llm.token_files import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), _word_tokenizer(), end_id=1)
+
+
+@register("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.packing import pack
+
+    packed = pack(table(spark, sf_dir, "documents"), _word_tokenizer())
+    return packed.withColumn("length", F.col("length").cast("long"))
