@@ -100,3 +100,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = pack(table(spark, sf_dir, "documents"), _word_tokenizer())
     return packed.withColumn("length", F.col("length").cast("long"))
+
+
+@register("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from hazardflow.llm.piece_tokens import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
