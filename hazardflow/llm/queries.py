@@ -109,3 +109,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hazardflow.llm.piece_tokens import digests
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _kept_digest(data: bytes, runs: list[tuple[int, int]]) -> tuple:
+    import hashlib
+
+    from hazardflow.llm.suffix_dedup import without
+
+    return len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest()
+
+
+@register("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), [F.col("doc_id")], _kept_digest,
+                           "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
