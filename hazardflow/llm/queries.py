@@ -126,3 +126,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), [F.col("doc_id")], _kept_digest,
                            "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.sharding import shard
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.xxhash64(text).alias("link"), (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"))
+    return shard(rows).select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                              F.lit(None).cast("int").alias("grown_shard"))
