@@ -16,6 +16,8 @@ from hazardflow.llm.common import frozen, shuffle_partitions
 
 SHINGLE_WORDS = 5
 FRACTION = 0.25
+#: Stands for a null doc_id inside joins: the least long.
+NO_ID = -(1 << 63)
 
 
 def sketch(text: Column, width: int = SHINGLE_WORDS, fraction: float = FRACTION) -> Column:
@@ -63,25 +65,22 @@ def as_string(kept: Column) -> Column:
 
 
 def next_smaller(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next id in descending order; after the least comes the greatest.
+    """(key, next_key): the next key in descending order; after the least comes the greatest.
 
-    The distinct ids are range-partitioned, each range looks at its own rows,
-    and only the first row of a range takes the greatest id of the range
-    before it, from a table of one row a range.  A null counts as least.
+    The distinct keys are range-partitioned, each range looks at its own rows,
+    and only the first row of a range takes the greatest key of the range
+    before it, from a table of one row a range.
     """
     spark = ids.sparkSession
-    dealt = frozen(ids.select("doc_id").distinct().repartitionByRange(
-        shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first())
-    rows = dealt.select("doc_id", "part", F.lag("doc_id").over(inside).alias("before"),
-                        F.row_number().over(inside).alias("row"))
-    ends = dealt.groupBy("part").agg(F.max("doc_id").alias("greatest"))
+    dealt = frozen(ids.select("key").distinct().repartitionByRange(
+        shuffle_partitions(spark), "key").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy("key")
+    rows = dealt.select("key", "part", F.lag("key").over(inside).alias("before"))
+    ends = dealt.groupBy("part").agg(F.max("key").alias("greatest"))
     over = Window.orderBy("part")  # one row a range
-    first = ends.select("part", F.lag("greatest").over(over).alias("last"), F.row_number().over(over).alias("k"),
-                        F.max("greatest").over(Window.partitionBy()).alias("end"))
-    first = first.select("part", F.when(F.col("k") == 1, F.col("end")).otherwise(F.col("last")).alias("carry"))
-    return rows.join(first, "part").select(
-        "doc_id", F.when(F.col("row") == 1, F.col("carry")).otherwise(F.col("before")).alias("next_id"))
+    first = ends.select("part", F.coalesce(F.lag("greatest").over(over), F.max("greatest").over(
+        Window.partitionBy())).alias("carry"))
+    return rows.join(first, "part").select("key", F.coalesce("before", "carry").alias("next_key"))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -91,24 +90,24 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     all) of the next document in descending doc_id.  Returns doc_id, n_chars,
     edited (text), kept, edited_kept (sketches), near_edited, near_next.
 
-    Null texts are empty.  Repeated rows stay, with equal results; where a
-    doc_id has several texts, the least of them is what the document before
-    it sees.  An empty table gives an empty result; a single document is its
-    own next.
+    Null texts are empty; a null doc_id comes after all others.  Repeated
+    rows stay, with equal results; where a doc_id has several texts, the least
+    of them is what the document before it sees.  An empty table gives an
+    empty result; a single document is its own next.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    takes = frozen(texts.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("take")))
-    follows = next_smaller(takes)
-    gives = (follows.join(takes, follows.doc_id.eqNullSafe(takes.doc_id))
-             .select(follows.doc_id.alias("to"), "next_id", "take"))
-    heads = texts.join(gives, texts.doc_id.eqNullSafe(gives.next_id)).select(
-        "to", F.substring("text", F.lit(1), F.col("take").cast("int")).alias("head"),
+    # a key that is never null keeps one partitioning through the grouping and both joins
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
+                        F.coalesce("text", F.lit("")).alias("text"))
+    takes = frozen(texts.groupBy("key").agg(F.max(F.floor(F.length("text") / 3)).alias("take")))
+    gives = next_smaller(takes).join(takes, "key").select(F.col("key").alias("giver_of"), "next_key", "take")
+    heads = texts.join(gives, texts["key"] == gives["next_key"]).select(
+        F.col("giver_of").alias("key"), F.substring("text", F.lit(1), F.col("take").cast("int")).alias("head"),
         sketch(F.col("text")).alias("next_kept"))
-    donors = heads.groupBy("to").agg(F.min(F.struct("head", "next_kept")).alias("gift"))
+    donors = heads.groupBy("key").agg(F.min(F.struct("head", "next_kept")).alias("gift"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    rows = texts.join(donors, texts.doc_id.eqNullSafe(donors["to"])).select(
-        "doc_id", n.cast("long").alias("n_chars"),
+    rows = texts.join(donors, "key").select(
+        F.nullif(F.col("key"), F.lit(NO_ID)).alias("doc_id"), n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - third), F.substring("gift.head", F.lit(1), third)).alias("edited"),
         sketch(F.col("text")).alias("kept"), F.col("gift.next_kept").alias("next_kept"))
     made = rows.withColumn("edited_kept", sketch(F.col("edited")))

@@ -121,3 +121,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(classes.join(least, "root").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component: that of its least doc_id.
+
+    Of several rows of that id one stays, that of the least hash.  Rows
+    without a doc_id all stay.
+    """
+    found = near_duplicates(docs, width)
+    mark = F.xxhash64(*docs.columns)
+    marks = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("first")).agg(F.min(mark).alias("mark"))
+    firsts = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    firsts = firsts.join(marks, F.col("doc_id") == F.col("first")).select("first", "mark")
+    named = docs.where("doc_id IS NOT NULL").join(
+        firsts, (F.col("doc_id") == F.col("first")) & (mark.bitwiseXOR(F.col("mark")) == 0), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

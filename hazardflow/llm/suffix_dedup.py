@@ -524,3 +524,16 @@ def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> str:
             stop -= 1
         kept.append((start, stop))
     return without(data, kept).decode()
+
+
+def clean_texts(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, with all their columns, and texts without their repeated runs.
+
+    Characters that lose some of their bytes only are kept whole; ``n_chars``,
+    where there is one, is the new text's.  A null text stays null.
+    """
+    found = remove_repeats(docs, [F.col(c) for c in docs.columns], lambda data, runs: (whole_characters(data, runs),),
+                           "kept_text string")
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept_text")),
+           "n_chars": F.length(F.coalesce("kept_text", F.lit(""))).cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}") for c in docs.columns])

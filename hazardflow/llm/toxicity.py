@@ -238,6 +238,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text scores under ``threshold``."""
+    def run(batches):
+        import pyarrow as pa
+
+        automaton = model.automaton()
+        for b in batches:
+            keep = [_chance(measures(t, automaton), model.curve) < threshold for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that a model never learns from: remainder 1 of the id's crc32 by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
