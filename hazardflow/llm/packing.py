@@ -64,19 +64,17 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(pattern, n) for groups in open_.values() for pattern, n in groups]
 
 
-def _dominated(filling: tuple[int, ...], slack: int, counts: dict[int, int], lengths: list[int]) -> bool:
+def _dominated(used: Counter, slack: int, counts: dict[int, int], lengths: list[int]) -> bool:
     """True if one longer unused length fits in place of one or two of the filling's."""
-    used = Counter(filling)
-    subsets = {(a,) for a in filling} | {(a, b) for i, a in enumerate(filling) for b in filling[i + 1:]}
-    for s in subsets:
+    kinds = sorted(used)
+    pairs = [(a, b) for i, a in enumerate(kinds) for b in kinds[i:] if a < b or used[a] > 1]
+    for s in [*((a,) for a in kinds), *pairs]:
         least, most = sum(s), sum(s) + slack
         if len(s) == 1:
             least += 1  # the same length would be no change
-        k = bisect_left(lengths, least)
-        while k < len(lengths) and lengths[k] <= most:
-            if counts.get(lengths[k], 0) > used[lengths[k]]:
+        for length in lengths[bisect_left(lengths, least):bisect_left(lengths, most + 1)]:
+            if counts.get(length, 0) > used[length]:
                 return True
-            k += 1
     return False
 
 
@@ -91,42 +89,36 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], most_waste:
     found: list[tuple[int, tuple[int, ...]]] = []
     spent = 0
 
-    def walk(left: int, top: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    def walk(left: int, below: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple[int, Counter]]:
+        """Takes one length after the other, shorter ones each time, as often as fits and then less often."""
         nonlocal spent
         spent += 1
-        k = bisect_left(lengths, min(left, top) + 1) - 1
-        fits = False
-        while k >= 0 and spent < nodes:
+        ended = True
+        for k in range(bisect_left(lengths, min(left + 1, below)) - 1, -1, -1):
             length = lengths[k]
-            if counts[length] > chosen.count(length):
-                fits = True
-                if length == left:
-                    yield 0, (*chosen, length)
-                else:
-                    yield from walk(left - length, length, (*chosen, length))
-            k -= 1
-        if not fits:
-            yield left, chosen
-
-    for waste, filling in walk(room, room, ()):
-        if (waste, filling) in found:
+            for times in range(min(counts[length], left // length), 0, -1):
+                if spent >= nodes:
+                    return
+                ended = False
+                yield from walk(left - times * length, length, (*chosen, (length, times)))
+        used = Counter(dict(chosen))
+        if ended and not any(counts[x] > used[x] for x in lengths[:bisect_left(lengths, left + 1)]):
+            yield left, used
+
+    for waste, used in walk(room, room + 1, ()):
+        if waste and _dominated(used, waste, counts, lengths):
             continue
-        if waste and _dominated(filling, waste, counts, lengths):
-            continue
-        found.append((waste, filling))
+        found.append((waste, tuple(sorted(used.elements(), reverse=True))))
         found.sort(key=lambda f: (f[0], len(f[1])))
         del found[keep:]
         if len(found) == keep and found[-1][0] == 0:
             break
     if not found:  # the nodes ran out: fill by the longest that fits
-        chosen, left = (), room
-        while (k := bisect_left(lengths, left + 1) - 1) >= 0:
-            while k >= 0 and counts[lengths[k]] <= chosen.count(lengths[k]):
-                k -= 1
-            if k < 0:
-                break
-            chosen, left = (*chosen, lengths[k]), left - lengths[k]
-        found = [(left, chosen)]
+        used, left = Counter(), room
+        for length in reversed(lengths):
+            used[length] = min(counts[length], left // length)
+            left -= used[length] * length
+        found = [(left, tuple(sorted(used.elements(), reverse=True)))]
     within = [f for w, f in found if w <= most_waste]
     return within or [found[0][1]]
 
