@@ -46,16 +46,19 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
     for _ in range(rounds):
         room = [max(0, q - n) for q, n in zip(quota, _loads(labels, shards), strict=True)]
         held = labels.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("here"))
-        # a shard without room can still be where a group is
-        choice = F.struct(F.col("here"), F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("to"))
-        wanted = held.groupBy("link").agg(F.max(F.when(_at(room, F.col("shard")) > 0, choice)).alias("best"),
-                                          F.max(choice).alias("most"))
-        wanted = wanted.select("link", F.when(F.col("most.here") >= F.lit(max(quota) // 2 + 1), F.col("most"))
-                               .otherwise(F.coalesce("best", "most")).alias("best"))
-        wanted = wanted.select("link", F.col("best.to").alias("to"), F.col("best.here").alias("there"))
-        own = held.withColumnRenamed("shard", "at").withColumnRenamed("link", "of")
-        asks = (labels.join(wanted, "link").join(own, (F.col("link") == F.col("of")) & (F.col("shard") == F.col("at")))
-                .withColumn("asks", (F.col("shard") != F.col("to")) & (F.col("here") <= F.col("there"))))
+        # a group asks for the shards with room that hold most of it: one, or as many as it fills
+        open_ = F.when(_at(room, F.col("shard")) > 0, F.struct("here", F.xxhash64("link", "shard").alias("tie"), "shard"))
+        wanted = held.groupBy("link").agg(F.sort_array(F.collect_list(open_), asc=False).alias("open"),
+                                          F.ceil(F.sum("here") / max(quota)).cast("int").alias("wants"))
+        wanted = wanted.select("link", F.slice("open", F.lit(1), F.col("wants")).alias("open")).where(F.size("open") > 0)
+        own = held.select(F.col("link").alias("of"), F.col("shard").alias("at"), "here")
+        asks = (labels.join(wanted, "link", "left")
+                .join(own, (F.col("link") == F.col("of")) & (F.col("shard") == F.col("at")))
+                .withColumn("pick", F.get("open", F.pmod(F.xxhash64("id", F.lit(2)), F.size("open")).cast("int"))))
+        small = F.col("members") <= max(quota) * LARGE
+        fewer = (F.col("here") <= F.col("pick.here")) & (2 * F.col("here") <= max(quota))
+        asks = asks.withColumn("to", F.col("pick.shard")).withColumn("asks", F.coalesce(
+            ~F.array_contains(F.transform("open", lambda x: x["shard"]), F.col("shard")) & (small | fewer), F.lit(False)))
         by = F.when(F.col("members") > max(quota) * LARGE, F.xxhash64("id", F.lit(1))).otherwise(F.xxhash64("link", F.lit(1)))
         asks = frozen(asks.select("id", "link", "members", "shard", "to", "asks", F.pmod(by, F.lit(BUCKETS)).cast("int").alias("bucket")))
         taken = [0] * shards  # buckets below this are taken in
@@ -69,7 +72,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
                 taken[s] += 1
         if not any(b < taken[s] for s, sizes in into.items() for b in sizes):
             break
-        moves = F.col("asks") & (F.col("bucket") < _at(taken, F.col("to")))
+        moves = F.col("asks") & (F.col("bucket") < _at(taken, F.coalesce("to", F.lit(0))))
         labels = frozen(asks.select("id", "link", "members", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")))
     return labels
 
