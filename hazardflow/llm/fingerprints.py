@@ -20,6 +20,11 @@ FRACTION = 0.25
 NO_ID = -(1 << 63)
 
 
+def _limit(fraction: float) -> int:
+    """Hashes under this signed number are the given share of all."""
+    return min(-(1 << 63) + int(fraction * (1 << 64)), (1 << 63) - 1)
+
+
 def sketch(text: Column, width: int = SHINGLE_WORDS, fraction: float = FRACTION) -> Column:
     """Sorted array of kept hashes; a null text, or one without words, has none.
 
@@ -37,7 +42,7 @@ def _kept(h: Column, width: int, fraction: float) -> Column:
                        lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
     shingles = (F.when(F.size(h) >= width, rows)
                 .when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
-    below = -(1 << 63) + int(fraction * (1 << 64))
+    below = _limit(fraction)
     kept = F.transform(F.array(shingles), lambda s: F.when(
         F.exists(s, lambda x: x < below), F.filter(s, lambda x: x < below)).otherwise(
         F.when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s)))[0]
@@ -46,7 +51,7 @@ def _kept(h: Column, width: int, fraction: float) -> Column:
 
 def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """The sketch of the shingles of both texts."""
-    below = -(1 << 63) + int(fraction * (1 << 64))
+    below = _limit(fraction)
     both = F.array_union(a, b)
     return F.sort_array(F.when(F.exists(both, lambda x: x < below), F.filter(both, lambda x: x < below)).when(
         F.size(both) > 0, F.array(F.array_min(both))).otherwise(both))
