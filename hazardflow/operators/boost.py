@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cox import CoxFitter
-from .kernels import BROADCAST_ROWS, SMALL_ROWS, cumulative
+from .kernels import BROADCAST_ROWS, cumulative, key_bounds
 
 
 def componentwise(df: DataFrame, features: list[str], n_estimators: int = 100, learning_rate: float = 0.1,
@@ -73,14 +73,14 @@ def staged_scores(df: DataFrame, path: pd.DataFrame, steps: list[int], keys: lis
     return df.select(*keys, F.explode(F.array(*structs)).alias("_s")).select(*keys, "_s.step", "_s.score")
 
 
-def _residuals(d: DataFrame, n_t: int, small_rows: int = SMALL_ROWS) -> DataFrame:
+def _residuals(d: DataFrame, n_t: int, bounds: list[float]) -> DataFrame:
     """r_i = e_i - exp(F_i) * A(t_i), A(t) = sum over event times <= t of d/S0
-    (``n_t`` = number of distinct times, fixed across steps)."""
+    (``n_t`` = number of distinct times and ``bounds`` their ranges, fixed across steps)."""
     w = F.exp(F.col("F"))
     per = d.groupBy("time").agg(F.sum((F.col("event") > 0).cast("double")).alias("dd"), F.sum(w).alias("w"))
-    per = cumulative(per, ["time"], {"S0": "w"}, descending=True, small_rows=small_rows, n_rows=n_t)
+    per = cumulative(per, ["time"], {"S0": "w"}, descending=True, bounds=bounds)
     per = per.withColumn("h", F.col("dd") / F.col("S0"))
-    per = cumulative(per, ["time"], {"A": "h"}, small_rows=small_rows, n_rows=n_t).select("time", "A")
+    per = cumulative(per, ["time"], {"A": "h"}, bounds=bounds).select("time", "A")
     j = d.join(F.broadcast(per) if n_t <= BROADCAST_ROWS else per, "time")
     return j.withColumn("r", (F.col("event") > 0).cast("double") - w * F.col("A")).drop("A")
 
@@ -97,16 +97,17 @@ def trees(df: DataFrame, features: list[str], n_estimators: int = 100, learning_
     from pyspark.ml.regression import DecisionTreeRegressor
 
     va = VectorAssembler(inputCols=[f"x{k}" for k in range(len(features))], outputCol="features",
-                         handleInvalid="skip")
+                         handleInvalid="error")
     d = df.select(F.col(id_col).alias("id"), F.col(time).cast("double").alias("time"),
                   F.col(event).cast("int").alias("event"),
                   *[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(features)])
     d = va.transform(d).select("id", "time", "event", "features").withColumn("F", F.lit(0.0))
     d = d.checkpoint(eager=True)
     n_t = d.select("time").distinct().count()
+    bounds = key_bounds(d, "time")
     models = []
     for step in range(1, n_estimators + 1):
-        r = _residuals(d, n_t).persist()
+        r = _residuals(d, n_t, bounds).persist()
         dt = DecisionTreeRegressor(maxDepth=max_depth, minInstancesPerNode=min_instances, maxBins=max_bins,
                                    labelCol="r", featuresCol="features", predictionCol="_pred")
         m = dt.fit(r)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf, norm_two_sided
-from .kernels import BROADCAST_ROWS, SMALL_ROWS, cumulative
+from .kernels import BROADCAST_ROWS, cumulative, key_bounds
 
 TIE_CHUNK = 4096
 
@@ -105,14 +105,12 @@ class CoxResult:
 class CoxFitter:
     """Batched Newton-Raphson for (ridge-penalised) Cox models."""
 
-    def __init__(self, ties: str = "breslow", alpha=0.0, max_iter: int = 100, tol: float = 1e-9,
-                 small_rows: int | None = None):
+    def __init__(self, ties: str = "breslow", alpha=0.0, max_iter: int = 100, tol: float = 1e-9):
         assert ties in ("breslow", "efron")
         self.ties = ties
         self.alpha = alpha
         self.max_iter = max_iter
         self.tol = tol
-        self.small_rows = SMALL_ROWS if small_rows is None else small_rows
         self._groups: dict = {}
 
     # -- one pass ---------------------------------------------------------
@@ -135,15 +133,13 @@ class CoxFitter:
         aggs += [F.sum(F.when(ev, F.col(x)).otherwise(0.0)).alias(f"X{k + 1}") for k, x in enumerate(xcols)]
         per = j.groupBy("model", "time").agg(*aggs)
         sums = {"S0": "w0", **{f"S{k + 1}": f"w{k + 1}" for k in range(p)}}
-        # the number of (model, time) groups does not change between passes
-        key = id(data)
-        if self._groups.get(key) is None:
-            g = data.select("model", "time").distinct().groupBy("model").count() \
-                .agg(F.sum("count").alias("n"), F.max("count").alias("m")).first()
-            self._groups[key] = (int(g["n"] or 0), int(g["m"] or 0))
-        n_t, max_t = self._groups[key]
-        per = cumulative(per, ["time"], sums, segment=["model"], descending=True,
-                         small_rows=self.small_rows, n_rows=n_t, max_segment_rows=max_t)
+        # the (model, time) groups do not change between passes; the frame is
+        # kept beside its numbers so that its id is not given to another one
+        if self._groups.get(id(data)) is None:
+            n = data.select("model", "time").distinct().count()
+            self._groups[id(data)] = (data, n, key_bounds(data, "time"))
+        _, n_t, bounds = self._groups[id(data)]
+        per = cumulative(per, ["time"], sums, segment=["model"], descending=True, bounds=bounds)
         per = per.persist()
         evt = tie_series(per.filter("d > 0"), self.ties)
         if self.ties == "breslow":
@@ -166,8 +162,7 @@ class CoxFitter:
             # B(t) = q2 at the row's own time.
             allt = per.select("model", "time").join(
                 evt.select("model", "time", "q1", "q2"), ["model", "time"], "left").fillna(0.0)
-            allt = cumulative(allt, ["time"], {"Acar": "q1"}, segment=["model"],
-                              small_rows=self.small_rows, n_rows=n_t, max_segment_rows=max_t)
+            allt = cumulative(allt, ["time"], {"Acar": "q1"}, segment=["model"], bounds=bounds)
             allt = allt.select("model", "time", "Acar", F.col("q2").alias("B"))
             # (model, time, A, B): narrow table, broadcast under a checked row bound
             jt = j.join(F.broadcast(allt) if n_t <= BROADCAST_ROWS else allt, ["model", "time"])

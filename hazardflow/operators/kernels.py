@@ -2,12 +2,10 @@
 
 ``cumulative``
     Ordered running sums over a global order, optionally reset per segment.
-    Small inputs (row count checked) use one window; large ones are range
-    partitioned on the order key plus a unique tiebreak (so a hot key value is
-    split across partitions), checkpointed to freeze the partition
-    boundaries, summed per partition, and the per-partition totals (one row
-    per partition and segment) are turned into offsets for a second
-    per-partition pass.  Nothing of size n reaches the driver.
+    Rows are range partitioned on the order key plus a unique tiebreak (so a
+    hot key value is split across partitions), summed per range, and the
+    ranges' totals (one row per range and segment) become offsets.  Nothing
+    of size n reaches the driver or one task, at any size.
 ``risk_set_table`` (S1)
     Per distinct time: events and sums of weights/values, plus suffix
     ("at risk") sums over time.
@@ -30,12 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Size limits (rows).  Inputs at or below SMALL_ROWS use a single window
-# partition; above it the distributed path runs.
-SMALL_ROWS = 200_000
-ROWS_PER_PART = 1_000_000
 # Broadcast bound for narrow lookup tables (a key and a few doubles, about
 # 32 bytes a row): 2M rows stay under ~64 MB.
 BROADCAST_ROWS = 2_000_000
@@ -46,84 +39,70 @@ def _count(df: DataFrame) -> int:
     return int(df.count())
 
 
+def default_parts(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def key_bounds(df: DataFrame, key: str, parts: int | None = None) -> list[float]:
+    """Cut points that split the distinct values of a numeric ``key`` evenly.
+
+    An iterative fit takes them once and passes them to every
+    ``cumulative`` over a table that has one row per segment and key."""
+    parts = default_parts(df) if parts is None else parts
+    got = df.select(F.col(key).cast("double").alias("k")).distinct().approxQuantile(
+        "k", [i / parts for i in range(1, parts)], 0.2 / parts)
+    return sorted(set(got))
+
+
 def cumulative(df: DataFrame, order_by: list, sums: dict, *, segment: list | None = None,
                descending: bool = False, exclusive: bool = False,
-               small_rows: int | None = None, rows_per_part: int | None = None,
-               n_rows: int | None = None, max_segment_rows: int | None = None, **_ignored) -> DataFrame:
+               parts: int | None = None, bounds: list[float] | None = None) -> DataFrame:
     """Add running sums ``name -> expression`` ordered by ``order_by``.
 
-    ``max_segment_rows`` (optional, with ``segment``): a checked bound on
-    the largest segment; when under the limit the window partitioned by
-    the segment is used even for a large total.
+    One way at every size: rows are range-partitioned on the keys plus a
+    unique tiebreak, so a hot key value is spread over partitions; each
+    range runs its own sums, and starts after the totals of the ranges
+    before it (a table of at most ``parts`` + segments rows).  The ranges
+    are frozen by a checkpoint.  With ``bounds`` (see ``key_bounds``) they
+    are a function of the key instead and nothing is written; that is for
+    tables with one row per segment and key.
 
     ``descending`` runs the sums from the largest key down (suffix sums).
     ``exclusive`` leaves out the current row.  Rows with equal keys are
     summed in an arbitrary but fixed order, so callers aggregate ties first
-    when they need tie-aware sums.
+    when they need tie-aware sums.  A NULL segment is a segment.
     """
     segment = list(segment or [])
-    small_rows = SMALL_ROWS if small_rows is None else small_rows
-    rows_per_part = ROWS_PER_PART if rows_per_part is None else rows_per_part
     names = list(sums)
     base = df.select("*", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0))
                             .cast("double").alias(f"__v_{n}") for n, c in sums.items()])
-    n = _count(base) if n_rows is None else n_rows
     okeys = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
-    # With a segment the window is partitioned by it, so what must be bounded
-    # is the largest segment (checked by the caller), not the total.
-    if n <= small_rows or (segment and max_segment_rows is not None and max_segment_rows <= small_rows):
-        w = Window.orderBy(*okeys) if not segment else Window.partitionBy(*segment).orderBy(*okeys)
-        w = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-        out = base
-        for nm in names:
-            out = out.withColumn(nm, F.coalesce(F.sum(f"__v_{nm}").over(w), F.lit(0.0)))
-        return out.drop(*[f"__v_{nm}" for nm in names])
-
-    parts = max(2, math.ceil(n / rows_per_part))
-    keyed = base.withColumn("__tb", F.monotonically_increasing_id())
-    seg_keys = [F.col(c).asc() for c in segment]
-    rkeys = seg_keys + okeys + [F.col("__tb").asc()]
-    ranged = (keyed.repartitionByRange(parts, *rkeys).sortWithinPartitions(*rkeys)
-              .withColumn("__pid", F.spark_partition_id()))
-    # Freeze partition boundaries: both passes must see the same ranges.
-    ranged = ranged.checkpoint(eager=True)
-    tot = ranged.groupBy("__pid", *segment).agg(
-        *[F.sum(f"__v_{nm}").alias(f"__t_{nm}") for nm in names])
-    # Offsets per (segment, partition): sum of totals of earlier partitions.
-    # At most one row per partition and segment present in it.
-    wo = (Window.partitionBy(*segment).orderBy("__pid") if segment else Window.orderBy("__pid")) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("__pid", *segment, *[
+    if bounds is None:
+        parts = default_parts(df) if parts is None else parts
+        keys = [F.col(c).asc() for c in segment] + okeys + [F.col("__tb").asc()]
+        okeys = okeys + [F.col("__tb").asc()]
+        ranged = (base.withColumn("__tb", F.monotonically_increasing_id())
+                  .repartitionByRange(parts, *keys).withColumn("__pid", F.spark_partition_id()))
+    else:
+        at = F.lit(0)
+        for b in bounds:
+            at = at + F.coalesce((F.col(order_by[0]) >= F.lit(float(b))).cast("int"), F.lit(0))
+        ranged = base.withColumn("__tb", F.lit(0)).withColumn("__pid", -at if descending else at)
+    frame = (Window.unboundedPreceding, -1 if exclusive else 0)
+    w = Window.partitionBy("__pid", *segment).orderBy(*okeys).rowsBetween(*frame)
+    ran = ranged.select("*", *[F.coalesce(F.sum(f"__v_{nm}").over(w), F.lit(0.0)).alias(f"__r_{nm}") for nm in names])
+    if bounds is None:
+        ran = ran.checkpoint(eager=True)
+    tot = ran.groupBy("__pid", *segment).agg(*[F.sum(f"__v_{nm}").alias(f"__t_{nm}") for nm in names])
+    wo = Window.partitionBy(*segment).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(F.col("__pid").alias("__op"), *[F.col(c).alias(f"__os_{k}") for k, c in enumerate(segment)], *[
         F.coalesce(F.sum(f"__t_{nm}").over(wo), F.lit(0.0)).alias(f"__o_{nm}") for nm in names])
-    n_off = _count(offs)
-    joined = ranged.join(F.broadcast(offs) if n_off <= small_rows else offs,
-                         ["__pid", *segment], "left")
-    schema = T.StructType([f for f in joined.schema.fields
-                           if not f.name.startswith("__o_")]
-                          + [T.StructField(nm, T.DoubleType()) for nm in names])
-    order_cols = ["__pid"] + segment + list(order_by) + ["__tb"]
-    asc = [True] * (1 + len(segment)) + [not descending] * len(order_by) + [True]
-    group_cols = ["__pid"] + segment
-
-    def run(batches):
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(order_cols, ascending=asc, kind="mergesort").reset_index(drop=True)
-        grp = pdf.groupby(group_cols, sort=False, dropna=False)
-        for nm in names:
-            v = pdf[f"__v_{nm}"].astype("float64")
-            c = grp[f"__v_{nm}"].cumsum()
-            if exclusive:
-                c = c - v
-            pdf[nm] = c + pdf[f"__o_{nm}"].fillna(0.0)
-        yield pdf.drop(columns=[f"__o_{nm}" for nm in names])
-
-    out = joined.mapInPandas(run, schema)
-    return out.drop("__tb", "__pid", *[f"__v_{nm}" for nm in names])
+    same = F.col("__pid") == F.col("__op")
+    for k, c in enumerate(segment):
+        same = same & F.col(c).eqNullSafe(F.col(f"__os_{k}"))
+    return ran.join(offs, same).select(
+        *[F.col(f"`{c}`") for c in df.columns if c not in names],
+        *[(F.col(f"__r_{nm}") + F.col(f"__o_{nm}")).alias(nm) for nm in names])
 
 
 # ---------------------------------------------------------------------------
@@ -225,7 +204,8 @@ def dominance(df: DataFrame, rank: str, score: str, a: str, b: str, *, n_rows: i
     return less, eq
 
 
-def dense_rank_global(df: DataFrame, order: list, name: str = "rank", **kw) -> tuple[DataFrame, int]:
+def dense_rank_global(df: DataFrame, order: list, name: str = "rank",
+                      parts: int | None = None) -> tuple[DataFrame, int]:
     """0-based unique row rank over ``order`` (list of Columns/names, asc),
     computed with the distributed cumulative (no single-partition window
     for large inputs)."""
@@ -239,7 +219,7 @@ def dense_rank_global(df: DataFrame, order: list, name: str = "rank", **kw) -> t
             nm = f"__ord{i}"
             tmp = tmp.withColumn(nm, o)
             cols.append(nm)
-    out = cumulative(tmp, cols, {name: F.lit(1.0)}, exclusive=True, n_rows=n, **kw)
+    out = cumulative(tmp, cols, {name: F.lit(1.0)}, exclusive=True, parts=parts)
     out = out.withColumn(name, F.col(name).cast("long"))
     return out.drop(*[c for c in cols if c.startswith("__ord")]), n
 
@@ -327,12 +307,12 @@ class PairPlan:
             small = bc.filter(F.col("bc") <= self.cap).select(F.col("b").alias("_b"))
             lev = lev.join(small, F.shiftright("tk", k) == F.col("_b"), "left") \
                 .select("tk", F.when(F.col("_b").isNotNull(), F.lit(k)).otherwise(F.col("lvl")).alias("lvl"))
-        self.lev = lev.checkpoint(eager=True) if self.levels > 12 else lev.persist()
+        self.lev = lev.checkpoint(eager=True)
         pos.unpersist()
 
 
 def pair_sums(df: DataFrame, tk: str, q: str, v: str, a_cols: list[str], b_cols: list[str], *,
-              cap: int | None = None, small_rows: int | None = None, plan: PairPlan | None = None) -> np.ndarray:
+              cap: int | None = None, plan: PairPlan | None = None) -> np.ndarray:
     """Exact ``sum_{tk_i < tk_j, v_j < q_i} outer(A_i, B_j)`` (ka x kb).
 
     ``tk`` is a dense position (e.g. rank of distinct times); rows sharing a
@@ -370,8 +350,7 @@ def pair_sums(df: DataFrame, tk: str, q: str, v: str, a_cols: list[str], b_cols:
                                        *[F.lit(0.0).alias(f"a{i}") for i in range(ka)],
                                        *[F.col(f"b{j}") for j in range(kb)])
         u = qs.unionByName(vs)
-        cum = cumulative(u, ["key", "nq"], {f"cb{j}": f"b{j}" for j in range(kb)}, segment=["blk"],
-                         small_rows=small_rows)
+        cum = cumulative(u, ["key", "nq"], {f"cb{j}": f"b{j}" for j in range(kb)}, segment=["blk"])
         out += outer_sum(cum.filter("nq = -1"), [f"a{i}" for i in range(ka)], [f"cb{j}" for j in range(kb)])
 
     def inblock(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import cumulative, dense_rank_global, dominance
+from .prep import quantiles
 from .survival import kaplan_meier, step_lookup
 
 
@@ -31,10 +32,9 @@ def _concordance(df: DataFrame, time: str, event: str, score: Column | str,
     base = base.persist()
     try:
         ranked, n = dense_rank_global(
-            base, ["t", F.when(F.col("e"), 0).otherwise(1), F.col("s") * -1.0], name="r", **kw)
+            base, ["t", F.when(F.col("e"), 0).otherwise(1), F.col("s") * -1.0], name="r", parts=kw.get("parts"))
         ranked = ranked.persist()
-        less, eq = dominance(ranked, "r", "s", "a", "b", n_rows=n, **{
-            k: v for k, v in kw.items() if k == "cap"})
+        less, eq = dominance(ranked, "r", "s", "a", "b", n_rows=n, **kw)
         tot = ranked.agg(F.sum(F.col("a") * (F.lit(n - 1) - F.col("r"))).alias("pairs")).first()
         # event-event pairs at the same time: in rank order, not comparable.
         ev = ranked.filter("e")
@@ -101,9 +101,8 @@ def time_grid(df: DataFrame, time: str = "time", lo: float = 5.0, hi: float = 95
     Grid times at or beyond the largest follow-up time have no controls and
     are left out (the reference's metric rejects such grids outright)."""
     qs = [float(q) / 100.0 for q in np.linspace(lo, hi, num)]
-    row = df.agg(F.percentile(F.col(time), F.array(*[F.lit(q) for q in qs])).alias("p"),
-                 F.max(time).alias("mx")).first()
-    return sorted(set(float(v) for v in row["p"] if v < row["mx"]))
+    found = quantiles(df, [time], [*qs, 1.0])[time]
+    return sorted({v for v in found[:-1] if v is not None and v < found[-1]})
 
 
 def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFrame | None = None,
@@ -195,10 +194,10 @@ def harrell_c_by_group(df: DataFrame, group: str, score: Column | str, time: str
     sizes = base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).persist()
     max_rows = int(sizes.agg(F.max("n")).first()[0] or 0)
     tmp = base.withColumn("_o1", F.when(F.col("e"), 0).otherwise(1)).withColumn("_o2", F.col("s") * -1.0)
-    ranked = cumulative(tmp, ["t", "_o1", "_o2"], {"r": F.lit(1.0)}, segment=["g"], exclusive=True, **kw) \
+    ranked = cumulative(tmp, ["t", "_o1", "_o2"], {"r": F.lit(1.0)}, segment=["g"], exclusive=True,
+                        parts=kw.get("parts")) \
         .withColumn("r", F.col("r").cast("long")).persist()
-    dom = dominance_grouped(ranked, "g", "r", "s", "a", "b", max_rows=max_rows,
-                            **{k: v for k, v in kw.items() if k == "cap"})
+    dom = dominance_grouped(ranked, "g", "r", "s", "a", "b", max_rows=max_rows, **kw)
     tot = ranked.join(sizes, "g").groupBy("g").agg(
         F.sum(F.col("a") * (F.col("n") - 1 - F.col("r"))).alias("pairs"))
     ts = ranked.filter("e").groupBy("g", "t", "s").agg(F.count(F.lit(1)).cast("double").alias("m"))

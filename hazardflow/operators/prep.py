@@ -17,10 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Exact quantiles collect the distinct values of a column in one reducer;
-# above this many distinct values a bounded-memory sketch is used instead.
-EXACT_QUANTILE_DISTINCT = 2_000_000
-APPROX_ACCURACY = 1_000_000
+from .kernels import cumulative
 
 
 def q(c: str) -> Column:
@@ -37,21 +34,47 @@ def clean(c: str) -> Column:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float]]:
-    """Linear-interpolated quantiles per column (exact when the distinct
-    count is under the checked bound, sketch otherwise)."""
+    """Linear-interpolated quantiles per column, exact at every size.
+
+    Rows collapse to (column, value, count); a distributed running count
+    gives each value its range of positions, and only the values at the
+    positions asked for (at most two per column and probability) are
+    collected.  Missing values are left out; an empty column gives None."""
     if not cols:
         return {}
-    nd = df.agg(*[F.approx_count_distinct(clean(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = []
+    named = df.select(*[clean(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    long = named.unpivot([], [f"c{i}" for i in range(len(cols))], "feature", "value").filter("value IS NOT NULL")
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = cumulative(counts, ["value"], {"upto": "n"}, segment=["feature"]).persist()
+    sizes = {r["feature"]: int(r["upto"]) for r in upto.groupBy("feature").agg(F.max("upto").alias("upto")).collect()}
+    at = {f: [p * (n - 1) for p in probs] for f, n in sizes.items()}
+    wanted = {f: np.unique([x for v in vs for x in (math.floor(v), math.ceil(v))]) for f, vs in at.items()}
+
+    def find(frames):
+        for pdf in frames:
+            for feature, part in pdf.groupby("feature"):
+                want = wanted[feature]
+                first = np.searchsorted(want, (part["upto"] - part["n"]).to_numpy(), "left")
+                last = np.searchsorted(want, part["upto"].to_numpy(), "left")
+                hit = np.flatnonzero(last > first)
+                for k in hit:
+                    yield pd.DataFrame({"feature": feature, "position": want[first[k]:last[k]].astype("int64"),
+                                        "value": part["value"].iloc[k]})
+
+    found = {(r["feature"], r["position"]): r["value"]
+             for r in upto.mapInPandas(find, "feature string, position long, value double").collect()}
+    upto.unpersist()
+    out = {}
     for i, c in enumerate(cols):
-        if (nd[f"d{i}"] or 0) <= EXACT_QUANTILE_DISTINCT:
-            aggs.append(F.percentile(clean(c), arr).alias(f"q{i}"))
-        else:
-            aggs.append(F.percentile_approx(clean(c), arr, APPROX_ACCURACY).alias(f"q{i}"))
-    row = df.agg(*aggs).first()
-    return {c: [None if v is None else float(v) for v in (row[f"q{i}"] or [None] * len(probs))]
-            for i, c in enumerate(cols)}
+        f = f"c{i}"
+        if f not in sizes:
+            out[c] = [None] * len(probs)
+            continue
+        out[c] = []
+        for v in at[f]:
+            lo, hi = found[(f, math.floor(v))], found[(f, math.ceil(v))]
+            out[c].append(float(lo if lo == hi else lo + (hi - lo) * (v - math.floor(v))))
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -313,25 +336,6 @@ def _quantile_udf(knots: list, refs: list):
     return interp
 
 
-def _interp_fwd(x: Column, xs: Column, ys: Column, k: int) -> Column:
-    """np.interp(x, xs, ys) for sorted xs: index of the last xs <= x."""
-    i = F.size(F.filter(xs, lambda v: v <= x))  # number of knots <= x
-    lo = F.greatest(F.lit(1), F.least(i, F.lit(k - 1)))
-    x0, x1 = F.element_at(xs, lo), F.element_at(xs, lo + 1)
-    y0, y1 = F.element_at(ys, lo), F.element_at(ys, lo + 1)
-    inner = F.when(x1 > x0, y0 + (x - x0) * (y1 - y0) / (x1 - x0)).otherwise(y1)
-    return F.when(x <= F.element_at(xs, 1), F.element_at(ys, 1)) \
-        .when(x >= F.element_at(xs, k), F.element_at(ys, k)).otherwise(inner)
-
-
-def _interp_avg(x: Column, xs: Column, ys: Column, k: int) -> Column:
-    fwd = _interp_fwd(x, xs, ys, k)
-    rxs = F.transform(F.reverse(xs), lambda v: -v)
-    rys = F.transform(F.reverse(ys), lambda v: -v)
-    bwd = _interp_fwd(-x, rxs, rys, k)
-    return F.when(x.isNull(), None).otherwise(0.5 * (fwd - bwd))
-
-
 def _yj(x: Column, lam: float) -> Column:
     pos = x >= 0
     if abs(lam) < 1e-12:

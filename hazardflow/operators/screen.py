@@ -82,10 +82,9 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, **kw) -> dict:
     order with smaller y; joint/x/y tie pairs from grouped counts."""
     base = df.select(clean(x).alias("x"), F.col(y).cast("double").alias("y")).dropna()
     base = base.withColumn("a", F.lit(1.0)).withColumn("b", F.lit(1.0)).persist()
-    ranked, n = dense_rank_global(base, ["x", "y"], name="r", **kw)
+    ranked, n = dense_rank_global(base, ["x", "y"], name="r", parts=kw.get("parts"))
     ranked = ranked.persist()
-    disc, yeq = dominance(ranked, "r", "y", "a", "b", n_rows=n,
-                          **{k: v for k, v in kw.items() if k == "cap"})
+    disc, yeq = dominance(ranked, "r", "y", "a", "b", n_rows=n, **kw)
     ties = base.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")) \
         .groupBy("x").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("j"),
                           F.sum("c").alias("cx")) \

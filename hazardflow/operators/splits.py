@@ -129,7 +129,7 @@ def random_holdout(df: DataFrame, id_col: str, share: float = 0.3, seed: int = 1
     """Row 86: ceil(n * share) rows with the smallest hash are validation."""
     d = df.select(id_col).withColumn("_h", shuffle_key(id_col, seed))
     n = d.count()
-    r = cumulative(d, ["_h", id_col], {"_rank": F.lit(1.0)}, exclusive=True, n_rows=n)
+    r = cumulative(d, ["_h", id_col], {"_rank": F.lit(1.0)}, exclusive=True)
     return r.select(id_col, (F.col("_rank") < math.ceil(n * share)).alias("is_test"))
 
 

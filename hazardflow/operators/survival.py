@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf
 from .kernels import cumulative
+from .prep import quantiles
 
 
 def _log_step(d: Column, r: Column) -> Column:
@@ -102,8 +103,7 @@ def _logrank_result(row) -> dict:
 def cut_points(df: DataFrame, x: str, lo: float = 10.0, hi: float = 90.0, num: int = 99) -> list:
     """Unique percentiles of ``x`` at ``linspace(lo, hi, num)`` (exact, linear)."""
     qs = [float(q) / 100.0 for q in np.linspace(lo, hi, num)]
-    vals = df.agg(F.percentile(F.col(x), F.array(*[F.lit(q) for q in qs])).alias("p")).first()["p"]
-    return sorted(set(float(v) for v in vals))
+    return sorted({v for v in quantiles(df, [x], qs)[x] if v is not None})
 
 
 def cutpoint_scan(df: DataFrame, x: str, time: str = "time", event: str = "event",

@@ -23,16 +23,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SMALL_ROWS, PairPlan, cumulative, outer_sum, pair_sums
+from .kernels import BROADCAST_ROWS, PairPlan, cumulative, outer_sum, pair_sums
 
 
 def time_positions(df: DataFrame, time: str = "time") -> DataFrame:
     """Dense rank of the distinct times (0-based), joined back to rows."""
     t = df.select(F.col(time).alias("_t")).distinct()
     n = t.count()
-    tr = cumulative(t, ["_t"], {"_tk": F.lit(1.0)}, exclusive=True, n_rows=n)
+    tr = cumulative(t, ["_t"], {"_tk": F.lit(1.0)}, exclusive=True)
     tr = tr.select("_t", F.col("_tk").cast("long").alias("_tk"))
-    tr = F.broadcast(tr) if n <= SMALL_ROWS else tr
+    tr = F.broadcast(tr) if n <= BROADCAST_ROWS else tr
     return df.join(tr, F.col(time) == F.col("_t")).drop("_t")
 
 

