@@ -102,6 +102,10 @@ class CoxResult:
         return out
 
 
+#: Features up to which a pass sums second moments per time.
+MOMENT_FEATURES = 7
+
+
 class CoxFitter:
     """Batched Newton-Raphson for (ridge-penalised) Cox models."""
 
@@ -111,12 +115,20 @@ class CoxFitter:
         self.alpha = alpha
         self.max_iter = max_iter
         self.tol = tol
-        self._groups: dict = {}
 
     # -- one pass ---------------------------------------------------------
+    @staticmethod
+    def _plan(data: DataFrame) -> tuple[int, list[float]]:
+        """Number of (model, time) groups and the ranges of the times; the
+        same for every pass over ``data`` or some of its models."""
+        return data.select("model", "time").distinct().count(), key_bounds(data, "time")
+
     def _pass(self, data: DataFrame, xcols: list[str], betas: pd.DataFrame, shift: dict,
-              need_info: bool = True):
+              need_info: bool = True, plan: tuple[int, list[float]] | None = None):
         p = len(xcols)
+        # few features: second moments per time give the information; with
+        # more, one weighted pass over the rows does
+        moments = [(a, b) for a in range(p) for b in range(a, p)] if need_info and p <= MOMENT_FEATURES else []
         spark = data.sparkSession
         bcols = [f"_b{k}" for k in range(p)]
         bt = spark.createDataFrame(betas.assign(_m=[shift[m] for m in betas["model"]]))
@@ -131,14 +143,14 @@ class CoxFitter:
         aggs += [F.sum(F.when(ev, F.col("_w") * F.col(x)).otherwise(0.0)).alias(f"E{k + 1}")
                  for k, x in enumerate(xcols)]
         aggs += [F.sum(F.when(ev, F.col(x)).otherwise(0.0)).alias(f"X{k + 1}") for k, x in enumerate(xcols)]
+        for a, b in moments:
+            second = F.col("_w") * F.col(xcols[a]) * F.col(xcols[b])
+            aggs += [F.sum(second).alias(f"v{a}_{b}"),
+                     F.sum(F.when(ev, second).otherwise(0.0)).alias(f"e{a}_{b}")]
         per = j.groupBy("model", "time").agg(*aggs)
-        sums = {"S0": "w0", **{f"S{k + 1}": f"w{k + 1}" for k in range(p)}}
-        # the (model, time) groups do not change between passes; the frame is
-        # kept beside its numbers so that its id is not given to another one
-        if self._groups.get(id(data)) is None:
-            n = data.select("model", "time").distinct().count()
-            self._groups[id(data)] = (data, n, key_bounds(data, "time"))
-        _, n_t, bounds = self._groups[id(data)]
+        sums = {"S0": "w0", **{f"S{k + 1}": f"w{k + 1}" for k in range(p)},
+                **{f"T{a}_{b}": f"v{a}_{b}" for a, b in moments}}
+        n_t, bounds = self._plan(data) if plan is None else plan
         per = cumulative(per, ["time"], sums, segment=["model"], descending=True, bounds=bounds)
         per = per.persist()
         evt = tie_series(per.filter("d > 0"), self.ties)
@@ -155,9 +167,12 @@ class CoxFitter:
                 for b in range(a, p):
                     gaggs.append(F.sum(S[a] * S[b] * q3 - (S[a] * E[b] + E[a] * S[b]) * q4
                                        + E[a] * E[b] * q5).alias(f"M{a}_{b}"))
+        for a, b in moments:
+            own = F.col(f"e{a}_{b}") * q2 if self.ties == "efron" else F.lit(0.0)
+            gaggs.append(F.sum(F.col(f"T{a}_{b}") * q1 - own).alias(f"G{a}_{b}"))
         g = evt.groupBy("model").agg(*gaggs).toPandas().set_index("model")
-        info = None
-        if need_info:
+        info, gr = None, g
+        if need_info and not moments:
             # A(t) = sum of q1 over event times <= t (0 at non-event times);
             # B(t) = q2 at the row's own time.
             allt = per.select("model", "time").join(
@@ -172,6 +187,7 @@ class CoxFitter:
                 for b in range(a, p):
                     gaggs2.append(F.sum(wt * F.col(xcols[a]) * F.col(xcols[b])).alias(f"G{a}_{b}"))
             gr = jt.groupBy("model").agg(*gaggs2).toPandas().set_index("model")
+        if need_info:
             info = {}
             for m in g.index:
                 I = np.zeros((p, p))
@@ -232,6 +248,7 @@ class CoxFitter:
             rows = [[m, *bs[m]] for m in bs]
             return pd.DataFrame(rows, columns=["model", *[f"_b{k}" for k in range(p)]])
 
+        plan = self._plan(d)
         active = set(models)
         prev_ll = {}
         state = {}
@@ -243,9 +260,13 @@ class CoxFitter:
         while active and it < self.max_iter:
             sub = d.filter(F.col("model").isin(list(active))) if len(active) < len(models) else d
             bs = {m: beta[m] for m in active}
-            res = self._pass(sub, xc, table(bs), {m: shift_of(m, beta[m]) for m in active})
+            res = self._pass(sub, xc, table(bs), {m: shift_of(m, beta[m]) for m in active}, plan=plan)
             if ll0 is None:
-                ll0 = {m: res[m][0] for m in models}
+                # the log-likelihood without features, also after a warm start
+                zero = {m: np.zeros(p) for m in models}
+                start = res if not beta0 else self._pass(
+                    d, xc, table(zero), dict.fromkeys(models, 0.0), need_info=False, plan=plan)
+                ll0 = {m: start[m][0] for m in models}
             nxt = set()
             for m in active:
                 ll, U, I = res[m]
@@ -280,7 +301,7 @@ class CoxFitter:
             active = nxt
             it += 1
         # final statistics at the returned beta
-        final = self._pass(d, xc, table(beta), {m: shift_of(m, beta[m]) for m in models})
+        final = self._pass(d, xc, table(beta), {m: shift_of(m, beta[m]) for m in models}, plan=plan)
         d.unpersist()
         B = np.array([beta[m] for m in models])
         LL = np.array([final[m][0] for m in models])

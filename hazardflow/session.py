@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         b = b.master(master)
     conf = dict(_DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    conf.setdefault("spark.driver.memory", "6g")
     if extra:
         conf.update(extra)
     for k, v in conf.items():
