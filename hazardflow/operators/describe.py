@@ -14,28 +14,52 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import gram
+from .kernels import gram, outer_sum
 from .prep import clean, quantiles
 
 
 def pearson_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Row 28: Pearson matrix as a long table (feature_a, feature_b, r)."""
-    aggs = [F.corr(clean(a), clean(b)).alias(f"r{i}_{j}") for i, a in enumerate(cols)
-            for j, b in enumerate(cols)]
-    row = df.agg(*aggs)
-    st = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                      F.col(f"r{i}_{j}").alias("r"))
-                             for i, a in enumerate(cols) for j, b in enumerate(cols)]))
-    return row.select(st.alias("s")).select("s.*")
+    """Row 28: Pearson matrix as a long table (feature_a, feature_b, r).
+
+    Each pair takes the rows where both are present.  Columns are centred at
+    their means first; counts, sums, squares and products of all pairs come
+    from one pass of per-task blocks."""
+    p = len(cols)
+    means = df.agg(*[F.avg(clean(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    x = [clean(c) - F.lit(float(means[f"m{i}"] or 0.0)) for i, c in enumerate(cols)]
+    sides = df.select(*[F.coalesce(v, F.lit(0.0)).alias(f"x{i}") for i, v in enumerate(x)],
+                      *[F.coalesce(v * v, F.lit(0.0)).alias(f"q{i}") for i, v in enumerate(x)],
+                      *[v.isNotNull().cast("double").alias(f"m{i}") for i, v in enumerate(x)])
+    xs, qs, ms = ([f"{k}{i}" for i in range(p)] for k in "xqm")
+    out = outer_sum(sides, xs + qs + ms, ms + xs)
+    sums, squares, n, products = out[:p, :p], out[p:2 * p, :p], out[2 * p:, :p], out[:p, p:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = products - sums * sums.T / n
+        var = squares - sums * sums / n
+        r = cov / np.sqrt(var * var.T)
+    np.fill_diagonal(r, np.where(np.diag(var) > 0, 1.0, np.nan))
+    rows = [(a, b, float(r[i, j]) if np.isfinite(r[i, j]) else None)
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+
+
+def covariance(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(covariance with divisor n, means, n) over rows without missing values.
+
+    The means go out in a first pass, so no digits are lost where they are
+    large against the spread; the products come from per-task blocks."""
+    p = len(cols)
+    sub = df.select(*[clean(c).alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
+    row = sub.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]).first()
+    n, mean = int(row["n"]), np.array([row[f"m{i}"] or 0.0 for i in range(p)])
+    centred = sub.select(*[(F.col(f"x{i}") - F.lit(float(mean[i]))).alias(f"x{i}") for i in range(p)])
+    names = [f"x{i}" for i in range(p)]
+    return outer_sum(centred, names, names) / max(n, 1), mean, n
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
     """Correlation matrix from one Gram pass over centred-by-moment sums."""
-    sub = df.select(*[clean(c).alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
-    g, _, n = gram(sub.withColumn("_one", F.lit(1.0)), [f"x{i}" for i in range(len(cols))] + ["_one"])
-    p = len(cols)
-    s = g[:p, p]
-    cov = g[:p, :p] / n - np.outer(s, s) / (n * n)
+    cov, _, _ = covariance(df, cols)
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))
     with np.errstate(divide="ignore", invalid="ignore"):
         return cov / np.outer(sd, sd)
@@ -173,7 +197,7 @@ def _minka_ll(spectrum: np.ndarray, rank: int, n: int) -> float:
 class PCA:
     """Rows 36-37: covariance eigen-decomposition from one Gram pass;
     rank by Minka's MLE when n >= p, then truncated at the first k whose
-    cumulative explained ratio (rounded to 8 decimals) reaches
+    cumulative explained ratio (each rounded to 8 decimals) reaches
     ``threshold`` (all components when that k <= 5 or the total stays
     below).  Scores are centred, component signs fixed so the largest
     absolute loading is positive."""
@@ -183,12 +207,9 @@ class PCA:
 
     def fit(self, df: DataFrame, cols: list[str]) -> "PCA":
         self.cols = list(cols)
-        sub = df.select(*[clean(c).alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
         p = len(cols)
-        g, _, n = gram(sub.withColumn("_one", F.lit(1.0)), [f"x{i}" for i in range(p)] + ["_one"])
-        s = g[:p, p]
-        self.mean = s / n
-        cov = (g[:p, :p] - np.outer(s, s) / n) / (n - 1)
+        cov, self.mean, n = covariance(df, cols)
+        cov = cov * n / (n - 1)
         vals, vecs = np.linalg.eigh(cov)
         o = np.argsort(vals)[::-1]
         vals, vecs = np.clip(vals[o], 0, None), vecs[:, o]
@@ -202,9 +223,9 @@ class PCA:
             rank = p
         ratio = vals / vals.sum()
         vals, vecs, ratio = vals[:rank], vecs[:, :rank], ratio[:rank]
-        cum = np.round(np.cumsum(ratio), 8)
+        cum = np.cumsum(np.round(ratio, 8))
         hit = np.flatnonzero(cum >= self.threshold)
-        k = rank if (cum[-1] <= self.threshold or len(hit) == 0) else int(hit[0]) + 1
+        k = rank if (ratio.sum() <= self.threshold or len(hit) == 0) else int(hit[0]) + 1
         if k <= 5:
             k = rank
         self.explained_variance = vals[:k]

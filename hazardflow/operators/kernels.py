@@ -17,7 +17,7 @@
     rows are counted inside one task with numpy (O(m log^2 m)).  No pair is
     ever materialised.
 ``gram`` (S3)
-    ``X^T W X`` and ``X^T W y`` as one aggregation; only p x p numbers return.
+    ``X^T W X`` and ``X^T W y`` from per-task blocks; only p x p numbers return.
 """
 
 from __future__ import annotations
@@ -230,25 +230,16 @@ def dense_rank_global(df: DataFrame, order: list, name: str = "rank",
 
 def gram(df: DataFrame, cols: list[str], weight: Column | str | None = None,
          y: Column | str | None = None) -> tuple[np.ndarray, np.ndarray | None, float]:
-    """``X^T W X`` (p x p), ``X^T W y`` and ``sum W`` by one aggregation."""
+    """``X^T W X`` (p x p), ``X^T W y`` and ``sum W`` from per-task blocks."""
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     p = len(cols)
-    xs = [F.col(c).cast("double") for c in cols]
-    aggs = [F.sum(w).alias("sw")]
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(F.sum(w * xs[i] * xs[j]).alias(f"g{i}_{j}"))
-    if y is not None:
-        yy = F.col(y) if isinstance(y, str) else y
-        for i in range(p):
-            aggs.append(F.sum(w * xs[i] * yy).alias(f"h{i}"))
-    row = df.agg(*aggs).first()
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    h = None if y is None else np.array([row[f"h{i}"] or 0.0 for i in range(p)])
-    return g, h, float(row["sw"] or 0.0)
+    xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
+    yy = F.lit(0.0) if y is None else (F.col(y) if isinstance(y, str) else y)
+    sides = df.select(*[(w * x).alias(f"a{i}") for i, x in enumerate(xs)], w.cast("double").alias(f"a{p}"),
+                      *[x.alias(f"b{i}") for i, x in enumerate(xs)], yy.cast("double").alias(f"b{p}"),
+                      F.lit(1.0).alias(f"b{p + 1}"))
+    out = outer_sum(sides, [f"a{i}" for i in range(p + 1)], [f"b{i}" for i in range(p + 2)])
+    return out[:p, :p], None if y is None else out[:p, p], float(out[p, p + 1])
 
 
 # ---------------------------------------------------------------------------
@@ -415,7 +406,7 @@ def outer_sum(df: DataFrame, a_cols: list[str], b_cols: list[str]) -> np.ndarray
                 acc += pdf[a_cols].to_numpy(dtype=float).T @ pdf[b_cols].to_numpy(dtype=float)
         yield pd.DataFrame({"s": [acc.ravel().tolist()]})
 
-    parts = df.select(*a_cols, *b_cols).mapInPandas(part, "s array<double>")
+    parts = df.select(*dict.fromkeys([*a_cols, *b_cols])).mapInPandas(part, "s array<double>")
     tot = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(ka * kb)
     for r in tot:

@@ -180,6 +180,8 @@ def with_columns(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
 
 class Scaler:
     code = "none"
+    #: True if the stage takes a column as it is, False if as a number
+    raw = False
 
     def fit(self, df: DataFrame, cols: list[str]) -> "Scaler":
         self.cols = list(cols)
@@ -266,15 +268,22 @@ class RowNormalizer(Scaler):
 
 
 class Ordinal(Scaler):
-    """Row 21: category -> index in sorted order (dense rank of the value)."""
+    """Row 21: category -> index in sorted order (dense rank of the value).
+
+    Takes the column as it is, text included.  The levels become literals of
+    the plan, so there may be ``max_levels`` of them; more raise."""
     code = "OE"
+    raw = True
+    max_levels = 10_000
 
     def fit(self, df, cols):
         super().fit(df, cols)
         self.levels = {}
         for c in cols:
-            # distinct levels of a categorical column: bounded by its cardinality
-            vals = [r[0] for r in df.select(q(c)).distinct().orderBy(q(c)).collect() if r[0] is not None]
+            found = df.select(q(c)).filter(q(c).isNotNull()).distinct().limit(self.max_levels + 1).collect()
+            if len(found) > self.max_levels:
+                raise ValueError(f"column {c} has more than {self.max_levels} categories")
+            vals = sorted(r[0] for r in found)
             self.levels[c] = vals
         return self
 
@@ -349,33 +358,64 @@ def _yj(x: Column, lam: float) -> Column:
     return F.when(pos, a).otherwise(b)
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    """(count, mean, squared deviations) of two groups together."""
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n
+
+
 class Power(Scaler):
     """Row 25: Yeo-Johnson with lambda by maximum likelihood, then
     standardised.  Each search pass evaluates a batch of lambdas for every
-    feature in one aggregation (sums of psi, psi^2 and sign*log1p|x|)."""
+    feature in one aggregation (variance of psi, sum of sign*log1p|x|); the
+    bracket moves on while its best is at an end, then shrinks to ``tol``."""
     code = "PT"
 
-    def __init__(self, lo: float = -2.0, hi: float = 2.0, passes: int = 4, per_pass: int = 9):
-        self.lo, self.hi, self.passes, self.per_pass = lo, hi, passes, per_pass
+    def __init__(self, lo: float = -2.0, hi: float = 2.0, per_pass: int = 17, tol: float = 1e-8):
+        self.lo, self.hi, self.per_pass, self.tol = lo, hi, per_pass, tol
 
     def _llf(self, df, cols, lams: dict[str, list[float]]):
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, c in enumerate(cols):
-            x = clean(c)
-            aggs.append(F.count(x).alias(f"n{i}"))
-            aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"sl{i}"))
-            for j, lam in enumerate(lams[c]):
-                y = _yj(x, lam)
-                aggs += [F.sum(y).alias(f"s{i}_{j}"), F.sum(y * y).alias(f"ss{i}_{j}")]
-        row = df.agg(*aggs).first()
+        """Profile log-likelihood of every lambda: each task folds its rows into
+        counts, means and squared deviations; those are merged here (one row a
+        task, column and lambda)."""
+        grid = [np.array(lams[c]) for c in cols]
+
+        def fold(frames):
+            state = {}
+            for pdf in frames:
+                for i in range(len(cols)):
+                    x = pdf[f"c{i}"].to_numpy(dtype=float)
+                    x = x[~np.isnan(x)]
+                    if not len(x):
+                        continue
+                    size, sign = np.log1p(np.abs(x)), x >= 0
+                    for j, lam in enumerate(grid[i]):
+                        rate = np.where(sign, lam, 2.0 - lam)
+                        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                            # ((1 + |x|) ** rate - 1) / rate, and its limit at 0
+                            y = np.where(np.abs(rate) < 1e-12, size, np.expm1(rate * size) / rate)
+                            y = np.where(sign, y, -y)
+                            new = (float(len(x)), float(y.mean()), float(((y - y.mean()) ** 2).sum()))
+                        sl = float((np.where(sign, 1.0, -1.0) * size).sum())
+                        old = state.get((i, j))
+                        state[i, j] = (*new, sl) if old is None else (*_merged(old[:3], new), old[3] + sl)
+            if state:
+                yield pd.DataFrame([(i, j, *v) for (i, j), v in state.items()], columns=["i", "j", "n", "m", "d", "l"])
+
+        parts = df.select(*[clean(c).alias(f"c{i}") for i, c in enumerate(cols)]).mapInPandas(
+            fold, "i int, j int, n double, m double, d double, l double").collect()
+        total = {}
+        for r in parts:
+            key, new = (r["i"], r["j"]), (r["n"], r["m"], r["d"])
+            old = total.get(key)
+            total[key] = (*new, r["l"]) if old is None else (*_merged(old[:3], new), old[3] + r["l"])
         out = {}
         for i, c in enumerate(cols):
-            n = row[f"n{i}"]
             vals = []
             for j, lam in enumerate(lams[c]):
-                s, ss = row[f"s{i}_{j}"], row[f"ss{i}_{j}"]
-                var = max(ss / n - (s / n) ** 2, 1e-300)
-                vals.append(-n / 2.0 * math.log(var) + (lam - 1.0) * row[f"sl{i}"])
+                n, _, d, sl = total.get((i, j), (0.0, 0.0, 0.0, 0.0))
+                ok = n and 0 < d < math.inf
+                vals.append(-n / 2.0 * math.log(d / n) + (lam - 1.0) * sl if ok else -math.inf)
             out[c] = vals
         return out
 
@@ -383,14 +423,23 @@ class Power(Scaler):
         super().fit(df, cols)
         bounds = {c: (self.lo, self.hi) for c in cols}
         best = {}
-        for _ in range(self.passes):
-            lams = {c: list(np.linspace(bounds[c][0], bounds[c][1], self.per_pass)) for c in cols}
-            ll = self._llf(df, cols, lams)
-            for c in cols:
+        todo = list(cols)
+        while todo:
+            lams = {c: list(np.linspace(bounds[c][0], bounds[c][1], self.per_pass)) for c in todo}
+            ll = self._llf(df, todo, lams)
+            for c in list(todo):
                 j = int(np.argmax(ll[c]))
                 best[c] = lams[c][j]
-                step = (bounds[c][1] - bounds[c][0]) / (self.per_pass - 1)
-                bounds[c] = (best[c] - step, best[c] + step)
+                width = bounds[c][1] - bounds[c][0]
+                step = width / (self.per_pass - 1)
+                flat = not np.isfinite(ll[c][j]) or max(ll[c]) - min(ll[c]) <= 1e-13 * abs(ll[c][j])
+                if flat or 2 * step < self.tol or abs(best[c]) > 1e6:
+                    todo.remove(c)  # found, or a column that no lambda tells apart
+                elif j in (0, self.per_pass - 1) and width >= self.hi - self.lo:
+                    # the best is at an end of a wide bracket: move on past it
+                    bounds[c] = (best[c] - width, best[c] + width)
+                else:
+                    bounds[c] = (best[c] - step, best[c] + step)
         self.lmbda = best
         row = df.agg(*[F.avg(_yj(clean(c), best[c])).alias(f"m{i}") for i, c in enumerate(cols)],
                      *[F.stddev_pop(_yj(clean(c), best[c])).alias(f"s{i}") for i, c in enumerate(cols)]).first()
@@ -423,7 +472,7 @@ class ScalerChain:
         for code in self.codes:
             st = SCALERS[code](**self.kw.get(code, {})) if code in self.kw else SCALERS[code]()
             st.fit(cur, names)
-            exprs = st.columns({c: clean(c) for c in names})
+            exprs = st.columns({c: q(c) if st.raw else clean(c) for c in names})
             cur = cur.select(*[F.col(f"`{c}`") for c in cur.columns if c not in exprs],
                              *[e.alias(c) for c, e in exprs.items()])
             names = list(exprs)
@@ -434,7 +483,7 @@ class ScalerChain:
     def transform(self, df: DataFrame) -> DataFrame:
         cur = df
         for st in self.stages:
-            exprs = st.columns({c: clean(c) for c in st.cols})
+            exprs = st.columns({c: q(c) if st.raw else clean(c) for c in st.cols})
             keep = [F.col(f"`{c}`") for c in cur.columns if c not in st.cols and c not in exprs]
             cur = cur.select(*keep, *[e.alias(c) for c, e in exprs.items()])
         return cur

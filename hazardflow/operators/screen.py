@@ -9,6 +9,10 @@ p values are computed on the driver from the per-feature statistics.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 import math
 
 import numpy as np
@@ -184,21 +188,34 @@ def chi2_scores(df: DataFrame, features: list[str], event: str = "event") -> Dat
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-MAX_CUSTOM_ROWS = 5_000_000
+@dataclass
+class Statistic:
+    """A pluggable statistic of (x, y) as a mergeable accumulator.
 
+    ``update`` maps arrays of x and y to a state (a list of doubles),
+    ``merge`` joins two states, ``finish`` gives (score, p)."""
 
-def custom_stat(df: DataFrame, features: list[str], y: str, stat) -> DataFrame:
-    """Row 53: pluggable ``stat(x: ndarray, y: ndarray) -> (score, p)`` per
-    feature via ``groupBy(feature).applyInPandas``.  A whole feature column
-    goes to one task, so the row count is checked first; larger inputs must
-    use the built-in aggregations above."""
-    n = df.count()
-    if n > MAX_CUSTOM_ROWS:
-        raise ValueError(f"custom statistics take at most {MAX_CUSTOM_ROWS} rows per feature; got {n}")
-    long = long_xy(df, features, y)
+    update: Callable[[np.ndarray, np.ndarray], list]
+    merge: Callable[[list, list], list]
+    finish: Callable[[list], tuple]
+
+
+def custom_stat(df: DataFrame, features: list[str], y: str, stat: Statistic) -> DataFrame:
+    """Row 53: ``stat`` per feature.  Every task folds its own rows into one
+    state a feature; only the states (one per task and feature) are merged,
+    so no feature column is gathered, at any size."""
+    def fold(frames):
+        states: dict = {}
+        for pdf in frames:
+            for name, part in pdf.groupby("feature"):
+                new = stat.update(part["x"].to_numpy(), part["y"].to_numpy())
+                states[name] = stat.merge(states[name], new) if name in states else new
+        if states:
+            yield pd.DataFrame({"feature": list(states), "state": [[float(v) for v in s] for s in states.values()]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, p = stat(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, p = stat.finish(reduce(stat.merge, [list(v) for v in pdf["state"]]))
         return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "score": [float(s)], "p": [float(p)]})
 
-    return long.groupBy("feature").applyInPandas(run, "feature string, score double, p double")
+    folded = long_xy(df, features, y).mapInPandas(fold, "feature string, state array<double>")
+    return folded.groupBy("feature").applyInPandas(finish, "feature string, score double, p double")

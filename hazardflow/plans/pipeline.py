@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,13 @@ class AutoResult:
 
 
 def prepare(df: DataFrame, features: list[str], miss_col: float = 0.8, miss_row: float = 0.8,
-            strategy: str = "mean", mtfreq: float = 0.97):
-    """Rows 8-17: drop sparse/near-constant columns, impute (fitted on the
-    row-filtered table, applied to all rows: B2), standardise."""
+            strategy: str = "median", mtfreq: float = 0.97):
+    """Rows 8-17: drop sparse columns, then sparse rows, then near-constant
+    columns of the rows left; impute (fitted on the row-filtered table,
+    applied to all rows: B2), standardise."""
     cols = prep.keep_columns(df, features, miss_col)
-    cols = prep.drop_near_constant(df, cols, mtfreq)
     fit_rows = df.filter(prep.row_filter(cols, miss_row))
+    cols = prep.drop_near_constant(fit_rows, cols, mtfreq)
     imp = prep.Imputer(strategy).fit(fit_rows, cols)
     filled = imp.transform(df)
     sc = prep.Standard().fit(filled, cols)
@@ -116,7 +118,7 @@ def predict(bundle: Bundle, df: DataFrame, id_col: str, time: str | None = "time
     agg = detail.groupBy(id_col).agg(F.avg("risk_score").alias("risk_score_mean"),
                                      F.percentile("risk_score", 0.5).alias("risk_score_median"))
     ev = {}
-    if time and event and df.filter(F.col(time).isNull()).isEmpty():
+    if time and event and df.filter(prep.missing(time)).isEmpty():
         d = detail.withColumnRenamed(time, "time").withColumnRenamed(event, "event")
         ev["fold_cindex"] = metrics.harrell_c_by_group(d, "fold", "risk_score")
         scored = x.withColumnRenamed(time, "time").withColumnRenamed(event, "event").join(agg, id_col)
@@ -145,6 +147,11 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     coefs = spark.read.parquet(os.path.join(path, "coefs")).toPandas()
     meta = json.loads(spark.read.parquet(os.path.join(path, "meta")).first()["meta"])
     to = os.path.join(path, "train_outcomes")
-    tr = spark.read.parquet(to) if os.path.exists(to) else None
+    try:
+        tr = spark.read.parquet(to)
+    except AnalysisException as ex:  # a bundle without outcomes; Spark looks at its own store
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+        tr = None
     return Bundle(meta["features"], meta["imputer"], {k: tuple(v) for k, v in meta["scaler"].items()},
                   coefs, tr, meta.get("meta", {}))

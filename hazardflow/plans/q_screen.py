@@ -175,8 +175,10 @@ def chi2(spark, sf):
     return screen.chi2_scores(V.surv_events(spark, sf), CHI2, "event").select("feature", r6("chi2", "chi2"))
 
 
-def _mean_product(x, y):
-    return float(np.mean(x * y)), float("nan")
+#: Mean of x * y as a mergeable accumulator of (sum, count).
+_mean_product = screen.Statistic(update=lambda x, y: [float((x * y).sum()), float(len(x))],
+                                 merge=lambda a, b: [a[0] + b[0], a[1] + b[1]],
+                                 finish=lambda s: (s[0] / s[1], float("nan")))
 
 
 CUSTOM_SQL = f"""

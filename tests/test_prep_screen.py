@@ -106,3 +106,75 @@ def test_quantiles_interpolate_exactly_at_any_size(spark):
     for c, v in (("x", x), ("y", y), ("some", x[::3])):
         assert got[c] == pytest.approx(list(np.quantile(v, probs)), abs=1e-12)
     assert got["none"] == [None] * len(probs)
+
+
+def test_power_lambda_is_the_maximum_wherever_it_lies(spark):
+    import math
+
+    import numpy as np
+
+    from hazardflow.operators.prep import Power
+
+    rng = np.random.default_rng(5)
+    left = 1.0 - rng.exponential(0.05, 800)  # needs a lambda far above 2
+    mixed = rng.normal(size=800) * 2
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(left, mixed)], "a double, b double").repartition(4)
+    p = Power().fit(df, ["a", "b"])
+
+    def llf(x, lam):
+        rate, size = np.where(x >= 0, lam, 2 - lam), np.log1p(np.abs(x))
+        y = np.sign(x) * np.expm1(rate * size) / rate
+        return -len(x) / 2 * math.log(y.var()) + (lam - 1) * (np.sign(x) * size).sum()
+
+    assert p.lmbda["a"] > 4
+    for c, x in (("a", left), ("b", mixed)):
+        lam = p.lmbda[c]
+        assert all(llf(x, lam) >= llf(x, lam + d) - 1e-9 for d in (-1e-3, -1e-5, 1e-5, 1e-3, 1.0, -1.0))
+
+
+def test_chain_takes_text_categories(spark):
+    from hazardflow.operators.prep import ScalerChain
+
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i else None) for i in range(30)], "id int, c string")
+    got = ScalerChain(["OE", "M"]).fit(df, ["c"]).transform(df).orderBy("id").collect()
+    assert [r.c for r in got[:4]] == [None, 0.5, 1.0, 0.0]
+    hot = ScalerChain(["OH", "S"]).fit(df, ["c"])
+    assert sorted(hot.out_cols) == ["c_a", "c_b", "c_c"]
+    assert abs(sum(r.c_a for r in hot.transform(df).collect() if r.c_a is not None)) < 1e-9
+
+
+def test_custom_stat_merges_states(spark):
+    from hazardflow.operators import screen
+
+    mean = screen.Statistic(lambda x, y: [float((x * y).sum()), float(len(x))], lambda a, b: [a[0] + b[0], a[1] + b[1]],
+                            lambda s: (s[0] / s[1], 0.5))
+    df = spark.createDataFrame([(float(i), float(-i), 2.0) for i in range(100)], "a double, b double, y double").repartition(7)
+    got = {r.feature: r.score for r in screen.custom_stat(df, ["a", "b"], "y", mean).collect()}
+    assert got == {"a": 99.0, "b": -99.0}
+
+
+@pytest.mark.parametrize("rate, kept", [(0, 3), (1, 3), (0.34, 1), (2, 2), (50, 3)])
+def test_rank_aggregate_rates(spark, rate, kept):
+    from hazardflow.operators.search import rank_aggregate
+
+    ranks = [(f, run, 1 if run < n else 2) for f, n in (("a", 3), ("b", 2), ("c", 1)) for run in range(3)]
+    out = rank_aggregate(spark.createDataFrame(ranks, "feature string, run int, rank int"), rate)
+    assert out.filter("kept").count() == kept
+
+
+def test_gram_and_covariance_of_many_features(spark):
+    import numpy as np
+
+    from hazardflow.operators import describe, kernels
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(133, 132)) + 1e6
+    cols = [f"f{i}" for i in range(132)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in cols)).repartition(3)
+    g, h, n = kernels.gram(df, cols, y="f0")
+    assert np.allclose(g, x.T @ x) and np.allclose(h, x.T @ x[:, 0]) and n == 133
+    cov, mean, rows = describe.covariance(df, cols)
+    assert rows == 133 and np.allclose(mean, x.mean(axis=0))
+    assert np.allclose(cov, np.cov(x.T, bias=True), atol=1e-6)
+    r = {(a.feature_a, a.feature_b): a.r for a in describe.pearson_long(df.select(*cols[:4]), cols[:4]).collect()}
+    assert r["f0", "f3"] == pytest.approx(np.corrcoef(x[:, 0], x[:, 3])[0, 1], abs=1e-6) and r["f1", "f1"] == 1.0
