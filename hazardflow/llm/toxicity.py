@@ -24,8 +24,9 @@ from hazardflow.llm.common import frozen
 SAMPLE_ROWS = 12_000
 #: Most entries of a lexicon.
 MAX_TERMS = 2_000
-#: Toxic sample texts that an entry must be in, and its least log-odds against the base rate.
-LEAST_TEXTS, LEAST_WEIGHT = 5, 3.0
+#: Toxic sample texts that an entry must be in, as a number and as a share of all of them, and
+#: its least log-odds against the base rate.
+LEAST_TEXTS, LEAST_SHARE, LEAST_WEIGHT = 5, 0.02, 3.0
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = range(4, 9)
 #: Clean sample texts, with no toxic one, that make a phrase around an entry an exception.
@@ -197,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return Model(curve=(4.0 if toxic else -4.0, 0.0, 0.0))
     layout = "term string, toxic long, clean long"
     counted = sample.mapInArrow(_count_terms, layout).groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= LEAST_TEXTS)
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic))
     weight = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - math.log((toxic + 1) / (clean + 1))
     top = counted.where(weight >= LEAST_WEIGHT).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()
     model = Model(_choose(top, toxic, clean))
