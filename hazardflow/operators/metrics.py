@@ -77,8 +77,13 @@ def censoring_weights(train: DataFrame, test: DataFrame, time: str = "time", eve
 
 
 def uno_c(test: DataFrame, score: Column | str, train: DataFrame | None = None,
-          time: str = "time", event: str = "event", tau: float | None = None, **kw) -> dict:
-    """Row 74: Uno's C, event weights 1/G(t_i)^2, optional truncation tau."""
+          time: str = "time", event: str = "event", tau: float | None = None,
+          pooled: DataFrame | None = None, **kw) -> dict:
+    """Row 74: Uno's C, event weights 1/G(t_i)^2, optional truncation tau.
+
+    Where G is zero at an event time it raises, or takes the censoring
+    distribution of ``pooled`` (all outcomes), truncated at the last time of
+    the test rows' grid."""
     train = test if train is None else train
     g = censoring_weights(train, test, time, event, **kw)
     s = F.col(score) if isinstance(score, str) else score
@@ -87,7 +92,9 @@ def uno_c(test: DataFrame, score: Column | str, train: DataFrame | None = None,
     e = F.col("event") > 0
     bad = t.filter(e & (F.col("G") <= 0) & (F.lit(True) if tau is None else F.col("time") < tau))
     if not bad.isEmpty():
-        raise ValueError("censoring survival function is zero at one or more time points")
+        if pooled is None:
+            raise ValueError("censoring survival function is zero at one or more time points")
+        return uno_c(test, score, pooled, time, event, time_grid(test, time)[-1], **kw)
     w = F.try_divide(F.lit(1.0), F.col("G") * F.col("G"))
     if tau is not None:
         w = F.when(F.col("time") < tau, w).otherwise(0.0)
@@ -106,7 +113,8 @@ def time_grid(df: DataFrame, time: str = "time", lo: float = 5.0, hi: float = 95
 
 
 def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFrame | None = None,
-                time: str = "time", event: str = "event", **kw) -> tuple[DataFrame, DataFrame]:
+                time: str = "time", event: str = "event", pooled: DataFrame | None = None,
+                **kw) -> tuple[DataFrame, DataFrame]:
     """Row 75: cumulative/dynamic AUC(t) for each t in ``times``.
 
     Cases: event with time <= t, weight 1/G(time); controls: time > t.
@@ -114,12 +122,19 @@ def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFr
              / (sum_case w_i * #controls).
     Returns (per-time table [k, time, auc], one-row mean table [mean_auc]),
     mean = sum_k AUC_k (S(t_{k-1}) - S(t_k)) / (1 - S(t_K)), S = KM of test.
+    Where G is zero for a case it raises, or takes the censoring distribution
+    of ``pooled`` (all outcomes).
     """
     train = test if train is None else train
     g = censoring_weights(train, test, time, event, **kw)
     s = F.col(score) if isinstance(score, str) else score
     t = test.select(F.col(time).alias("time"), (F.col(event) > 0).alias("e"), s.cast("double").alias("s"))
     t = t.join(g, "time", "left")
+    late = F.col("time") <= (float(times[-1]) if times else float("-inf"))
+    if not t.filter(F.col("e") & late & (F.coalesce("G", F.lit(0.0)) <= 0)).isEmpty():
+        if pooled is None:
+            raise ValueError("censoring survival function is zero at one or more time points")
+        return dynamic_auc(test, score, times, pooled, time, event, **kw)
     taus = F.array(*[F.lit(float(x)) for x in times])
     K = len(times)
     pos = F.size(F.filter(taus, lambda x: x < F.col("time")))  # grid times before this row's time

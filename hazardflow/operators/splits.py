@@ -3,7 +3,8 @@
 All splits are long tables ``(split, <id>, is_test)`` or ``(repeat, fold,
 <id>)``.  Shuffles use an arithmetic hash of the integer id so the same
 assignment can be reproduced by any engine:
-``h = ((id + 1) * (7919 + seed)) % 1000003`` (ties broken by id).  The seed
+``h = ((id + 1) * (7919 + seed)) % 1000003`` (ties broken by id); other ids
+take the first 60 bits of ``md5("<id>:<seed>")``.  The seed
 sits in the multiplier: an additive seed would only rotate one cyclic
 order, giving nearly the same test sets for every split.  Ranks within a
 stratum come from ``kernels.cumulative`` (distributed ordered count), not a
@@ -16,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import cumulative
 
@@ -23,8 +25,13 @@ HASH_MUL = 7919
 HASH_MOD = 1000003
 
 
-def shuffle_key(id_col: str, seed: Column | int) -> Column:
+def shuffle_key(df: DataFrame, id_col: str, seed: Column | int) -> Column:
+    """Hash of the id: the arithmetic one for whole numbers, else the first 60
+    bits of md5 over ``<id>:<seed>``, which other engines have too."""
     s = seed if isinstance(seed, Column) else F.lit(int(seed))
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        text = F.concat_ws(":", F.col(id_col).cast("string"), s.cast("string"))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     return ((F.col(id_col).cast("long") + 1) * (F.lit(HASH_MUL) + s.cast("long"))) % HASH_MOD
 
 
@@ -42,7 +49,7 @@ def _small(df: DataFrame, limit: int = 100_000) -> bool:
 def _with_splits(df: DataFrame, id_col: str, n_splits: int, seed: int) -> DataFrame:
     sp = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("split")
     d = df.select("*", sp)
-    return d.withColumn("_h", shuffle_key(id_col, F.col("split") * 1000 + seed))
+    return d.withColumn("_h", shuffle_key(d, id_col, F.col("split") * 1000 + seed))
 
 
 def stratified_shuffle(df: DataFrame, id_col: str, strat: str, n_splits: int = 10,
@@ -67,7 +74,7 @@ def repeated_kfold(df: DataFrame, id_col: str, strat: str | None = None, k: int
     stratified when ``strat`` is given."""
     cols = [id_col] + ([strat] if strat else [])
     d = df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    d = d.withColumn("_h", shuffle_key(id_col, F.col("repeat") * 1000 + seed))
+    d = d.withColumn("_h", shuffle_key(d, id_col, F.col("repeat") * 1000 + seed))
     r = _ranked(d, ["_h", id_col], ["repeat"] + ([strat] if strat else []))
     return r.select("repeat", id_col, F.floor(F.col("_rank") * k / F.col("_nc")).cast("int").alias("fold"))
 
@@ -127,7 +134,7 @@ def systematic_holdout(df: DataFrame, id_col: str, time: str, status: str, share
 
 def random_holdout(df: DataFrame, id_col: str, share: float = 0.3, seed: int = 10) -> DataFrame:
     """Row 86: ceil(n * share) rows with the smallest hash are validation."""
-    d = df.select(id_col).withColumn("_h", shuffle_key(id_col, seed))
+    d = df.select(id_col).withColumn("_h", shuffle_key(df, id_col, seed))
     n = d.count()
     r = cumulative(d, ["_h", id_col], {"_rank": F.lit(1.0)}, exclusive=True)
     return r.select(id_col, (F.col("_rank") < math.ceil(n * share)).alias("is_test"))

@@ -123,10 +123,10 @@ def predict(bundle: Bundle, df: DataFrame, id_col: str, time: str | None = "time
         ev["fold_cindex"] = metrics.harrell_c_by_group(d, "fold", "risk_score")
         scored = x.withColumnRenamed(time, "time").withColumnRenamed(event, "event").join(agg, id_col)
         ev["cindex_mean_score"] = metrics.harrell_c(scored, "risk_score_mean")["cindex"]
-        try:
-            ev["uno_c"] = metrics.uno_c(scored, "risk_score_mean", train=bundle.train_outcomes)["cindex"]
-        except ValueError:
-            ev["uno_c"] = float("nan")
+        outcomes = scored.select("time", "event")
+        if bundle.train_outcomes is not None:
+            outcomes = outcomes.unionByName(bundle.train_outcomes.select("time", "event"))
+        ev["uno_c"] = metrics.uno_c(scored, "risk_score_mean", train=bundle.train_outcomes, pooled=outcomes)["cindex"]
     return detail, agg, ev
 
 

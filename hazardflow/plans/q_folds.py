@@ -29,6 +29,24 @@ def split_sss(spark, sf):
     return splits.stratified_shuffle(V.surv_events(spark, sf), "event_id", "event", 10, 0.25, 0)
 
 
+TEXT_ID = "'T12-' || CAST(event_id AS VARCHAR)"
+SSS_TEXT_SQL = f"""
+WITH d AS (SELECT {TEXT_ID} AS sample, event, CAST(s.split AS INTEGER) AS split,
+                  CAST('0x' || substr(md5({TEXT_ID} || ':' || CAST(s.split * 1000 AS VARCHAR)), 1, 15) AS BIGINT) AS h
+           FROM surv_events, range(10) s(split)),
+r AS (SELECT *, row_number() OVER (PARTITION BY split, event ORDER BY h, sample) - 1 AS rk,
+             count(*) OVER (PARTITION BY split, event) AS nc FROM d)
+SELECT split, sample, rk < round(nc * 0.25) AS is_test FROM r
+"""
+
+
+@query("split_sss_text", V.with_views(SSS_TEXT_SQL, "surv_events"))
+def split_sss_text(spark, sf):
+    """Row 78 over a text sample id."""
+    ev = V.surv_events(spark, sf).withColumn("sample", F.concat(F.lit("T12-"), F.col("event_id").cast("string")))
+    return splits.stratified_shuffle(ev, "sample", "event", 10, 0.25, 0)
+
+
 SKF_SQL = """
 SELECT event_id, CAST(floor((row_number() OVER (PARTITION BY event ORDER BY event_id) - 1) * 4
                             / count(*) OVER (PARTITION BY event)) AS INTEGER) AS fold

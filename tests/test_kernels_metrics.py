@@ -133,3 +133,16 @@ def test_cumulative_with_bounds(spark, descending):
 def test_cumulative_rejects_unknown_arguments(spark):
     with pytest.raises(TypeError):
         kernels.cumulative(spark.range(3), ["id"], {"c": F.lit(1)}, segmnt=["id"])
+
+
+def test_zero_censoring_survival_raises_or_takes_pooled_outcomes(spark):
+    train = spark.createDataFrame([(1.0, 1), (2.0, 0), (2.5, 0)], "time double, event int")
+    test = spark.createDataFrame([(1.5, 1, 3.0), (3.0, 1, 2.0), (4.0, 0, 1.0), (5.0, 1, 0.0)], "time double, event int, score double")
+    pooled = train.unionByName(test.select("time", "event"))
+    with pytest.raises(ValueError):
+        metrics.uno_c(test, "score", train)
+    with pytest.raises(ValueError):
+        metrics.dynamic_auc(test, "score", [2.0, 3.5], train)
+    assert 0.0 <= metrics.uno_c(test, "score", train, pooled=pooled)["cindex"] <= 1.0
+    auc, mean = metrics.dynamic_auc(test, "score", [2.0, 3.5], train, pooled=pooled)
+    assert [r.auc for r in auc.orderBy("k").collect()] == [1.0, 1.0] and mean.first()["mean_auc"] == pytest.approx(1.0)

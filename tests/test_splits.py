@@ -47,3 +47,16 @@ def test_ssa_tests_every_row_and_holdouts(df):
         assert g.is_test.sum() == len(set(np.linspace(1, len(g) - 2, int(len(g) * 0.3)).astype(int)))
     r = splits.random_holdout(sdf, "id", 0.3, 10).toPandas()
     assert r.is_test.sum() == int(np.ceil(len(pdf) * 0.3))
+
+
+def test_text_ids_split_like_any_other(spark):
+    from hazardflow.operators import splits
+
+    df = spark.createDataFrame([(f"T12-{i:03d}", i % 3 == 0) for i in range(90)], "sample string, event boolean")
+    a = splits.stratified_shuffle(df, "sample", "event", 4, 0.25, 0)
+    counts = {(r.split, r.is_test): r["count"] for r in a.groupBy("split", "is_test").count().collect()}
+    assert all(counts[s, True] in (22, 23) for s in range(4))
+    tests = [{r.sample for r in a.filter(f"split = {s} AND is_test").collect()} for s in range(4)]
+    assert len({frozenset(t) for t in tests}) == 4
+    assert splits.random_holdout(df, "sample", 0.3).filter("is_test").count() == 27
+    assert splits.repeated_kfold(df, "sample", "event", 3, 2).groupBy("repeat", "fold").count().count() == 6
