@@ -203,7 +203,31 @@ def onehot(spark, sf):
     return df.select("event_id", *[e.alias(c) for c, e in ex.items()])
 
 
-@query("quantile_transform")
+def _quantile_sql(c: str) -> str:
+    """Knots at i / (m - 1) of the sorted values, and the interval of each
+    value; a value on repeated knots takes the middle of their references."""
+    return f"""
+s_{c} AS (SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {c}) - 1 AS p, count(*) OVER () AS n
+          FROM surv_events WHERE {c} IS NOT NULL),
+r_{c} AS (SELECT CASE WHEN i = m - 1 THEN CAST(1 AS DOUBLE) ELSE i * (CAST(1 AS DOUBLE) / (m - 1)) END AS r,
+                 (SELECT max(n) FROM s_{c}) AS n FROM m, range(1000) t(i) WHERE i < m),
+k_{c} AS (SELECT r, a.v + (b.v - a.v) * (r * (r_{c}.n - 1) - floor(r * (r_{c}.n - 1))) AS q
+          FROM r_{c} JOIN s_{c} a ON a.p = CAST(floor(r * (r_{c}.n - 1)) AS BIGINT)
+                     JOIN s_{c} b ON b.p = CAST(ceil(r * (r_{c}.n - 1)) AS BIGINT)),
+e_{c} AS (SELECT q, min(r) AS r0, max(r) AS r1, lead(q) OVER (ORDER BY q) AS q2, lead(min(r)) OVER (ORDER BY q) AS r2
+          FROM k_{c} GROUP BY q),
+t_{c} AS (SELECT event_id, CASE WHEN CAST({c} AS DOUBLE) = q OR q2 IS NULL THEN (r0 + r1) / 2
+                                ELSE r1 + ({c} - q) * (r2 - r1) / (q2 - q) END AS x
+          FROM surv_events ASOF JOIN e_{c} ON CAST(surv_events.{c} AS DOUBLE) >= e_{c}.q)"""
+
+
+QUANTILE_SQL = ("WITH m AS (SELECT least(1000, count(*)) AS m FROM surv_events),"
+                + ",".join(_quantile_sql(c) for c in NUM)
+                + "\nSELECT event_id, " + ", ".join(f"round(t_{c}.x, 6) AS {c}" for c in NUM)
+                + f"\nFROM t_{NUM[0]} " + " ".join(f"JOIN t_{c} USING (event_id)" for c in NUM[1:]))
+
+
+@query("quantile_transform", V.with_views(QUANTILE_SQL, "surv_events"))
 def quantile_transform(spark, sf):
     return _scaled(spark, sf, prep.Quantile(1000))
 
