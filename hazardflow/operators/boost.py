@@ -43,17 +43,21 @@ def componentwise(df: DataFrame, features: list[str], n_estimators: int = 100, l
     hi = np.array([st[f"hi{k}"] for k in range(p)])
     beta = np.zeros(p)
     rows = []
+    plan = fitter._plan(base)
     for step in range(1, n_estimators + 1):
         data = base
         if subsample < 1.0 and id_col:
             h = ((F.col("_id").cast("long") + 1) * (7919 + step * 1000 + seed)) % 1000003
             data = base.filter(h < int(subsample * 1000003))
+            own = data.agg(*[F.sum(F.col(x) * F.col(x)).alias(f"n{k}") for k, x in enumerate(xc)]).first()
+            norms = np.array([own[f"n{k}"] or 0.0 for k in range(p)])
         bt = pd.DataFrame([[0, *beta]], columns=["model", *[f"_b{k}" for k in range(p)]])
         _, U, _ = fitter._pass(data, xc, bt, {0: float(np.sum(np.maximum(beta * lo, beta * hi)))},
-                               need_info=False)[0]
+                               need_info=False, plan=plan)[0]
         gain = U * U / np.where(norms > 0, norms, np.inf)
         k = int(np.argmax(gain))
-        beta[k] += learning_rate * U[k] / norms[k]
+        if norms[k] > 0:
+            beta[k] += learning_rate * U[k] / norms[k]
         rows += [(step, f, float(beta[j])) for j, f in enumerate(features)]
     base.unpersist()
     return pd.DataFrame(rows, columns=["step", "feature", "coef"])

@@ -83,13 +83,14 @@ def fit_path(df: DataFrame, features: list[str], l1_ratio: float = 0.2, n_alphas
     lo = np.array([bounds[f"lo{k}"] for k in range(p)])
     hi = np.array([bounds[f"hi{k}"] for k in range(p)])
     passes = 0
+    plan = fitter._plan(d)
 
     def linearise(b):
         nonlocal passes
         passes += 1
         bt = pd.DataFrame([[0, *b]], columns=["model", *[f"_b{k}" for k in range(p)]])
         shift = float(np.sum(np.maximum(b * lo, b * hi)))
-        ll, U, I = fitter._pass(d, xc, bt, {0: shift})[0]
+        ll, U, I = fitter._pass(d, xc, bt, {0: shift}, plan=plan)[0]
         return ll / n, U / n, I / n
 
     b = np.zeros(p)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.pipeline import Bundle
+from ..session import ensure_checkpoint_dir
 
 
 def risk_columns(bundle: Bundle) -> dict[str, Column]:
@@ -42,7 +43,7 @@ def score_stream(spark: SparkSession, bundle: Bundle, source_dir: str, schema, k
     checkpoint location defaults to the session's checkpoint folder."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
     out = score_frame(bundle, stream, keys)
-    ck = checkpoint or (spark.sparkContext.getCheckpointDir() or "") + f"/stream-{query_name}"
+    ck = checkpoint or f"{ensure_checkpoint_dir(spark)}/stream-{query_name}"
     w = out.writeStream.outputMode("append").option("checkpointLocation", ck)
     if sink == "memory":
         return w.format("memory").queryName(query_name).start()
