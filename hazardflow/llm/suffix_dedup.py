@@ -46,7 +46,7 @@ UNIT_BYTES, HELD_BYTES = 64 << 20, 64 << 20
 #: Windows of a text handled at once; positions in a block fit in the low 24 bits.
 BLOCK = 1 << 23
 #: Buckets for each shuffle partition.
-BUCKETS = 4
+BUCKETS = 1
 NO_ID = -(1 << 63)
 
 _SPREAD = 0x9E3779B97F4A7C15
