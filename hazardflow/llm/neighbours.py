@@ -62,10 +62,11 @@ def _pack(group):
                     names=["dim", "block", "ids", "vectors", "codes", "scales", "norms", "rests"])
 
 
-def _blocks(v: DataFrame, size: int) -> DataFrame:
+def _blocks(v: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The packed blocks, numbered by a hash of the id, and how many numbers there are."""
     n = max(1, math.ceil(v.count() / size))
     return v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")).groupBy("dim", "block").applyInArrow(
-        _pack, _BLOCK)
+        _pack, _BLOCK), n
 
 
 class _Side:
@@ -161,15 +162,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, row_block: int =
     count once.  An empty table, or one without queries, gives no rows.
     """
     v = frozen(usable(vectors))
-    rows = frozen(_blocks(v, row_block))
-    asked = _blocks(v.where(is_query), query_block)
+    rows, numbers = _blocks(v, row_block)
+    asked, _ = _blocks(v.where(is_query), query_block)
     asked = asked.select("dim", F.col("block").alias("q_block"),
                          *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes", "scales", "norms", "rests")])
-    places = rows.select(F.col("dim").alias("to_dim"), F.col("block").alias("to_block"))
-    dealt = asked.join(F.broadcast(places) if rows.count() <= 100_000 else places, F.col("dim") == F.col("to_dim"))
+    # a copy of every query block goes to every number; the join is by number and dimension
+    dealt = asked.withColumn("to_block", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))))
     met = dealt.join(rows.withColumnRenamed("dim", "r_dim"),
-                     (F.col("to_block") == F.col("block")) & (F.col("to_dim") == F.col("r_dim"))).drop(
-        "r_dim", "to_dim", "to_block")
+                     (F.col("to_block") == F.col("block")) & (F.col("dim") == F.col("r_dim"))).drop("r_dim", "to_block")
     met = met.withColumn("lot", F.floor(F.col("block") / TILES_PER_TASK)).repartition("dim", "q_block", "lot")
     met = met.sortWithinPartitions("dim", "q_block", "block")
     lists = met.mapInArrow(lambda b: _meet(b, k), "query_id long, ids array<long>, scores array<double>")
