@@ -27,6 +27,24 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1_000
+
+
+def texts_of(docs: DataFrame, as_binary: bool = False) -> DataFrame:
+    """(doc_id long, text) for Python tasks, in small batches.
+
+    Whole texts are long: Spark's usual 10,000 rows a batch take more of an
+    executor's memory than they are worth, so the session's number is lowered
+    if it is higher.
+    """
+    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    text = F.col("text").cast("binary") if as_binary else F.col("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

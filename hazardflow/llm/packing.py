@@ -17,15 +17,14 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from hazardflow.llm.common import frozen, ranked, shuffle_partitions
+from hazardflow.llm.common import frozen, ranked, shuffle_partitions, texts_of
 
 CAPACITY = 2048
-#: Fillings that the search may apply before it keeps the best solution so far.
-STEPS = 30_000
+#: Search nodes, besides those of one filling for each length; then the best solution so far stays.
+NODES = 100_000
 #: Fillings kept for a largest length, and search nodes spent on finding them.
-FILLINGS, FILLING_NODES = 3, 3_000
+FILLINGS, FILLING_NODES = 3, 300
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -79,12 +78,12 @@ def _dominated(used: Counter, slack: int, counts: dict[int, int], lengths: list[
 
 
 def fillings(room: int, counts: dict[int, int], lengths: list[int], most_waste: int,
-             keep: int = FILLINGS, nodes: int = FILLING_NODES) -> list[tuple[int, ...]]:
+             keep: int = FILLINGS, nodes: int = FILLING_NODES, tally: list[int] | None = None) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, least waste first and long pieces before short ones.
 
     ``lengths`` are the lengths that are left, ascending.  Where nothing fits,
     the empty filling is the only one; wasteful ones beyond ``most_waste`` are
-    left out if any other is known.
+    left out if any other is known.  ``tally`` gets the nodes spent.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     spent = 0
@@ -113,6 +112,8 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], most_waste:
         del found[keep:]
         if len(found) == keep and found[-1][0] == 0:
             break
+    if tally is not None:
+        tally[0] += spent
     if not found:  # the nodes ran out: fill by the longest that fits
         used, left = Counter(), room
         for length in reversed(lengths):
@@ -123,7 +124,7 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], most_waste:
     return within or [found[0][1]]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """Patterns and multiplicities that use every piece once, in as few sequences as found."""
     counts = {k: int(n) for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in counts):
@@ -146,12 +147,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
         rest = {**left, largest: left[largest] - 1}
         some = lengths if rest[largest] else lengths[:-1]
         allowed = (best - 1) * capacity - total - waste
-        return iter([(largest, *f) for f in fillings(capacity - largest, rest, some, max(0, allowed))])
+        return iter([(largest, *f) for f in fillings(
+            capacity - largest, rest, some, max(0, allowed), tally=spent)])
 
     path: list[tuple[tuple[int, ...], int, Iterator, int]] = []
-    waste, done = 0, 0
+    waste, spent, most = 0, [0], nodes + FILLING_NODES * len(counts)
     options = choices() if lengths else iter(())
-    while best > least and done < steps:
+    while best > least and spent[0] < most:
         pattern = next(options, None)
         ends = lengths and pattern is not None and sum(pattern) == sum(k * left[k] for k in lengths)
         if pattern is not None:
@@ -162,7 +164,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -
                 continue
             use(pattern, n)
             path.append((pattern, n, options, more))
-            waste, done = waste + more, done + 1
+            waste += more
             if not lengths:
                 made = sum(p[1] for p in path)
                 if made < best:
@@ -220,7 +222,7 @@ def pieces(docs: DataFrame, encode: Callable[[str | None], bytes], capacity: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
+    return texts_of(docs).mapInArrow(run, _PIECES)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
