@@ -19,7 +19,8 @@ import zlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from hazardflow.llm.common import texts_of
 
 #: Most words in a task's cache; further ones are encoded anew each time.
 CACHE_WORDS = 500_000
@@ -254,7 +255,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, lists), pa.array(begins, lists), pa.array(ends, lists),
                                               pa.array(decoded, pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return texts_of(docs).mapInArrow(
         run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
@@ -275,5 +276,5 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()),
                                               pa.array(s, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return texts_of(docs).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

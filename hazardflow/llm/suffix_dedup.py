@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import shuffle_partitions
+from hazardflow.llm.common import shuffle_partitions, texts_of
 from hazardflow.llm.suffix_sort import deep_shallow
 
 LENGTH = 100
@@ -474,6 +474,7 @@ def remove_repeats(docs: DataFrame, keep: list[Column], each: Callable, layout:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     buckets = BUCKETS * parts
+    texts_of(docs)  # small batches
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
                         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"), F.struct(*keep).alias("row"))
     row = texts.schema["row"].dataType

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import frozen, key_bounds, shared_path, shuffle_partitions
+from hazardflow.llm.common import frozen, key_bounds, shared_path, shuffle_partitions, texts_of
 
 MAGIC = b"TOKBITS1"
 BLOCK_IDS = 1 << 16
@@ -173,7 +173,7 @@ def write(docs: DataFrame, folder: str, encode: Callable[[str | None], bytes], b
     attempt, and only files of attempts that ended well are in the result, so
     a repeated task does no harm.  An empty table writes no file.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = texts_of(docs)
     bounds = key_bounds(texts, "doc_id", shuffle_partitions(docs.sparkSession))
 
     def bucket_of(batches):

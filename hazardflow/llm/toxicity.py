@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import frozen
+from hazardflow.llm.common import frozen, texts_of
 
 #: Labelled rows that a model is fitted on, taken in the order of a hash of their id.
 SAMPLE_ROWS = 12_000
@@ -27,6 +27,8 @@ MAX_TERMS = 2_000
 #: Toxic sample texts that an entry must be in, as a number and as a share of all of them, and
 #: its least log-odds against the base rate.
 LEAST_TEXTS, LEAST_SHARE, LEAST_WEIGHT = 5, 0.02, 3.0
+#: Terms that a task counts before it sends them on.
+HELD_TERMS = 500_000
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = range(4, 9)
 #: Clean sample texts, with no toxic one, that make a phrase around an entry an exception.
@@ -118,16 +120,23 @@ def _count_terms(batches):
     """Partial counts: the texts of each label that have a word, or a word that begins so."""
     import pyarrow as pa
 
+    counts = (Counter(), Counter())
+
+    def flush():
+        terms = list(counts[0].keys() | counts[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()),
+                                           pa.array([counts[0][t] for t in terms], pa.int64())], names=["term", "toxic", "clean"])
+
     for b in batches:
-        counts = (Counter(), Counter())
         for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = set(fold(text).split())
             terms = {f" {w} " for w in words if len(w) > 1}
             terms.update(f" {w[:n]}" for w in words for n in BEGINNINGS if len(w) > n)
             counts[label].update(terms)
-        terms = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()),
-                                          pa.array([counts[0][t] for t in terms], pa.int64())], names=["term", "toxic", "clean"])
+        if len(counts[0]) + len(counts[1]) > HELD_TERMS:
+            yield flush()
+            counts = (Counter(), Counter())
+    yield flush()
 
 
 def _count_phrases(batches, model: Model):
@@ -190,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     ids = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("labelled"))
            .agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
            .orderBy(F.xxhash64("labelled"), "labelled").limit(rows))
-    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"))
+    sample = texts_of(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"))
     sample = frozen(sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic")))
     sizes = dict(sample.groupBy("toxic").count().collect())
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -236,7 +245,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [_chance(measures(t, automaton), model.curve) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return texts_of(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -249,6 +258,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             keep = [_chance(measures(t, automaton), model.curve) < threshold for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
+    texts_of(docs)  # small batches here too
     return docs.mapInArrow(run, docs.schema)
 
 
