@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import frozen
+from hazardflow.llm.common import frozen, shuffle_partitions, texts_of
 from hazardflow.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             fps = [_fingerprint(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
+    return texts_of(docs, as_binary=True).mapInArrow(
         run, "doc_id long, fp long")
 
 
@@ -115,7 +115,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """
     prints = frozen(fingerprints(docs, width))
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(fps.select("fp")))
+    # dealt anew after the counting: 64 variants a fingerprint are made next
+    dealt = fps.select("fp").repartition(shuffle_partitions(docs.sparkSession), "fp")
+    roots = components(links(dealt))
     classes = fps.join(roots, fps.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
