@@ -1,10 +1,13 @@
-"""Sharding by balanced label propagation: linked rows move together, counts stay one apart.
-
-Rows of equal text are linked.  Every linked row starts in a hashed shard; in
-each round a group's rows ask to join the shard that holds most of the group,
-and each shard takes in whole hash buckets of requests while its quota lasts.
-Rows without links then fill every shard up to its quota.  What reaches the
-driver are counts by shard, and by shard and bucket of requests.
+"""Sharding by equal text: linked rows stay together, counts stay one apart.
+
+Rows of equal text are linked, each with all others of its group, so labels
+that start a group whole in one shard are a fixed point of label propagation:
+no row has a neighbour elsewhere.  What is to be solved is the start.  The
+table of group sizes (at most sqrt(2 rows) of them) is packed into the quotas
+on the driver, largest first; Spark numbers the groups within their size and
+looks their shards up.  A group is cut only if it is larger than a shard, or
+if no shard had room for it; of the latter there are fewer than shards.  Rows
+without links then fill every shard up to its quota.
 """
 
 from __future__ import annotations
@@ -18,11 +21,6 @@ from pyspark.sql import functions as F
 from hazardflow.llm.common import frozen, ranked, shuffle_partitions
 
 SHARDS = 40
-ROUNDS = 12
-#: Hash buckets of requests to one shard; it takes in as many whole ones as fit.
-BUCKETS = 512
-#: Groups of more than this share of a quota are taken in row by row, others as a whole.
-LARGE = 1 / 64
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -34,50 +32,76 @@ def _at(numbers: list[int], place: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, numbers)), place + 1)
 
 
-def _loads(labels: DataFrame, shards: int) -> list[int]:
-    found = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}
-    return [found.get(s, 0) for s in range(shards)]
-
-
-def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """(id, link, shard) for rows (id, link, members): groups gathered as far as the quotas allow."""
-    shards = len(quota)
-    labels = frozen(linked.withColumn("shard", F.pmod(F.xxhash64("id", "link"), F.lit(shards)).cast("int")))
-    for _ in range(rounds):
-        room = [max(0, q - n) for q, n in zip(quota, _loads(labels, shards), strict=True)]
-        held = labels.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("here"))
-        # a group asks for the shards with room that hold most of it: one, or as many as it fills
-        open_ = F.when(_at(room, F.col("shard")) > 0, F.struct("here", F.xxhash64("link", "shard").alias("tie"), "shard"))
-        wanted = held.groupBy("link").agg(F.sort_array(F.collect_list(open_), asc=False).alias("open"),
-                                          F.ceil(F.sum("here") / max(quota)).cast("int").alias("wants"))
-        wanted = wanted.select("link", F.slice("open", F.lit(1), F.col("wants")).alias("open")).where(F.size("open") > 0)
-        own = held.select(F.col("link").alias("of"), F.col("shard").alias("at"), "here")
-        asks = (labels.join(wanted, "link", "left")
-                .join(own, (F.col("link") == F.col("of")) & (F.col("shard") == F.col("at")))
-                .withColumn("pick", F.get("open", F.pmod(F.xxhash64("id", F.lit(2)), F.size("open")).cast("int"))))
-        small = F.col("members") <= max(quota) * LARGE
-        fewer = (F.col("here") <= F.col("pick.here")) & (2 * F.col("here") <= max(quota))
-        asks = asks.withColumn("to", F.col("pick.shard")).withColumn("asks", F.coalesce(
-            ~F.array_contains(F.transform("open", lambda x: x["shard"]), F.col("shard")) & (small | fewer), F.lit(False)))
-        by = F.when(F.col("members") > max(quota) * LARGE, F.xxhash64("id", F.lit(1))).otherwise(F.xxhash64("link", F.lit(1)))
-        asks = frozen(asks.select("id", "link", "members", "shard", "to", "asks", F.pmod(by, F.lit(BUCKETS)).cast("int").alias("bucket")))
-        taken = [0] * shards  # buckets below this are taken in
-        into = {s: {} for s in range(shards)}
-        for r in asks.where("asks").groupBy("to", "bucket").count().collect():
-            into[r["to"]][r["bucket"]] = r["count"]
-        for s, sizes in into.items():
-            left = room[s]
-            while taken[s] < BUCKETS and sizes.get(taken[s], 0) <= left:
-                left -= sizes.get(taken[s], 0)
-                taken[s] += 1
-        if not any(b < taken[s] for s, sizes in into.items() for b in sizes):
-            break
-        moves = F.col("asks") & (F.col("bucket") < _at(taken, F.coalesce("to", F.lit(0))))
-        labels = frozen(asks.select("id", "link", "members", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")))
-    return labels
-
-
-def shard(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _level(n: int, members: int, room: list[int]) -> list[int]:
+    """How many of ``n`` groups each shard takes so that what is left free is as even as can be."""
+    def takes(left: int) -> list[int]:
+        return [max(0, r - left) // members for r in room]
+
+    if sum(takes(0)) <= n:
+        return takes(0)
+    low, high = 0, max(room)  # at low too many or just enough are taken, at high too few
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(takes(mid)) >= n else (low, mid)
+    found, more = takes(high), takes(low)
+    over = n - sum(found)
+    for s, (few, many) in enumerate(zip(found, more, strict=True)):
+        if over and many > few:
+            found[s], over = many, over - 1
+    return found
+
+
+def _tightest(n: int, members: int, room: list[int]) -> list[int]:
+    """How many of ``n`` groups each shard takes, the fullest that they fit first."""
+    found = [0] * len(room)
+    for s in sorted(range(len(room)), key=lambda s: room[s]):
+        found[s] = min(n, room[s] // members)
+        n -= found[s]
+    return found
+
+
+def _spread(rows: int, room: list[int]) -> tuple[list[int], list[int]]:
+    """Shards for a group that is cut, few of them, and the numbers of its rows at which each ends."""
+    shards, stops, at = [], [], 0
+    while at < rows:
+        fits = [s for s, r in enumerate(room) if r >= rows - at]
+        s = min(fits, key=room.__getitem__) if fits else max(range(len(room)), key=room.__getitem__)
+        n = min(room[s], rows - at)
+        room[s] -= n
+        at += n
+        shards.append(s)
+        stops.append(at)
+    return shards, stops
+
+
+def packed(sizes: dict[int, int], quota: list[int]) -> tuple[list[tuple], list[int], int]:
+    """Shards for ``sizes`` (members: number of groups), what is left of ``quota``, and how many groups that fit are cut.
+
+    A place is (members, first, last, shards, stops): groups first to last - 1
+    of their size go to the one shard, or a single group to several.  Groups
+    are dealt evenly, or, if that cuts more of them, to the fullest shards.
+    """
+    def placed(deal) -> tuple[list[tuple], list[int], int]:
+        room, places, cut = list(quota), [], []
+        for members in sorted(sizes, reverse=True):
+            first, n = 0, sizes[members]
+            if members > max(quota):
+                places += [(members, i, i + 1, *_spread(members, room)) for i in range(n)]
+                continue
+            for s, some in enumerate(deal(n, members, room)):
+                if some:
+                    places.append((members, first, first + some, [s], [members]))
+                    room[s] -= some * members
+                    first += some
+            cut += [(members, i) for i in range(first, n)]
+        places += [(members, i, i + 1, *_spread(members, room)) for members, i in cut]
+        return places, room, len(cut)
+
+    even = placed(_level)
+    return min(even, placed(_tightest), key=lambda x: x[2]) if even[2] else even
+
+
+def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``rows`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     ``rows`` has ``id`` and ``link``; rows of equal link belong together, a
@@ -87,26 +111,28 @@ def shard(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     result.
     """
     rows = frozen(rows)
-    groups = rows.where("link IS NOT NULL").groupBy("link").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    spark = rows.sparkSession
+    salts = max(64, 4 * shuffle_partitions(spark))
+    groups = frozen(rows.where("link IS NOT NULL").groupBy("link").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     quota = quotas(rows.count(), shards)
-    salts = max(64, 4 * shuffle_partitions(rows.sparkSession))
-    narrow = rows.select("id", "link")
-    linked = narrow.join(groups, "link").select("id", "link", "members")
-    labels = propagate(linked, quota, rounds).select("id", "link", "shard")
-    numbered = frozen(ranked(labels, ["shard"], ["id", "link"], salts, "slot"))
-    kept = [min(q, n) for q, n in zip(quota, _loads(numbered, shards), strict=True)]
-    stays = numbered.where(F.col("slot") < _at(kept, F.col("shard")))
-    spilt = numbered.where(F.col("slot") >= _at(kept, F.col("shard"))).select("id", "link")
-    alone = narrow.join(groups, "link", "left_anti").unionByName(spilt)
-    free = ranked(alone, [], ["id", "link"], salts, "place")
+    places, room, _ = packed({r["members"]: r["count"] for r in groups.groupBy("members").count().collect()}, quota)
+    of_size = F.broadcast(spark.createDataFrame(places, "of long, first long, last long, shards array<int>, stops array<long>"))
+    numbered = ranked(groups, ["members"], ["link"], salts, "nth")
+    whereto = numbered.join(of_size, (F.col("members") == F.col("of")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("last")))
+    labels = frozen(rows.select("id", "link").join(whereto.select("link", "shards", "stops"), "link", "left"))
+    whole = labels.where(F.size("shards") == 1).select("id", "link", F.col("shards")[0].alias("shard"))
+    cut = ranked(labels.where(F.size("shards") > 1), ["link"], ["id"], salts, "nth")
+    cut = cut.select("id", "link", F.get("shards", F.size(F.filter("stops", lambda x: x <= F.col("nth")))).alias("shard"))
+    stays = ranked(whole.unionByName(cut), ["shard"], ["id", "link"], salts, "slot")
+    free = ranked(labels.where("shards IS NULL").select("id", "link"), [], ["id", "link"], salts, "place")
     stops, starts, at = [], [], 0
-    for q, k in zip(quota, kept, strict=True):
-        starts.append(k - at)
-        at += q - k
+    for q, r in zip(quota, room, strict=True):
+        starts.append(q - r - at)
+        at += r
         stops.append(at)
     to = reduce(add, [(F.col("place") >= s).cast("int") for s in stops[:-1]], F.lit(0))
     filled = free.withColumn("shard", to).withColumn("slot", F.col("place") + _at(starts, F.col("shard")).cast("long"))
-    placed = stays.unionByName(filled.select("id", "link", "shard", "slot"))
+    placed = stays.select("id", "link", "shard", "slot").unionByName(filled.select("id", "link", "shard", "slot"))
     return _with_columns(rows, placed)
 
 

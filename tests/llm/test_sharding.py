@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from hazardflow.llm.sharding import quotas, shard
+from hazardflow.llm.sharding import packed, quotas, shard
 from tests.llm.helpers import rows
 
 SCHEMA = "id long, link long, size long, slot long, place long"
@@ -49,3 +49,40 @@ def test_fewer_rows_than_shards_and_none(spark):
     laws(got, 40)
     assert shard(spark.createDataFrame([], "id long, link long, size long"), 40).collect() == []
     assert sum(quotas(1001, 40)) == 1001
+
+
+def cut_groups(got, shards):
+    """Links whose group would fit a shard but lies in several."""
+    places, sizes = defaultdict(set), Counter(r.link for r in got)
+    for r in got:
+        places[r.link].add(r.shard)
+    return [k for k, n in sizes.items() if n <= max(quotas(len(got), shards)) and len(places[k]) > 1]
+
+
+@pytest.mark.parametrize("paired", [1000, 970])
+def test_copies_stay_whole_where_little_is_unlinked(spark, paired):
+    data = [(i, i // 2 if i < paired else -i, 1) for i in range(1000)]
+    got = shard(spark.createDataFrame(data, "id long, link long, size long").repartition(4), 10).collect()
+    laws(got, 10)
+    assert Counter((r.id, r.link, r.size) for r in got) == Counter(data)
+    assert cut_groups(got, 10) == []
+
+
+@pytest.mark.parametrize("sizes, shards, cuts", [
+    ({2: 50_000, 3: 20_000, 7: 900, 30: 11}, 40, 39),
+    ({60: 4, 50: 4, 40: 4, 250: 1}, 10, 9),
+    ({3: 5, 2: 1}, 8, 7),
+    ({6: 2, 4: 3, 2: 4}, 4, 0),
+])
+def test_packed_places_every_row_once(sizes, shards, cuts):
+    quota = quotas(sum(m * n for m, n in sizes.items()), shards)
+    places, room, cut = packed(sizes, quota)
+    loads, seen = [0] * shards, defaultdict(list)
+    for members, first, last, into, stops in places:
+        assert stops[-1] == members and (last - first == 1 or len(into) == 1)
+        for s, a, b in zip(into, [0, *stops], stops):
+            loads[s] += (last - first) * (b - a)
+        seen[members] += range(first, last)
+    assert {m: sorted(x) for m, x in seen.items()} == {m: list(range(n)) for m, n in sizes.items()}
+    assert room == [0] * shards and loads == quota
+    assert cut <= cuts
