@@ -69,14 +69,16 @@ def stratified_kfold(df: DataFrame, id_col: str, strat: str, k: int = 4) -> Data
 
 
 def repeated_kfold(df: DataFrame, id_col: str, strat: str | None = None, k: int = 4, repeats: int = 3,
-                   seed: int = 1) -> DataFrame:
+                   seed: int = 1, within: list[str] | None = None) -> DataFrame:
     """Rows 80-81 (RSKF / RKF): k folds x repeats, hash order per repeat,
-    stratified when ``strat`` is given."""
-    cols = [id_col] + ([strat] if strat else [])
+    stratified when ``strat`` is given; folds of their own in each group of
+    the columns ``within``."""
+    within = within or []
+    cols = [id_col] + ([strat] if strat else []) + within
     d = df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     d = d.withColumn("_h", shuffle_key(d, id_col, F.col("repeat") * 1000 + seed))
-    r = _ranked(d, ["_h", id_col], ["repeat"] + ([strat] if strat else []))
-    return r.select("repeat", id_col, F.floor(F.col("_rank") * k / F.col("_nc")).cast("int").alias("fold"))
+    r = _ranked(d, ["_h", id_col], ["repeat"] + ([strat] if strat else []) + within)
+    return r.select("repeat", id_col, *within, F.floor(F.col("_rank") * k / F.col("_nc")).cast("int").alias("fold"))
 
 
 def leave_one_out(df: DataFrame, id_col: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, cox, metrics, prep, splits
-from ..operators.search import _beta_table, _score_expr
+from ..operators.search import _beta_table, _score_expr, inner_search
 
 
 @dataclass
@@ -68,8 +68,10 @@ def prepare(df: DataFrame, features: list[str], miss_col: float = 0.8, miss_row:
 
 
 def auto(df: DataFrame, features: list[str], id_col: str, time: str = "time", event: str = "event",
-         alpha: float = 0.5, ties: str = "breslow", uni_p: float = 0.1, min_c: float = 0.5,
-         n_splits: int = 10, test_size: float = 0.25, seed: int = 0) -> AutoResult:
+         uni_p: float = 0.1, min_c: float = 0.5, n_splits: int = 10, test_size: float = 0.25, seed: int = 0,
+         grid: dict | None = None) -> AutoResult:
+    """Lifecycle (a).  Every outer fold's Cox model takes the alpha and ties
+    that the search over ``grid`` finds inside the fold's training rows."""
     spark = df.sparkSession
     cols, imp, sc = prepare(df, features)
     b0 = Bundle(cols, imp, sc, pd.DataFrame(columns=["fold", "feature", "coef"]))
@@ -78,13 +80,18 @@ def auto(df: DataFrame, features: list[str], id_col: str, time: str = "time", ev
     # screen: univariate Cox, keep p <= UniP and C >= CIs (rows 46, 48)
     uni = cox.univariate_cox(data, cols, ties="efron")
     kept = cox.screen(uni, uni_p, min_c) or cols
-    # outer CV: SSA splits, one batched fit for all folds (rows 60, 83)
-    asg = splits.ssa(data, id_col, "event", n_splits, test_size, seed)
+    # outer CV: SSA splits, an inner search in each, one batched fit for all folds (rows 60, 76, 83)
+    asg = splits.ssa(data, id_col, "event", n_splits, test_size, seed).persist()
+    best = inner_search(data, kept, id_col, asg, grid)
     train = data.join(asg.filter(~F.col("is_test")), id_col).withColumn("model", F.col("split").cast("string"))
-    res = cox.CoxFitter(ties=ties, alpha=alpha).fit(train, kept, model_col="model")
-    coefs = pd.DataFrame([(int(m), f, float(res.beta[i, j])) for i, m in enumerate(res.models)
-                          for j, f in enumerate(kept)], columns=["fold", "feature", "coef"])
-    bt = _beta_table(spark, [str(m) for m in res.models], list(res.beta), len(kept))
+    betas = {}
+    for ties in sorted({b["ties"] for b in best.values()}):
+        own = {str(m): float(b["alpha"]) for m, b in best.items() if b["ties"] == ties}
+        res = cox.CoxFitter(ties=ties, alpha=own).fit(train.filter(F.col("model").isin(list(own))), kept, model_col="model")
+        betas |= {int(m): b for m, b in zip(res.models, res.beta)}
+    coefs = pd.DataFrame([(m, f, float(betas[m][j])) for m in sorted(betas) for j, f in enumerate(kept)],
+                         columns=["fold", "feature", "coef"])
+    bt = _beta_table(spark, [str(m) for m in betas], list(betas.values()), len(kept))
     test = data.join(asg.filter("is_test"), id_col).withColumn("model", F.col("split").cast("string"))
     detail = test.join(F.broadcast(bt), "model").select(
         F.col("split").alias("fold"), id_col, "time", "event",
@@ -95,7 +102,7 @@ def auto(df: DataFrame, features: list[str], id_col: str, time: str = "time", ev
     mean = coefs.groupby("feature")["coef"].mean().to_dict()
     final = aggregate.risk_final(detail, data, id_col, mean)
     bundle = Bundle(kept, {c: imp[c] for c in kept}, {c: sc[c] for c in kept}, coefs,
-                    data.select("time", "event"), {"alpha": alpha, "ties": ties})
+                    data.select("time", "event"), {"folds": {str(m): b for m, b in sorted(best.items())}})
     return AutoResult(bundle, uni, scores, summary, detail, final)
 
 

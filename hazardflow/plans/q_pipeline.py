@@ -22,7 +22,7 @@ def _split(spark, sf):
 @query("auto_pipeline")
 def auto_pipeline(spark, sf):
     """Lifecycle (a): impute + scale, univariate Cox screen, SSA outer CV of
-    CoxPH (alpha 0.5), per-sample final risk table."""
+    CoxPH with a grid search in each fold, per-sample final risk table."""
     train, _ = _split(spark, sf)
     res = pipeline.auto(train, FEATURES, "event_id")
     return res.risk_final
