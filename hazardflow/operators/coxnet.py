@@ -7,10 +7,9 @@ model uses the last (smallest) alpha.
 
 Proximal Newton: one Spark pass (``CoxFitter._pass``) gives the gradient and
 information at the linearisation point; the penalised quadratic model is
-solved by coordinate descent on the driver (p x p).  Along the warm-started
-path the model is re-linearised only when the coefficients moved by more
-than ``relinearise`` since the last pass; the final alpha is polished until
-the Newton step is below ``tol``.
+solved by coordinate descent on the driver (p x p).  At every alpha of the
+warm-started path the model is re-linearised until the Newton step is below
+``tol``; ``converged`` tells where ``max_passes_per_alpha`` came first.
 """
 
 from __future__ import annotations
@@ -51,6 +50,7 @@ class CoxnetPath:
     loglik: np.ndarray           # n_alphas (quadratic-model value at each solution)
     null_loglik: float
     passes: int
+    converged: np.ndarray        # n_alphas
 
     @property
     def deviance_ratio(self) -> np.ndarray:
@@ -64,12 +64,12 @@ class CoxnetPath:
         dr = self.deviance_ratio
         for i, a in enumerate(self.alphas):
             for j, f in enumerate(self.features):
-                rows.append((i, float(a), float(dr[i]), f, float(self.coefs[i, j])))
-        return pd.DataFrame(rows, columns=["i", "alpha", "deviance_ratio", "feature", "coef"])
+                rows.append((i, float(a), float(dr[i]), f, float(self.coefs[i, j]), bool(self.converged[i])))
+        return pd.DataFrame(rows, columns=["i", "alpha", "deviance_ratio", "feature", "coef", "converged"])
 
 
 def fit_path(df: DataFrame, features: list[str], l1_ratio: float = 0.2, n_alphas: int = 100,
-             alpha_min_ratio: float = 1e-4, tol: float = 1e-7, relinearise: float = 0.05,
+             alpha_min_ratio: float = 1e-4, tol: float = 1e-7,
              max_passes_per_alpha: int = 20, time: str = "time", event: str = "event") -> CoxnetPath:
     fitter = CoxFitter(ties="breslow")
     p = len(features)
@@ -98,24 +98,25 @@ def fit_path(df: DataFrame, features: list[str], l1_ratio: float = 0.2, n_alphas
     amax = float(np.max(np.abs(g0))) / l1_ratio if l1_ratio > 0 else float(np.max(np.abs(g0))) * 1e3
     alphas = np.geomspace(amax, amax * alpha_min_ratio, n_alphas)
     lin_b, ll_l, g_l, H_l = b.copy(), ll0, g0, H0
-    coefs, lls = [], []
-    for ai, a in enumerate(alphas):
-        last = ai == len(alphas) - 1
-        for _ in range(max_passes_per_alpha):
+    coefs, lls, solved = [], [], []
+    for a in alphas:
+        for done in range(max_passes_per_alpha + 1):
             lin = H_l @ lin_b + g_l
             nb = _enet_cd(H_l, lin, a * l1_ratio, a * (1 - l1_ratio), b)
             moved = float(np.max(np.abs(nb - lin_b)))
             b = nb
-            if (not last and moved <= relinearise) or (last and moved <= tol):
+            if moved <= tol or done == max_passes_per_alpha:
                 break
             lin_b = b.copy()
             ll_l, g_l, H_l = linearise(lin_b)
         dlt = b - lin_b
         lls.append(ll_l + g_l @ dlt - 0.5 * dlt @ H_l @ dlt)
         coefs.append(b.copy())
+        solved.append(moved <= tol)
     d.unpersist()
     return CoxnetPath(features=list(features), alphas=alphas, coefs=np.array(coefs),
-                      loglik=np.array(lls) * n, null_loglik=ll0 * n, passes=passes)
+                      loglik=np.array(lls) * n, null_loglik=ll0 * n, passes=passes,
+                      converged=np.array(solved))
 
 
 def pick(path: CoxnetPath, how: str = "last") -> int:

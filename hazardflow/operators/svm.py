@@ -146,6 +146,7 @@ class SVMResult:
     objective: float
     iterations: int
     active_pairs: float
+    converged: bool
 
 
 def _prepare(df: DataFrame, features: list[str], time: str, event: str) -> DataFrame:
@@ -154,15 +155,24 @@ def _prepare(df: DataFrame, features: list[str], time: str, event: str) -> DataF
     return time_positions(d, "time").persist()
 
 
+#: Newton steps of one smoothing level of the hinge, after which the fit counts as unsolved.
+HINGE_STEPS = 200
+
+
 def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: str = "squared_hinge",
                  penalty: str = "l2", max_iter: int = 20, tol: float = 1e-8, time: str = "time",
                  event: str = "event", cap=None) -> SVMResult:
-    """Rows 63/64/65/72: pairwise survival SVM on the comparable pairs."""
+    """Rows 63/64/65/72: pairwise survival SVM on the comparable pairs.
+
+    ``converged`` is False where a limit on the steps was reached first.  The
+    hinge is solved to tolerance at every smoothing level, with up to
+    ``max(max_iter, HINGE_STEPS)`` steps a level; the last level is 0.01."""
     d = _prepare(df, features, time, event)
     p = len(features)
     stats = PairStats(d, p, cap)
     w = np.zeros(p)
     it = 0
+    converged = False
     if penalty == "l2" and loss == "squared_hinge":
         cur = stats(w)
         for it in range(1, max_iter + 1):
@@ -179,38 +189,51 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
                     break
                 t *= 0.5
             w, cur = w_new, new
-            if np.max(np.abs(t * step)) < tol:
+            if np.max(np.abs(step)) < tol:
+                converged = True
                 break
         L, _, _, npairs = cur
         d.unpersist()
-        return SVMResult(w, 0.5 * w @ w + 0.5 * alpha * L, it, npairs)
+        return SVMResult(w, 0.5 * w @ w + 0.5 * alpha * L, it, npairs, converged)
     if penalty == "l2" and loss == "hinge":
         # smoothed hinge h_delta, continuation on delta; evaluations reused
         obj = None
         npairs = 0.0
+        converged = True
         for delta in (1.0, 0.1, 0.01):
             cur = _smoothed_hinge(stats, w, delta)
-            for it in range(1, min(max_iter, 4) + 1):
+            solved = False
+            for _ in range(max(max_iter, HINGE_STEPS)):
                 f, g, H, npairs = cur
                 obj = 0.5 * w @ w + alpha * f
                 grad = w + alpha * g
                 step = np.linalg.solve(np.eye(p) + alpha * H + 1e-9 * np.eye(p), grad)
+                noise = 1e-12 * max(1.0, abs(obj))  # decreases below this are not told apart
+                if np.max(np.abs(step)) < tol or 0.5 * grad @ step < noise:
+                    solved = True
+                    break
                 t = 1.0
-                accepted = False
-                while t >= 0.05:
+                while True:
                     w_new = w - t * step
                     new = _smoothed_hinge(stats, w_new, delta)
-                    if 0.5 * w_new @ w_new + alpha * new[0] <= obj + 1e-12 * max(1.0, abs(obj)):
-                        accepted = True
+                    if 0.5 * w_new @ w_new + alpha * new[0] <= obj - 1e-4 * t * (grad @ step) + noise:
                         break
                     t *= 0.5
-                if not accepted:
-                    break  # no decrease along the Newton direction: next smoothing level
+                    if t < 1e-10:
+                        break
+                if t < 1e-10:
+                    break  # no decrease along a descent direction
                 w, cur = w_new, new
-                if np.max(np.abs(t * step)) < max(tol, 1e-5):
-                    break
+                it += 1
+            else:  # the last step may have solved it
+                f, g, H, npairs = cur
+                obj = 0.5 * w @ w + alpha * f
+                grad = w + alpha * g
+                step = np.linalg.solve(np.eye(p) + alpha * H + 1e-9 * np.eye(p), grad)
+                solved = bool(np.max(np.abs(step)) < tol)
+            converged = converged and solved
         d.unpersist()
-        return SVMResult(w, obj, it, npairs)
+        return SVMResult(w, obj, it, npairs, converged)
     if penalty == "l1" and loss == "squared_hinge":
         # min ||w||_1 + alpha/2 * L(w): proximal Newton, CD on the quadratic model
         for it in range(1, max_iter + 1):
@@ -220,11 +243,12 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
             w_new = _l1_quadratic_cd(Hs, gs, w, 1.0)
             if np.max(np.abs(w_new - w)) < tol:
                 w = w_new
+                converged = True
                 break
             w = w_new
         L, _, _, npairs = stats(w)
         d.unpersist()
-        return SVMResult(w, float(np.abs(w).sum() + 0.5 * alpha * L), it, npairs)
+        return SVMResult(w, float(np.abs(w).sum() + 0.5 * alpha * L), it, npairs, converged)
     raise ValueError(f"unsupported penalty/loss: {penalty}/{loss}")
 
 

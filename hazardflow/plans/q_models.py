@@ -96,7 +96,8 @@ def coxnet_pick(spark, sf):
     i = coxnet.pick(path, "last")
     j = coxnet.pick(path, "deviance")
     return _coef_frame(spark, EV_FEATURES, path.coefs[i],
-                       extra={"alpha": float(path.alphas[i]), "best_deviance_alpha": float(path.alphas[j])})
+                       extra={"alpha": float(path.alphas[i]), "best_deviance_alpha": float(path.alphas[j]),
+                               "converged": bool(path.converged.all())})
 
 
 def _svm_query(spark, sf, **kw):
@@ -107,7 +108,8 @@ def _svm_query(spark, sf, **kw):
         t = F.col(f) * F.lit(float(r.coef[j]))
         lp = t if lp is None else lp + t
     c = metrics.harrell_c(ev, lp)["cindex"]
-    return _coef_frame(spark, EV_FEATURES, r.coef, extra={"objective": float(r.objective), "train_cindex": c})
+    return _coef_frame(spark, EV_FEATURES, r.coef, extra={"objective": float(r.objective), "train_cindex": c,
+                                                         "converged": r.converged})
 
 
 @query("svm_pairwise")

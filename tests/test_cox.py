@@ -97,3 +97,20 @@ def test_coxnet_kkt_at_last_alpha(df):
             assert g[j] - a * (0.2 * np.sign(b[j]) + 0.8 * b[j]) == pytest.approx(0, abs=1e-5)
         else:
             assert abs(g[j]) <= a * 0.2 + 1e-6
+
+
+def test_coxnet_every_alpha_is_solved(df):
+    sdf, (X, t, e) = df
+    path = coxnet.fit_path(sdf, ["a", "b"], l1_ratio=0.2, n_alphas=5, alpha_min_ratio=1e-2)
+    n, h = len(t), 1e-6
+    assert path.converged.all()
+    for a, b, ll in zip(path.alphas, path.coefs, path.loglik):
+        g = np.array([(_loglik(X, t, e, b + h * v, "breslow") - _loglik(X, t, e, b - h * v, "breslow")) / (2 * h * n)
+                      for v in np.eye(2)])
+        for j in range(2):
+            if abs(b[j]) > 1e-8:
+                assert g[j] - a * (0.2 * np.sign(b[j]) + 0.8 * b[j]) == pytest.approx(0, abs=1e-5)
+            else:
+                assert abs(g[j]) <= a * 0.2 + 1e-6
+        assert ll == pytest.approx(_loglik(X, t, e, b, "breslow"), abs=1e-6)
+    assert not coxnet.fit_path(sdf, ["a", "b"], n_alphas=3, max_passes_per_alpha=0).converged.all()

@@ -80,3 +80,19 @@ def test_smoothed_hinge_value_and_gradient(data):
     num = np.array([(_smoothed(X, t, e, w + h * v, 0.3) - _smoothed(X, t, e, w - h * v, 0.3)) / (2 * h)
                     for v in np.eye(3)])
     assert np.allclose(g, num, atol=1e-4)
+
+
+def test_hinge_is_solved_at_the_last_level(data):
+    df, X, t, e = data
+    r = svm.fit_rank_svm(df, ["a", "b", "c"], alpha=1.0, loss="hinge")
+    h = 1e-6
+    g = np.array([(_smoothed(X, t, e, r.coef + h * v, 0.01) - _smoothed(X, t, e, r.coef - h * v, 0.01)) / (2 * h)
+                  for v in np.eye(3)])
+    assert r.converged and np.allclose(r.coef + g, 0, atol=1e-3)
+
+
+def test_a_fit_that_reached_its_limit_says_so(data, monkeypatch):
+    df, *_ = data
+    monkeypatch.setattr(svm, "HINGE_STEPS", 1)
+    assert not svm.fit_rank_svm(df, ["a", "b", "c"], loss="hinge", max_iter=1).converged
+    assert not svm.fit_rank_svm(df, ["a", "b", "c"], alpha=0.5, max_iter=1).converged
