@@ -12,6 +12,8 @@ from .registry import query, r6
 SCREEN = ["value", "k", "hour", "is_click", "is_view"]
 KENDALL = ["value", "k", "hour"]
 CHI2 = ["k", "hour", "is_click", "is_view"]
+#: Every numeric feature of surv_events.
+EVERY = ["value", "k", "hour", "is_click", "is_view", "is_signup", "is_purchase"]
 
 
 def _u(cols, src="surv_events", y="time"):
@@ -140,6 +142,39 @@ def topk_vote(spark, sf):
     return v.select("feature", r6("true_ratio", "true_ratio"), "kept")
 
 
+K_FULL = int(round(0.8 * len(EVERY)))
+FULL_VOTE_SQL = f"""
+WITH kd AS ({KDT_SQL.replace(_u(KENDALL), _u(EVERY))}),
+mi AS ({MI_SQL.replace(_u(SCREEN), _u(EVERY))}),
+{VOTE_SQL.strip().removeprefix("WITH ").replace(_u(SCREEN), _u(EVERY)).replace(f"rn <= {K_TOP}", f"rn <= {K_FULL}").replace(
+    "       UNION ALL SELECT 'VTh'", """       UNION ALL SELECT 'KDT', feature, abs(tau), NULL FROM kd
+       UNION ALL SELECT 'MI', feature, mi, NULL FROM mi
+       UNION ALL SELECT 'VTh'""")}
+"""
+
+
+@query("topk_vote_full", V.with_views(FULL_VOTE_SQL, "surv_events"))
+def topk_vote_full(spark, sf):
+    """Rows 49-50: the vote of all seven methods over all seven features."""
+    ev = V.surv_events(spark, sf).persist()
+    c = screen.correlation_stats(ev, EVERY, "time")
+    kd = spark.createDataFrame(screen.kendall(ev, EVERY, "time")[["feature", "tau"]])
+    sel = F.lit(None).cast("boolean")
+
+    def method(name, frame, score):
+        return frame.select(F.lit(name).alias("method"), "feature", score.alias("score"), sel.alias("selected"))
+
+    var = screen.variance_select(ev, EVERY)
+    scores = (method("ANVF", c, F.col("f")).unionByName(method("PEAS", c, F.abs("r")))
+              .unionByName(method("LR", c, F.abs("r")))
+              .unionByName(method("SPM", screen.spearman(ev, EVERY, "time"), F.abs("rho")))
+              .unionByName(method("KDT", kd, F.abs("tau")))
+              .unionByName(method("MI", screen.mi_binned(ev, EVERY, "time"), F.col("mi")))
+              .unionByName(var.select(F.lit("VTh").alias("method"), "feature", F.col("variance").alias("score"), "selected")))
+    v = screen.top_k_vote(scores, K_FULL, 0.15)
+    return v.select("feature", r6("true_ratio", "true_ratio"), "kept")
+
+
 TWO_SQL = f"""
 WITH u AS ({_u(SCREEN)}),
 rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx
@@ -214,9 +249,15 @@ def ridge_path(spark, sf):
                                            "feature", r6("coef", "coef"))
 
 
+@query("ridge_path_full")
+def ridge_path_full(spark, sf):
+    """Row 34: the ridge path over all seven features."""
+    return spark.createDataFrame(describe.ridge_path(V.surv_events(spark, sf), EVERY, "time"))
+
+
 @query("lasso_path")
 def lasso_path(spark, sf):
-    p = describe.lasso_path(V.surv_events(spark, sf), ["value", "k", "hour"], "time")
+    p = describe.lasso_path(V.surv_events(spark, sf), EVERY, "time")
     return spark.createDataFrame(p)
 
 

@@ -323,6 +323,13 @@ def cox_univariate(spark, sf):
                                                       "coef_lower_95", "coef_upper_95"]])
 
 
+@query("cox_univariate_full")
+def cox_univariate_full(spark, sf):
+    """Row 46: all seven features with C-index, p and -log2 p."""
+    features = [*UNI_FEATURES, "is_signup", "is_purchase"]
+    return spark.createDataFrame(cox.univariate_cox(V.surv_events(spark, sf), features))
+
+
 SCORE_FEATURES = ["l_discount", "l_tax", "p_size"]
 
 
