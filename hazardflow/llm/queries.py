@@ -138,3 +138,92 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"))
     return shard(rows).select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                               F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Terms are cut by a pattern; only A-Z is lower-cased.
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents),
+t AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS kinds, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+w AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(w.total, 0) + 5 * v.kinds) AS p,
+         1 + (1000000000::HUGEINT * (k.lang_n + 5)) // (v.lang_total + 5 * v.kinds) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN w USING (lang, source)),
+o AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(o.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN o ON o.lang = a.lang AND o.source = a.source AND o.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM s WHERE n > 0 AND p > q),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM parts)
+SELECT lang, source, part, item, value, CAST(k AS INTEGER) AS rank FROM n WHERE part = 'pair' OR k <= 50
+"""
+
+
+@register("op12_source_divergence", _DIVERGENCE_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.divergence import Audit
+
+    audit = Audit(table(spark, sf_dir, "documents"))
+    named = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
+    return named(audit.pair_parts(), "pair").unionByName(named(audit.term_parts(), "term"))
+
+
+def _codes_sql(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """Six rounds of assignment and floored means, one set of tables a round."""
+    steps = [f"""
+z AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid,
+         list_transform(embedding, lambda x: CAST(floor({4096} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c AS MATERIALIZED (
+  SELECT rid, (i - 1) // (len(v) // {parts}) AS part, (i - 1) % (len(v) // {parts}) AS pos, v[i] AS x
+  FROM (SELECT rid, v, unnest(range(1, len(v) + 1)) AS i FROM z)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, pos, x FROM c WHERE rid <= {entries})"""]
+
+    def nearest(k):
+        return f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, part, entry, d FROM (
+    SELECT rid, part, entry, d, row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) AS k FROM (
+      SELECT c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+      FROM c JOIN b{k} b ON b.part = c.part AND b.pos = c.pos GROUP BY c.rid, c.part, b.entry)) WHERE k = 1)"""
+
+    for k in range(rounds):
+        steps += [nearest(k), f"""
+m{k} AS MATERIALIZED (
+  SELECT a.part, a.entry, c.pos, sum(c.x) AS s, count(*) AS n
+  FROM a{k} a JOIN c ON c.rid = a.rid AND c.part = a.part GROUP BY a.part, a.entry, c.pos),
+b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, CAST(CASE WHEN m.n IS NULL THEN b.x ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS BIGINT) AS x
+  FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)"""]
+    steps += [nearest(rounds), f"""
+e AS (
+  SELECT z.vec_id, z.label, string_agg(printf('%02x', CAST(a.entry AS INTEGER)), '' ORDER BY a.part) AS code, sum(a.d) AS error
+  FROM z JOIN a{rounds} a ON a.rid = z.rid GROUP BY z.rid, z.vec_id, z.label),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       codebooks_sha256 FROM e, h"""]
+    return "WITH" + ",".join(steps[:-1]) + "," + steps[-1]
+
+
+@register("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.vector_codes import compress, digest
+
+    encoded, book = compress(table(spark, sf_dir, "embeddings"))
+    code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    return encoded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest(book)).alias("codebooks_sha256"))
