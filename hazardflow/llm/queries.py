@@ -227,3 +227,35 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded, book = compress(table(spark, sf_dir, "embeddings"))
     code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
     return encoded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest(book)).alias("codebooks_sha256"))
+
+
+#: All pairs that share a shingle, each different set once; the closure over links of different sets.
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END)) AS x FROM d),
+k AS MATERIALIZED (SELECT row_number() OVER () AS node, x, len(x) AS n FROM (SELECT DISTINCT x FROM s WHERE len(x) > 0)),
+m AS MATERIALIZED (SELECT s.doc_id, k.node, k.n FROM s JOIN k ON s.x = k.x),
+u AS MATERIALIZED (SELECT node, n, unnest(x) AS g FROM k),
+e AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.g = b.g AND a.node <> b.node
+    AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.node, b.node, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 80),
+c(node, peer) AS (SELECT node, node FROM k UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.peer),
+l AS (SELECT c.node, min(m.doc_id) AS component_id FROM c JOIN m ON m.node = c.peer GROUP BY c.node),
+o AS (
+  SELECT m.doc_id, m.n AS n_shingles, l.component_id FROM m JOIN l ON l.node = m.node
+  UNION ALL SELECT doc_id, 0, doc_id FROM s WHERE len(x) = 0)
+SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o
+"""
+
+
+@register("op11_minhash_near_dedup", _NEAR_SQL)
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardflow.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
