@@ -10,7 +10,7 @@ probability that its similarity reaches the threshold falls under ``MISS``
 Candidates come in two steps, neither of which lists the pairs of a band
 group.  First every member is compared with the least member of its group,
 which is linear in the members and already connects groups of near copies.
-Then, in groups that still hold more than one component, members of different
+Then, in groups of more than two that still hold several components, members of different
 components are compared: small groups by a join, larger ones in blocks inside
 tasks, which hand back only pairs that pass the comparison.  Every pair of a
 shared band is thus connected, given up by the posterior or verified.
@@ -44,6 +44,8 @@ MISS = 1e-9
 SMALL, BLOCK = 16, 256
 #: Buckets over which the rows that look up one class are dealt.
 SALTS = 16
+#: Most rows of a key table (two longs at most) that is sent to every executor; a longer one is joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Rows from which a class's answer is sent to every executor (at most rows / HOT classes).
 HOT = 10_000
 #: Shingle hashes minimised at once.
@@ -232,6 +234,12 @@ def surviving(a, b):
     return left
 
 
+def _keys(keys: DataFrame) -> DataFrame:
+    """A narrow key table for a join, sent to every executor if it has at most ``BROADCAST_KEYS`` rows."""
+    keys = frozen(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _looked_up(pairs: DataFrame, side: str, facts: DataFrame, columns: list[str]) -> DataFrame:
     """``pairs`` with the facts of the class in ``side``, a class that many pairs name dealt over ``SALTS`` tasks."""
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
@@ -260,7 +268,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -
     """The pairs whose full sets reach the threshold; the texts of their classes alone are read again."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = frozen(nodes.select("node", "digest", "key").join(ends, "node"))
-    again = _keyed(docs).join(wanted.select("key").distinct(), "key", "left_semi").select("text")
+    again = _keyed(docs).join(_keys(wanted.select("key").distinct()), "key", "left_semi").select("text")
 
     def run(batches):
         import pyarrow as pa
@@ -330,14 +338,18 @@ def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS, small: int = SMALL) -> DataFrame:
     """Verified edges (a < b) between classes, whose components are those of all verified pairs of a shared band."""
     bands = _bands(nodes)
-    shared = frozen(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("a"))
+    shared = frozen(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("a"), F.max("node").alias("b"))
                     .where("members > 1"))
-    members = frozen(bands.join(shared, "band").select("band", "node", "n", "a", "members"))
-    stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    more = shared.where("members > 2")
+    members = frozen(bands.join(_keys(more.select("band")), "band").join(more.select("band", "a", "members"), "band"))
+    stars = frozen(shared.where("members = 2").select("a", "b").unionByName(
+        members.where("node <> a").select("a", F.col("node").alias("b"))).distinct())
+    ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = frozen(nodes.select("node", "digest", "key", "sig").join(_keys(ends), "node", "left_semi"))
     first = frozen(_verified(frozen(_compared(stars, nodes)), nodes, docs, width))
 
     # groups of more than one component: their members meet those of the other components
-    tagged = members.where("members > 2").join(_roots(nodes, first), "node")
+    tagged = members.join(_roots(nodes, first), "node")
     mixed_groups = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     rest = frozen(tagged.join(mixed_groups.select("band"), "band").select("band", "node", "n", "root", "members"))
     few = rest.where(F.col("members") <= small)
