@@ -40,8 +40,10 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: Posterior probability of reaching the threshold under which a candidate is given up.
 MISS = 1e-9
-#: Members of a band group whose pairs are joined; larger groups are compared in blocks of this many members.
-SMALL, BLOCK = 16, 256
+#: Members of a band group whose pairs are joined; larger groups are compared in blocks.
+SMALL = 16
+#: Members, and shingles, of a block (on average).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 #: Buckets over which the rows that look up one class are dealt.
 SALTS = 16
 #: Most rows of a key table (two longs at most) that is sent to every executor; a longer one is joined by a shuffle.
@@ -187,7 +189,7 @@ def _classes(found: DataFrame) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, node, n): a 64-bit key for each band of a class's signature."""
+    """(band, node, n): a key for each band of a class's signature; its low six bits are the band's number."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -195,7 +197,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
         factors = _stream(5, ROWS) | np.uint64(1)
         for b in batches:
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
-            keys = mixed((sig * factors).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(_SEED))
+            keys = mixed((sig * factors).sum(axis=2, dtype=np.uint64)) >> np.uint64(6) << np.uint64(6)
+            keys |= np.arange(BANDS, dtype=np.uint64)
             again = np.repeat(np.arange(b.num_rows), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view("<i8")), b.column(0).take(pa.array(again)),
                                               b.column(1).take(pa.array(again))], names=["band", "node", "n"])
@@ -264,12 +267,8 @@ def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold; the texts of their classes alone are read again."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = frozen(nodes.select("node", "digest", "key").join(ends, "node"))
-    again = _keyed(docs).join(_keys(wanted.select("key").distinct()), "key", "left_semi").select("text")
-
+def _with_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, n, sig, set): the full shingle sets of ``nodes``, whose texts alone are read again."""
     def run(batches):
         import pyarrow as pa
 
@@ -279,9 +278,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))], names=["digest", "set"])
 
-    sets = again.mapInArrow(run, "digest binary, set array<long>").join(wanted.select("node", "digest"), "digest")
-    sets = frozen(sets.select("node", "set").dropDuplicates(["node"]))
-    both = _looked_up(_looked_up(pairs, "a", sets, ["set"]), "b", sets, ["set"])
+    texts = _keyed(docs).join(_keys(nodes.select("key").distinct()), "key", "left_semi").select("text")
+    sets = texts.mapInArrow(run, "digest binary, set array<long>").join(nodes.select("node", "digest"), "digest")
+    return nodes.select("node", "n", "sig").join(sets.select("node", "set").dropDuplicates(["node"]), "node")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    both = _looked_up(_looked_up(pairs, "a", nodes, ["set"]), "b", nodes, ["set"])
     same = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - same
     return both.where(same * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b")
@@ -292,39 +296,62 @@ def _sizes_allow(n_a: str, n_b: str):
     return ((F.col(n_a) * SIMILAR[1] >= F.col(n_b) * SIMILAR[0]) & (F.col(n_b) * SIMILAR[1] >= F.col(n_a) * SIMILAR[0]))
 
 
-def _block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components in large band groups that pass the comparison, found block against block.
+def block_links(band: int, ours, theirs, node, label, sig, sets) -> list[tuple[int, int]]:
+    """Links that join the components ``label`` of members ``ours`` and ``theirs``, one for each two joined.
+
+    A pair is looked at in the first band that both share; its signatures are
+    compared in batches, and what is left is verified on the full sets.
+    """
+    import numpy as np
 
-    ``rows`` has (band, node, n, root, members).  A member goes to every pair
-    of blocks that holds its own; a task compares at most two blocks.
+    n = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(n)[:-1])
+    flat = np.concatenate([ids[k] for k in theirs])
+    starts = np.concatenate(([0], np.cumsum(n[theirs])[:-1]))
+    held = np.zeros(max(map(np.max, ids)) + 1, bool)
+    label, found = label.copy(), []
+    for i in ours.tolist():
+        fit = (label[theirs] != label[i]) & (n[theirs] * SIMILAR[1] >= n[i] * SIMILAR[0]) & (
+            n[i] * SIMILAR[1] >= n[theirs] * SIMILAR[0])
+        at = np.flatnonzero(fit)
+        at = at[surviving(np.broadcast_to(sig[i], (len(at), HASHES)), sig[theirs[at]])]
+        shared = (sig[theirs[at]] == sig[i]).reshape(len(at), BANDS, ROWS).all(axis=2)
+        at = at[shared.argmax(axis=1) == band] if len(at) else at
+        if not len(at):
+            continue
+        held[ids[i]] = True
+        same = np.add.reduceat(held[flat], starts, dtype=np.int64)[at]
+        held[ids[i]] = False
+        for j in theirs[at[same * SIMILAR[1] >= (n[i] + n[theirs[at]] - same) * SIMILAR[0]]].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((min(node[i], node[j]), max(node[i], node[j])))
+    return found
+
+
+def _block_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the components of large band groups, found block against block.
+
+    ``rows`` has (band, node, root, blocks).  A member goes to every pair of
+    blocks that holds its own; a task holds at most two blocks.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).select(
-        "band", "node", "n", "root", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = rows.select("band", "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"),
+                        F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
     dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node",
-                         "n", "root").join(nodes.select("node", "sig"), "node")
+                         "root").join(nodes.select("node", "sig", "set"), "node")
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        own, node, n, root = (table.column(c).to_numpy() for c in ("own", "node", "n", "root"))
+        own, node, root = (table.column(c).to_numpy() for c in ("own", "node", "root"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+        sets = [s.values.to_numpy() for s in table.column("set")]
         ours, theirs = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found_a, found_b = [], []
-        for i in ours.tolist():
-            fit = (root[theirs] != root[i]) & (n[theirs] * SIMILAR[1] >= n[i] * SIMILAR[0]) & (
-                n[i] * SIMILAR[1] >= n[theirs] * SIMILAR[0])
-            if low == high:
-                fit &= node[theirs] > node[i]
-            at = theirs[fit]
-            at = at[surviving(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at])]
-            found_a.append(np.minimum(node[at], node[i]))
-            found_b.append(np.maximum(node[at], node[i]))
-        return pa.table({"a": np.concatenate(found_a) if found_a else np.zeros(0, np.int64),
-                         "b": np.concatenate(found_b) if found_b else np.zeros(0, np.int64)})
+        found = block_links(table.column("band")[0].as_py() & 63, ours, theirs, node, root, sig, sets) if len(ours) and len(theirs) else []
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return dealt.groupBy("band", "low", "high").applyInArrow(run, "a long, b long")
 
@@ -345,21 +372,21 @@ def links(nodes: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS, small:
     stars = frozen(shared.where("members = 2").select("a", "b").unionByName(
         members.where("node <> a").select("a", F.col("node").alias("b"))).distinct())
     ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = frozen(nodes.select("node", "digest", "key", "sig").join(_keys(ends), "node", "left_semi"))
-    first = frozen(_verified(frozen(_compared(stars, nodes)), nodes, docs, width))
+    nodes = frozen(_with_sets(frozen(nodes.join(_keys(ends), "node", "left_semi")), docs, width))
+    first = frozen(_verified(frozen(_compared(stars, nodes)), nodes))
 
-    # groups of more than one component: their members meet those of the other components
+    # groups of several components: their members meet those of the other components
     tagged = members.join(_roots(nodes, first), "node")
-    mixed_groups = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    rest = frozen(tagged.join(mixed_groups.select("band"), "band").select("band", "node", "n", "root", "members"))
+    several = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")).where("lo < hi")
+    rest = frozen(tagged.join(several.select("band", "blocks"), "band").select("band", "node", "n", "root", "members", "blocks"))
     few = rest.where(F.col("members") <= small)
     x = few.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     y = few.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    joined = x.join(y, "band").where("a < b AND root_a <> root_b").where(_sizes_allow("n_a", "n_b")).select("a", "b").distinct()
-    joined = joined.join(stars, ["a", "b"], "left_anti")
-    many = _block_pairs(rest.where(F.col("members") > small), nodes).distinct().join(stars, ["a", "b"], "left_anti")
-    later = frozen(_compared(joined, nodes).unionByName(many).distinct())
-    return first.unionByName(_verified(later, nodes, docs, width)).distinct()
+    pairs = x.join(y, "band").where("a < b AND root_a <> root_b").where(_sizes_allow("n_a", "n_b")).select("a", "b").distinct()
+    pairs = frozen(_compared(pairs.join(stars, ["a", "b"], "left_anti"), nodes))
+    return first.unionByName(_verified(pairs, nodes)).unionByName(
+        _block_links(rest.where(F.col("members") > small), nodes)).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, small: int = SMALL) -> DataFrame:

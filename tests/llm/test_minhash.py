@@ -61,6 +61,35 @@ def answer(spark, data, **how):
     return sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got)
 
 
+def test_block_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 10**9, 100)
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        k = rng.integers(2, 25)
+        s[rng.choice(100, k, replace=False)] = rng.integers(0, 10**9, k)
+        sets.append(np.unique(minhash.mixed(s.astype(np.uint64))))
+    sig, at = minhash.signatures(sets), np.arange(60)
+    bands = sig.reshape(60, minhash.BANDS, minhash.ROWS)
+    found = []
+    for band in range(minhash.BANDS):
+        values, group = np.unique(bands[:, band].copy().view("V12").reshape(-1), return_inverse=True)
+        for g in range(len(values)):
+            m = at[group == g]
+            if len(m) > 1:
+                found += minhash.block_links(band, np.arange(len(m)), np.arange(len(m)), m, m, sig[m], [sets[k] for k in m])
+
+    def joined(edges):
+        label = at.copy()
+        for a, b in edges:
+            label[label == label[b]] = label[a]
+        return sorted(sorted(at[label == x].tolist()) for x in set(label.tolist()))
+
+    true = [(i, j) for i in at for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert joined(found) == joined(true) and 1 < len(joined(true)) < 60
+
+
 def test_odd_rows_against_brute_force(spark):
     assert answer(spark, rows()) == brute(rows())
 
