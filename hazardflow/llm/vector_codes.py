@@ -100,15 +100,14 @@ def _safe(dim: int) -> float:
     return 2.0 ** 29 / max(1.0, math.sqrt(dim))
 
 
-def _unpack(dim: int, sizes: bytes, dictionary: bytes, codes: bytes):
-    """The integers of each dimension's dictionary and the codes (dim x rows)."""
+def _unpack(rows: int, dim: int, sizes: bytes, dictionary: bytes, codes: bytes):
+    """The integers of each dimension's dictionary and the codes (dim x rows), two or four bytes each."""
     import numpy as np
 
     ends = np.cumsum(np.frombuffer(sizes, "<i4"))
     values = np.split(np.frombuffer(dictionary, "<f8"), ends[:-1]) if dim else []
-    total = int(ends[-1]) if dim else 0
-    wide = np.frombuffer(codes, "<u2" if total <= 1 << 16 and len(codes) % 2 == 0 else "<u4")
-    return [integers(v, _safe(dim)) for v in values], wide
+    packed = np.frombuffer(codes, "<u2" if len(codes) == 2 * rows * dim else "<u4")
+    return [integers(v, _safe(dim)) for v in values], packed.reshape(dim, rows)
 
 
 def assigned(values, codes, book, width: int, safe: float):
@@ -134,10 +133,6 @@ def assigned(values, codes, book, width: int, safe: float):
     return out
 
 
-def _codes_of(wide, dim: int, rows: int):
-    return wide.reshape(dim, rows) if dim else wide.reshape(0, rows)
-
-
 def _entry_sums(coded: DataFrame, book: list, width: int) -> DataFrame:
     """(part, entry, n, sums array<string>): exact sums and counts of the parts assigned to each entry."""
     safe = _safe(width * len(book))
@@ -149,8 +144,7 @@ def _entry_sums(coded: DataFrame, book: list, width: int) -> DataFrame:
         found: dict = {}
         for b in batches:
             for owners, dim, sizes, dictionary, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                values, wide = _unpack(dim, sizes, dictionary, packed)
-                codes = _codes_of(wide, dim, owners)
+                values, codes = _unpack(owners, dim, sizes, dictionary, packed)
                 for part, (nearest, _) in enumerate(assigned(values, codes, book, width, safe)):
                     for entry in np.unique(nearest).tolist():
                         at = nearest == entry
@@ -226,8 +220,7 @@ def encode(coded: DataFrame, book: list) -> DataFrame:
             for k in range(b.num_rows):
                 owners = b.column(0).slice(k, 1).flatten()
                 dim, sizes, dictionary, packed = (b.column(c)[k].as_py() for c in range(1, 5))
-                values, wide = _unpack(dim, sizes, dictionary, packed)
-                codes = _codes_of(wide, dim, len(owners))
+                values, codes = _unpack(len(owners), dim, sizes, dictionary, packed)
                 parts = assigned(values, codes, book, width, safe)
                 errors = [int(e) for e in sum((d for _, d in parts), np.zeros(len(owners), np.int64))]
                 yield pa.RecordBatch.from_arrays([

@@ -96,6 +96,22 @@ def test_empty_table_and_uneven_lengths(spark):
     assert text == "" and len(codes) == 2
 
 
+@pytest.mark.parametrize("n", [1100, 70_000])
+def test_blocks_give_the_integers_back(spark, n, monkeypatch):
+    """More than 2^16 dictionary values in all, and more than 2^16 in one dimension."""
+    monkeypatch.setattr(vc, "BLOCK_COMPONENTS", 1 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    x = np.random.default_rng(n).normal(size=(n, 64 if n < 2000 else 1)) * 100
+    df = spark.createDataFrame([(k, v, 0, 0, "", 0, 0) for k, v in enumerate(x.tolist())], SCHEMA).coalesce(1)
+    rows = vc.blocks(vc.kept_rows(df)).collect()
+    seen = {}
+    for r in rows:
+        values, codes = vc._unpack(len(r.rows), r.dim, bytes(r.sizes), bytes(r.dictionary), bytes(r.codes))
+        for k, owner in enumerate(r.rows):
+            seen[owner.vec_id] = [int(values[j][codes[j, k]]) for j in range(r.dim)]
+    assert seen == {k: [math.floor(v * 4096) for v in row] for k, row in enumerate(x.tolist())}
+
+
 def test_digest_of_the_codebooks():
     assert vc.digest([[[1, -2]], [[3, 4]]]) == hashlib.sha256(b"1,-2,3,4").hexdigest()
 
