@@ -18,16 +18,17 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardflow.llm.common import BATCH_ROWS, frozen, ranked
 
 LEAST_DOCS = 30
 TOP_TERMS = 50
-UNIT = 1_000_000_000
 #: Term ids of one array, which bounds a pair's task at any vocabulary.
 RANGE = 1 << 15
+#: Most kept terms that are sent to every executor with their numbers; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 #: Different (group, term) counts that a task gathers before it hands them on.
 HELD = 400_000
 #: Bytes that belong to no term become blanks, A-Z becomes a-z; bytes of characters above 0x7F stay.
@@ -39,7 +40,10 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents with the term; null text, lang and source are ''."""
+    """(lang, source, term, n, docs): occurrences, and documents with the term, summed as far as a task goes.
+
+    Null text, lang and source are ''.
+    """
     spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -63,15 +67,14 @@ def counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 total, seen = held.setdefault((lang, source), (Counter(), Counter()))
-                found = Counter(terms(text))
+                found = terms(text)
                 total.update(found)
-                seen.update(found.keys())
+                seen.update(set(found))
             if sum(len(t) for t, _ in held.values()) > HELD:
                 yield flush()
         yield flush()
 
-    partial = given.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return given.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def share(n, total, kinds):
@@ -92,8 +95,13 @@ def share(n, total, kinds):
 
 def _share_column(n, total, kinds):
     """``share`` as a column expression."""
-    return F.expr(f"1 + (CAST({UNIT} AS DECIMAL(10,0)) * CAST({n} + 5 AS DECIMAL(20,0))) div "
-                  f"CAST({total} + 5 * {kinds} AS DECIMAL(20,0))")
+    size = F.expr(f"{total} + 5L * {kinds}")
+    div = lambda x: F.call_function("div", x, size)
+    rest = F.expr(f"{n} + 5L")
+    found, rest = div(rest), rest % size
+    for _ in range(3):
+        found, rest = found * 1000 + div(rest * 1000), (rest * 1000) % size
+    return found + 1
 
 
 def gallop(small, large):
@@ -161,13 +169,20 @@ class Audit:
 
     def __init__(self, docs: DataFrame, least_docs: int = LEAST_DOCS, id_range: int = RANGE):
         self.range = id_range
-        found = frozen(counts(docs))
-        kept = (found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("d"))
-                .where(F.col("d") >= least_docs).select("lang", "term", "lang_n"))
+        # rows meet by language and term once: sums, document counts and the choice of terms need no other shuffle
+        dealt = counts(docs).repartition("lang", "term")
+        found = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        whole = Window.partitionBy("lang", "term")
+        found = frozen(found.withColumn("lang_n", F.sum("n").over(whole)).withColumn("d", F.sum("docs").over(whole))
+                       .where(F.col("d") >= least_docs).select("lang", "source", "term", "n", "lang_n"))
+        kept = found.select("lang", "term", "lang_n").distinct()
         #: (lang, term, lang_n, id): kept terms, numbered from 0 in each language
         self.kept = frozen(ranked(kept, ["lang"], ["term"], name="id"))
+        ids = self.kept.select("lang", "term", "id")
+        if ids.count() <= BROADCAST_TERMS:
+            ids = F.broadcast(ids)
         #: (lang, source, term, id, n, lang_n): occurrences of kept terms
-        self.counts = frozen(found.select("lang", "source", "term", "n").join(self.kept, ["lang", "term"]))
+        self.counts = frozen(found.join(ids, ["lang", "term"]))
         langs = self.kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("lang_n").alias("lang_total"))
         blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
         totals = self.counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -178,8 +193,6 @@ class Audit:
 
     def term_parts(self, top: int = TOP_TERMS) -> DataFrame:
         """(lang, source, item, value, rank): the terms that a source gives more than its language, farthest first."""
-        from pyspark.sql import Window
-
         priced = self.counts.where("n > 0").join(self.groups, ["lang", "source"]).select(
             "lang", "source", F.col("term").alias("item"), _share_column("n", "total", "kinds").alias("p"),
             _share_column("lang_n", "lang_total", "kinds").alias("q"))
@@ -241,8 +254,6 @@ class Audit:
 
     def pair_parts(self) -> DataFrame:
         """(lang, source, item, value, rank): each other source of the language, most unlike first."""
-        from pyspark.sql import Window
-
         priced = self.pairs()
         both = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")),
                                  F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
