@@ -40,9 +40,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: Posterior probability of reaching the threshold under which a candidate is given up.
 MISS = 1e-9
-#: Members of a band group whose pairs are joined; larger groups are compared in blocks.
-SMALL = 16
-#: Members, and shingles, of a block (on average).
+#: Members, and shingles, of a block of a band group (on average).
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 #: Buckets over which the rows that look up one class are dealt.
 SALTS = 16
@@ -291,11 +289,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(same * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b")
 
 
-def _sizes_allow(n_a: str, n_b: str):
-    """Sets that reach the threshold have sizes within its ratio."""
-    return ((F.col(n_a) * SIMILAR[1] >= F.col(n_b) * SIMILAR[0]) & (F.col(n_b) * SIMILAR[1] >= F.col(n_a) * SIMILAR[0]))
-
-
 def block_links(band: int, ours, theirs, node, label, sig, sets) -> list[tuple[int, int]]:
     """Links that join the components ``label`` of members ``ours`` and ``theirs``, one for each two joined.
 
@@ -331,7 +324,7 @@ def block_links(band: int, ours, theirs, node, label, sig, sets) -> list[tuple[i
 
 
 def _block_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the components of large band groups, found block against block.
+    """Links between the components of band groups, found block against block.
 
     ``rows`` has (band, node, root, blocks).  A member goes to every pair of
     blocks that holds its own; a task holds at most two blocks.
@@ -341,19 +334,40 @@ def _block_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node",
                          "root").join(nodes.select("node", "sig", "set"), "node")
 
-    def run(table):
+    def found(rows):
+        import numpy as np
+
+        own, node, root = (rows.column(c).to_numpy() for c in ("own", "node", "root"))
+        ours, theirs = np.flatnonzero(own == rows.column("low")[0].as_py()), np.flatnonzero(own == rows.column("high")[0].as_py())
+        if not len(ours) or not len(theirs):
+            return []
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+        sets = [x.values.to_numpy() for x in rows.column("set")]
+        return block_links(rows.column("band")[0].as_py() & 63, ours, theirs, node, root, sig, sets)
+
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        own, node, root = (table.column(c).to_numpy() for c in ("own", "node", "root"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
-        sets = [s.values.to_numpy() for s in table.column("set")]
-        ours, theirs = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found = block_links(table.column("band")[0].as_py() & 63, ours, theirs, node, root, sig, sets) if len(ours) and len(theirs) else []
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+        held = None
+        for b in batches:  # sorted, so the rows of a pair of blocks follow each other
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            keys = np.stack([rows.column(c).to_numpy() for c in ("band", "low", "high")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            links = [x for s, e in zip([0, *cuts[:-1]], cuts, strict=True) for x in found(rows.slice(s, e - s))] if len(cuts) else []
+            held = rows.slice(cuts[-1]) if len(cuts) else rows
+            yield _edges(links)
+        if held is not None and held.num_rows:
+            yield _edges(found(held))
+
+    order = ["band", "low", "high"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+
+
+def _edges(links: list):
+    import pyarrow as pa
 
-    return dealt.groupBy("band", "low", "high").applyInArrow(run, "a long, b long")
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -362,7 +376,7 @@ def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def links(nodes: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS, small: int = SMALL) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """Verified edges (a < b) between classes, whose components are those of all verified pairs of a shared band."""
     bands = _bands(nodes)
     shared = frozen(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("a"), F.max("node").alias("b"))
@@ -379,17 +393,11 @@ def links(nodes: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS, small:
     tagged = members.join(_roots(nodes, first), "node")
     several = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")).where("lo < hi")
-    rest = frozen(tagged.join(several.select("band", "blocks"), "band").select("band", "node", "n", "root", "members", "blocks"))
-    few = rest.where(F.col("members") <= small)
-    x = few.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = few.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    pairs = x.join(y, "band").where("a < b AND root_a <> root_b").where(_sizes_allow("n_a", "n_b")).select("a", "b").distinct()
-    pairs = frozen(_compared(pairs.join(stars, ["a", "b"], "left_anti"), nodes))
-    return first.unionByName(_verified(pairs, nodes)).unionByName(
-        _block_links(rest.where(F.col("members") > small), nodes)).distinct()
+    rest = tagged.join(several.select("band", "blocks"), "band").select("band", "node", "root", "blocks")
+    return first.unionByName(_block_links(rest, nodes)).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the least doc_id reachable over links, itself included.
 
     Texts without words (null texts too) have no shingles and are linked with
@@ -400,7 +408,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, small: int = SM
     """
     found = frozen(prints(docs, width))
     nodes = frozen(_classes(found))
-    roots = frozen(_roots(nodes, frozen(links(nodes, docs, width, small))))
+    roots = frozen(_roots(nodes, frozen(links(nodes, docs, width))))
     placed = nodes.select("node", "digest", "first", "rows").join(roots, "node")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     answers = frozen(placed.join(least, "root").select("digest", "rows", "component_id"))

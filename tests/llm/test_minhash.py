@@ -56,8 +56,8 @@ def near(seed, n, copies=12):
     return out
 
 
-def answer(spark, data, **how):
-    got = minhash.near_duplicates(frame(spark, data), **how).collect()
+def answer(spark, data):
+    got = minhash.near_duplicates(frame(spark, data)).collect()
     return sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got)
 
 
@@ -94,11 +94,11 @@ def test_odd_rows_against_brute_force(spark):
     assert answer(spark, rows()) == brute(rows())
 
 
-@pytest.mark.parametrize("small", [1, 16])
-def test_chains_against_brute_force(spark, small, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 5)
+@pytest.mark.parametrize("block", [5, 1024])
+def test_chains_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     data = near(3, 8)
-    assert answer(spark, data, small=small) == brute(data)
+    assert answer(spark, data) == brute(data)
 
 
 def test_groups_of_components_are_compared(spark, monkeypatch):
@@ -112,8 +112,7 @@ def test_groups_of_components_are_compared(spark, monkeypatch):
         data.append((k, " ".join(common + own), "en", None, None, None, None, None))
         if k % 5 == 0:
             data.append((1000 - k, " ".join(common + own[:-1] + ["z"]), "en", None, None, None, None, None))
-    for small in (1, 16):
-        assert answer(spark, data, small=small) == brute(data)
+    assert answer(spark, data) == brute(data)
 
 
 def test_one_id_with_two_texts_and_empty_table(spark):
