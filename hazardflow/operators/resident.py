@@ -349,11 +349,13 @@ class ResidentRows:
             return pd.DataFrame({"model": own, "cindex": [concordance(t, e, lp[:, c]) for c in range(len(own))],
                                  "n": len(t)})
 
-        out = cut.where(F.col("fold").isin(small)).groupBy("fold").applyInPandas(
-            score, "model long, cindex double, n long").toPandas() if small else pd.DataFrame(columns=["model", "cindex", "n"])
+        found = [cut.where(F.col("fold").isin(small)).groupBy("fold").applyInPandas(
+            score, "model long, cindex double, n long").toPandas()] if small else []
         for f in large:  # one distributed scoring a large fold
-            out = pd.concat([out, self._large_fold(cut, f, np.flatnonzero(fold == f), beta, sizes[f])])
-        return out.sort_values("model").reset_index(drop=True)
+            found.append(self._large_fold(cut, f, np.flatnonzero(fold == f), beta, sizes[f]))
+        if not found:
+            return pd.DataFrame({"model": np.zeros(0, int), "cindex": np.zeros(0), "n": np.zeros(0, int)})
+        return pd.concat(found).sort_values("model").reset_index(drop=True)
 
     def _large_fold(self, cut, f, own, beta, n):
         from .metrics import harrell_c_by_group

@@ -35,7 +35,7 @@ def shuffle_key(df: DataFrame, id_col: str, seed: Column | int) -> Column:
     return ((F.col(id_col).cast("long") + 1) * (F.lit(HASH_MUL) + s.cast("long"))) % HASH_MOD
 
 
-def _ranked(df: DataFrame, order: list[str], segment: list[str]) -> DataFrame:
+def ranked_in_classes(df: DataFrame, order: list[str], segment: list[str]) -> DataFrame:
     """0-based rank within ``segment`` ordered by ``order`` + class sizes."""
     out = cumulative(df, order, {"_rank": F.lit(1.0)}, segment=segment, exclusive=True)
     sizes = df.groupBy(*segment).agg(F.count(F.lit(1)).cast("double").alias("_nc"))
@@ -57,14 +57,14 @@ def stratified_shuffle(df: DataFrame, id_col: str, strat: str, n_splits: int = 1
     """Row 78 (SSS): per split and stratum, the first round(n_c * test_size)
     rows in hash order are the test set."""
     d = _with_splits(df.select(id_col, strat), id_col, n_splits, seed)
-    r = _ranked(d, ["_h", id_col], ["split", strat])
+    r = ranked_in_classes(d, ["_h", id_col], ["split", strat])
     return r.select("split", id_col, (F.col("_rank") < F.round(F.col("_nc") * test_size)).alias("is_test"))
 
 
 def stratified_kfold(df: DataFrame, id_col: str, strat: str, k: int = 4) -> DataFrame:
     """Row 79 (SKF, unshuffled): within each stratum, rows in id order are
     cut into k contiguous blocks; fold = floor(rank * k / n_c)."""
-    r = _ranked(df.select(id_col, strat), [id_col], [strat])
+    r = ranked_in_classes(df.select(id_col, strat), [id_col], [strat])
     return r.select(id_col, F.floor(F.col("_rank") * k / F.col("_nc")).cast("int").alias("fold"))
 
 
@@ -77,7 +77,7 @@ def repeated_kfold(df: DataFrame, id_col: str, strat: str | None = None, k: int
     cols = [id_col] + ([strat] if strat else []) + within
     d = df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     d = d.withColumn("_h", shuffle_key(d, id_col, F.col("repeat") * 1000 + seed))
-    r = _ranked(d, ["_h", id_col], ["repeat"] + ([strat] if strat else []) + within)
+    r = ranked_in_classes(d, ["_h", id_col], ["repeat"] + ([strat] if strat else []) + within)
     return r.select("repeat", id_col, *within, F.floor(F.col("_rank") * k / F.col("_nc")).cast("int").alias("fold"))
 
 
@@ -109,7 +109,7 @@ def systematic_holdout(df: DataFrame, id_col: str, time: str, status: str, share
     """Row 85: within each status, sort by (time, status, id) and take the
     int(n * share) positions linspace(1, n-2, m) (truncated) as validation."""
     spark = df.sparkSession
-    r = _ranked(df.select(id_col, time, status), [time, status, id_col], [status])
+    r = ranked_in_classes(df.select(id_col, time, status), [time, status, id_col], [status])
     sizes = r.select(status, "_nc").distinct().collect()  # one row per status value
     pos = None
     for row in sizes:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, cox, metrics, prep, splits
-from ..operators.search import _beta_table, _score_expr, inner_search
+from ..operators.search import CrossValidation, _beta_table, _score_expr, inner_search
 
 
 @dataclass
@@ -79,16 +80,17 @@ def auto(df: DataFrame, features: list[str], id_col: str, time: str = "time", ev
         .withColumnRenamed(event, "event").persist()
     # screen: univariate Cox, keep p <= UniP and C >= CIs (rows 46, 48)
     uni = cox.univariate_cox(data, cols, ties="efron")
-    kept = cox.screen(uni, uni_p, min_c) or cols
+    passed = cox.screen(uni, uni_p, min_c)
+    if not passed:
+        warnings.warn("no feature passes the univariate screen; all are kept", stacklevel=2)
+    kept = passed or cols
     # outer CV: SSA splits, an inner search in each, one batched fit for all folds (rows 60, 76, 83)
     asg = splits.ssa(data, id_col, "event", n_splits, test_size, seed).persist()
     best = inner_search(data, kept, id_col, asg, grid)
-    train = data.join(asg.filter(~F.col("is_test")), id_col).withColumn("model", F.col("split").cast("string"))
-    betas = {}
-    for ties in sorted({b["ties"] for b in best.values()}):
-        own = {str(m): float(b["alpha"]) for m, b in best.items() if b["ties"] == ties}
-        res = cox.CoxFitter(ties=ties, alpha=own).fit(train.filter(F.col("model").isin(list(own))), kept, model_col="model")
-        betas |= {int(m): b for m, b in zip(res.models, res.beta)}
+    cv = CrossValidation(data, kept, id_col, asg.select(id_col, F.col("split").alias("fold"), "is_test"))
+    _, fitted = cv.run([{**best[m], "fold": m} for m in sorted(best)], score=False)
+    cv.close()
+    betas = dict(zip(sorted(best), fitted))
     coefs = pd.DataFrame([(m, f, float(betas[m][j])) for m in sorted(betas) for j, f in enumerate(kept)],
                          columns=["fold", "feature", "coef"])
     bt = _beta_table(spark, [str(m) for m in betas], list(betas.values()), len(kept))
@@ -102,7 +104,7 @@ def auto(df: DataFrame, features: list[str], id_col: str, time: str = "time", ev
     mean = coefs.groupby("feature")["coef"].mean().to_dict()
     final = aggregate.risk_final(detail, data, id_col, mean)
     bundle = Bundle(kept, {c: imp[c] for c in kept}, {c: sc[c] for c in kept}, coefs,
-                    data.select("time", "event"), {"folds": {str(m): b for m, b in sorted(best.items())}})
+                    data.select("time", "event"), {"folds": {str(m): b for m, b in sorted(best.items())}, "screened": bool(passed)})
     return AutoResult(bundle, uni, scores, summary, detail, final)
 
 

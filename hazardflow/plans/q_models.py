@@ -89,15 +89,15 @@ def coxnet_path(spark, sf):
 
 @query("coxnet_pick")
 def coxnet_pick(spark, sf):
-    """Row 62: coefficients at the chosen alpha (last = reference default;
-    max deviance ratio reported alongside)."""
+    """Row 62: coefficients at the chosen alpha (last = reference default);
+    the alphas of max deviance ratio and of max C reported alongside."""
     ev = standardised_events(spark, sf).persist()
-    path = coxnet.fit_path(ev, EV_FEATURES, l1_ratio=0.2, n_alphas=100, alpha_min_ratio=1e-4)
-    i = coxnet.pick(path, "last")
-    j = coxnet.pick(path, "deviance")
+    path = coxnet.fit_path(ev, EV_FEATURES, l1_ratio=0.2, n_alphas=100, alpha_min_ratio=1e-4, with_cindex=True)
+    i, j, k = (coxnet.pick(path, how) for how in ("last", "deviance", "concordance"))
     return _coef_frame(spark, EV_FEATURES, path.coefs[i],
                        extra={"alpha": float(path.alphas[i]), "best_deviance_alpha": float(path.alphas[j]),
-                               "converged": bool(path.converged.all())})
+                              "best_c_alpha": float(path.alphas[k]), "best_c": float(path.cindex[k]),
+                              "kkt_residual": float(path.kkt_residual().max()), "converged": bool(path.converged.all())})
 
 
 def _svm_query(spark, sf, **kw):

@@ -113,4 +113,4 @@ def test_coxnet_every_alpha_is_solved(df):
             else:
                 assert abs(g[j]) <= a * 0.2 + 1e-6
         assert ll == pytest.approx(_loglik(X, t, e, b, "breslow"), abs=1e-6)
-    assert not coxnet.fit_path(sdf, ["a", "b"], n_alphas=3, max_passes_per_alpha=0).converged.all()
+    assert not coxnet.fit_path(sdf, ["a", "b"], n_alphas=3, max_passes=1).converged.all()
