@@ -134,7 +134,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.xxhash64(text).alias("link"), (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.col("doc_id").alias("id"), F.unhex(F.sha2(text, 256)).alias("link"), (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"))
     return shard(rows).select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                               F.lit(None).cast("int").alias("grown_shard"))

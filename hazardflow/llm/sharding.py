@@ -1,13 +1,20 @@
-"""Sharding by equal text: linked rows stay together, counts stay one apart.
-
-Rows of equal text are linked, each with all others of its group, so labels
-that start a group whole in one shard are a fixed point of label propagation:
-no row has a neighbour elsewhere.  What is to be solved is the start.  The
-table of group sizes (at most sqrt(2 rows) of them) is packed into the quotas
-on the driver, largest first; Spark numbers the groups within their size and
-looks their shards up.  A group is cut only if it is larger than a shard, or
-if no shard had room for it; of the latter there are fewer than shards.  Rows
-without links then fill every shard up to its quota.
+"""Sharding by balanced label propagation: linked rows stay together, counts stay one apart.
+
+Labels start from a packing: the table of group sizes (at most sqrt(2 rows) of
+them) is packed into the quotas on the driver, largest first; Spark numbers
+the groups within their size and looks their shards up.  Rows without links
+fill every shard up to its quota.
+
+Then labels propagate over an edge table.  A round is a few Spark joins: every
+row counts its neighbours by shard and asks to move to the shard of most of
+them, if that cuts fewer of its edges.  Quotas stay kept by exchanges: requests
+from one shard to another are admitted against requests the other way, and the
+rest against rows without links, which go back in their place.  Only the
+counts of requests by pair of shards reach the driver.  A round that cuts no
+fewer edges in all is dropped; propagation ends when nothing asks to move, no
+request can be admitted, or ``PATIENCE`` rounds in a row were dropped.  In turn
+all rows may ask, one half and the other half, halved anew each time, so that
+neighbours don't just change places.
 """
 
 from __future__ import annotations
@@ -15,12 +22,16 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardflow.llm.common import frozen, ranked, shuffle_partitions
 
 SHARDS = 40
+#: Rounds in a row without fewer cut edges after which propagation ends.
+PATIENCE = 6
+#: Members from which a group's place is sent to every executor (at most rows / HOT groups).
+HOT = 10_000
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -28,10 +39,6 @@ def quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def _at(numbers: list[int], place: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, numbers)), place + 1)
-
-
 def _level(n: int, members: int, room: list[int]) -> list[int]:
     """How many of ``n`` groups each shard takes so that what is left free is as even as can be."""
     def takes(left: int) -> list[int]:
@@ -101,49 +108,155 @@ def packed(sizes: dict[int, int], quota: list[int]) -> tuple[list[tuple], list[i
     return min(even, placed(_tightest), key=lambda x: x[2]) if even[2] else even
 
 
-def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
+def start(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(node, shard): groups of equal ``link`` packed into the quotas, rows without links filling them.
 
-    ``rows`` has ``id`` and ``link``; rows of equal link belong together, a
-    null link stands alone.  Shards' counts are at most one apart; a group
-    that is larger than a shard, or finds no shard with room, is spread over
-    several.  Repeated rows each take a slot.  An empty table gives an empty
-    result.
+    A group is cut only if it is larger than a shard, or if no shard had room
+    for it; of the latter there are fewer than shards.
     """
-    rows = frozen(rows)
-    spark = rows.sparkSession
+    spark = nodes.sparkSession
     salts = max(64, 4 * shuffle_partitions(spark))
-    groups = frozen(rows.where("link IS NOT NULL").groupBy("link").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    quota = quotas(rows.count(), shards)
+    groups = frozen(nodes.where("link IS NOT NULL").groupBy("link").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    quota = quotas(nodes.count(), shards)
     places, room, _ = packed({r["members"]: r["count"] for r in groups.groupBy("members").count().collect()}, quota)
     of_size = F.broadcast(spark.createDataFrame(places, "of long, first long, last long, shards array<int>, stops array<long>"))
     numbered = ranked(groups, ["members"], ["link"], salts, "nth")
-    whereto = numbered.join(of_size, (F.col("members") == F.col("of")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("last")))
-    labels = frozen(rows.select("id", "link").join(whereto.select("link", "shards", "stops"), "link", "left"))
-    whole = labels.where(F.size("shards") == 1).select("id", "link", F.col("shards")[0].alias("shard"))
-    cut = ranked(labels.where(F.size("shards") > 1), ["link"], ["id"], salts, "nth")
-    cut = cut.select("id", "link", F.get("shards", F.size(F.filter("stops", lambda x: x <= F.col("nth")))).alias("shard"))
-    stays = ranked(whole.unionByName(cut), ["shard"], ["id", "link"], salts, "slot")
-    free = ranked(labels.where("shards IS NULL").select("id", "link"), [], ["id", "link"], salts, "place")
-    stops, starts, at = [], [], 0
-    for q, r in zip(quota, room, strict=True):
-        starts.append(q - r - at)
+    whereto = frozen(numbered.join(of_size, (F.col("members") == F.col("of")) & (F.col("nth") >= F.col("first"))
+                                   & (F.col("nth") < F.col("last"))).select("link", "members", "shards", "stops"))
+    hot = whereto.where(F.col("members") > HOT).select("link", F.col("shards").alias("hot_shards"), F.col("stops").alias("hot_stops"))
+    cold = nodes.join(F.broadcast(hot), "link", "left")
+    found = cold.where("hot_shards IS NOT NULL").select("node", "link", F.col("hot_shards").alias("shards"), F.col("hot_stops").alias("stops"))
+    cold = cold.where("hot_shards IS NULL").select("node", "link").join(
+        whereto.where(F.col("members") <= HOT).select("link", "shards", "stops"), "link", "left")
+    labels = frozen(found.unionByName(cold.select("node", "link", "shards", "stops")))
+    whole = labels.where(F.size("shards") == 1).select("node", F.col("shards")[0].alias("shard"))
+    cut = ranked(labels.where(F.size("shards") > 1), ["link"], ["node"], salts, "nth")
+    cut = cut.select("node", F.get("shards", F.size(F.filter("stops", lambda x: x <= F.col("nth")))).alias("shard"))
+    free = ranked(labels.where("shards IS NULL").select("node"), [], ["node"], salts, "place")
+    stops, at = [], 0
+    for r in room:
         at += r
         stops.append(at)
     to = reduce(add, [(F.col("place") >= s).cast("int") for s in stops[:-1]], F.lit(0))
-    filled = free.withColumn("shard", to).withColumn("slot", F.col("place") + _at(starts, F.col("shard")).cast("long"))
-    placed = stays.select("id", "link", "shard", "slot").unionByName(filled.select("id", "link", "shard", "slot"))
-    return _with_columns(rows, placed)
-
-
-def _with_columns(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Joins places back to rows; equal (id, link) pairs are told apart by number."""
-    more = [c for c in rows.columns if c not in ("id", "link")]
-    if not more:
-        return placed
-    from pyspark.sql import Window
-
-    a = rows.withColumn("twin", F.row_number().over(Window.partitionBy("id", "link").orderBy(*more))).alias("a")
-    b = placed.withColumn("twin", F.row_number().over(Window.partitionBy("id", "link").orderBy("shard", "slot"))).alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "link", "twin")])
-    return a.join(b, same).select(*[F.col(f"a.{c}") for c in rows.columns], "b.shard", "b.slot")
+    return whole.unionByName(cut).unionByName(free.select("node", to.alias("shard")))
+
+
+def hub_edges(nodes: DataFrame) -> DataFrame:
+    """(a, b): each row of a link and the link's least row; hubs of links keep all rows of equal link connected."""
+    linked = nodes.where("link IS NOT NULL")
+    hubs = linked.groupBy("link").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    hot = hubs.where(F.col("members") > HOT).select("link", F.col("a").alias("hub"))
+    rows = linked.join(F.broadcast(hot), "link", "left")
+    large = rows.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    small = rows.where("hub IS NULL").select("link", "node").join(
+        hubs.where(F.col("members") <= HOT).select("link", "a"), "link").select("a", F.col("node").alias("b"))
+    return large.unionByName(small).where("a <> b")
+
+
+def _neighbour_shards(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, shard, votes): how many neighbours of a node lie in each shard."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("peer")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("a").alias("peer")))
+    # an edge's end may have very many edges: its label is copied once a salt
+    salted = both.withColumn("salt", F.pmod(F.xxhash64("node", "peer"), F.lit(16)))
+    copies = labels.select(F.col("node").alias("peer"), "shard", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    wanted = salted.select("peer", "salt").distinct().join(copies, ["peer", "salt"])
+    return salted.join(wanted, ["peer", "salt"]).groupBy("node", "shard").agg(F.count(F.lit(1)).alias("votes"))
+
+
+def cut_edges(edges: DataFrame, labels: DataFrame) -> int:
+    """Edges whose ends lie in different shards."""
+    votes = _neighbour_shards(edges, labels)
+    inside = votes.join(labels.select("node", F.col("shard").alias("own")), "node").where("shard = own")
+    return (votes.agg(F.sum("votes")).first()[0] or 0) // 2 - (inside.agg(F.sum("votes")).first()[0] or 0) // 2
+
+
+def _admitted(asked: dict, free: list[int]) -> tuple[dict, dict]:
+    """Requests admitted by (from, to), and fillers sent by (from, to), so that every shard keeps its count."""
+    moves, fillers, left = {}, {}, list(free)
+    for s, t in sorted({tuple(sorted(k)) for k in asked}):
+        there, back = asked.get((s, t), 0), asked.get((t, s), 0)
+        both = min(there, back)
+        low, high, more = (s, t, there - both) if there > back else (t, s, back - both)
+        extra = min(more, left[high])  # rows without links go from ``high`` to ``low``
+        left[high] -= extra
+        if extra:
+            fillers[high, low] = extra
+        for k, n in (((s, t), both), ((t, s), both)):
+            if n + (extra if k == (low, high) else 0):
+                moves[k] = n + (extra if k == (low, high) else 0)
+    return moves, fillers
+
+
+def _case(limits: dict, source: str, target: str):
+    """The admitted number of a row's pair of shards, 0 if there is none."""
+    pairs = [v for (s, t), n in limits.items() for v in (F.lit(f"{s}>{t}"), F.lit(n))]
+    return F.coalesce(F.create_map(*pairs)[F.concat_ws(">", source, target)], F.lit(0)) if pairs else F.lit(0)
+
+
+def propagate(labels: DataFrame, edges: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, list[int]]:
+    """Labels (node, shard) after propagation over ``edges`` (a, b), and the cut edges at the start and after each round.
+
+    Every shard keeps its number of rows.
+    """
+    labels, edges = frozen(labels), frozen(edges)
+    history, failed, turn = [cut_edges(edges, labels)], 0, 0
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    while history[-1] and failed < PATIENCE:
+        votes = _neighbour_shards(edges, labels).join(labels.select("node", F.col("shard").alias("own")), "node")
+        best = votes.groupBy("node", "own").agg(
+            F.max(F.struct("votes", (-F.col("shard")).alias("low"))).alias("best"),
+            F.coalesce(F.max(F.when(F.col("shard") == F.col("own"), F.col("votes"))), F.lit(0)).alias("stay"))
+        wish = best.where("best.votes > stay").select("node", "own", (-F.col("best.low")).alias("to"))
+        half = F.pmod(F.xxhash64("node", F.lit(turn // 3)), F.lit(2))
+        asks = frozen(wish.where(half == turn % 3 - 1) if turn % 3 else wish)
+        if turn % 3 == 0 and asks.isEmpty():  # all may ask and nobody does
+            break
+        turn += 1
+        asked = {(r["own"], r["to"]): r["count"] for r in asks.groupBy("own", "to").count().collect()}  # at most shards^2
+        idle = labels.join(ends, "node", "left_anti")
+        free = {r["shard"]: r["count"] for r in idle.groupBy("shard").count().collect()} if asked else {}
+        moves, fillers = _admitted(asked, [free.get(s, 0) for s in range(shards)])
+        if not moves:
+            failed += 1
+            continue
+        chosen = ranked(asks, ["own", "to"], ["node"], name="nth").where(F.col("nth") < _case(moves, "own", "to"))
+        moved = chosen.select("node", F.col("to").alias("new"))
+        if fillers:
+            stops: dict = {}
+            for (s, t), n in fillers.items():
+                stops.setdefault(s, []).append((t, n))
+            target = F.lit(None).cast("int")
+            for s, ts in stops.items():
+                at = 0
+                for t, n in ts:
+                    target = F.when((F.col("shard") == s) & (F.col("nth") >= at) & (F.col("nth") < at + n), t).otherwise(target)
+                    at += n
+            back = ranked(idle.where(F.col("shard").isin(list(stops))), ["shard"], ["node"], name="nth")
+            moved = moved.unionByName(back.select("node", target.alias("new")).where("new IS NOT NULL"))
+        tried = frozen(labels.join(moved, "node", "left").select("node", F.coalesce("new", "shard").alias("shard")))
+        cut = cut_edges(edges, tried)
+        if cut < history[-1]:
+            labels, failed = tried, 0
+            history.append(cut)
+        else:
+            failed += 1
+    return labels, history
+
+
+def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
+
+    ``rows`` has ``id`` and ``link``; rows of equal link belong together, a
+    null link stands alone.  Shards' counts are at most one apart; a group
+    that is larger than a shard, or finds no shard with room, is spread over
+    several.  Repeated rows each take a slot.  An empty table gives an empty
+    result.
+    """
+    owned = frozen(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
+                               F.monotonically_increasing_id().alias("node")))
+    nodes = owned.select("node", F.col("row.link").alias("link"))
+    labels, _ = propagate(start(nodes, shards), hub_edges(nodes), shards)
+    placed = ranked(labels, ["shard"], ["node"], max(64, 4 * shuffle_partitions(rows.sparkSession)), "slot")
+    both = owned.join(placed, "node")
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in rows.columns], "shard", "slot")
