@@ -16,6 +16,8 @@ linear in the number of different fingerprints.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,17 +127,47 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
         "doc_id", "fp", "component_id")
 
 
+def _hashed_prints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, hash, fp): the fingerprint of every text beside the text's SHA-256."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            hashes = pa.array([hashlib.sha256(t or b"").hexdigest() for t in texts])
+            fps = pa.array([_fingerprint(t, width) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), hashes, fps], names=["doc_id", "hash", "fp"])
+
+    return texts_of(docs.select("doc_id", "text"), as_binary=True).mapInArrow(run, "doc_id long, hash string, fp long")
+
+
+def _private(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it differ from every column."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """One row of ``docs``, with all its columns, for each component: that of its least doc_id.
 
-    Of several rows of that id one stays, that of the least hash.  Rows
-    without a doc_id all stay.
+    Of several texts of that id in the component the one of least hash stays,
+    of rows equal in id and text one.  An id that holds the least place in
+    several components keeps a row in each.  Rows without a doc_id all stay.
+    Columns may have any names and types.
     """
-    found = near_duplicates(docs, width)
-    mark = F.xxhash64(*docs.columns)
-    marks = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("first")).agg(F.min(mark).alias("mark"))
-    firsts = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    firsts = firsts.join(marks, F.col("doc_id") == F.col("first")).select("first", "mark")
-    named = docs.where("doc_id IS NOT NULL").join(
-        firsts, (F.col("doc_id") == F.col("first")) & (mark.bitwiseXOR(F.col("mark")) == 0), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    mark, doc, first = (_private(docs, n) for n in ("mark", "mark_doc", "mark_first"))
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    named = docs.where("doc_id IS NOT NULL")
+    # rows without an id are no copies of others here, but they link what lies between
+    of_text = frozen(_hashed_prints(docs, width))
+    fps = of_text.select("fp").distinct()
+    roots = components(links(fps.repartition(shuffle_partitions(docs.sparkSession), "fp")))
+    placed = of_text.where("doc_id IS NOT NULL").join(roots, F.col("fp") == F.col("node"), "left").select(
+        F.coalesce("root", "fp").alias("root"), F.struct("doc_id", "hash").alias("row"))
+    least = placed.groupBy("root").agg(F.min("row").alias("row")).select(
+        F.col("row.doc_id").alias(doc), F.col("row.hash").alias(first))
+    marked = named.withColumn(mark, text)
+    kept = marked.join(least, (marked["doc_id"] == least[doc]) & (marked[mark] == least[first]), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", mark]).drop(mark)
+    return kept.union(docs.where("doc_id IS NULL"))

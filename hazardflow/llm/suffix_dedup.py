@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardflow.llm.common import shuffle_partitions, texts_of
 from hazardflow.llm.suffix_sort import deep_shallow
@@ -483,7 +484,7 @@ def remove_repeats(docs: DataFrame, keep: list[Column], each: Callable, layout:
         return df.repartition(parts, "key").sortWithinPartitions("key", "kind")
 
     def with_texts(df: DataFrame) -> DataFrame:
-        squeezed = texts.mapInArrow(_squeeze_texts, f"doc long, data binary, row {row.simpleString()}")
+        squeezed = texts.mapInArrow(_squeeze_texts, texts.schema)
         rows = squeezed.select(F.lit(TEXT).alias("kind"), F.pmod("doc", F.lit(buckets)).alias("key"),
                                F.lit(None).cast("binary").alias("blob"), "doc", "data", "row")
         return deal(rows.unionByName(df.select("*", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("data"),
@@ -495,7 +496,8 @@ def remove_repeats(docs: DataFrame, keep: list[Column], each: Callable, layout:
     cut = with_texts(candidates).drop("row").mapInArrow(lambda b: _cut_segments(b, buckets, buckets), _ROW)
     spans = deal(cut).mapInArrow(lambda b: _settle(b, buckets), _ROW)
     names = [f.split()[0] for f in layout.split(", ")]
-    return with_texts(spans).mapInArrow(lambda b: _apply(b, each, names), f"row {row.simpleString()}, {layout}")
+    schema = T.StructType([T.StructField("row", row), *spark.createDataFrame([], layout).schema.fields])
+    return with_texts(spans).mapInArrow(lambda b: _apply(b, each, names), schema)
 
 
 def _squeeze_texts(batches):
@@ -533,8 +535,8 @@ def clean_texts(docs: DataFrame) -> DataFrame:
     Characters that lose some of their bytes only are kept whole; ``n_chars``,
     where there is one, is the new text's.  A null text stays null.
     """
-    found = remove_repeats(docs, [F.col(c) for c in docs.columns], lambda data, runs: (whole_characters(data, runs),),
+    found = remove_repeats(docs, [F.col(f"`{c}`") for c in docs.columns], lambda data, runs: (whole_characters(data, runs),),
                            "kept_text string")
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept_text")),
            "n_chars": F.length(F.coalesce("kept_text", F.lit(""))).cast("long")}
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}") for c in docs.columns])
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ SF001 = "/root/testdata/sf0.001"
 
 def test_names():
     assert [n for n, _ in P.STAGES] == ["toxicity", "simhash_near_dedup", "suffix_dedup", "best_fit_packing"]
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     import __spark_entry__
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
@@ -59,3 +59,18 @@ def test_odd_and_empty_tables_pass(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF001).count() == 0
+
+
+def test_two_texts_under_one_id_and_any_columns(spark):
+    """Unique texts stay whatever their id; clashing, dotted and map columns pass every stage."""
+    data = [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five six"), (2, "x y z u v w"),
+            (3, "One two  three four five six"), (2, "x y z u v w"), (None, "no id here at all")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), "f", "m", {"k": i or 0}, 7) for i, t in data],
+                               "doc_id long, text string, lang string, source string, n_chars long, first string, mark string, "
+                               "tags map<string,long>, `a.b` int")
+    for name in ("simhash_near_dedup", "suffix_dedup"):
+        df = dict(P.STAGES)[name](spark, df, SF001)
+        assert [c for c in df.columns][-4:] == ["first", "mark", "tags", "a.b"], name
+        got = sorted(((r.doc_id or 0), r.text) for r in df.collect())
+        assert got == sorted((i or 0, t) for i, t in [data[0], data[1], data[2], data[5]])
+        assert {r["a.b"] for r in df.collect()} == {7}
