@@ -157,10 +157,9 @@ def _neighbour_shards(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, shard, votes): how many neighbours of a node lie in each shard."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("peer")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("a").alias("peer")))
-    # an edge's end may have very many edges: its label is copied once a salt
+    # an edge's end may have very many edges: its label goes to each of the salts that ask for it
     salted = both.withColumn("salt", F.pmod(F.xxhash64("node", "peer"), F.lit(16)))
-    copies = labels.select(F.col("node").alias("peer"), "shard", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    wanted = salted.select("peer", "salt").distinct().join(copies, ["peer", "salt"])
+    wanted = salted.select("peer", "salt").distinct().join(labels.select(F.col("node").alias("peer"), "shard"), "peer")
     return salted.join(wanted, ["peer", "salt"]).groupBy("node", "shard").agg(F.count(F.lit(1)).alias("votes"))
 
 
