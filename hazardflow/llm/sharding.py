@@ -29,7 +29,7 @@ from hazardflow.llm.common import frozen, ranked, shuffle_partitions
 
 SHARDS = 40
 #: Rounds in a row without fewer cut edges after which propagation ends.
-PATIENCE = 6
+PATIENCE = 3
 #: Members from which a group's place is sent to every executor (at most rows / HOT groups).
 HOT = 10_000
 
@@ -163,11 +163,15 @@ def _neighbour_shards(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return salted.join(wanted, ["peer", "salt"]).groupBy("node", "shard").agg(F.count(F.lit(1)).alias("votes"))
 
 
+def _counted(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """(node, own, shard, votes) and the edges whose ends lie in different shards."""
+    votes = frozen(_neighbour_shards(edges, labels).join(labels.select("node", F.col("shard").alias("own")), "node"))
+    return votes, (votes.where("shard <> own").agg(F.sum("votes")).first()[0] or 0) // 2
+
+
 def cut_edges(edges: DataFrame, labels: DataFrame) -> int:
     """Edges whose ends lie in different shards."""
-    votes = _neighbour_shards(edges, labels)
-    inside = votes.join(labels.select("node", F.col("shard").alias("own")), "node").where("shard = own")
-    return (votes.agg(F.sum("votes")).first()[0] or 0) // 2 - (inside.agg(F.sum("votes")).first()[0] or 0) // 2
+    return _counted(edges, labels)[1]
 
 
 def _admitted(asked: dict, free: list[int]) -> tuple[dict, dict]:
@@ -199,10 +203,10 @@ def propagate(labels: DataFrame, edges: DataFrame, shards: int = SHARDS) -> tupl
     Every shard keeps its number of rows.
     """
     labels, edges = frozen(labels), frozen(edges)
-    history, failed, turn = [cut_edges(edges, labels)], 0, 0
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    votes, cut = _counted(edges, labels)
+    history, failed, turn = [cut], 0, 0
+    ends = votes.select("node").distinct()
     while history[-1] and failed < PATIENCE:
-        votes = _neighbour_shards(edges, labels).join(labels.select("node", F.col("shard").alias("own")), "node")
         best = votes.groupBy("node", "own").agg(
             F.max(F.struct("votes", (-F.col("shard")).alias("low"))).alias("best"),
             F.coalesce(F.max(F.when(F.col("shard") == F.col("own"), F.col("votes"))), F.lit(0)).alias("stay"))
@@ -234,9 +238,9 @@ def propagate(labels: DataFrame, edges: DataFrame, shards: int = SHARDS) -> tupl
             back = ranked(idle.where(F.col("shard").isin(list(stops))), ["shard"], ["node"], name="nth")
             moved = moved.unionByName(back.select("node", target.alias("new")).where("new IS NOT NULL"))
         tried = frozen(labels.join(moved, "node", "left").select("node", F.coalesce("new", "shard").alias("shard")))
-        cut = cut_edges(edges, tried)
+        found, cut = _counted(edges, tried)
         if cut < history[-1]:
-            labels, failed = tried, 0
+            labels, votes, failed = tried, found, 0
             history.append(cut)
         else:
             failed += 1
