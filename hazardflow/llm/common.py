@@ -27,6 +27,20 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Narrow rows (a few numbers each) that are worth a task of their own.
+ROWS_A_TASK = 1 << 16
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` narrow rows, in as many partitions as they are worth.
+
+    A table of links shrinks from round to round while the session's shuffle
+    partitions are set for the texts; without this each of its exchanges
+    writes a file for every one of them, mostly empty.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 #: Rows of an Arrow batch of whole texts.
 BATCH_ROWS = 1_000
 

@@ -28,7 +28,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import frozen, texts_of
+from hazardflow.llm.common import few, frozen, texts_of
 from hazardflow.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -235,6 +235,12 @@ def surviving(a, b):
     return left
 
 
+def _settled(pairs: DataFrame) -> DataFrame:
+    """A frozen table of pairs in as many partitions as it is worth."""
+    pairs = frozen(pairs)
+    return few(pairs, pairs.count())
+
+
 def _keys(keys: DataFrame) -> DataFrame:
     """A narrow key table for a join, sent to every executor if it has at most ``BROADCAST_KEYS`` rows."""
     keys = frozen(keys)
@@ -372,7 +378,7 @@ def _edges(links: list):
 
 def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root) of every class; a class without links is its own root."""
-    found = components(edges)
+    found = components(edges, merged=True)
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
@@ -383,11 +389,11 @@ def links(nodes: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS) -> Data
                     .where("members > 1"))
     more = shared.where("members > 2")
     members = frozen(bands.join(_keys(more.select("band")), "band").join(more.select("band", "a", "members"), "band"))
-    stars = frozen(shared.where("members = 2").select("a", "b").unionByName(
+    stars = _settled(shared.where("members = 2").select("a", "b").unionByName(
         members.where("node <> a").select("a", F.col("node").alias("b"))).distinct())
     ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = frozen(_with_sets(frozen(nodes.join(_keys(ends), "node", "left_semi")), docs, width))
-    first = frozen(_verified(frozen(_compared(stars, nodes)), nodes))
+    first = _settled(_verified(_settled(_compared(stars, nodes)), nodes))
 
     # groups of several components: their members meet those of the other components
     tagged = members.join(_roots(nodes, first), "node")
