@@ -25,7 +25,7 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import frozen, ranked, shuffle_partitions
+from hazardflow.llm.common import few, frozen, ranked, shuffle_partitions
 
 SHARDS = 40
 #: Rounds in a row without fewer cut edges after which propagation ends.
@@ -153,25 +153,27 @@ def hub_edges(nodes: DataFrame) -> DataFrame:
     return large.unionByName(small).where("a <> b")
 
 
-def _neighbour_shards(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, shard, votes): how many neighbours of a node lie in each shard."""
+def _neighbour_shards(edges: DataFrame, labels: DataFrame, ends: int) -> DataFrame:
+    """(node, shard, votes): how many neighbours of a node lie in each shard; ``ends`` is twice the number of edges."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("peer")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("a").alias("peer")))
     # an edge's end may have very many edges: its label goes to each of the salts that ask for it
     salted = both.withColumn("salt", F.pmod(F.xxhash64("node", "peer"), F.lit(16)))
-    wanted = salted.select("peer", "salt").distinct().join(labels.select(F.col("node").alias("peer"), "shard"), "peer")
-    return salted.join(wanted, ["peer", "salt"]).groupBy("node", "shard").agg(F.count(F.lit(1)).alias("votes"))
+    wanted = few(salted.select("peer", "salt").distinct(), ends).join(labels.select(F.col("node").alias("peer"), "shard"), "peer")
+    found = few(salted.join(few(wanted, ends), ["peer", "salt"]), ends).groupBy("node", "shard")
+    return few(found.agg(F.count(F.lit(1)).alias("votes")), ends)
 
 
-def _counted(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+def _counted(edges: DataFrame, labels: DataFrame, ends: int) -> tuple[DataFrame, int]:
     """(node, own, shard, votes) and the edges whose ends lie in different shards."""
-    votes = frozen(_neighbour_shards(edges, labels).join(labels.select("node", F.col("shard").alias("own")), "node"))
+    found = _neighbour_shards(edges, labels, ends).join(labels.select("node", F.col("shard").alias("own")), "node")
+    votes = frozen(few(found, ends))
     return votes, (votes.where("shard <> own").agg(F.sum("votes")).first()[0] or 0) // 2
 
 
 def cut_edges(edges: DataFrame, labels: DataFrame) -> int:
     """Edges whose ends lie in different shards."""
-    return _counted(edges, labels)[1]
+    return _counted(edges, labels, 2 * edges.count())[1]
 
 
 def _admitted(asked: dict, free: list[int]) -> tuple[dict, dict]:
@@ -203,21 +205,23 @@ def propagate(labels: DataFrame, edges: DataFrame, shards: int = SHARDS) -> tupl
     Every shard keeps its number of rows.
     """
     labels, edges = frozen(labels), frozen(edges)
-    votes, cut = _counted(edges, labels)
+    rows, ends_of = labels.count(), 2 * edges.count()
+    labels, edges = few(labels, rows), few(edges, ends_of)
+    votes, cut = _counted(edges, labels, ends_of)
     history, failed, turn = [cut], 0, 0
-    ends = votes.select("node").distinct()
+    ends = few(votes.select("node").distinct(), ends_of)
     while history[-1] and failed < PATIENCE:
         best = votes.groupBy("node", "own").agg(
             F.max(F.struct("votes", (-F.col("shard")).alias("low"))).alias("best"),
             F.coalesce(F.max(F.when(F.col("shard") == F.col("own"), F.col("votes"))), F.lit(0)).alias("stay"))
         wish = best.where("best.votes > stay").select("node", "own", (-F.col("best.low")).alias("to"))
         half = F.pmod(F.xxhash64("node", F.lit(turn // 3)), F.lit(2))
-        asks = frozen(wish.where(half == turn % 3 - 1) if turn % 3 else wish)
+        asks = frozen(few(wish.where(half == turn % 3 - 1) if turn % 3 else wish, ends_of))
         if turn % 3 == 0 and asks.isEmpty():  # all may ask and nobody does
             break
         turn += 1
         asked = {(r["own"], r["to"]): r["count"] for r in asks.groupBy("own", "to").count().collect()}  # at most shards^2
-        idle = labels.join(ends, "node", "left_anti")
+        idle = few(labels.join(ends, "node", "left_anti"), rows)
         free = {r["shard"]: r["count"] for r in idle.groupBy("shard").count().collect()} if asked else {}
         moves, fillers = _admitted(asked, [free.get(s, 0) for s in range(shards)])
         if not moves:
@@ -237,8 +241,9 @@ def propagate(labels: DataFrame, edges: DataFrame, shards: int = SHARDS) -> tupl
                     at += n
             back = ranked(idle.where(F.col("shard").isin(list(stops))), ["shard"], ["node"], name="nth")
             moved = moved.unionByName(back.select("node", target.alias("new")).where("new IS NOT NULL"))
-        tried = frozen(labels.join(moved, "node", "left").select("node", F.coalesce("new", "shard").alias("shard")))
-        found, cut = _counted(edges, tried)
+        tried = labels.join(few(moved, rows), "node", "left").select("node", F.coalesce("new", "shard").alias("shard"))
+        tried = frozen(few(tried, rows))
+        found, cut = _counted(edges, tried, ends_of)
         if cut < history[-1]:
             labels, votes, failed = tried, found, 0
             history.append(cut)
