@@ -96,3 +96,36 @@ def roc_table(df: DataFrame, score: str, label: str, **kw) -> DataFrame:
     return cum.select("threshold", "tp", "fp", (F.col("tp") / F.lit(P)).alias("tpr"),
                       (F.col("fp") / F.lit(N)).alias("fpr"),
                       ((F.col("tp") + F.lit(N) - F.col("fp")) / F.lit(P + N)).alias("accuracy"))
+
+
+def roc_auc(df: DataFrame, score: str, label: str, **kw) -> DataFrame:
+    """Row 100: (positives, negatives, auc), the area under the curve of ``roc_table`` by trapezoids.
+
+    Rows of equal score make one step, so a tied pair counts one half; auc is
+    null if a class is absent."""
+    from .kernels import cumulative
+    pos = (F.col(label) > 0).cast("double")
+    per = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(pos).alias("p"), F.sum(1.0 - pos).alias("q"))
+    cum = cumulative(per, ["threshold"], {"above": "p"}, descending=True, exclusive=True, **kw)
+    return cum.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("positives"),
+                   F.coalesce(F.sum("q"), F.lit(0.0)).alias("negatives"),
+                   F.sum(F.col("q") * (F.col("above") + F.col("p") / 2)).alias("won")).select(
+        "positives", "negatives",
+        F.when(F.col("positives") * F.col("negatives") > 0,
+               F.col("won") / (F.col("positives") * F.col("negatives"))).alias("auc"))
+
+
+def risk_strip(scores: DataFrame, id_col: str, time: str = "time", event: str = "event", **kw) -> DataFrame:
+    """Row 99: ``scores`` with a gapless ``position`` from 0 by (time, event, id).
+
+    The position is an ordered sum over range partitions, so neither a hot
+    time nor the whole strip meets in one task; nulls come first.  Store the
+    strip with ``write_table(..., order_by=["position"])``."""
+    ran = cumulative_position(scores, [time, event, id_col], **kw)
+    return ran.select("position", *[F.col(f"`{c}`") for c in scores.columns])
+
+
+def cumulative_position(df: DataFrame, order_by: list[str], name: str = "position", **kw) -> DataFrame:
+    """``df`` with the number of rows before each one in the order of ``order_by``."""
+    from .kernels import cumulative
+    return cumulative(df, order_by, {name: F.lit(1)}, exclusive=True, **kw).withColumn(name, F.col(name).cast("long"))

@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf, f_sf, norm_two_sided, t_two_sided
@@ -41,16 +41,20 @@ def variance_select(df: DataFrame, features: list[str], threshold: float = 0.8 *
     return row.select(st.alias("s")).select("s.*").withColumn("selected", F.col("variance") > threshold)
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation; null where a side is constant (``corr`` raises there under ANSI rules)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_stats(df: DataFrame, features: list[str], y: str) -> DataFrame:
     """Rows 40-42: Pearson r, F-regression F = r^2 (n-2)/(1-r^2), simple
-    regression slope; one grouped aggregation over all features."""
+    regression slope; one grouped aggregation over all features.  A constant
+    feature has null statistics."""
     long = long_xy(df, features, y)
-    r = F.corr("x", "y")
-    agg = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), r.alias("r"),
-                                      F.regr_slope("y", "x").alias("slope"),
-                                      F.regr_r2("y", "x").alias("r2"))
-    fstat = F.col("r") * F.col("r") * (F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r"))
-    return agg.withColumn("f", fstat)
+    agg = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("r"),
+                                      F.try_divide(F.covar_pop("x", "y"), F.var_pop("x")).alias("slope"))
+    r2 = F.col("r") * F.col("r")
+    return agg.withColumn("r2", r2).withColumn("f", F.try_divide(r2 * (F.col("n") - 2), F.lit(1.0) - r2))
 
 
 def with_pvalues(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,12 +75,12 @@ def average_ranks(long: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """Row 43: Spearman rho = Pearson correlation of average ranks."""
+    """Row 43: Spearman rho = Pearson correlation of average ranks; null for a constant feature."""
     long = long_xy(df, features, y).persist()
     rx = average_ranks(long, ["feature"], "x")
     ry = average_ranks(long.select("feature", "y"), ["feature"], "y")
     j = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-    return j.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("rank_x", "rank_y").alias("rho"))
+    return j.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), _corr("rank_x", "rank_y").alias("rho"))
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str, **kw) -> dict:
@@ -219,3 +223,79 @@ def custom_stat(df: DataFrame, features: list[str], y: str, stat: Statistic) ->
 
     folded = long_xy(df, features, y).mapInPandas(fold, "feature string, state array<double>")
     return folded.groupBy("feature").applyInPandas(finish, "feature string, score double, p double")
+
+
+def _p(fn, *args):
+    """A p value, None where the statistic isn't a finite number."""
+    return float(fn(*args)) if all(a is not None and math.isfinite(a) for a in args) else None
+
+
+def screen_pvalues(df: DataFrame, features: list[str], y: str) -> DataFrame:
+    """Rows 40-43: (method, feature, n, statistic, p) of ANVF, PEAS, LR and SPM.
+
+    F has (1, n - 2) degrees of freedom; r, slope and rho are tested by
+    Student's t with n - 2.  A constant feature, or fewer than three rows,
+    has a null p.  One row per method and feature reaches the driver."""
+    def t_of(r, n):
+        return None if r is None or n < 3 else r * math.sqrt((n - 2) / max(1e-300, 1 - r * r))
+
+    out = []
+    for s in correlation_stats(df, features, y).collect():
+        t, n = t_of(s["r"], s["n"]), s["n"]
+        p = _p(t_two_sided, t, n - 2)
+        out.append(("ANVF", s["feature"], n, s["f"], _p(f_sf, s["f"], 1, n - 2) if n > 2 else None))
+        out += [("PEAS", s["feature"], n, s["r"], p), ("LR", s["feature"], n, s["slope"], p)]
+    for s in spearman(df, features, y).collect():
+        out.append(("SPM", s["feature"], s["n"], s["rho"], _p(t_two_sided, t_of(s["rho"], s["n"]), s["n"] - 2)))
+    return df.sparkSession.createDataFrame(out, "method string, feature string, n long, statistic double, p double")
+
+
+def signed_rank(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Row 51, WC: the paired Wilcoxon test of two columns, for every pair of columns.
+
+    Differences that are null or zero are left out.  Rows collapse to
+    distinct absolute differences, whose average ranks come from one ordered
+    sum over all pairs, so a frequent difference is one row.  ``z`` has the
+    variance corrected for ties and no continuity correction; p is two-sided
+    from the normal distribution, null where no difference is left."""
+    named = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (clean(a) - clean(b)).alias("d"))
+                                for a, b in pairs]))
+    long = df.select(named.alias("s")).select("s.*").where("d IS NOT NULL AND d <> 0")
+    per = long.groupBy("a", "b", F.abs("d").alias("size")).agg(
+        F.count(F.lit(1)).cast("double").alias("c"), F.sum((F.col("d") > 0).cast("double")).alias("up"))
+    ran = cumulative(per, ["size"], {"before": "c"}, segment=["a", "b"], exclusive=True)
+    c, rank = F.col("c"), F.col("before") + (F.col("c") + 1) / 2
+    got = ran.groupBy("a", "b").agg(F.sum("c").alias("n"), F.sum(rank * F.col("up")).alias("w_plus"),
+                                    F.sum(rank * (c - F.col("up"))).alias("w_minus"),
+                                    F.sum(c * c * c - c).alias("ties")).collect()  # one row a pair
+    found = {(r["a"], r["b"]): r for r in got}
+    out = []
+    for a, b in pairs:
+        r = found.get((a, b))
+        if r is None:
+            out.append((a, b, 0, 0.0, 0.0, None, None))
+            continue
+        n = r["n"]
+        z = (r["w_plus"] - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - r["ties"] / 48)
+        out.append((a, b, int(n), r["w_plus"], r["w_minus"], z, norm_two_sided(z)))
+    return df.sparkSession.createDataFrame(
+        out, "a string, b string, n long, w_plus double, w_minus double, z double, p double")
+
+
+def two_sample_pvalues(df: DataFrame, features: list[str], event: str = "event") -> DataFrame:
+    """Row 51, RS and TTI with p: the rank-sum z by the normal distribution, Welch's t with Satterthwaite's degrees of freedom."""
+    long = long_xy(df, features, event)
+    g1 = F.col("y") > 0
+    spread = {r["feature"]: (r["v1"], r["v2"]) for r in long.groupBy("feature").agg(
+        F.var_samp(F.when(g1, F.col("x"))).alias("v1"), F.var_samp(F.when(~g1, F.col("x"))).alias("v2")).collect()}
+    out = []
+    for r in two_sample(df, features, event).collect():
+        v1, v2 = spread[r["feature"]]
+        dof = None
+        if v1 is not None and v2 is not None and v1 + v2 > 0:
+            a, b = v1 / r["n1"], v2 / r["n2"]
+            dof = (a + b) ** 2 / (a * a / (r["n1"] - 1) + b * b / (r["n2"] - 1))
+        out.append((r["feature"], r["ranksum_z"], _p(norm_two_sided, r["ranksum_z"]), r["welch_t"], dof,
+                    None if dof is None else _p(t_two_sided, r["welch_t"], dof)))
+    return df.sparkSession.createDataFrame(out, "feature string, ranksum_z double, ranksum_p double, welch_t double, "
+                                                "welch_dof double, welch_p double")

@@ -279,6 +279,35 @@ def roc_table(spark, sf):
                     r6("accuracy", "accuracy"))
 
 
+ROC_AUC_SQL = """
+WITH per AS (SELECT value * 0.01 + k * -0.005 + is_click * 0.2 + hour * 0.003 AS sc, CAST(sum(event) AS DOUBLE) AS p,
+                    CAST(sum(1 - event) AS DOUBLE) AS q FROM surv_events GROUP BY ALL),
+c AS (SELECT p, q, sum(p) OVER (ORDER BY sc DESC ROWS UNBOUNDED PRECEDING) - p / 2 AS won FROM per)
+SELECT sum(p) AS positives, sum(q) AS negatives, round(sum(q * won) / (sum(p) * sum(q)), 6) AS auc FROM c
+"""
+
+
+@query("roc_auc", V.with_views(ROC_AUC_SQL, "surv_events"))
+def roc_auc(spark, sf):
+    lp = aggregate.linear_predictor({"value": 0.01, "k": -0.005, "is_click": 0.2, "hour": 0.003})
+    got = aggregate.roc_auc(V.surv_events(spark, sf).select(lp.alias("sc"), "event"), "sc", "event")
+    return got.select("positives", "negatives", r6("auc", "auc"))
+
+
+STRIP_SQL = """
+SELECT row_number() OVER (ORDER BY time, event, event_id) - 1 AS position, event_id, round(time, 6) AS time, event,
+       round(value * 0.01 + k * -0.005 + is_click * 0.2 + hour * 0.003, 6) AS risk_score FROM surv_events
+"""
+
+
+@query("risk_strip", V.with_views(STRIP_SQL, "surv_events"))
+def risk_strip(spark, sf):
+    lp = aggregate.linear_predictor({"value": 0.01, "k": -0.005, "is_click": 0.2, "hour": 0.003})
+    scores = V.surv_events(spark, sf).select("event_id", "time", "event", lp.alias("risk_score"))
+    strip = aggregate.risk_strip(scores, "event_id")
+    return strip.select("position", "event_id", r6("time", "time"), "event", r6("risk_score", "risk_score"))
+
+
 AUC_CURVE_SQL = FOLD_CORE + """
 , det AS (SELECT a.test_fold AS fold, a.event, a.time,
                  a.value * w.b_value + a.k * w.b_k + a.hour * w.b_hour AS risk

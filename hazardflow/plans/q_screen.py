@@ -228,6 +228,89 @@ def custom_stat(spark, sf):
         .select("feature", r6("score", "score"))
 
 
+def _normal_p(z: str) -> str:
+    """Two-sided normal p of the SQL value ``z`` by Simpson's rule over 0..|z| (0 beyond 12)."""
+    h = f"(abs({z}) / 2000)"
+    return f"""CASE WHEN {z} IS NULL THEN NULL WHEN abs({z}) > 12 THEN 0.0 ELSE 1 - 2 * {h} / 3 / sqrt(2 * pi())
+      * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * exp(-0.5 * (i * {h}) * (i * {h})))) END"""
+
+
+def _student_p(t: str, dof: str) -> str:
+    """Two-sided Student p by Simpson's rule over 0..|t| (0 beyond 40; for the thousands of degrees of freedom here)."""
+    h = f"(abs({t}) / 2000)"
+    return f"""CASE WHEN {t} IS NULL THEN NULL WHEN abs({t}) > 40 THEN 0.0 ELSE 1 - 2 * {h} / 3
+      * exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi() * {dof})
+      * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * pow(1 + (i * {h}) * (i * {h}) / {dof}, -({dof} + 1) / 2.0))) END"""
+
+
+SCREEN_P_SQL = f"""
+WITH u AS ({_u(EVERY)}),
+c AS (SELECT feature, count(*) AS n, corr(x, y) AS r, regr_slope(y, x) AS slope FROM u GROUP BY feature),
+rk AS (SELECT feature,
+              rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
+              rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry
+       FROM u),
+sp AS (SELECT feature, count(*) AS n, corr(rx, ry) AS r FROM rk GROUP BY feature),
+s AS (SELECT 'ANVF' AS method, feature, n, r * r * (n - 2) / (1 - r * r) AS statistic, r FROM c
+      UNION ALL SELECT 'PEAS', feature, n, r, r FROM c
+      UNION ALL SELECT 'LR', feature, n, slope, r FROM c
+      UNION ALL SELECT 'SPM', feature, n, r, r FROM sp),
+t AS (SELECT method, feature, n, statistic, r * sqrt((n - 2) / (1 - r * r)) AS t, CAST(n - 2 AS DOUBLE) AS dof FROM s)
+SELECT method, feature, n, round(statistic, 6) AS statistic, round({_student_p("t", "dof")}, 6) AS p FROM t
+"""
+
+
+@query("screen_pvalues", V.with_views(SCREEN_P_SQL, "surv_events"))
+def screen_pvalues(spark, sf):
+    s = screen.screen_pvalues(V.surv_events(spark, sf), EVERY, "time")
+    return s.select("method", "feature", "n", r6("statistic", "statistic"), r6("p", "p"))
+
+
+TWO_P_SQL = f"""
+WITH u AS ({_u(SCREEN)}),
+rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx
+       FROM u),
+a AS (SELECT feature, CAST(count(*) FILTER (event > 0) AS DOUBLE) AS n1, CAST(count(*) FILTER (event <= 0) AS DOUBLE) AS n2,
+             sum(rx) FILTER (event > 0) AS r1, avg(x) FILTER (event > 0) AS m1, avg(x) FILTER (event <= 0) AS m2,
+             var_samp(x) FILTER (event > 0) AS v1, var_samp(x) FILTER (event <= 0) AS v2 FROM rk GROUP BY feature),
+t AS (SELECT feature, (r1 - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z,
+             (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+             pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS dof FROM a)
+SELECT feature, round(z, 6) AS ranksum_z, round({_normal_p("z")}, 6) AS ranksum_p, round(t, 6) AS welch_t,
+       round(dof, 6) AS welch_dof, round({_student_p("t", "dof")}, 6) AS welch_p FROM t
+"""
+
+
+@query("two_sample_pvalues", V.with_views(TWO_P_SQL, "surv_events"))
+def two_sample_pvalues(spark, sf):
+    t = screen.two_sample_pvalues(V.surv_events(spark, sf), SCREEN)
+    return t.select("feature", *[r6(c, c) for c in ["ranksum_z", "ranksum_p", "welch_t", "welch_dof", "welch_p"]])
+
+
+PAIRS = [("value", "hour"), ("hour", "k"), ("is_click", "is_view")]
+_DIFFERENCES = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE) AS d FROM surv_events" for a, b in PAIRS)
+SIGNED_SQL = f"""
+WITH u AS (SELECT * FROM ({_DIFFERENCES}) WHERE d <> 0),
+rk AS (SELECT a, b, d, count(*) OVER (PARTITION BY a, b, abs(d)) AS c,
+              rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS r FROM u),
+s AS (SELECT a, b, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus,
+             sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM rk GROUP BY a, b),
+t AS (SELECT *, (w_plus - CAST(n AS DOUBLE) * (n + 1) / 4)
+                / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)
+SELECT a, b, n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(z, 6) AS z,
+       round({_normal_p("z")}, 6) AS p FROM t
+"""
+
+
+@query("signed_rank", V.with_views(SIGNED_SQL, "surv_events"))
+def signed_rank(spark, sf):
+    t = screen.signed_rank(V.surv_events(spark, sf), PAIRS)
+    return t.select("a", "b", "n", *[r6(c, c) for c in ["w_plus", "w_minus", "z", "p"]])
+
+
 # -- regularisation paths and PCA ---------------------------------------------------
 RIDGE = ["value", "k"]
 RIDGE_SQL = f"""
