@@ -246,118 +246,6 @@ def gram(df: DataFrame, cols: list[str], weight: Column | str | None = None,
 # S2 with margins and vector sums (pairwise SVM gradients)
 
 
-def _inblock_pair_sums(tk: np.ndarray, q: np.ndarray, v: np.ndarray, A: np.ndarray, B: np.ndarray) -> np.ndarray:
-    """sum over pairs tk_i < tk_j (positions may repeat: equal positions
-    never pair) with v_j < q_i of outer(A_i, B_j)."""
-    ka, kb = A.shape[1], B.shape[1]
-    out = np.zeros((ka, kb))
-    if len(tk) < 2:
-        return out
-    tk = tk - tk.min()
-    top = int(tk.max())
-    levels = max(1, int(math.ceil(math.log2(top + 1)))) if top > 0 else 0
-    for k in range(levels):
-        blk = tk >> (k + 1)
-        side = (tk >> k) & 1
-        left, right = side == 0, side == 1
-        if not left.any() or not right.any():
-            continue
-        univ = np.unique(np.concatenate([q[left], v[right]]))
-        U = np.int64(len(univ) + 1)
-        kr = blk[right] * U + np.searchsorted(univ, v[right])
-        o = np.argsort(kr, kind="stable")
-        kr = kr[o]
-        cb = np.vstack([np.zeros((1, kb)), np.cumsum(B[right][o], axis=0)])
-        base = blk[left] * U
-        lo = np.searchsorted(kr, base, side="left")
-        at = np.searchsorted(kr, base + np.searchsorted(univ, q[left]), side="left")
-        out += A[left].T @ (cb[at] - cb[lo])
-    return out
-
-
-class PairPlan:
-    """Block structure of ``pair_sums`` for a fixed position column: which
-    levels have blocks over the row cap (processed by Spark) and the
-    in-task level of every position.  Depends only on the positions, so an
-    iterative fit computes it once."""
-
-    def __init__(self, df: DataFrame, tk: str, cap: int | None = None):
-        self.cap = DOMINANCE_CAP if cap is None else cap
-        pos = df.groupBy(F.col(tk).cast("long").alias("tk")).agg(F.count(F.lit(1)).alias("c")).persist()
-        top = pos.agg(F.max("tk")).first()[0]
-        self.levels = (int(math.ceil(math.log2(top + 1))) if top and top > 0 else 0) if top is not None else -1
-        lev = pos.select("tk", F.lit(-1).alias("lvl"))
-        self.big_blocks = {}
-        for k in range(0, self.levels + 1):
-            bc = pos.groupBy(F.shiftright("tk", k).alias("b")).agg(F.sum("c").alias("bc"))
-            big = bc.filter(F.col("bc") > self.cap).select("b")
-            # blocks above the cap: at most n / cap of them
-            ids = [r[0] for r in big.collect()]
-            if ids:
-                self.big_blocks[k] = ids
-            small = bc.filter(F.col("bc") <= self.cap).select(F.col("b").alias("_b"))
-            lev = lev.join(small, F.shiftright("tk", k) == F.col("_b"), "left") \
-                .select("tk", F.when(F.col("_b").isNotNull(), F.lit(k)).otherwise(F.col("lvl")).alias("lvl"))
-        self.lev = lev.checkpoint(eager=True)
-        pos.unpersist()
-
-
-def pair_sums(df: DataFrame, tk: str, q: str, v: str, a_cols: list[str], b_cols: list[str], *,
-              cap: int | None = None, plan: PairPlan | None = None) -> np.ndarray:
-    """Exact ``sum_{tk_i < tk_j, v_j < q_i} outer(A_i, B_j)`` (ka x kb).
-
-    ``tk`` is a dense position (e.g. rank of distinct times); rows sharing a
-    position never pair.  Divide and conquer over positions: a block of
-    positions holding more than ``cap`` rows has its cross-half pairs
-    counted by Spark (union of queries and values per block, ordered sums);
-    maximal blocks of at most ``cap`` rows are counted in one task each.
-    A hot position (one time holding many rows) is never sent to one task.
-    """
-    ka, kb = len(a_cols), len(b_cols)
-    base = df.select(F.col(tk).cast("long").alias("tk"), F.col(q).cast("double").alias("q"),
-                     F.col(v).cast("double").alias("v"),
-                     *[F.col(c).cast("double").alias(f"a{i}") for i, c in enumerate(a_cols)],
-                     *[F.col(c).cast("double").alias(f"b{j}") for j, c in enumerate(b_cols)])
-    plan = PairPlan(df, tk, cap) if plan is None else plan
-    if plan.levels < 0:
-        return np.zeros((ka, kb))
-    levels = plan.levels
-    lev = plan.lev
-    out = np.zeros((ka, kb))
-    # distributed levels: pairs across halves of big blocks at level k+1
-    spark = df.sparkSession
-    for k in range(levels - 1, -1, -1):
-        ids = plan.big_blocks.get(k + 1)
-        if not ids:
-            continue
-        big = spark.createDataFrame([(int(b),) for b in ids], "b long")
-        rows = base.join(F.broadcast(big), F.shiftright("tk", k + 1) == F.col("b"), "left_semi")
-        left = F.shiftright("tk", k) % 2 == 0
-        blk = F.shiftright("tk", k + 1)
-        qs = rows.filter(left).select(blk.alias("blk"), F.col("q").alias("key"), F.lit(-1).alias("nq"),
-                                      *[F.col(f"a{i}") for i in range(ka)],
-                                      *[F.lit(0.0).alias(f"b{j}") for j in range(kb)])
-        vs = rows.filter(~left).select(blk.alias("blk"), F.col("v").alias("key"), F.lit(0).alias("nq"),
-                                       *[F.lit(0.0).alias(f"a{i}") for i in range(ka)],
-                                       *[F.col(f"b{j}") for j in range(kb)])
-        u = qs.unionByName(vs)
-        cum = cumulative(u, ["key", "nq"], {f"cb{j}": f"b{j}" for j in range(kb)}, segment=["blk"])
-        out += outer_sum(cum.filter("nq = -1"), [f"a{i}" for i in range(ka)], [f"cb{j}" for j in range(kb)])
-
-    def inblock(pdf: pd.DataFrame) -> pd.DataFrame:
-        res = _inblock_pair_sums(pdf["tk"].to_numpy(np.int64), pdf["q"].to_numpy(), pdf["v"].to_numpy(),
-                                 pdf[[f"a{i}" for i in range(ka)]].to_numpy(),
-                                 pdf[[f"b{j}" for j in range(kb)]].to_numpy())
-        return pd.DataFrame({"s": [res.ravel().tolist()]})
-
-    j = base.join(lev.filter("lvl >= 1"), "tk").withColumn("_blk", F.expr("shiftright(tk, lvl)"))
-    parts = j.groupBy("lvl", "_blk").applyInPandas(inblock, "s array<double>")
-    tot = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    for r in tot:
-        out.flat[int(r["i"])] += r["x"]
-    return out
-
-
 def dominance_grouped(df: DataFrame, group: str, rank: str, score: str, a: str, b: str, *,
                       max_rows: int, cap: int | None = None, **kw) -> DataFrame:
     """``dominance`` for many independent groups at once (e.g. one C-index

@@ -4,14 +4,14 @@ Risk score s = w.x, trained so that s_i > s_j for comparable pairs (i an
 event, j later; or j censored at the same time), i.e. higher score =
 higher risk, the same orientation as Cox and the C-index.
 
-Objective (rank part): 1/2 ||w||^2 + alpha/2 * sum_pairs loss(1 - s_i + s_j)
-with squared hinge (Newton), hinge (smoothed hinge with continuation), or
-an L1 penalty instead of the L2 one (proximal coordinate descent).
-
-Every pass needs sums over the active pairs {s_j > s_i - 1}; these come
-from ``kernels.pair_sums`` (exact, no pair list, no cap): pairs across
-distinct times by divide and conquer over time ranks, and same-time
-event/censored pairs by per-time ordered sums.
+Objective: 1/2 ||w||^2 + alpha/2 * (r * sum_pairs max(0, 1 - s_i + s_j)^2
++ (1 - r) * sum_rows residual^2), r = ``rank_ratio``.  A residual is log
+time against b - s, one-sided for censored rows.  The pairs' loss may be the
+hinge instead (smoothed, with continuation), the penalty the L1 norm
+(proximal Newton with a line search).
+
+Every pass takes its sums over the active pairs from ``pairs.PairRows``
+(exact, no pair list, O(p) columns a row) and tries several steps at once.
 """
 
 from __future__ import annotations
@@ -23,121 +23,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BROADCAST_ROWS, PairPlan, cumulative, outer_sum, pair_sums
-
-
-def time_positions(df: DataFrame, time: str = "time") -> DataFrame:
-    """Dense rank of the distinct times (0-based), joined back to rows."""
-    t = df.select(F.col(time).alias("_t")).distinct()
-    n = t.count()
-    tr = cumulative(t, ["_t"], {"_tk": F.lit(1.0)}, exclusive=True)
-    tr = tr.select("_t", F.col("_tk").cast("long").alias("_tk"))
-    tr = F.broadcast(tr) if n <= BROADCAST_ROWS else tr
-    return df.join(tr, F.col(time) == F.col("_t")).drop("_t")
-
-
-def _features(p: int, s_col: str = "_s") -> tuple[list[Column], list[Column], list[str]]:
-    x = [F.col(f"_x{k}") for k in range(p)]
-    s = F.col(s_col)
-    c = F.lit(1.0) - s
-    e = (F.col("_e") > 0).cast("double")
-    a = [e, e * c, e * c * c] + [e * xi for xi in x] + [e * c * xi for xi in x]
-    b = [F.lit(1.0), s, s * s] + x + [s * xi for xi in x]
-    names = []
-    for i in range(p):
-        for j in range(i, p):
-            a.append(e * x[i] * x[j])
-            b.append(x[i] * x[j])
-    return a, b, names
-
-
-def _same_time_sums(df: DataFrame, ka: int, kb: int) -> np.ndarray:
-    """Event i vs censored j at the same time with v_j < q_i."""
-    qs = df.filter("_e > 0").select(F.col("_tk").alias("blk"), F.col("_q").alias("key"), F.lit(-1).alias("nq"),
-                                   *[F.col(f"_a{i}") for i in range(ka)],
-                                   *[F.lit(0.0).alias(f"_b{j}") for j in range(kb)])
-    vs = df.filter("_e = 0").select(F.col("_tk").alias("blk"), F.col("_v").alias("key"), F.lit(0).alias("nq"),
-                                   *[F.lit(0.0).alias(f"_a{i}") for i in range(ka)],
-                                   *[F.col(f"_b{j}") for j in range(kb)])
-    cum = cumulative(qs.unionByName(vs), ["key", "nq"], {f"cb{j}": f"_b{j}" for j in range(kb)}, segment=["blk"])
-    return outer_sum(cum.filter("nq = -1"), [f"_a{i}" for i in range(ka)], [f"cb{j}" for j in range(kb)])
+from .pairs import PairRows
 
 
 class PairStats:
-    """Loss, gradient and Hessian of sum_active (c_i + s_j)^2 over the
-    comparable pairs with s_j > s_i - 1 + shift (c = 1 - s)."""
+    """Loss, gradient and Hessian of sum_active (1 - s_i + s_j)^2 over the
+    comparable pairs with s_j > s_i - 1 + shift."""
 
     def __init__(self, data: DataFrame, p: int, cap=None):
-        self.data = data
         self.p = p
-        self.cap = cap
-        self.plan = PairPlan(data, "_tk", cap)  # positions are fixed across iterations
+        self.rows = PairRows(data, p, cap)
 
     def __call__(self, w: np.ndarray, shift: float = 0.0):
-        return self.multi(w, [shift])[0][:4]
-
-    def multi(self, w: np.ndarray, shifts: list[float]):
-        """Statistics for several margins in one pair pass: each row is
-        repeated once per extra margin with that margin's query key and
-        its own block of left weights; the copies carry no right weights,
-        and copies share a time position so they never pair."""
-        p = self.p
-        s = None
-        for k in range(p):
-            t = F.col(f"_x{k}") * F.lit(float(w[k]))
-            s = t if s is None else s + t
-        d = self.data.withColumn("_s", s)
-        a, b, _ = _features(p)
-        ka, kb = len(a), len(b)
-        m = len(shifts)
-        copies = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_copy")
-        d = d.select("*", copies)
-        shift_arr = F.array(*[F.lit(float(x)) for x in shifts])
-        q = F.lit(1.0) - F.element_at(shift_arr, F.col("_copy") + 1) - F.col("_s")
-        cols = [F.col("_tk"), F.col("_e"), q.alias("_q"), (-F.col("_s")).alias("_v")]
-        for c in range(m):
-            cols += [F.when(F.col("_copy") == c, e).otherwise(0.0).alias(f"_a{c * ka + i}") for i, e in enumerate(a)]
-        cols += [F.when(F.col("_copy") == 0, e).otherwise(0.0).alias(f"_b{j}") for j, e in enumerate(b)]
-        d = d.select(*cols).persist()
-        A = [f"_a{i}" for i in range(m * ka)]
-        B = [f"_b{j}" for j in range(kb)]
-        M = pair_sums(d, "_tk", "_q", "_v", A, B, cap=self.cap, plan=self.plan)
-        M += _same_time_sums(d, m * ka, kb)
-        d.unpersist()
-        out = []
-        for c in range(m):
-            Mc = M[c * ka:(c + 1) * ka]
-            out.append(self._decode(Mc))
-            out[-1] = out[-1] + (Mc,)
-        return out
-
-    def _decode(self, M):
-        p = self.p
-        A1, Ac, Acc = 0, 1, 2
-        Ax = 3
-        Acx = 3 + p
-        B1, Bs, Bss = 0, 1, 2
-        Bx = 3
-        Bsx = 3 + p
-        loss = M[Acc, B1] + 2 * M[Ac, Bs] + M[A1, Bss]
-        grad = np.zeros(p)
-        for k in range(p):
-            grad[k] = 2 * (M[Ac, Bx + k] + M[A1, Bsx + k] - M[Acx + k, B1] - M[Ax + k, Bs])
-        # Hessian: 2 sum (x_i - x_j)(x_i - x_j)'
-        H = np.zeros((p, p))
-        off_a = 3 + 2 * p
-        idx = {}
-        t = 0
-        for i in range(p):
-            for j in range(i, p):
-                idx[(i, j)] = idx[(j, i)] = t
-                t += 1
-        for i in range(p):
-            for j in range(p):
-                H[i, j] = 2 * (M[off_a + idx[(i, j)], B1] - M[Ax + i, Bx + j] - M[Ax + j, Bx + i]
-                               + M[A1, off_a + idx[(i, j)]])
-        npairs = M[A1, B1]
-        return loss, grad, H, npairs
+        r = self.at([(w, shift, 0.0)])[0]
+        return r.square, r.square_grad, r.square_hess, r.count
+
+    def at(self, points, residuals: bool = False):
+        """The sums at several (w, shift, intercept), from one pass over the rows."""
+        return self.rows.evaluate([[*w, shift, b] for w, shift, b in points], residuals)
+
+    def close(self):
+        self.rows.close()
 
 
 @dataclass
@@ -147,125 +53,145 @@ class SVMResult:
     iterations: int
     active_pairs: float
     converged: bool
+    intercept: float = 0.0
 
 
 def _prepare(df: DataFrame, features: list[str], time: str, event: str) -> DataFrame:
-    d = df.select(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("_e"),
-                  *[F.col(f"`{c}`").cast("double").alias(f"_x{k}") for k, c in enumerate(features)]).dropna()
-    return time_positions(d, "time").persist()
+    return df.select(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("_e"),
+                     *[F.col(f"`{c}`").cast("double").alias(f"_x{k}") for k, c in enumerate(features)]).dropna()
 
 
 #: Newton steps of one smoothing level of the hinge, after which the fit counts as unsolved.
 HINGE_STEPS = 200
+#: Step lengths tried by one pass; the next pass goes on from the last by the same factors.
+TRIES = (1.0, 0.5, 0.25, 0.125)
+LEAST_TRY = 1e-10
+
+
+def _descend(evaluate, direction, start, limit: int, tol: float, by_value: bool = False):
+    """Minimise by damped Newton steps: ``evaluate`` gives (objective, ...) at several points,
+    ``direction`` the step and its slope at one.
+
+    Returns (point, values there, steps, converged).  Of the step lengths tried in one pass the one
+    of least objective among those of sufficient decrease is taken.  Decreases below the rounding of
+    the objective are not told apart; ``by_value`` stops there."""
+    at, cur = start, evaluate([start])[0]
+    for taken in range(limit + 1):
+        step, slope = direction(at, cur)
+        noise = 1e-12 * max(1.0, abs(cur[0]))
+        if np.max(np.abs(step)) < tol or (by_value and -0.5 * slope < noise):
+            return at, cur, taken, True
+        if taken == limit:
+            break
+        scale, best = 1.0, None
+        while best is None and scale >= LEAST_TRY:
+            tries = [scale * t for t in (TRIES if by_value or scale < 1 else TRIES[:1])]
+            found = evaluate([at + t * step for t in tries])
+            good = [i for i, t in enumerate(tries) if found[i][0] <= cur[0] + 1e-4 * t * slope + noise]
+            if good:
+                best = min(good, key=lambda i: (found[i][0], i))
+                at, cur = at + tries[best] * step, found[best]
+            scale = tries[-1] / 2
+        if best is None:  # no decrease along a descent direction
+            return at, cur, taken, bool(-0.5 * slope < noise)
+    return at, cur, limit, False
+
+
+def _newton(at, cur):
+    _, grad, hess, _ = cur
+    step = -np.linalg.solve(hess + 1e-9 * np.eye(len(grad)), grad)
+    return step, grad @ step
 
 
 def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: str = "squared_hinge",
                  penalty: str = "l2", max_iter: int = 20, tol: float = 1e-8, time: str = "time",
-                 event: str = "event", cap=None) -> SVMResult:
-    """Rows 63/64/65/72: pairwise survival SVM on the comparable pairs.
+                 event: str = "event", cap=None, rank_ratio: float = 1.0, fit_intercept: bool = False) -> SVMResult:
+    """Rows 63/64/65/72: survival SVM on the comparable pairs, mixed with a regression of log time.
 
-    ``converged`` is False where a limit on the steps was reached first.  The
-    hinge is solved to tolerance at every smoothing level, with up to
+    ``rank_ratio`` below 1 needs the squared hinge, the L2 penalty and positive times; only it has an
+    intercept, which is not penalised.  ``converged`` is False where a limit on the steps was reached
+    first.  The hinge is solved to tolerance at every smoothing level, with up to
     ``max(max_iter, HINGE_STEPS)`` steps a level; the last level is 0.01."""
+    if not 0 <= rank_ratio <= 1:
+        raise ValueError("rank_ratio must be in [0, 1]")
+    if (penalty, loss) not in {("l2", "squared_hinge"), ("l2", "hinge"), ("l1", "squared_hinge")}:
+        raise ValueError(f"unsupported penalty/loss: {penalty}/{loss}")
+    if rank_ratio < 1 and (penalty, loss) != ("l2", "squared_hinge"):
+        raise ValueError("rank_ratio below 1 goes with the squared hinge and the l2 penalty")
+    if fit_intercept and rank_ratio == 1:
+        raise ValueError("pairs of scores don't determine an intercept")
     d = _prepare(df, features, time, event)
+    if rank_ratio < 1 and d.where("time <= 0").limit(1).count():
+        raise ValueError("rank_ratio below 1 takes the log of the times, which must be positive")
     p = len(features)
     stats = PairStats(d, p, cap)
-    w = np.zeros(p)
-    it = 0
-    converged = False
-    if penalty == "l2" and loss == "squared_hinge":
-        cur = stats(w)
-        for it in range(1, max_iter + 1):
-            L, g, H, npairs = cur
-            obj = 0.5 * w @ w + 0.5 * alpha * L
-            grad = w + 0.5 * alpha * g
-            step = np.linalg.solve(np.eye(p) + 0.5 * alpha * H, grad)
-            # backtracking on the objective; the accepted evaluation is reused
-            t = 1.0
-            while True:
-                w_new = w - t * step
-                new = stats(w_new)
-                if 0.5 * w_new @ w_new + 0.5 * alpha * new[0] <= obj + 1e-12 * max(1.0, abs(obj)) or t < 1e-4:
-                    break
-                t *= 0.5
-            w, cur = w_new, new
-            if np.max(np.abs(step)) < tol:
-                converged = True
-                break
-        L, _, _, npairs = cur
-        d.unpersist()
-        return SVMResult(w, 0.5 * w @ w + 0.5 * alpha * L, it, npairs, converged)
-    if penalty == "l2" and loss == "hinge":
-        # smoothed hinge h_delta, continuation on delta; evaluations reused
-        obj = None
-        npairs = 0.0
-        converged = True
-        for delta in (1.0, 0.1, 0.01):
-            cur = _smoothed_hinge(stats, w, delta)
-            solved = False
-            for _ in range(max(max_iter, HINGE_STEPS)):
-                f, g, H, npairs = cur
-                obj = 0.5 * w @ w + alpha * f
-                grad = w + alpha * g
-                step = np.linalg.solve(np.eye(p) + alpha * H + 1e-9 * np.eye(p), grad)
-                noise = 1e-12 * max(1.0, abs(obj))  # decreases below this are not told apart
-                if np.max(np.abs(step)) < tol or 0.5 * grad @ step < noise:
-                    solved = True
-                    break
-                t = 1.0
-                while True:
-                    w_new = w - t * step
-                    new = _smoothed_hinge(stats, w_new, delta)
-                    if 0.5 * w_new @ w_new + alpha * new[0] <= obj - 1e-4 * t * (grad @ step) + noise:
-                        break
-                    t *= 0.5
-                    if t < 1e-10:
-                        break
-                if t < 1e-10:
-                    break  # no decrease along a descent direction
-                w, cur = w_new, new
-                it += 1
-            else:  # the last step may have solved it
-                f, g, H, npairs = cur
-                obj = 0.5 * w @ w + alpha * f
-                grad = w + alpha * g
-                step = np.linalg.solve(np.eye(p) + alpha * H + 1e-9 * np.eye(p), grad)
-                solved = bool(np.max(np.abs(step)) < tol)
-            converged = converged and solved
-        d.unpersist()
-        return SVMResult(w, obj, it, npairs, converged)
-    if penalty == "l1" and loss == "squared_hinge":
-        # min ||w||_1 + alpha/2 * L(w): proximal Newton, CD on the quadratic model
-        for it in range(1, max_iter + 1):
-            L, g, H, npairs = stats(w)
-            Hs = 0.5 * alpha * H + 1e-9 * np.eye(p)
-            gs = 0.5 * alpha * g
-            w_new = _l1_quadratic_cd(Hs, gs, w, 1.0)
-            if np.max(np.abs(w_new - w)) < tol:
-                w = w_new
-                converged = True
-                break
-            w = w_new
-        L, _, _, npairs = stats(w)
-        d.unpersist()
-        return SVMResult(w, float(np.abs(w).sum() + 0.5 * alpha * L), it, npairs, converged)
-    raise ValueError(f"unsupported penalty/loss: {penalty}/{loss}")
+    try:
+        if loss == "hinge":
+            w, steps, converged = np.zeros(p), 0, True
+            for delta in (1.0, 0.1, 0.01):
+                def hinge(ws, delta=delta):
+                    return [(0.5 * w @ w + alpha * f, w + alpha * g, np.eye(p) + alpha * h, n)
+                            for w, (f, g, h, n) in zip(ws, _smoothed(stats, ws, delta), strict=True)]
+
+                w, cur, more, solved = _descend(hinge, _newton, w, max(max_iter, HINGE_STEPS), tol, by_value=True)
+                steps, converged = steps + more, converged and solved
+            return SVMResult(w, float(cur[0]), steps, cur[3], converged)
+        if penalty == "l1":
+            def lasso(ws):
+                return [(np.abs(w).sum() + 0.5 * alpha * r.square, 0.5 * alpha * r.square_grad,
+                         0.5 * alpha * r.square_hess + 1e-9 * np.eye(p), r.count)
+                        for w, r in zip(ws, stats.at([(w, 0.0, 0.0) for w in ws]), strict=True)]
+
+            def proximal(w, cur):
+                new = _l1_quadratic_cd(cur[2], cur[1], w, 1.0)
+                return new - w, cur[1] @ (new - w) + np.abs(new).sum() - np.abs(w).sum()
+
+            w, cur, steps, converged = _descend(lasso, proximal, np.zeros(p), max_iter, tol)
+            return SVMResult(w, float(cur[0]), steps, cur[3], converged)
+
+        def mixed(points):
+            w, b = [v[:p] for v in points], [v[p] if fit_intercept else 0.0 for v in points]
+            got = stats.at([(w[i], 0.0, b[i]) for i in range(len(w))], residuals=rank_ratio < 1)
+            out = []
+            for v, r in zip(w, got, strict=True):
+                grad, hess = (1 - rank_ratio) * r.residual_grad, (1 - rank_ratio) * r.residual_hess
+                grad[:p] += rank_ratio * r.square_grad
+                hess[:p, :p] += rank_ratio * r.square_hess
+                f = rank_ratio * r.square + (1 - rank_ratio) * r.residual
+                grad, hess = 0.5 * alpha * grad, 0.5 * alpha * hess
+                grad[:p] += v
+                hess[:p, :p] += np.eye(p)
+                m = p + int(fit_intercept)
+                out.append((0.5 * v @ v + 0.5 * alpha * f, grad[:m], hess[:m, :m], r.count))
+            return out
+
+        at, cur, steps, converged = _descend(mixed, _newton, np.zeros(p + int(fit_intercept)), max_iter, tol)
+        return SVMResult(at[:p], float(cur[0]), steps, cur[3], converged, float(at[p]) if fit_intercept else 0.0)
+    finally:
+        stats.close()
+
+
+def predicted_time(result: SVMResult, features: list[str]) -> Column:
+    """exp(b - s): the time that a fit with ``rank_ratio`` below 1 predicts."""
+    s = F.lit(float(result.intercept))
+    for c, w in zip(features, result.coef, strict=True):
+        s = s - F.col(f"`{c}`").cast("double") * F.lit(float(w))
+    return F.exp(s)
+
+
+def _smoothed(stats: PairStats, ws, delta):
+    """Huber-smoothed hinge over the comparable pairs, z = s_i - s_j:
+    0 for z >= 1, (1-z)^2/(2 delta) for 1-delta < z < 1, 1 - z - delta/2
+    for z <= 1-delta: squares over z < 1 less those over z < 1 - delta, whose
+    plain margins make the linear part.  (value, gradient, Hessian, pairs) each."""
+    got = stats.at([(w, shift, 0.0) for w in ws for shift in (0.0, delta)])
+    return [((a.square - b.square) / (2 * delta) + b.linear - b.count * delta / 2,
+             (a.square_grad - b.square_grad) / (2 * delta) + b.linear_grad,
+             (a.square_hess - b.square_hess) / (2 * delta), a.count) for a, b in zip(got[::2], got[1::2], strict=True)]
 
 
 def _smoothed_hinge(stats: PairStats, w, delta):
-    """Huber-smoothed hinge over the comparable pairs, z = s_i - s_j:
-    0 for z >= 1, (1-z)^2/(2 delta) for 1-delta < z < 1, 1 - z - delta/2
-    for z <= 1-delta.  Two pair passes: squared sums over z < 1 and over
-    z < 1 - delta; the linear-region moments come from the second pass."""
-    p = stats.p
-    (L1, g1, H1, n1, _), (L2, g2, H2, n2, M) = stats.multi(w, [0.0, delta])
-    # sum over z < 1-delta of (1 - z) = sum (c_i + s_j), and its gradient sum (x_j - x_i)
-    lin_sum = M[1, 0] + M[0, 1]
-    lin_grad = np.array([M[0, 3 + k] - M[3 + k, 0] for k in range(p)])
-    f = (L1 - L2) / (2 * delta) + (lin_sum - n2 * delta / 2)
-    g = (g1 - g2) / (2 * delta) + lin_grad
-    H = (H1 - H2) / (2 * delta)
-    return f, g, H, n1
+    return _smoothed(stats, [w], delta)[0]
 
 
 def _l1_quadratic_cd(H, g, w0, lam, iters=1000, tol=1e-12):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dist import norm_two_sided
 from ..operators import boost, cox, coxnet, metrics, prep, svm
 from ..sources import views as V
-from .registry import query
+from .registry import query, r6
 
 EV_FEATURES = ["value", "k", "hour", "is_click", "is_view"]
 LINE_FEATURES = ["l_discount", "l_tax", "o_totalprice", "p_size", "c_acctbal"]
@@ -109,7 +109,45 @@ def _svm_query(spark, sf, **kw):
         lp = t if lp is None else lp + t
     c = metrics.harrell_c(ev, lp)["cindex"]
     return _coef_frame(spark, EV_FEATURES, r.coef, extra={"objective": float(r.objective), "train_cindex": c,
-                                                         "converged": r.converged})
+                                                         "converged": r.converged, "intercept": r.intercept})
+
+
+# Fixed coefficients at which the SVM's sums are compared with a join of all pairs.
+PAIR_BETA = {"value": 0.02, "k": -0.005, "hour": 0.03, "is_click": 0.4, "is_view": -0.3}
+PAIR_LP = " + ".join(f"{c} * {b}" for c, b in PAIR_BETA.items())
+PAIR_GRADS = ", ".join(f"round(sum(2 * m * (b_{c} - a_{c})) / count(*), 6) AS grad_{c}" for c in PAIR_BETA)
+PAIR_COLS = ", ".join(f"{side}.{c} AS {side}_{c}" for side in "ab" for c in PAIR_BETA)
+PAIR_SQL = f"""
+WITH s AS (SELECT time, event, {", ".join(PAIR_BETA)}, {PAIR_LP} AS s FROM surv_events
+           WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PAIR_BETA)}),
+m AS (SELECT CAST(0 AS DOUBLE) AS margin UNION ALL SELECT 0.5),
+p AS (SELECT margin, 1 - a.s + b.s AS m, {PAIR_COLS}
+      FROM s a JOIN s b ON b.time > a.time OR (b.time = a.time AND b.event = 0) JOIN m ON b.s > a.s - 1 + margin
+      WHERE a.event = 1)
+SELECT margin, CAST(count(*) AS DOUBLE) AS active_pairs, round(sum(m) / count(*), 6) AS mean_margin,
+       round(sum(m * m) / count(*), 6) AS mean_square, {PAIR_GRADS},
+       round(sum(2 * (a_value - b_value) * (a_hour - b_hour)) / count(*), 6) AS hess_value_hour
+FROM p GROUP BY margin
+"""
+
+
+@query("svm_pair_sums", V.with_views(PAIR_SQL, "surv_events"))
+def svm_pair_sums(spark, sf):
+    """Rows 63-66, 72: active pairs, loss, gradient and one entry of the Hessian a pair at fixed
+    coefficients, for margins 0 and 0.5: the sums that every SVM fit takes."""
+    names = list(PAIR_BETA)
+    stats = svm.PairStats(svm._prepare(V.surv_events(spark, sf), names, "time", "event"), len(names))
+    margins, beta = [0.0, 0.5], list(PAIR_BETA.values())
+    rows = []
+    for margin, r in zip(margins, stats.at([(beta, m, 0.0) for m in margins]), strict=True):
+        n = r.count
+        rows.append({"margin": margin, "active_pairs": float(n), "mean_margin": r.linear / n, "mean_square": r.square / n,
+                     **{f"grad_{c}": float(g) / n for c, g in zip(names, r.square_grad, strict=True)},
+                     "hess_value_hour": float(r.square_hess[names.index("value"), names.index("hour")]) / n})
+    stats.close()
+    schema = ", ".join(f"{c} double" for c in rows[0])
+    got = spark.createDataFrame([tuple(float(v) for v in r.values()) for r in rows], schema)
+    return got.select("margin", "active_pairs", *[r6(c, c) for c in got.columns[2:]])
 
 
 @query("svm_pairwise")
@@ -130,6 +168,18 @@ def svm_rank(spark, sf):
     return _svm_query(spark, sf, alpha=1.0, loss="squared_hinge", penalty="l2")
 
 
+@query("svm_mixed")
+def svm_mixed(spark, sf):
+    """Row 65 (FSVM): half ranking, half regression of log time, with an intercept."""
+    return _svm_query(spark, sf, alpha=1.0, rank_ratio=0.5, fit_intercept=True)
+
+
+@query("svm_regression")
+def svm_regression(spark, sf):
+    """Row 65 (FSVM): rank_ratio 0, the regression of log time with one-sided residuals of censored rows."""
+    return _svm_query(spark, sf, alpha=1.0, rank_ratio=0.0, fit_intercept=True)
+
+
 @query("svm_hinge")
 def svm_hinge(spark, sf):
     """Row 72 (HLSVM): pairwise hinge loss."""

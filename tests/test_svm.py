@@ -96,3 +96,84 @@ def test_a_fit_that_reached_its_limit_says_so(data, monkeypatch):
     monkeypatch.setattr(svm, "HINGE_STEPS", 1)
     assert not svm.fit_rank_svm(df, ["a", "b", "c"], loss="hinge", max_iter=1).converged
     assert not svm.fit_rank_svm(df, ["a", "b", "c"], alpha=0.5, max_iter=1).converged
+
+
+def _hard(seed=3, n=150):
+    """Half of the rows at one time, repeated rows, scores tied by a coarse feature."""
+    rng = np.random.default_rng(seed)
+    X = np.column_stack([rng.integers(0, 3, n), rng.integers(0, 2, n)]).astype(float)
+    t = np.where(rng.random(n) < 0.5, 7.0, rng.integers(1, 12, n)).astype(float)
+    e = rng.random(n) < 0.5
+    return X, t, e
+
+
+def _frame(spark, X, t, e):
+    return spark.createDataFrame(pd.DataFrame({"time": t, "event": e.astype(int), "a": X[:, 0], "b": X[:, 1]}))
+
+
+@pytest.mark.parametrize("cap", [None, 8])
+def test_pair_sums_with_a_hot_time_and_tied_scores(spark, cap):
+    X, t, e = _hard()
+    st = svm.PairStats(svm._prepare(_frame(spark, X, t, e), ["a", "b"], "time", "event"), 2, cap)
+    points = [([0.5, -1.0], 0.0, 0.0), ([0.0, 0.0], 0.25, 1.0), ([1.0, 1.0], 0.5, -0.5)]
+    for (w, shift, b), r in zip(points, st.at(points, residuals=True), strict=True):
+        w = np.array(w)
+        L, g, H = _brute(X, t, e, w, shift)
+        z = np.array([(X[i] - X[j]) @ w for i, j in _pairs(t, e)])
+        d = np.array([X[i] - X[j] for i, j in _pairs(t, e)])
+        on = z < 1 - shift
+        assert r.count == on.sum() and r.square == pytest.approx(L) and r.linear == pytest.approx((1 - z[on]).sum())
+        assert np.allclose(r.square_grad, g) and np.allclose(r.square_hess, H)
+        assert np.allclose(r.linear_grad, -d[on].sum(axis=0))
+        res = np.log(t) - (b - X @ w)
+        res = np.where(e | (res > 0), res, 0)
+        assert r.residual == pytest.approx((res ** 2).sum())
+        assert np.allclose(r.residual_grad, 2 * np.append(res @ X, -res.sum()))
+    st.close()
+
+
+def test_dominance_sums_match_a_double_loop():
+    rng = np.random.default_rng(0)
+    qr, vr = rng.integers(0, 6, 40), rng.integers(0, 6, 50)
+    qk, vk = rng.integers(0, 4, 40) * 1.0, rng.integers(0, 4, 50) * 1.0
+    qw, feats = rng.random(40), rng.random((50, 2))
+    from hazardflow.operators.pairs import dominance_sums
+    sums, counts = dominance_sums(qr, qk, qw, vr, vk, feats)
+    on = (vr[None] > qr[:, None]) & (vk[None] > qk[:, None])
+    assert np.allclose(sums, on @ feats) and np.allclose(counts, qw @ on)
+
+
+@pytest.mark.parametrize(("ratio", "intercept"), [(0.0, True), (0.5, True), (0.5, False)])
+def test_mixed_objective_is_stationary(data, ratio, intercept):
+    df, X, t, e = data
+    r = svm.fit_rank_svm(df, ["a", "b", "c"], alpha=0.7, rank_ratio=ratio, fit_intercept=intercept, max_iter=40)
+    _, g, _ = _brute(X, t, e, r.coef)
+    res = np.log(t) - (r.intercept - X @ r.coef)
+    res = np.where(e | (res > 0), res, 0)
+    assert r.converged
+    assert np.allclose(r.coef + 0.35 * (ratio * g + (1 - ratio) * 2 * res @ X), 0, atol=1e-5)
+    assert not intercept or abs(res.sum()) < 1e-4
+    got = df.select(svm.predicted_time(r, ["a", "b", "c"])).toPandas().iloc[:, 0]
+    assert np.allclose(got, np.exp(r.intercept - X @ r.coef))
+
+
+def test_l1_fit_meets_the_subgradient_conditions(data):
+    df, X, t, e = data
+    least = np.sort(np.abs(_brute(X, t, e, np.zeros(3))[1]))
+    alpha = 2 / least[:2].mean()  # the weakest feature stays out
+    r = svm.fit_rank_svm(df, ["a", "b", "c"], alpha=alpha, penalty="l1", max_iter=40)
+    g = 0.5 * alpha * _brute(X, t, e, r.coef)[1]
+    on = np.abs(r.coef) > 1e-9
+    assert r.converged and 0 < on.sum() < 3
+    assert np.allclose(g[on], -np.sign(r.coef[on]), atol=1e-5) and (np.abs(g[~on]) <= 1 + 1e-6).all()
+
+
+def test_svm_edges(spark, data):
+    df, *_ = data
+    none = svm.fit_rank_svm(df.limit(0), ["a", "b"])
+    assert none.converged and (none.coef == 0).all() and none.active_pairs == 0
+    for wrong in ({"rank_ratio": 1.5}, {"rank_ratio": 0.5, "loss": "hinge"}, {"fit_intercept": True}):
+        with pytest.raises(ValueError):
+            svm.fit_rank_svm(df, ["a"], **wrong)
+    with pytest.raises(ValueError, match="positive"):
+        svm.fit_rank_svm(_frame(spark, np.zeros((2, 2)), np.array([0.0, 1.0]), np.array([True, False])), ["a"], rank_ratio=0.5)
