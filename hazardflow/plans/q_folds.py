@@ -140,19 +140,21 @@ GROUPS = {"value": "numeric", "k": "numeric", "hour": "clock"}
 def fold_coefficients(spark, sf):
     """(fold, feature, coef): beta = U(0)/I(0) (Breslow) on each fold's
     training rows; fold = repeat * 4 + test fold of the RKF assignment.
-    All (fold, feature) models run in one grouped pass."""
-    ev = V.surv_events(spark, sf)
+    All (fold, feature) models take one pass over rows that carry the list of
+    the folds they train: no row is copied for a fold or a feature."""
+    ev = V.surv_events(spark, sf).persist()
     asg = splits.repeated_kfold(ev, "event_id", None, 4, 3, 1) \
         .select("event_id", "repeat", (F.col("repeat") * 4 + F.col("fold")).alias("test_fold"))
-    # training folds of a row: the other folds of the same repeat (generator, no join)
-    first = F.col("repeat") * 4
-    train_folds = F.filter(F.sequence(first, first + 3), lambda f: f != F.col("test_fold"))
-    rows = ev.join(asg, "event_id").select("*", F.explode(train_folds).alias("fold"))
-    long = rows.select("fold", "time", "event", *FOLD_FEATURES).unpivot(
-        ["fold", "time", "event"], FOLD_FEATURES, "feature", "x")
-    long = long.withColumn("model", F.concat_ws("|", F.col("fold").cast("string"), "feature"))
-    step = cox.one_step(long, ["x"], "model")
-    out = [(int(m.split("|")[0]), m.split("|")[1], float(b[0])) for m, b in step.items()]
+    # an id's assignments, one of each repeat side by side (an id that repeats has several)
+    own = asg.groupBy("event_id").agg(*[F.collect_list(F.when(F.col("repeat") == r, F.col("test_fold"))).alias(f"t{r}")
+                                        for r in range(3)])
+    own = own.select("event_id", F.explode(F.arrays_zip("t0", "t1", "t2")).alias("t"))
+    # training folds of a row: the other folds of the same repeat
+    train_folds = F.flatten(F.transform(F.array("t.t0", "t.t1", "t.t2"), lambda test: F.filter(
+        F.sequence(test - test % 4, test - test % 4 + 3), lambda f: f != test)))
+    rows = ev.join(own, "event_id").select("time", "event", *FOLD_FEATURES, train_folds.alias("fold"))
+    step = cox.one_step(rows, FOLD_FEATURES, "fold", univariate=True)
+    out = [(int(fold), feature, float(b[0])) for (fold, feature), b in step.items()]
     return spark.createDataFrame(out, "fold int, feature string, coef double"), ev, asg
 
 

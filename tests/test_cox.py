@@ -114,3 +114,25 @@ def test_coxnet_every_alpha_is_solved(df):
                 assert abs(g[j]) <= a * 0.2 + 1e-6
         assert ll == pytest.approx(_loglik(X, t, e, b, "breslow"), abs=1e-6)
     assert not coxnet.fit_path(sdf, ["a", "b"], n_alphas=3, max_passes=1).converged.all()
+
+
+def test_one_step_of_overlapping_models(spark):
+    """Rows that train several models are laid out once; a null leaves a row out of its column's models only."""
+    rng = np.random.default_rng(7)
+    n = 160
+    t, e = np.round(rng.exponential(1.0, n), 1) + 0.1, (rng.random(n) < 0.6).astype(int)
+    t[:50] = 0.7
+    x = {"a": rng.normal(size=n), "b": np.where(rng.random(n) < 0.2, np.nan, rng.normal(size=n))}
+    member = rng.random((n, 3)) < 0.6
+    rows = [(float(t[i]), int(e[i]), float(x["a"][i]), None if np.isnan(x["b"][i]) else float(x["b"][i]),
+             [f for f in range(3) if member[i, f]]) for i in range(n)]
+    sdf = spark.createDataFrame(rows, "time double, event int, a double, b double, own array<int>")
+    got = cox.one_step(sdf, ["a", "b"], "own", univariate=True)
+    assert set(got) == {(f, c) for f in range(3) for c in "ab"}
+    for (f, c), beta in got.items():
+        on = member[:, f] & ~np.isnan(x[c])
+        tt, ee, xx, u, info = t[on], e[on], x[c][on], 0.0, 0.0
+        for i in np.flatnonzero(ee):
+            r = xx[tt >= tt[i]]
+            u, info = u + xx[i] - r.mean(), info + r.var()
+        assert abs(float(beta[0]) - u / info) < 1e-9
