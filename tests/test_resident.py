@@ -112,3 +112,23 @@ def test_empty_table_and_no_events(spark):
     assert fit.beta[0, 0] == 0 and fit.loglik[0] == 0
     empty = ResidentRows(df.limit(0), ["f0"], parts=2)
     assert empty.n == 0 and empty.fit(Models(np.zeros(1, int), np.ones(1), np.zeros(1, bool), np.ones((1, 1), bool))).passes == 0
+
+
+def test_large_folds_with_tied_scores_and_hot_classes(spark, monkeypatch):
+    """Slots and strips count what a comparison of all pairs does: a time over many blocks, scores of few and of many values."""
+    pdf = sample(400, 2, 11)
+    pdf["f1"] = np.random.default_rng(4).integers(0, 3, 400).astype(float)
+    df = spark.createDataFrame(pdf)
+    folds = spark.createDataFrame(pd.DataFrame([(int(i), f, bool(i % (f + 2) == 0)) for i in pdf["id"] for f in range(2)],
+                                               columns=["id", "fold", "is_test"]))
+    rows = ResidentRows(df, ["f0", "f1"], "id", folds, parts=3, block_rows=13)
+    monkeypatch.setattr(resident, "TEST_ROWS", 5)
+    fold, beta = np.array([0, 0, 1, 1, 0]), np.array([[1.0, 0.5], [0.0, 1.0], [0.0, -2.0], [-0.3, 0.1], [0.0, 0.0]])
+    for on in ("test", "train"):
+        c = rows.concordance(fold, beta, on)
+        for k in range(len(fold)):
+            own = pdf[(pdf["id"] % (fold[k] + 2) == 0) == (on == "test")]
+            s = own["f0"].to_numpy() * beta[k, 0] + own["f1"].to_numpy() * beta[k, 1]
+            assert c["cindex"][k] == pytest.approx(brute.harrell(own["time"].to_numpy(), own["event"].to_numpy() > 0, s), abs=1e-12)
+            assert c["n"][k] == len(own)
+    rows.close()
