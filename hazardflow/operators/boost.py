@@ -19,47 +19,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cox import CoxFitter
 from .kernels import BROADCAST_ROWS, cumulative, key_bounds
+from .resident import Models, ResidentRows
 
 
 def componentwise(df: DataFrame, features: list[str], n_estimators: int = 100, learning_rate: float = 0.1,
                   subsample: float = 1.0, seed: int = 0, id_col: str | None = None,
                   time: str = "time", event: str = "event") -> pd.DataFrame:
-    """Row 67: returns the coefficient path (step, feature, coef)."""
-    p = len(features)
-    fitter = CoxFitter(ties="breslow")
-    base = df.select(F.lit(0).alias("model"), F.col(time).cast("double").alias("time"),
-                     F.col(event).cast("int").alias("event"),
-                     *([F.col(id_col).alias("_id")] if id_col else []),
-                     *[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(features)]).dropna()
-    base = base.persist()
+    """Row 67: returns the coefficient path (step, feature, coef).
+
+    Rows are laid out once by time; with a subsample each carries the list of
+    the steps that take it.  A step is one pass over the resident blocks."""
+    p, steps = len(features), range(1, n_estimators + 1)
+    sampled = subsample < 1.0 and id_col is not None
     xc = [f"x{k}" for k in range(p)]
-    st = base.agg(*[F.sum(F.col(x) * F.col(x)).alias(f"n{k}") for k, x in enumerate(xc)],
-                  *[F.min(x).alias(f"lo{k}") for k, x in enumerate(xc)],
-                  *[F.max(x).alias(f"hi{k}") for k, x in enumerate(xc)]).first()
-    norms = np.array([st[f"n{k}"] for k in range(p)])
-    lo = np.array([st[f"lo{k}"] for k in range(p)])
-    hi = np.array([st[f"hi{k}"] for k in range(p)])
-    beta = np.zeros(p)
-    rows = []
-    plan = fitter._plan(base)
-    for step in range(1, n_estimators + 1):
-        data = base
-        if subsample < 1.0 and id_col:
-            h = ((F.col("_id").cast("long") + 1) * (7919 + step * 1000 + seed)) % 1000003
-            data = base.filter(h < int(subsample * 1000003))
-            own = data.agg(*[F.sum(F.col(x) * F.col(x)).alias(f"n{k}") for k, x in enumerate(xc)]).first()
-            norms = np.array([own[f"n{k}"] or 0.0 for k in range(p)])
-        bt = pd.DataFrame([[0, *beta]], columns=["model", *[f"_b{k}" for k in range(p)]])
-        _, U, _ = fitter._pass(data, xc, bt, {0: float(np.sum(np.maximum(beta * lo, beta * hi)))},
-                               need_info=False, plan=plan)[0]
-        gain = U * U / np.where(norms > 0, norms, np.inf)
-        k = int(np.argmax(gain))
-        if norms[k] > 0:
-            beta[k] += learning_rate * U[k] / norms[k]
-        rows += [(step, f, float(beta[j])) for j, f in enumerate(features)]
+    base = df.select(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"),
+                     *([F.col(id_col).alias("_id")] if id_col else []),
+                     *[F.col(f"`{c}`").cast("double").alias(x) for x, c in zip(xc, features, strict=True)]).dropna()
+    own = F.array(F.lit(0))
+    if sampled:
+        own = F.filter(F.array(*[F.lit(step) for step in steps]), lambda step: (
+            (F.col("_id").cast("long") + 1) * (F.lit(7919 + seed) + step * 1000)) % 1000003 < int(subsample * 1000003))
+    base = base.select("time", "event", *xc, own.alias("own")).persist()
+    sums = base.select(F.explode("own").alias("own"), *xc).groupBy("own").agg(
+        *[F.sum(F.col(x) * F.col(x)).alias(x) for x in xc]).collect()  # one row a step
+    norms = {r["own"]: np.array([r[x] for x in xc]) for r in sums}
+    blocks = ResidentRows(base, xc, trains="own")
     base.unpersist()
+    beta, rows = np.zeros(p), []
+    for step in steps:
+        key = step if sampled else 0
+        norm = norms.get(key, np.zeros(p))
+        if key in blocks.fold_index:
+            model = Models(np.array([blocks.fold_index[key]]), np.zeros(1), np.zeros(1, bool), np.ones((1, p), bool))
+            _, U, _ = blocks.evaluate(model, beta[None], information=False)
+            gain = U[0] * U[0] / np.where(norm > 0, norm, np.inf)
+            k = int(np.argmax(gain))
+            if norm[k] > 0:
+                beta[k] += learning_rate * U[0, k] / norm[k]
+        rows += [(step, f, float(beta[j])) for j, f in enumerate(features)]
+    blocks.close()
     return pd.DataFrame(rows, columns=["step", "feature", "coef"])
 
 
