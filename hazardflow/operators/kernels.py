@@ -283,6 +283,64 @@ def dense_rank_global(df: DataFrame, order: list, name: str = "rank",
     return out.drop(*[c for c in cols if c.startswith("__ord")]), n
 
 
+def bucket_fold(df: DataFrame, key: str, bucket: str, sums: dict, run: str, width: int, fold, size: int,
+                descending: bool = False, exclusive: bool = False, parts: int | None = None) -> np.ndarray:
+    """Sum of ``fold({name: keys x width sums}, running sums of ``run``)`` over the distinct values of ``key`` in order.
+
+    ``bucket`` numbers the columns, 0 to width - 1.  Rows collapse to one a
+    (key, bucket), keys are range-partitioned, and only a task's current chunk
+    of keys is a dense matrix.  The ranges' totals (parts x width numbers)
+    give where each range starts.  Null keys are one key before all others,
+    NaN one after them."""
+    parts, names = default_parts(df) if parts is None else parts, list(sums)
+    k = F.col(key).cast("double")
+    kind = F.when(k.isNull(), 0).when(F.isnan(k), 2).otherwise(1)
+    agg = df.groupBy(kind.alias("_kind"), F.nanvl(F.coalesce(k, F.lit(0.0)), F.lit(0.0)).alias("_key"),
+                     F.col(bucket).cast("int").alias("_b")).agg(
+        *[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    order = [F.desc(c) if descending else F.asc(c) for c in ("_kind", "_key")]
+    ran = agg.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(
+        "_pid", F.spark_partition_id()).checkpoint(eager=True)
+    totals = {}
+    for r in ran.groupBy("_pid", "_b").agg(F.sum(run).alias("v")).collect():
+        totals.setdefault(r["_pid"], np.zeros(width))[r["_b"]] = r["v"]
+    starts, at = {}, np.zeros(width)
+    for pid in sorted(totals):
+        starts[pid] = at
+        at = at + totals[pid]
+
+    def task(batches):
+        total, seen, held = np.zeros(size), None, None
+
+        def take(rows, new):
+            nonlocal total, seen
+            number = np.cumsum(new) - 1
+            dense = {n: np.zeros((number[-1] + 1, width)) for n in names}
+            for n, m in dense.items():
+                m[number, rows["_b"].to_numpy()] = rows[n].to_numpy()
+            after = seen + np.cumsum(dense[run], axis=0)
+            total = total + fold(dense, after - dense[run] if exclusive else after)
+            seen = after[-1]
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            seen = starts[int(pdf["_pid"].iloc[0])] if seen is None else seen
+            rows = pdf if held is None else pd.concat([held, pdf])
+            keys = rows[["_kind", "_key"]].to_numpy()
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+            last = np.flatnonzero(new)[-1]  # the last key may go on in the next batch
+            if last:
+                take(rows.iloc[:last], new[:last])
+            held = rows.iloc[last:]
+        if held is not None:
+            take(held, np.arange(len(held)) == 0)
+        yield pd.DataFrame({"v": [total.tolist()]})
+
+    got = ran.mapInPandas(task, "v array<double>").collect()  # one row a partition
+    return np.sum([r["v"] for r in got], axis=0) if got else np.zeros(size)
+
+
 # ---------------------------------------------------------------------------
 # S3 Gram
 

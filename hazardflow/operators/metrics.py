@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import cumulative, dense_rank_global, dominance
+from .kernels import bucket_fold, cumulative, dense_rank_global, dominance
 from .prep import quantiles
 from .survival import kaplan_meier, step_lookup
 
@@ -139,41 +139,19 @@ def dynamic_auc(test: DataFrame, score: Column | str, times: list, train: DataFr
     K = len(times)
     pos = F.size(F.filter(taus, lambda x: x < F.col("time")))  # grid times before this row's time
     # Row with bucket b = pos: a case for every k >= b (if an event), a
-    # control for every k < b.  Collapse rows to distinct scores with
-    # per-bucket case weights W_b and control counts C_b, then one ordered
-    # sum over the score gives H_b = controls with a smaller score.
+    # control for every k < b.  Rows collapse to distinct scores and buckets
+    # with case weights W_b and control counts C_b; one ordered sum over the
+    # score gives H_b = controls with a smaller score.
     wv = F.when(F.col("e"), F.try_divide(F.lit(1.0), F.col("G"))).otherwise(0.0)
-    red = t.select("s", wv.alias("w"), pos.alias("b")).groupBy("s").agg(
-        *[F.sum(F.when(F.col("b") == i, F.col("w")).otherwise(0.0)).alias(f"W{i}") for i in range(K + 1)],
-        *[F.sum(F.when(F.col("b") == i, 1.0).otherwise(0.0)).alias(f"C{i}") for i in range(K + 1)])
-    cum = cumulative(red, ["s"], {f"H{i}": f"C{i}" for i in range(K + 1)}, exclusive=True, **kw)
-    wc = [f"W{i}" for i in range(K + 1)]
-    cc = [f"C{i}" for i in range(K + 1)]
-    hc = [f"H{i}" for i in range(K + 1)]
-
-    def fold(it):
-        num = np.zeros(K)
-        wt = np.zeros(K)
-        ct = np.zeros(K)
-        for pdf in it:
-            if not len(pdf):
-                continue
-            W = pdf[wc].to_numpy(float)
-            C = pdf[cc].to_numpy(float)
-            H = pdf[hc].to_numpy(float)
-            wcum = np.cumsum(W, axis=1)[:, :K]                 # cases at k: buckets <= k
-            hsuf = np.cumsum(H[:, ::-1], axis=1)[:, ::-1][:, 1:]  # controls at k: buckets > k
-            csuf = np.cumsum(C[:, ::-1], axis=1)[:, ::-1][:, 1:]
-            num += np.sum(wcum * (hsuf + 0.5 * csuf), axis=0)
-            wt += wcum.sum(axis=0)
-            ct += csuf.sum(axis=0)
-        yield pd.DataFrame({"v": [np.concatenate([num, wt, ct]).tolist()]})
-
-    parts = cum.select(*wc, *cc, *hc).mapInPandas(fold, "v array<double>")
-    tot = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    vec = np.zeros(3 * K)
-    for r in tot:
-        vec[int(r["i"])] = r["x"]
+
+    def fold(own, H):
+        wcum = np.cumsum(own["W"], axis=1)[:, :K]             # cases at k: buckets <= k
+        hsuf = np.cumsum(H[:, ::-1], axis=1)[:, ::-1][:, 1:]  # controls at k: buckets > k
+        csuf = np.cumsum(own["C"][:, ::-1], axis=1)[:, ::-1][:, 1:]
+        return np.concatenate([np.sum(wcum * (hsuf + 0.5 * csuf), axis=0), wcum.sum(axis=0), csuf.sum(axis=0)])
+
+    vec = bucket_fold(t.select("s", wv.alias("w"), pos.alias("b")), "s", "b", {"W": F.col("w"), "C": F.lit(1.0)}, "C",
+                      K + 1, fold, 3 * K, exclusive=True, **kw)
     num, wt, ct = vec[:K], vec[K:2 * K], vec[2 * K:]
     with np.errstate(divide="ignore", invalid="ignore"):
         aucv = np.where(wt * ct > 0, num / (wt * ct), np.nan)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf
-from .kernels import cumulative
+from .kernels import bucket_fold, cumulative
 from .prep import quantiles
 
 
@@ -111,52 +111,29 @@ def cutpoint_scan(df: DataFrame, x: str, time: str = "time", event: str = "event
     """Row 56: log-rank of ``x >= c`` vs ``x < c`` for every cut point ``c``.
 
     Bucket b = number of cut points <= x; group 1 of cut k = buckets > k.
-    Rows collapse to one row per distinct time with per-bucket event and
-    row counts; one ordered suffix sum over time gives the per-bucket
-    numbers at risk; the per-cut observed / expected / variance vectors
-    are then folded per partition with numpy.  Only distinct-time rows are
-    shuffled, never rows x cuts.
+    Rows collapse to one row per distinct time and bucket with its event and
+    row counts; ordered suffix sums over time give the per-bucket numbers at
+    risk, from which each task folds the per-cut observed / expected /
+    variance vectors (``kernels.bucket_fold``).
     """
-    import pandas as pd
-
     cuts = cut_points(df, x) if cuts is None else cuts
     K = len(cuts)
     arr = F.array(*[F.lit(float(c)) for c in cuts])
     ev = (F.col(event) > 0).cast("double")
     b = F.size(F.filter(arr, lambda c: c <= F.col(x)))
     rows = df.filter(F.col(x).isNotNull()).select(F.col(time).alias("time"), ev.alias("e"), b.alias("b"))
-    per = rows.groupBy("time").agg(
-        *[F.sum(F.when(F.col("b") == i, F.col("e")).otherwise(0.0)).alias(f"d{i}") for i in range(K + 1)],
-        *[F.sum(F.when(F.col("b") == i, 1.0).otherwise(0.0)).alias(f"m{i}") for i in range(K + 1)])
-    per = cumulative(per, ["time"], {f"r{i}": f"m{i}" for i in range(K + 1)}, descending=True, **kw)
-    dc = [f"d{i}" for i in range(K + 1)]
-    rc = [f"r{i}" for i in range(K + 1)]
-
-    def fold(it):
-        o = np.zeros(K)
-        e = np.zeros(K)
-        v = np.zeros(K)
-        for pdf in it:
-            if not len(pdf):
-                continue
-            D = pdf[dc].to_numpy(float)
-            R = pdf[rc].to_numpy(float)
-            d = D.sum(axis=1)[:, None]
-            n = R.sum(axis=1)[:, None]
-            d1 = np.cumsum(D[:, ::-1], axis=1)[:, ::-1][:, 1:]   # buckets > k
-            n1 = np.cumsum(R[:, ::-1], axis=1)[:, ::-1][:, 1:]
-            o += d1.sum(axis=0)
-            e += (d * n1 / n).sum(axis=0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                vv = np.where(n > 1, n1 * (n - n1) * d * (n - d) / (n * n * (n - 1)), 0.0)
-            v += vv.sum(axis=0)
-        yield pd.DataFrame({"v": [np.concatenate([o, e, v]).tolist()]})
-
-    parts = per.select(*dc, *rc).mapInPandas(fold, "v array<double>")
-    tot = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    vec = np.zeros(3 * K)
-    for r in tot:
-        vec[int(r["i"])] = r["x"]
+
+    def fold(own, R):
+        D = own["d"]
+        d = D.sum(axis=1)[:, None]
+        n = R.sum(axis=1)[:, None]
+        d1 = np.cumsum(D[:, ::-1], axis=1)[:, ::-1][:, 1:]   # buckets > k
+        n1 = np.cumsum(R[:, ::-1], axis=1)[:, ::-1][:, 1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = np.where(n > 1, n1 * (n - n1) * d * (n - d) / (n * n * (n - 1)), 0.0)
+        return np.concatenate([d1.sum(axis=0), (d * n1 / n).sum(axis=0), v.sum(axis=0)])
+
+    vec = bucket_fold(rows, "time", "b", {"d": F.col("e"), "m": F.lit(1.0)}, "m", K + 1, fold, 3 * K, descending=True, **kw)
     o, e, v = vec[:K], vec[K:2 * K], vec[2 * K:]
     spark = df.sparkSession
     out = [(k, float(cuts[k]), float(o[k]), float(e[k]), float(v[k]),
