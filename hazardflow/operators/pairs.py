@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import _places
+
 #: Rows of a block, as long as no more than MAX_CUTS cut points are needed.
 BLOCK_ROWS = 16_384
 MAX_CUTS = 255
@@ -87,12 +89,6 @@ def score(x, w):
     return s
 
 
-def _places(z, cuts):
-    """Strip of each key: 2k between cut points, 2k + 1 on the k-th."""
-    at = np.searchsorted(cuts, z, side="left")
-    return 2 * at + (cuts[np.minimum(at, len(cuts) - 1)] == z) if len(cuts) else at
-
-
 def _pair_vector(xq, cq, wq, sums, xv, sv, wv, counts):
     """The pair sums from the rows' partner sums; (count, score, features) are the columns of ``sums``."""
     n, s, x = wq * sums[:, 0], wq * sums[:, 1], sums[:, 2:] * wq[:, None]

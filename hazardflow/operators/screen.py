@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf, f_sf, norm_two_sided, t_two_sided
-from .kernels import cumulative, dense_rank_global, dominance
+from .kernels import cumulative, dominance
 from .prep import clean, quantiles
 
 
@@ -75,34 +75,46 @@ def average_ranks(long: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """Row 43: Spearman rho = Pearson correlation of average ranks; null for a constant feature."""
-    long = long_xy(df, features, y).persist()
-    rx = average_ranks(long, ["feature"], "x")
-    ry = average_ranks(long.select("feature", "y"), ["feature"], "y")
-    j = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-    return j.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), _corr("rank_x", "rank_y").alias("rho"))
-
-
-def kendall_tau_b(df: DataFrame, x: str, y: str, **kw) -> dict:
+    """Row 43: Spearman rho = Pearson correlation of average ranks; null for a constant feature.
+
+    ``y`` is ranked once for all features (a count per value and feature, as
+    each feature leaves out its own nulls) and its centred ranks join the rows;
+    then rows collapse to one a (feature, value) before ``x`` is ranked."""
+    cols = [f"x{i}" for i in range(len(features))]
+    wide = df.select(F.col(y).cast("double").alias("y"), *[clean(c).alias(x) for x, c in zip(cols, features, strict=True)]
+                     ).where("y IS NOT NULL")
+    per = wide.groupBy("y").agg(*[F.count(x).cast("double").alias(f"c{i}") for i, x in enumerate(cols)]).persist()
+    totals = per.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(cols))]).first()
+    n = [totals[i] or 0.0 for i in range(len(cols))]
+    ranked = cumulative(per, ["y"], {f"b{i}": f"c{i}" for i in range(len(cols))}, exclusive=True)
+    ranked = ranked.select("y", *[(F.col(f"b{i}") + (F.col(f"c{i}") - n[i]) / 2).alias(f"r{i}") for i in range(len(cols))])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(x).alias("x"), F.col(f"r{i}").alias("ry"),
+                                         F.lit(n[i]).alias("n")) for i, (x, c) in enumerate(zip(cols, features, strict=True))]))
+    cnt = wide.join(ranked, "y").select(pairs.alias("s")).select("s.*").where("x IS NOT NULL").groupBy("feature", "n", "x").agg(
+        F.count(F.lit(1)).cast("double").alias("c"), F.sum("ry").alias("ry"), F.sum(F.col("ry") * F.col("ry")).alias("yy"))
+    cum = cumulative(cnt, ["x"], {"before": "c"}, segment=["feature"], exclusive=True)
+    rx = F.col("before") + (F.col("c") - F.col("n")) / 2
+    agg = cum.withColumn("rx", rx).groupBy("feature").agg(
+        F.sum("c").cast("long").alias("n"), F.sum(F.col("rx") * F.col("ry")).alias("xy"),
+        F.sum(F.col("c") * F.col("rx") * F.col("rx")).alias("xx"), F.sum("yy").alias("yy"))
+    return agg.select("feature", "n", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("rho"))
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, *, cap: int | None = None, **kw) -> dict:
     """Row 44: Kendall tau-b with tie correction via the S2 dominance kernel.
 
-    Rows ranked by (x asc, y asc); discordant pairs = pairs later in that
-    order with smaller y; joint/x/y tie pairs from grouped counts."""
-    base = df.select(clean(x).alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    base = base.withColumn("a", F.lit(1.0)).withColumn("b", F.lit(1.0)).persist()
-    ranked, n = dense_rank_global(base, ["x", "y"], name="r", parts=kw.get("parts"))
-    ranked = ranked.persist()
-    disc, yeq = dominance(ranked, "r", "y", "a", "b", n_rows=n, **kw)
-    ties = base.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")) \
-        .groupBy("x").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("j"),
-                          F.sum("c").alias("cx")) \
-        .agg(F.sum("j").alias("joint"), F.sum(F.col("cx") * (F.col("cx") - 1) / 2).alias("xt")).first()
-    yt = base.groupBy("y").agg(F.count(F.lit(1)).alias("c")) \
-        .agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("yt")).first()["yt"]
-    ranked.unpersist()
-    base.unpersist()
+    Rows collapse to distinct (x, y) with a count; discordant pairs are those of
+    a larger x and a smaller y, tie pairs come from the counts."""
+    per = df.select(clean(x).alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(
+        F.count(F.lit(1)).cast("double").alias("c")).persist()
+    pairs = F.sum(F.col("c") * (F.col("c") - 1) / 2)
+    of_x, of_y = (per.groupBy(k).agg(F.sum("c").alias("c")).agg(pairs.alias("t")).first()["t"] for k in ("x", "y"))
+    row = per.agg(F.sum("c").alias("n"), pairs.alias("joint"), F.count(F.lit(1)).alias("rows")).first()
+    n = int(row["n"] or 0)
+    disc, _ = dominance(per, "x", "y", "c", "c", n_rows=row["rows"], cap=cap, dense=False)
+    per.unpersist()
     tot = n * (n - 1) / 2.0
-    n1, n2, n3 = float(ties["xt"] or 0), float(yt or 0), float(ties["joint"] or 0)
+    n1, n2, n3 = float(of_x or 0), float(of_y or 0), float(row["joint"] or 0)
     conc = tot - disc - n2 - n1 + n3
     denom = math.sqrt((tot - n1) * (tot - n2))
     tau = (conc - disc) / denom if denom > 0 else float("nan")
