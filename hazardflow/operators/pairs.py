@@ -22,6 +22,8 @@ A pair then lies
 
 The table has at most (3 MAX_CUTS + 1) x (2 MAX_CUTS + 1) cells of p + 3
 numbers a point (25 MB at p = 5); beyond MAX_CUTS x cap rows the blocks grow.
+It is joined to the blocks, so that a task holds the lines of one slot, and
+points are taken in groups whose tables stay within TABLE_BYTES.
 Rows equal in time, event and features are one row with a weight.
 """
 
@@ -42,6 +44,8 @@ BLOCK_ROWS = 16_384
 MAX_CUTS = 255
 #: Rows whose scores place the strips' cut points; they decide balance, not results.
 CUT_SAMPLE = 4_096
+#: Bytes of the tables of the points that one pass takes together.
+TABLE_BYTES = 1 << 27
 
 
 def dominance_sums(qr, qk, qw, vr, vk, feats):
@@ -130,12 +134,35 @@ class PairSums:
         head, g2, g1, h, r, rg, rh = np.split(v, cut)
         return cls(*head, g2, g1, h.reshape(p, p), float(r[0]), rg, rh.reshape(p + 1, p + 1))
 
+    def scaled(self, m: float):
+        """The sums over all rows as estimated by one row in ``m``: pairs by m squared, residuals by m."""
+        pairs = (self.count, self.square, self.linear, self.square_grad, self.linear_grad, self.square_hess)
+        rows = (self.residual, self.residual_grad, self.residual_hess)
+        return PairSums(*(v * m * m for v in pairs), *(v * m for v in rows))
+
 
 def _rows(r, p):
     t, e, wt = (np.frombuffer(r[c], dtype=float) for c in ("t", "e", "wt"))
     return t, e, wt, np.frombuffer(r["x"], dtype=float).reshape(-1, p)
 
 
+def _blocks(batches):
+    """The blocks of a task one by one, as views of the Arrow batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: v.as_buffer() if hasattr(v, "as_buffer") else v.as_py()
+                   for c, v in ((c, batch.column(c)[i]) for c in batch.schema.names)}
+
+
+def _sends(second):
+    """A maker of the Arrow batches (point, ``second``, v)."""
+    import pyarrow as pa
+
+    schema = pa.schema([("point", pa.int32()), (second, pa.int32()), ("v", pa.binary())])
+    return lambda point, other, v: pa.record_batch([pa.array(point, pa.int32()), pa.array(other, pa.int32()),
+                                                    pa.array(v, pa.binary())], schema=schema)
+
+
 class PairRows:
     """Rows (time, _e, _x0.._x{p-1}) laid out in time slots for repeated evaluations."""
 
@@ -168,8 +195,11 @@ class PairRows:
                                  "x": [pdf[names].to_numpy(float).tobytes()]})
 
         fields = ", ".join(f"{c} {t}" for c, t in d.dtypes)
-        self.blocks = d.mapInPandas(place, f"{fields}, slot int, salt int").groupBy("slot", "salt").applyInPandas(
-            pack, "slot int, t binary, e binary, wt binary, x binary").checkpoint().persist()
+        packed = d.mapInPandas(place, f"{fields}, slot int, salt int").groupBy("slot", "salt").applyInPandas(
+            pack, "slot int, t binary, e binary, wt binary, x binary").persist()  # a checkpoint computes its frame twice
+        self.blocks = packed.checkpoint().persist()
+        self.blocks.count()
+        packed.unpersist()
         self.slots = sorted(r[0] for r in self.blocks.select("slot").distinct().collect())
         self.strips = len(cuts)
         got = d.orderBy("_hash").limit(CUT_SAMPLE).select("_e", *names).toPandas() if len(self.slots) > 1 else None
@@ -190,20 +220,20 @@ class PairRows:
         return cuts
 
     def _tables(self, points, cuts):
-        """Per point, for each (slot, strip): sums of (weight, score, features) over later slots and higher
-        strips, and event weights over earlier slots and lower strips."""
+        """The strips' number and one row a slot, its ``lines``: per point and strip, sums of (weight, score,
+        features) over later slots and higher strips, and event weights over earlier slots and lower strips."""
         p, width = self.p, 2 * max(len(c) for c in cuts) + 1
 
         def cells(batches):
-            for pdf in batches:
-                for r in pdf.to_dict("records"):
-                    t, e, wt, x = _rows(r, p)
-                    for k, row in enumerate(points):
-                        s = score(x, row[:p])
-                        strip = _places(s, cuts[k])
-                        own = [np.bincount(strip, v, width) for v in (wt, wt * s, *(wt * x[:, j] for j in range(p)))]
-                        asks = np.bincount(_places(s - 1 + row[p], cuts[k]), wt * (e > 0), width)
-                        yield pd.DataFrame({"point": [k], "slot": [r["slot"]], "v": [np.array([*own, asks]).tobytes()]})
+            send = _sends("slot")
+            for r in _blocks(batches):
+                t, e, wt, x = _rows(r, p)
+                for k, row in enumerate(points):
+                    s = score(x, row[:p])
+                    strip = _places(s, cuts[k])
+                    own = [np.bincount(strip, v, width) for v in (wt, wt * s, *(wt * x[:, j] for j in range(p)))]
+                    asks = np.bincount(_places(s - 1 + row[p], cuts[k]), wt * (e > 0), width)
+                    yield send([k], [r["slot"]], [np.array([*own, asks]).tobytes()])
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"point": pdf["point"].iloc[:1], "slot": pdf["slot"].iloc[:1],
@@ -212,48 +242,60 @@ class PairRows:
         schema = "point int, slot int, v binary"
         table = np.zeros((len(points), len(self.slots), p + 3, width))
         number = {s: i for i, s in enumerate(self.slots)}
-        for r in self.blocks.mapInPandas(cells, schema).groupBy("point", "slot").applyInPandas(add, schema).collect():
+        for r in self.blocks.mapInArrow(cells, schema).groupBy("point", "slot").applyInPandas(add, schema).collect():
             table[r["point"], number[r["slot"]]] = np.frombuffer(r["v"]).reshape(p + 3, width)
-        later, earlier = np.zeros_like(table[:, :, :-1]), np.zeros_like(table[:, :, -1])
-        later[:, :-1, :, :-1] = table[:, ::-1, :-1, ::-1].cumsum(1).cumsum(3)[:, ::-1, :, ::-1][:, 1:, :, 1:]
-        earlier[:, 1:, 1:] = table[:, :, -1].cumsum(1).cumsum(2)[:, :-1, :-1]
-        return number, later, earlier
+        for one in table:  # in place, a point at a time
+            later, earlier = one[::-1, :-1, ::-1], one[:, -1]
+            np.cumsum(later, axis=0, out=later)
+            np.cumsum(later, axis=2, out=later)
+            later[1:, :, 1:] = later[:-1, :, :-1].copy()
+            later[0], later[:, :, 0] = 0, 0
+            np.cumsum(earlier, axis=0, out=earlier)
+            np.cumsum(earlier, axis=1, out=earlier)
+            earlier[1:, 1:] = earlier[:-1, :-1].copy()
+            earlier[0], earlier[:, 0] = 0, 0
+        lines = pd.DataFrame({"slot": np.array(self.slots, np.int32), "lines": [table[:, i].tobytes() for i in range(len(self.slots))]})
+        return width, self.blocks.sparkSession.createDataFrame(lines, "slot int, lines binary")
 
     def evaluate(self, points, residuals: bool = False) -> list[PairSums]:
         """``points`` has a row (w_0.., shift, b) for each evaluation; b serves the residuals only."""
         p = self.p
         points = np.asarray(points, dtype=float).reshape(-1, p + 2)
         many = len(self.slots) > 1
+        group = max(1, TABLE_BYTES // (8 * (len(self.slots) + 1) * (p + 3) * (2 * self.strips + 1)))
+        if many and len(points) > group:
+            return [r for k in range(0, len(points), group) for r in self.evaluate(points[k:k + group], residuals)]
         cuts = self._strip_cuts(points) if many else None
-        number, later, earlier = self._tables(points, cuts) if many else (None, None, None)
+        width, lines = self._tables(points, cuts) if many else (None, None)
         size = 3 + 2 * p + p * p + 1 + (p + 1) + (p + 1) ** 2
         pair_size = 3 + 2 * p + p * p
 
         def run(batches):
-            for pdf in batches:
-                for r in pdf.to_dict("records"):
-                    t, e, wt, x = _rows(r, p)
-                    ask = e > 0
-                    rank = 2 * np.unique(t, return_inverse=True)[1] + (e <= 0)
-                    for k, row in enumerate(points):
-                        s = score(x, row[:p])
-                        q = s[ask] - 1 + row[p]
-                        sums, counts = np.zeros((int(ask.sum()), p + 2)), np.zeros(len(s))
-                        if r["slot"] % 3 == 0:
-                            own = wt[:, None] * np.column_stack([np.ones(len(s)), s, x])
-                            sums, counts = dominance_sums(rank[ask], q, wt[ask], rank, s, own)
-                        if many:
-                            slot = number[r["slot"]]
-                            vs, qs = _places(s, cuts[k]), _places(q, cuts[k])
-                            sums = sums + later[k, slot][:, qs].T
-                            counts = counts + earlier[k, slot, vs]
-                            yield _to_strips(k, slot, vs, s, s, wt, x, 0)
-                            yield _to_strips(k, slot, qs, q, s[ask], wt[ask], x[ask], 1)
-                        out = np.zeros(size)
-                        out[:pair_size] = _pair_vector(x[ask], 1 - s[ask], wt[ask], sums, x, s, wt, counts)
-                        if residuals:
-                            out[pair_size:] = _residual_vector(t, e, wt, x, s, row[p + 1])
-                        yield pd.DataFrame({"point": [k], "strip": [-1], "v": [out.tobytes()]})
+            send = _sends("strip")
+            for r in _blocks(batches):
+                t, e, wt, x = _rows(r, p)
+                ask = e > 0
+                rank = 2 * np.unique(t, return_inverse=True)[1] + (e <= 0)
+                table = np.frombuffer(r["lines"]).reshape(len(points), p + 3, width) if many else None
+                for k, row in enumerate(points):
+                    s = score(x, row[:p])
+                    q = s[ask] - 1 + row[p]
+                    sums, counts = np.zeros((int(ask.sum()), p + 2)), np.zeros(len(s))
+                    if r["slot"] % 3 == 0:
+                        own = wt[:, None] * np.column_stack([np.ones(len(s)), s, x])
+                        sums, counts = dominance_sums(rank[ask], q, wt[ask], rank, s, own)
+                    if many:
+                        slot = r["slot"]
+                        vs, qs = _places(s, cuts[k]), _places(q, cuts[k])
+                        sums = sums + table[k, :-1, qs]
+                        counts = counts + table[k, -1, vs]
+                        yield _to_strips(send, k, slot, vs, s, s, wt, x, 0)
+                        yield _to_strips(send, k, slot, qs, q, s[ask], wt[ask], x[ask], 1)
+                    out = np.zeros(size)
+                    out[:pair_size] = _pair_vector(x[ask], 1 - s[ask], wt[ask], sums, x, s, wt, counts)
+                    if residuals:
+                        out[pair_size:] = _residual_vector(t, e, wt, x, s, row[p + 1])
+                    yield send([k], [-1], [out.tobytes()])
 
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
             if pdf["strip"].iloc[0] < 0:
@@ -271,7 +313,8 @@ class PairRows:
             return pd.DataFrame({"point": pdf["point"].iloc[:1], "strip": pdf["strip"].iloc[:1], "v": [out.tobytes()]})
 
         schema = "point int, strip int, v binary"
-        parts = self.blocks.mapInPandas(run, schema)
+        blocks = self.blocks.join(F.broadcast(lines), "slot") if many else self.blocks
+        parts = blocks.mapInArrow(run, schema)
         if many:
             parts = parts.groupBy("point", "strip").applyInPandas(merge, schema)
         total = np.zeros((len(points), size))
@@ -280,11 +323,11 @@ class PairRows:
         return [PairSums.of(v, p) for v in total]
 
 
-def _to_strips(k, slot, strip, key, s, wt, x, asks):
+def _to_strips(send, k, slot, strip, key, s, wt, x, asks):
     """The rows of open strips as packed chunks (asks, slot, key, score, weight, features), one a strip."""
     rows = np.column_stack([np.full(len(s), float(asks)), np.full(len(s), float(slot)), key, s, wt, x])
     order = np.argsort(strip, kind="stable")
     order = order[strip[order] % 2 == 0]
     found, start = np.unique(strip[order], return_index=True)
     chunks = np.split(rows[order], start[1:]) if len(found) else []
-    return pd.DataFrame({"point": np.full(len(found), k), "strip": found, "v": [c.tobytes() for c in chunks]})
+    return send(np.full(len(found), k), found, [c.tobytes() for c in chunks])

@@ -30,8 +30,9 @@ class PairStats:
     """Loss, gradient and Hessian of sum_active (1 - s_i + s_j)^2 over the
     comparable pairs with s_j > s_i - 1 + shift."""
 
-    def __init__(self, data: DataFrame, p: int, cap=None):
-        self.p = p
+    def __init__(self, data: DataFrame, p: int, cap=None, share: int = 1):
+        """``share``: ``data`` is about one row in that many, and the sums are scaled to those of all rows."""
+        self.p, self.share = p, share
         self.rows = PairRows(data, p, cap)
 
     def __call__(self, w: np.ndarray, shift: float = 0.0):
@@ -40,7 +41,8 @@ class PairStats:
 
     def at(self, points, residuals: bool = False):
         """The sums at several (w, shift, intercept), from one pass over the rows."""
-        return self.rows.evaluate([[*w, shift, b] for w, shift, b in points], residuals)
+        got = self.rows.evaluate([[*w, shift, b] for w, shift, b in points], residuals)
+        return [r.scaled(self.share) for r in got] if self.share > 1 else got
 
     def close(self):
         self.rows.close()
@@ -66,15 +68,25 @@ HINGE_STEPS = 200
 #: Step lengths tried by one pass; the next pass goes on from the last by the same factors.
 TRIES = (1.0, 0.5, 0.25, 0.125)
 LEAST_TRY = 1e-10
+FAR = 16.0
 
 
-def _descend(evaluate, direction, start, limit: int, tol: float, by_value: bool = False):
+#: Distinct rows of the smallest share (one block) whose minimum starts the fit of a large input, and how much
+#: larger each next share is.  Shares decide how many passes the whole input takes, not the minimum.
+START_ROWS = 12_288
+SHARE_GROWTH = 16
+
+
+def _descend(evaluate, direction, start, limit: int, tol: float, by_value: bool = False, near: bool = False,
+             length=None):
     """Minimise by damped Newton steps: ``evaluate`` gives (objective, ...) at several points,
     ``direction`` the step and its slope at one.
 
     Returns (point, values there, steps, converged).  Of the step lengths tried in one pass the one
     of least objective among those of sufficient decrease is taken.  Decreases below the rounding of
-    the objective are not told apart; ``by_value`` stops there."""
+    the objective are not told apart; ``by_value`` stops there.  ``near``: the start is near the minimum, full steps
+    are tried first.  ``length`` tells how far a step moves the margins: step lengths that move them by more than
+    FAR are passed over, as a Hessian without an active pair in its band gives steps as long as the pairs are many."""
     at, cur = start, evaluate([start])[0]
     for taken in range(limit + 1):
         step, slope = direction(at, cur)
@@ -84,8 +96,11 @@ def _descend(evaluate, direction, start, limit: int, tol: float, by_value: bool
         if taken == limit:
             break
         scale, best = 1.0, None
-        while best is None and scale >= LEAST_TRY:
-            tries = [scale * t for t in (TRIES if by_value or scale < 1 else TRIES[:1])]
+        while length and np.isfinite(far := length(cur, scale * step)) and far > FAR:
+            scale *= TRIES[-1] / 2
+        least = scale * LEAST_TRY
+        while best is None and scale >= least:
+            tries = [scale * t for t in (TRIES if (by_value and not near) or scale < 1 else TRIES[:1])]
             found = evaluate([at + t * step for t in tries])
             good = [i for i, t in enumerate(tries) if found[i][0] <= cur[0] + 1e-4 * t * slope + noise]
             if good:
@@ -98,7 +113,7 @@ def _descend(evaluate, direction, start, limit: int, tol: float, by_value: bool
 
 
 def _newton(at, cur):
-    _, grad, hess, _ = cur
+    grad, hess = cur[1:3]
     step = -np.linalg.solve(hess + 1e-9 * np.eye(len(grad)), grad)
     return step, grad @ step
 
@@ -123,19 +138,23 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
     d = _prepare(df, features, time, event)
     if rank_ratio < 1 and d.where("time <= 0").limit(1).count():
         raise ValueError("rank_ratio below 1 takes the log of the times, which must be positive")
-    p = len(features)
+    p, m = len(features), len(features) + int(fit_intercept)
     stats = PairStats(d, p, cap)
-    try:
+
+    def solve(stats, start):
+        """(point, values there, steps, converged) on the rows of ``stats``; without a start from zero."""
+        at, near = np.zeros(m) if start is None else start, start is not None
         if loss == "hinge":
-            w, steps, converged = np.zeros(p), 0, True
-            for delta in (1.0, 0.1, 0.01):
+            steps, converged = 0, True
+            for delta in (0.01,) if near else (1.0, 0.1, 0.01):
                 def hinge(ws, delta=delta):
-                    return [(0.5 * w @ w + alpha * f, w + alpha * g, np.eye(p) + alpha * h, n)
-                            for w, (f, g, h, n) in zip(ws, _smoothed(stats, ws, delta), strict=True)]
+                    return [(0.5 * w @ w + alpha * f, w + alpha * g, np.eye(p) + alpha * h, n, spread)
+                            for w, (f, g, h, n, spread) in zip(ws, _smoothed(stats, ws, delta), strict=True)]
 
-                w, cur, more, solved = _descend(hinge, _newton, w, max(max_iter, HINGE_STEPS), tol, by_value=True)
+                at, cur, more, solved = _descend(hinge, _newton, at, max(max_iter, HINGE_STEPS), tol, by_value=True,
+                                                 near=near, length=lambda cur, step: math.sqrt(step @ cur[4] @ step))
                 steps, converged = steps + more, converged and solved
-            return SVMResult(w, float(cur[0]), steps, cur[3], converged)
+            return at, cur, steps, converged
         if penalty == "l1":
             def lasso(ws):
                 return [(np.abs(w).sum() + 0.5 * alpha * r.square, 0.5 * alpha * r.square_grad,
@@ -146,8 +165,7 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
                 new = _l1_quadratic_cd(cur[2], cur[1], w, 1.0)
                 return new - w, cur[1] @ (new - w) + np.abs(new).sum() - np.abs(w).sum()
 
-            w, cur, steps, converged = _descend(lasso, proximal, np.zeros(p), max_iter, tol)
-            return SVMResult(w, float(cur[0]), steps, cur[3], converged)
+            return _descend(lasso, proximal, at, max_iter, tol)
 
         def mixed(points):
             w, b = [v[:p] for v in points], [v[p] if fit_intercept else 0.0 for v in points]
@@ -161,12 +179,23 @@ def fit_rank_svm(df: DataFrame, features: list[str], alpha: float = 1.0, loss: s
                 grad, hess = 0.5 * alpha * grad, 0.5 * alpha * hess
                 grad[:p] += v
                 hess[:p, :p] += np.eye(p)
-                m = p + int(fit_intercept)
                 out.append((0.5 * v @ v + 0.5 * alpha * f, grad[:m], hess[:m, :m], r.count))
             return out
 
-        at, cur, steps, converged = _descend(mixed, _newton, np.zeros(p + int(fit_intercept)), max_iter, tol)
-        return SVMResult(at[:p], float(cur[0]), steps, cur[3], converged, float(at[p]) if fit_intercept else 0.0)
+        return _descend(mixed, _newton, at, max_iter, tol)
+
+    try:
+        start, share, before = None, stats.rows.n // START_ROWS, 0
+        while loss == "hinge" and share >= 4:
+            part = PairStats(d.where(F.pmod(F.xxhash64(F.lit(share), *d.columns), F.lit(share)) == 0), p, cap, share)
+            try:
+                start, _, more, _ = solve(part, start)
+                before += more
+            finally:
+                part.close()
+            share //= SHARE_GROWTH
+        at, cur, steps, converged = solve(stats, start)
+        return SVMResult(at[:p], float(cur[0]), before + steps, cur[3], converged, float(at[p]) if fit_intercept else 0.0)
     finally:
         stats.close()
 
@@ -183,15 +212,15 @@ def _smoothed(stats: PairStats, ws, delta):
     """Huber-smoothed hinge over the comparable pairs, z = s_i - s_j:
     0 for z >= 1, (1-z)^2/(2 delta) for 1-delta < z < 1, 1 - z - delta/2
     for z <= 1-delta: squares over z < 1 less those over z < 1 - delta, whose
-    plain margins make the linear part.  (value, gradient, Hessian, pairs) each."""
+    plain margins make the linear part.  (value, gradient, Hessian, pairs, mean outer product of the pairs' differences) each."""
     got = stats.at([(w, shift, 0.0) for w in ws for shift in (0.0, delta)])
     return [((a.square - b.square) / (2 * delta) + b.linear - b.count * delta / 2,
              (a.square_grad - b.square_grad) / (2 * delta) + b.linear_grad,
-             (a.square_hess - b.square_hess) / (2 * delta), a.count) for a, b in zip(got[::2], got[1::2], strict=True)]
+             (a.square_hess - b.square_hess) / (2 * delta), a.count, a.square_hess / (2 * max(a.count, 1.0))) for a, b in zip(got[::2], got[1::2], strict=True)]
 
 
 def _smoothed_hinge(stats: PairStats, w, delta):
-    return _smoothed(stats, [w], delta)[0]
+    return _smoothed(stats, [w], delta)[0][:4]
 
 
 def _l1_quadratic_cd(H, g, w0, lam, iters=1000, tol=1e-12):
