@@ -11,8 +11,9 @@ Candidates come in two steps, neither of which lists the pairs of a band
 group.  First every member is compared with the least member of its group,
 which is linear in the members and already connects groups of near copies.
 Then, in groups of more than two that still hold several components, members of different
-components are compared: small groups by a join, larger ones in blocks inside
-tasks, which hand back only pairs that pass the comparison.  Every pair of a
+components are compared in blocks inside tasks: the signatures first, which tells
+the members that have a candidate in the first band shared with it, then those
+members with their full sets, which hands back only verified links.  Every pair of a
 shared band is thus connected, given up by the posterior or verified.
 
 A pair at the threshold shares no band with probability (1 - 0.8^6)^48, under
@@ -42,6 +43,8 @@ BATCH = 32
 MISS = 1e-9
 #: Members, and shingles, of a block of a band group (on average).
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
+#: Members of a block of a band group where only signatures are compared.
+SIG_BLOCK = 4096
 #: Buckets over which the rows that look up one class are dealt.
 SALTS = 16
 #: Most rows of a key table (two longs at most) that is sent to every executor; a longer one is joined by a shuffle.
@@ -329,27 +332,42 @@ def block_links(band: int, ours, theirs, node, label, sig, sets) -> list[tuple[i
     return found
 
 
-def _block_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the components of band groups, found block against block.
+def block_hits(band: int, ours, theirs, label, n, sig):
+    """Places of the members of ``ours`` and ``theirs`` that ``block_links`` may link to another component.
+
+    Two members are compared until both are hits: the answer names members, never pairs.
+    """
+    import numpy as np
+
+    hit = np.zeros(len(label), bool)
+    for i in ours.tolist():
+        at = theirs[(label[theirs] != label[i]) & ~(hit[i] & hit[theirs]) & (n[theirs] * SIMILAR[1] >= n[i] * SIMILAR[0]) & (
+            n[i] * SIMILAR[1] >= n[theirs] * SIMILAR[0])]
+        at = at[surviving(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at])]
+        if len(at):
+            at = at[(sig[at] == sig[i]).reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            hit[at] = True
+            hit[i] |= len(at) > 0
+    return np.flatnonzero(hit)
+
+
+def _by_blocks(rows: DataFrame, facts: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the members of every two blocks of a band group.
 
     ``rows`` has (band, node, root, blocks).  A member goes to every pair of
-    blocks that holds its own; a task holds at most two blocks.
+    blocks that holds its own; a task holds at most two blocks.  ``work`` takes
+    their rows with the ``facts`` of the class, and the places of either block.
     """
     dealt = rows.select("band", "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"),
                         F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
     dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node",
-                         "root").join(nodes.select("node", "sig", "set"), "node")
+                         "root").join(facts, "node")
 
     def found(rows):
         import numpy as np
 
-        own, node, root = (rows.column(c).to_numpy() for c in ("own", "node", "root"))
-        ours, theirs = np.flatnonzero(own == rows.column("low")[0].as_py()), np.flatnonzero(own == rows.column("high")[0].as_py())
-        if not len(ours) or not len(theirs):
-            return []
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
-        sets = [x.values.to_numpy() for x in rows.column("set")]
-        return block_links(rows.column("band")[0].as_py() & 63, ours, theirs, node, root, sig, sets)
+        own = rows.column("own").to_numpy()
+        return work(rows, np.flatnonzero(own == rows.column("low")[0].as_py()), np.flatnonzero(own == rows.column("high")[0].as_py()))
 
     def run(batches):
         import numpy as np
@@ -360,14 +378,56 @@ def _block_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             keys = np.stack([rows.column(c).to_numpy() for c in ("band", "low", "high")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            links = [x for s, e in zip([0, *cuts[:-1]], cuts, strict=True) for x in found(rows.slice(s, e - s))] if len(cuts) else []
+            for s, e in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+                yield found(rows.slice(s, e - s))
             held = rows.slice(cuts[-1]) if len(cuts) else rows
-            yield _edges(links)
         if held is not None and held.num_rows:
-            yield _edges(found(held))
+            yield found(held)
 
     order = ["band", "low", "high"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def _signed(rows):
+    """Columns ``node`` and ``root`` and the signatures of Arrow rows."""
+    import numpy as np
+
+    return (*(rows.column(c).to_numpy() for c in ("node", "root")),
+            np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(-1, HASHES))
+
+
+def _hits(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(band, node, root, n): the members of ``rows`` that have a candidate in another component, by signatures alone."""
+    def work(rows, ours, theirs):
+        import pyarrow as pa
+
+        _, root, sig = _signed(rows)
+        at = pa.array(block_hits(rows.column("band")[0].as_py() & 63, ours, theirs, root, rows.column("n").to_numpy(), sig))
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(at) for c in ("band", "node", "root", "n")],
+                                          names=["band", "node", "root", "n"])
+
+    return _by_blocks(rows, nodes.select("node", "n", "sig"), work, "band long, node long, root long, n long").distinct()
+
+
+def _block_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the components of band groups, found block against block."""
+    def work(rows, ours, theirs):
+        if not len(ours) or not len(theirs):
+            return _edges([])
+        node, root, sig = _signed(rows)
+        sets = [x.values.to_numpy() for x in rows.column("set")]
+        return _edges(block_links(rows.column("band")[0].as_py() & 63, ours, theirs, node, root, sig, sets))
+
+    return _by_blocks(rows, nodes.select("node", "sig", "set"), work, "a long, b long")
+
+
+def _blocked(tagged: DataFrame, block: int, shingles: int | None = None) -> DataFrame:
+    """The rows (band, node, root, n) of groups that hold several components, with the number of their group's ``blocks``."""
+    blocks = F.ceil(F.count(F.lit(1)) / block)
+    if shingles:
+        blocks = F.greatest(blocks, F.ceil(F.sum("n") / shingles))
+    several = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.alias("blocks")).where("lo < hi")
+    return tagged.join(several.select("band", "blocks"), "band").select("band", "node", "root", "blocks")
 
 
 def _edges(links: list):
@@ -395,12 +455,12 @@ def links(nodes: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS) -> Data
     nodes = frozen(_with_sets(frozen(nodes.join(_keys(ends), "node", "left_semi")), docs, width))
     first = _settled(_verified(_settled(_compared(stars, nodes)), nodes))
 
-    # groups of several components: their members meet those of the other components
-    tagged = members.join(_roots(nodes, first), "node")
-    several = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")).where("lo < hi")
-    rest = tagged.join(several.select("band", "blocks"), "band").select("band", "node", "root", "blocks")
-    return first.unionByName(_block_links(rest, nodes)).distinct()
+    # groups of several components: their members meet those of the other components, by signatures first;
+    # a full set goes only to the bands in which its class has a candidate left
+    tagged = members.join(_roots(nodes, first), "node").select("band", "node", "root", "n")
+    hits = frozen(_hits(_blocked(tagged, SIG_BLOCK), nodes))
+    left = frozen(nodes.join(_keys(hits.select("node").distinct()), "node", "left_semi"))
+    return first.unionByName(_block_links(_blocked(hits, BLOCK, BLOCK_SHINGLES), left)).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:

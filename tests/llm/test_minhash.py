@@ -169,3 +169,41 @@ def test_extra_columns_do_not_clash(spark):
     got = minhash.near_duplicates(data).collect()
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got) == brute(near(1, 3))
 
+
+
+def test_hits_hold_every_member_of_a_link():
+    """The members that signatures leave are those of the links and no wider than the candidates; pairs are not listed."""
+    rng = np.random.default_rng(7)
+    base, sets = rng.integers(0, 10**9, 150), []
+    for k in range(80):
+        s = base.copy() if k < 50 else rng.integers(0, 10**9, 150)
+        m = rng.integers(2, 60)
+        s[rng.choice(150, m, replace=False)] = rng.integers(0, 10**9, m)
+        sets.append(np.unique(minhash.mixed(s.astype(np.uint64))))
+    sig, at, n = minhash.signatures(sets), np.arange(80), np.array([len(s) for s in sets])
+    bands = sig.reshape(80, minhash.BANDS, minhash.ROWS)
+    every = {band: minhash.block_hits(band, at, at, at, n, sig).tolist() for band in range(minhash.BANDS)}
+    for i in range(80):
+        for j in range(i):
+            shared = (bands[i] == bands[j]).all(axis=1)
+            same = len(np.intersect1d(sets[i], sets[j]))
+            if shared.any() and 5 * same >= 4 * (n[i] + n[j] - same):
+                assert {i, j} <= set(every[int(shared.argmax())])
+    assert any(every.values()) and not {x for v in every.values() for x in v} & set(range(50, 80))
+
+
+def test_sets_go_only_to_bands_with_candidates(spark, monkeypatch):
+    """Texts that share bands but are far from similar send their signatures, never their sets, to the blocks."""
+    rng, sent = random.Random(11), []
+    common = [rng.choice(WORDS) for _ in range(60)]
+    data = [(k, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(60)]), "en", None, None, None, None, None)
+            for k in range(60)]
+    made = minhash._block_links
+
+    def counted(rows, nodes):
+        sent.append((rows.count(), nodes.count()))
+        return made(rows, nodes)
+
+    monkeypatch.setattr(minhash, "_block_links", counted)
+    assert answer(spark, data) == brute(data)
+    assert sent == [(0, 0)]
